@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import decontaminate, lexicon, quality, shards, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": shards.query,
+    "op4_bpe": lexicon.query,
     "op7_quality_rules": quality.query,
+    "op8_token_counts": token_counts.query,
+    "op9_decontamination": decontaminate.query,
     "op10_simhash": simhash.query,
 }
 
