@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lexicon, quality, shards, simhash, token_counts
+from . import decontaminate, language, lexicon, quality, shards, simhash, substrings, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": shards.query,
+    "op2_toxicity": toxicity.query,
+    "op3_language_id": language.query,
     "op4_bpe": lexicon.query,
+    "op5_suffix_array": substrings.query,
+    "op6_token_files": token_files.query,
     "op7_quality_rules": quality.query,
     "op8_token_counts": token_counts.query,
     "op9_decontamination": decontaminate.query,
