@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nodelytics.llm import quality, simhash
+from nodelytics.llm import decontaminate, lexicon, quality, simhash, substrings
 from nodelytics.llm.common import stash, table
 
 
@@ -22,9 +22,29 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return simhash.keep_one(docs)
 
 
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of long strings that occur elsewhere; rows stay, with what is left."""
+    return substrings.drop_repeats(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, and the digests of its ids and of the text decoded from them."""
+    import public_tokenizers
+
+    return lexicon.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("simhash near-dedup", simhash_near_dedup),
+    ("suffix-array dedup", suffix_array_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("bpe encoding", bpe_encoding),
 ]
 
 #: Fingerprints, suffix order and merges are not SQL; the tests hold the stages against brute force.
