@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SPECIAL, Vocabulary, vocabulary
-from .common import slices, table, utf8, with_columns
+from .common import slices, stash, table, utf8, with_columns
 
 #: Words in the lexicon, and the bytes of the longest; together they bound what is broadcast (about 4 MB).
 LEXICON_WORDS, WORD_BYTES = 50_000, 48
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 _COUNTED = 300_000
 _ARRAYS = ("base", "final", "owner", "target", "addend", "offsets", "ids")
 
@@ -204,9 +204,17 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def fit_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LEXICON_WORDS) -> bytes:
-    """The compiled lexicon of the ``size`` most frequent words (ties by word)."""
+    """The compiled lexicon of the most frequent words: as many as occur equally often or more, ``size`` at most."""
     counted = word_counts(docs, path, text).filter(F.octet_length("word") <= WORD_BYTES)
-    top = counted.orderBy(F.desc("n"), "word").limit(size).collect()
+    counted = stash(counted, "words")
+    # how often a word must occur, from the number of words of each count (few different counts)
+    least, total = None, 0
+    for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).limit(size).collect():
+        total += r["k"]
+        if total > size:
+            break
+        least = r["n"]
+    top = counted.filter(F.col("n") >= least).select("word").collect() if least is not None else []
     v = vocabulary(path)
     return compile_lexicon({w: v.merged(w) for w in (r["word"].encode() for r in top)})
 
