@@ -45,7 +45,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that the texts of one hold about ``max_bytes``; a longer text stands alone."""
     for batch in batches:
         lengths = pa.compute.binary_length(batch.column(text)).to_pylist() if batch.num_rows else []

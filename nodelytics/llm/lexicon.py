@@ -148,6 +148,8 @@ class Lexicon:
         for name, n in zip(_ARRAYS, lengths.tolist(), strict=True):
             setattr(self, name, np.frombuffer(self._map, np.int32, n, at))
             at += 4 * n
+        #: the ids' bytes, as the file has them
+        self.raw = bytes(self._map[at - 4 * len(self.ids) : at])
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """The numbers of the words, -1 where the lexicon lacks one; all words walk in step."""
@@ -228,6 +230,7 @@ class Encoder:
     def __init__(self, image: bytes, path: str):
         self.lexicon, self.vocabulary = Lexicon(image), vocabulary(path)
         self.known: dict[str, bytes] = {}
+        self.codes = [i.to_bytes(4, "little") for i in range(self.vocabulary.size)]
 
     def learn(self, words: set[str]) -> None:
         v: Vocabulary = self.vocabulary
@@ -238,20 +241,20 @@ class Encoder:
             else:
                 new.append(w)
         coded = [w.encode() for w in new]
-        for w, c, number in zip(new, coded, self.lexicon.find(coded).tolist(), strict=True):
-            self.known[w] = (self.lexicon.get(number) if number >= 0 else np.array(v.merged(c))).astype("<u4").tobytes()
-
-    def encode(self, text: bytes | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        words = self.vocabulary.pieces(text.decode("utf-8", "replace"))
+        found, known, codes, raw = self.lexicon.find(coded), self.known, self.codes, self.lexicon.raw
+        at = self.lexicon.offsets[np.stack((found, found + 1))] * 4 if len(raw) else np.zeros((2, len(new)), np.int64)
+        for w, c, number, a, b in zip(new, coded, found.tolist(), at[0].tolist(), at[1].tolist(), strict=True):
+            known[w] = raw[a:b] if number >= 0 else b"".join(map(codes.__getitem__, v.merged(c)))
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; new words of all texts are looked up together."""
+        words = [self.vocabulary.pieces(t.decode("utf-8", "replace")) if t else [] for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = set(words).difference(self.known)
+        new = set().union(*words).difference(self.known)
         if new:
             self.learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+        return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.vocabulary.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -271,7 +274,7 @@ def encode_decode(docs: DataFrame, path: str, image: bytes, text: str = "text")
 
     def run(texts):
         encoder = _encoder(shared, path)
-        ids = [encoder.encode(t) for t in texts]
+        ids = encoder.encode(texts)
         return [ids, [encoder.decode(i) for i in ids]]
 
     return with_columns(docs, text, "ids binary, decoded string", run)
