@@ -2,5 +2,28 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    """Register ``function(t)``, where ``t(name)`` reads a table."""
+
+    def add(function: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: function(lambda n: table(spark, sf_dir, n))
+        if sql:
+            SQL[name] = sql
+        return function
+
+    return add
+
+
+from . import event_queries, join_queries, order_queries  # noqa: E402,F401
