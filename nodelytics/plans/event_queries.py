@@ -191,7 +191,7 @@ def ewma(t):
     daily = t("events").groupBy(F.to_date("ts").alias("day"), "user_id").agg(F.sum(cents("value")).cast("double").alias("v"))
     first = daily.agg(F.min("day").alias("first"))  # one row
     rows = daily.join(F.broadcast(first)).withColumn("idx", F.datediff("day", "first"))
-    return W.ewma(rows.withColumn("scope", F.lit(1)), ["scope"], "user_id", "idx", "v", 0.3).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "user_id", F.round(F.col("ewma") + 3e-7, 4).alias("ewma")  # off the decimal ties)
+    return W.ewma(rows.withColumn("scope", F.lit(1)), ["scope"], "user_id", "idx", "v", 0.3).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "user_id", F.round(F.col("ewma") + 3e-7, 4).alias("ewma"))  # off the decimal ties
 
 
 @query("dominant_hysteresis")
