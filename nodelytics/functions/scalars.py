@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # --- numbers and units -----------------------------------------------------------------------
 
@@ -108,7 +109,7 @@ def canonical_ipv4(c: Column) -> Column:
     return F.when(a.rlike(rf"^{part}(\.{part}){{3}}$"), a)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ipv6(addresses: pd.Series) -> pd.Series:
     import ipaddress
 
