@@ -31,7 +31,7 @@ END = 2
 #: Ids in a block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
 RANK_BITS = 512
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 #: Documents in a bucket, about; a bucket is written by one task.
 BUCKET_DOCS = 20_000
 BLOCK_SCHEMA = "bucket int, block int, doc_ids array<long>, starts array<int>, n_ids int, chunks array<binary>, more array<binary>, ranks array<binary>"
@@ -85,7 +85,7 @@ def at(i: int, chunks: list[bytes], more: list[bytes], ranks: list[bytes]) -> in
 # --- encoding --------------------------------------------------------------------------------
 
 
-class _Words(dict):
+class _Words:
     """Ids of words between ASCII white space, which the library splits at in any case."""
 
     def __init__(self, path: str):
@@ -95,12 +95,13 @@ class _Words(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.ids: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
         for lo in range(0, len(words), 4096):
             some = words[lo : lo + 4096]
             for w, e in zip(some, self.library.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+                self.ids[w] = np.array(e.ids, "<u4").tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -110,18 +111,15 @@ def _words(path: str) -> _Words:
 
 def encode(texts: list[bytes | None], path: str, end: int | None = END) -> list[bytes]:
     """Ids of whole texts, little-endian unsigned 32-bit, with the end id."""
-    known = _words(path)
+    library = _words(path)
     tail = b"" if end is None else np.array([end], "<u4").tobytes()
-    out = []
-    for t in texts:
-        words = t.split() if t else []
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = set(words).difference(known)
-        if new:
-            known.learn(list(new))
-        out.append(b"".join(map(known.__getitem__, words)) + tail)
-    return out
+    words = [t.split() if t else [] for t in texts]
+    if len(library.ids) > CACHED_WORDS:
+        library.ids.clear()
+    new = set().union(*words).difference(library.ids)
+    if new:
+        library.learn(list(new))
+    return [b"".join(map(library.ids.__getitem__, w)) + tail for w in words]
 
 
 # --- writing and reading ---------------------------------------------------------------------
