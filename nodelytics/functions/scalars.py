@@ -68,6 +68,11 @@ def byte_size(c: Column) -> Column:
     return number * F.when(unit == "B", 1.0).when(unit == "KB", 1024.0).when(unit == "MB", 1024.0**2).when(unit == "GB", 1024.0**3).when(unit == "TB", 1024.0**4)
 
 
+def nonneg_diff(a: Column, b: Column) -> Column:
+    """``a - b``, not below zero; null where either is."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a - b, F.lit(0)))
+
+
 def relation(a: Column, b: Column) -> Column:
     """``fewer``, ``equal`` or ``more``."""
     return F.when(a < b, "fewer").when(a > b, "more").when(a == b, "equal")
@@ -75,7 +80,8 @@ def relation(a: Column, b: Column) -> Column:
 
 def nonneg_age(then: Column, now: Column) -> Column:
     """Seconds from ``then`` to ``now``, not below zero."""
-    return F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 1e6)
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 1e6
+    return F.when(age.isNotNull(), F.greatest(F.lit(0.0), age))
 
 
 # --- addresses, hosts, ports -----------------------------------------------------------------

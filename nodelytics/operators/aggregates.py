@@ -116,7 +116,8 @@ def response_stats(df: DataFrame, keys: Sequence[str], requests: Column, statuse
 def priority_fee(kind: Column, max_priority: Column, max_fee: Column, gas_price: Column, base: Column) -> Column:
     """Effective priority fee of a transaction over the base fee."""
     zero = F.lit(0).cast("decimal(38,0)")
-    return F.when(kind == "Eip1559", F.least(max_priority, F.greatest(max_fee - base, zero))).when(kind.isin("Legacy", "Eip2930"), F.greatest(gas_price - base, zero))
+    modern = F.when(max_priority.isNotNull() & max_fee.isNotNull(), F.least(max_priority, F.greatest(max_fee - base, zero)))
+    return F.when(kind == "Eip1559", modern).when(kind.isin("Legacy", "Eip2930") & gas_price.isNotNull(), F.greatest(gas_price - base, zero))
 
 
 def max_priority_fee(txs: DataFrame, receipts: DataFrame, key: str) -> DataFrame:
@@ -126,7 +127,7 @@ def max_priority_fee(txs: DataFrame, receipts: DataFrame, key: str) -> DataFrame
     """
     zero = F.lit(0).cast("decimal(38,0)")
     a = txs.groupBy(key).agg(F.count(F.lit(1)).alias("n_tx"), F.max("fee").alias("tx_fee"))
-    b = receipts.groupBy(key).agg(F.count(F.lit(1)).alias("n_rec"), F.count("effective").alias("n_eff"), F.max(F.greatest(F.col("effective") - F.col("base"), zero)).alias("rec_fee"))
+    b = receipts.groupBy(key).agg(F.count(F.lit(1)).alias("n_rec"), F.count("effective").alias("n_eff"), F.max(F.when(F.col("effective").isNotNull(), F.greatest(F.col("effective") - F.col("base"), zero))).alias("rec_fee"))
     whole = (F.col("n_rec") == F.col("n_tx")) & (F.col("n_eff") == F.col("n_rec"))
     best = F.when(whole, F.col("rec_fee")).otherwise(F.greatest("tx_fee", "rec_fee"))
     return a.join(b, key, "full").select(key, F.coalesce(best, zero).alias("max_fee"), best.isNotNull().alias("has_fee"))

@@ -73,12 +73,13 @@ def source_health(rows: DataFrame, source: Sequence[str], ts: str) -> DataFrame:
 
 
 def core_blocks(lines: DataFrame) -> Tables:
-    """Lines with ``state_type`` (fast, slow, legacy): accepted blocks, their intervals, apply times and histograms."""
+    """Lines with ``state_type`` (fast, slow, legacy), in the order of ``seq`` if there is one: accepted blocks, their intervals, apply times and histograms."""
     v = F.col("v")
     rows = records(lines).withColumns({"height": _int(v, "$.height"), "block_time": S.parse_ts(_text(v, "$.block_time")), "wall_text": _text(v, "$.begin_block_wall_time"), "apply_s": _num(v, "$.apply_duration")})
     good, rejects = checked(rows, [("record", "bad_json", v.isNull()), ("block", "bad_height", F.col("height").isNull() | (F.col("height") < 0)), ("block", "bad_time", F.col("block_time").isNull()), ("block", "bad_duration", ~S.finite_nonneg(F.col("apply_s")))])
-    good = good.select("node_id", "state_type", "height", "block_time", S.parse_ts(F.col("wall_text")).alias("wall_time"), (F.col("apply_s") * 1000).alias("apply_ms"), *([c for c in ("landed",) if c in lines.columns]), micros("block_time").alias("us"))
-    kept = folds.monotone_filter(good, ["node_id", "state_type"], ["us", "height"], ["us", "height"])
+    good = good.select("node_id", "state_type", "height", "block_time", S.parse_ts(F.col("wall_text")).alias("wall_time"), (F.col("apply_s") * 1000).alias("apply_ms"), *[c for c in ("landed", "seq") if c in lines.columns], micros("block_time").alias("us"))
+    arrival = ["seq"] if "seq" in lines.columns else ["us", "height"]
+    kept = folds.monotone_filter(good, ["node_id", "state_type"], arrival, ["us", "height"])
     blocks = W.inter_arrival(kept, ["node_id", "state_type"], "block_time", "height")
     if "landed" in lines.columns:
         lag = (micros("landed") - micros("wall_time")) / 1e6
@@ -194,7 +195,7 @@ def consensus_events(lines: DataFrame) -> Tables:
     status = W.lags(status, "round", ["last_vote_round", "last_commit_round", "qc_round"])
     execution = good.filter("tag = 'execution state'").select("node_id", "ts", _int(body, "$.round").alias("execution_round"))
     reference = status.select("node_id", "ts", "round").unionByName(advance.select("node_id", "ts", "round")).unionByName(unique.select("node_id", "ts", "round")).groupBy("node_id", "ts").agg(F.max("round").alias("round"))
-    execution = joins.asof(execution, reference, ["node_id"], "ts", "ts", "round", "consensus_round").withColumn("execution_lag", F.greatest(F.lit(0), F.col("consensus_round") - F.col("execution_round")))
+    execution = joins.asof(execution, reference, ["node_id"], "ts", "ts", "round", "consensus_round").withColumn("execution_lag", S.nonneg_diff(F.col("consensus_round"), F.col("execution_round")))
     sizes = certified.withColumn("qc_size", F.size("signers"))
     tcs = unique.filter("timeouts is not null").select("node_id", "key", F.size("timeouts").alias("tc_size"), "timeouts")
     rate = A.participation_rate(_within_hour(certified), ["node_id"], ["ts", "round"], "signers", vocab.PARTICIPATION_BLOCKS)

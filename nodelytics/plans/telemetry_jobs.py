@@ -157,7 +157,7 @@ def mempool_events(lines: DataFrame) -> Tables:
     status = F.when(tag == "add_tx", _text(p, "$[3]")).when(tag == "verify_block", _text(p, "$[2]"))
     error = F.map_keys(json.req(p, "$[4]", "object"))[0]
     items = F.when(tag.isin("dropping blocks", "dropping txs"), F.size(_items(p, "$[1]"))).when(tag == "Pruned rpc request throttle", _int(p, "$[1]") - _int(p, "$[2]")).otherwise(0)
-    events = good.select("node_id", S.normalize_vocab(tag, vocab.MEMPOOL_EVENTS).alias("event"), F.coalesce(S.normalize_vocab(status, ["ok", "err"]), F.lit("none")).alias("status"), F.when(status == "err", S.normalize_vocab(error, vocab.MEMPOOL_ERRORS)).alias("error"), items.cast("long").alias("items"))
+    events = good.select("node_id", S.normalize_vocab(tag, vocab.MEMPOOL_EVENTS).alias("event"), F.when(status.isNull(), "none").otherwise(S.normalize_vocab(status, ["ok", "err"])).alias("status"), F.when(status == "err", S.normalize_vocab(error, vocab.MEMPOOL_ERRORS)).alias("error"), items.cast("long").alias("items"))
     counted = events.groupBy("node_id", "event", "status", "error").agg(F.count(F.lit(1)).alias("n"), F.sum("items").alias("items"))
     newest = A.latest_per_key(good.filter("sizes is not null").select("node_id", "ts", "sizes", "pending"), ["node_id"], ["ts"])
     return {"mempool_event": counted, "mempool_size": newest.select("node_id", "ts", named.alias("sizes"), S.nonneg_age(F.array_min("pending"), F.col("ts")).alias("oldest_s")), "rejects": rejects}
@@ -199,14 +199,14 @@ def visor_state(snapshots: DataFrame, history: DataFrame) -> DataFrame:
     e = enveloped(history).filter("not bad_record and ts is not null")
     now = joins.coalesce_sources(project(snapshots, F.col("doc"), F.col("mtime")), project(e, F.col("p"), F.col("ts")), ["node_id"])
     skew = (micros("consensus_time") - micros("wall_clock_time")) / 1e6
-    return now.withColumns({"consensus_minus_wall_s": skew, "blocks_applied": F.greatest(F.lit(0), F.col("height") - F.col("initial_height")), "freeze_scheduled": F.col("scheduled_freeze_height").isNotNull(), "lag_known": F.col("reference_lag_s").isNotNull()})
+    return now.withColumns({"consensus_minus_wall_s": skew, "blocks_applied": S.nonneg_diff(F.col("height"), F.col("initial_height")), "freeze_scheduled": F.col("scheduled_freeze_height").isNotNull(), "lag_known": F.col("reference_lag_s").isNotNull()})
 
 
 def node_state(ints: DataFrame, visor: DataFrame) -> DataFrame:
     """Integer files ``(node_id, name, value)``: freeze and checkpoint heights and the height above the freeze, absent without a height."""
     wide = ints.groupBy("node_id").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in ("freeze_height", "checkpoint_fast", "checkpoint_slow")])
     joined = wide.join(visor.select("node_id", "height"), "node_id", "left")
-    return joined.withColumns({"above_freeze": F.greatest(F.lit(0), F.col("height") - F.col("freeze_height")), "fast_slow_gap": F.greatest(F.lit(0), F.col("checkpoint_fast") - F.col("checkpoint_slow"))}).withColumn("above_freeze", F.when(F.col("height").isNotNull() & F.col("freeze_height").isNotNull(), F.col("above_freeze")))
+    return joined.withColumns({"above_freeze": S.nonneg_diff(F.col("height"), F.col("freeze_height")), "fast_slow_gap": S.nonneg_diff(F.col("checkpoint_fast"), F.col("checkpoint_slow"))})
 
 
 def snapshot_status(inventory: DataFrame) -> DataFrame:
