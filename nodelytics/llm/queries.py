@@ -21,4 +21,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": simhash.query,
 }
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL: dict[str, str] = {
+    "op9_decontamination": f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+w AS (SELECT DISTINCT item, least(10, len(w)) AS n, list_slice(w, i, i + least(10, len(w)) - 1) AS g FROM b, unnest(generate_series(1, greatest(1, len(w) - 9))) t(i) WHERE len(w) > 0),
+d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+s AS (SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS g FROM d, (SELECT DISTINCT n FROM w), unnest(generate_series(1, len(w) - n + 1)) t(i)),
+h AS (SELECT doc_id, i, s.n, item FROM s JOIN w ON s.n = w.n AND s.g = w.g),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(generate_series(i, i + n - 1)) t(p) GROUP BY 1),
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)""",
+}
