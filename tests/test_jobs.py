@@ -237,7 +237,7 @@ def test_streams_equal_batch(spark, tmp_path, n):
     from nodelytics.operators import folds
     from nodelytics.streaming import state
 
-    rows = [("a", i, m, i * 1_000_000) for i, m in enumerate("xyxzwyxzz")]
+    rows = [("a", i, m, (3600 + i) * 1_000_000) for i, m in enumerate("xyxzwyxzz")]
     schema = "key string, seq long, member string, us long"
     src = tmp_path / "src"
     for k in range(3):
