@@ -98,7 +98,7 @@ def links(fps: DataFrame, fp: str = "fp", bits: int = MAX_BITS) -> DataFrame:
     nodes = fps.select(F.col(fp).alias("fp"))
     masks = [_signed(m) for m in block_masks(nodes.count(), bits)]
     keys = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])).alias("x")).select("fp", "x.c", "x.k")
-    met = keys.groupBy("c", "k").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    met = stash(keys.groupBy("c", "k").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "simhash-met")
     shared = stash(keys.join(met, ["c", "k"]), "simhash-keys")
     cold = shared.filter(F.col("m") <= HOT)
     a, b = cold.select("c", "k", F.col("fp").alias("u")), cold.select("c", "k", F.col("fp").alias("v"))
