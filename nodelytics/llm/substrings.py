@@ -213,19 +213,24 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     copies = stash(copies, "copies")
     once = rows.dropDuplicates(["tid"]).select("tid", F.inline(F.arrays_zip("first", "last", "anchor")))
     once = stash(once, "runs")
-    again = once.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # written first, so that the join below has two plain exchanges, of which a hot anchor's can be split
+    again = stash(once.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "anchors-again")
     single = once.join(again, "anchor", "left_semi")
     asked = single.groupBy("tid").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("runs"))
     made = texts.join(asked, "tid").select("tid", "text", "runs")
     chunks = stash(_chunks(made).withColumn("cid", F.unhex(F.substring(F.sha2("chunk", 256), 1, 32))), "chunks")
-    # a chunk of a text that has copies occurs twice at least
-    copied = chunks.select("tid", "first", "cid").join(copies.select("tid"), "tid", "left_semi").groupBy("cid").agg(F.lit(2).alias("w"))
-    counted = chunks.groupBy("cid", "anchor", "chunk").agg(F.count(F.lit(1)).alias("m"))
-    counted = counted.join(copied, "cid", "left").select("cid", "anchor", "chunk", F.greatest("m", F.coalesce("w", F.lit(1))).alias("m"))
-    counted = stash(counted, "distinct-chunks")
-
-    crowded = stash(counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_CHUNKS).select("anchor"), "crowded")
-    crowded = small(crowded, 100_000)
+    # per different chunk: how often it occurs (in a text that has copies, twice at least); per anchor: its different chunks
+    narrow = chunks.select("tid", "anchor", "cid", F.octet_length("chunk").alias("n"))
+    mine = narrow.join(copies.select("tid", F.lit(1).alias("copied")), "tid", "left")
+    cids = mine.groupBy("anchor", "cid").agg((F.count(F.lit(1)) + F.coalesce(F.max("copied"), F.lit(0))).alias("m"), F.max("n").alias("n"))
+    cids = stash(cids, "distinct-chunks")
+    sizes = cids.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.max("m").alias("m"), F.max("cid").alias("cid"), F.max("n").alias("n"))
+    # a chunk without another of its anchor has nothing to be compared with
+    alone = sizes.filter("k = 1 and m > 1").select("cid", F.lit(0).alias("a"), (F.col("n") - LENGTH).alias("b"))
+    several = stash(sizes.filter("k > 1").select("anchor", "k"), "anchors-to-order")
+    texts_of = chunks.join(several.select("anchor"), "anchor", "left_semi").groupBy("cid", "anchor", "chunk").agg(F.lit(1).alias("one"))
+    counted = stash(texts_of.join(cids.select("cid", "anchor", "m"), ["cid", "anchor"]).select("cid", "anchor", "chunk", "m"), "chunks-to-order")
+    crowded = small(several.filter(F.col("k") > HOT_CHUNKS).select("anchor"), 100_000)
     total = counted.agg(F.coalesce(F.sum(F.octet_length("chunk")), F.lit(0))).first()[0]
     n = total // SHARD_BYTES + 1
     sharded = counted.join(crowded, "anchor", "left_anti").select(F.pmod(F.xxhash64("anchor"), F.lit(n)).cast("int").alias("shard"), "cid", "chunk", "m")
@@ -233,7 +238,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     windows = counted.join(crowded, "anchor", "left_semi").select("cid", "chunk", "m").mapInArrow(_window_hashes, "cid binary, at int, h binary, m long")
     found = windows.groupBy("h").agg(F.sum("m").alias("m")).filter("m > 1").select("h")
     hot = windows.join(found, "h", "left_semi").select("cid", F.col("at").alias("a"), F.col("at").alias("b"))
-    ranges = stash(solved.unionByName(hot), "ranges")
+    ranges = stash(solved.unionByName(hot).unionByName(alone), "ranges")
 
     back = chunks.select("tid", "first", "cid").join(ranges, "cid").select("tid", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + LENGTH).alias("b"))
     spans = _joined(back).join(copies.select("tid"), "tid", "left_anti")
