@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import shared_dir, small, table, with_columns
+from .common import shared_dir, slices, small, stash, table, with_columns
 
 END = 2
 #: Ids in a block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
 RANK_BITS = 512
-CACHED_WORDS = 600_000
-#: Documents in a bucket, about; a bucket is written by one task.
-BUCKET_DOCS = 20_000
+CACHED_WORDS = 250_000
+#: Bytes of ids in a range, about; a range (``bucket``) is written by one task.
+RANGE_BYTES = 12 << 20
 BLOCK_SCHEMA = "bucket int, block int, doc_ids array<long>, starts array<int>, n_ids int, chunks array<binary>, more array<binary>, ranks array<binary>"
 
 
@@ -147,52 +147,51 @@ def encode(texts: list[bytes | None], path: str, end: int | None = END) -> list[
 # --- writing and reading ---------------------------------------------------------------------
 
 
+def _narrow(codes: bytes) -> bytes:
+    """Ids for the way to their block: 16-bit if all fit, led by the width."""
+    ids = np.frombuffer(codes, "<u4")
+    return b"\2" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\4" + codes
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.uint32)
+
+
 def _blocks(batches):
-    """Blocks of rows that come sorted by bucket and id."""
-    bucket, number, ids, parts, held = None, 0, [], [], 0
+    """Blocks of one range of ids, whose rows come sorted; the range's number is the partition's."""
+    from pyspark import TaskContext
+
+    bucket, number, ids, parts, held = TaskContext.get().partitionId(), 0, [], [], 0
 
     def out():
-        data = np.frombuffer(b"".join(parts), "<u4")
-        starts = np.cumsum([0, *(len(p) // 4 for p in parts)])
+        data = np.concatenate(parts)
+        starts = np.cumsum([0, *map(len, parts)])
         chunks, more, ranks = pack(data)
         values = [[bucket], [number], [ids], [starts.tolist()], [len(data)], [chunks], [more], [ranks]]
         types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), *[pa.list_(pa.binary())] * 3]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=[c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
 
     for batch in batches:
-        for b, doc, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            n = len(code) // 4
-            if parts and (b != bucket or held + n > BLOCK_IDS):
-                yield out()
-                number = number + 1 if b == bucket else 0
-                ids, parts, held = [], [], 0
-            elif b != bucket:
-                number = 0
-            bucket = b
-            ids.append(doc)
-            parts.append(code)
-            held += n
+        for part in slices([batch], "packed", 1 << 20):
+            for doc, packed in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                code = _wide(packed)
+                if parts and held + len(code) > BLOCK_IDS:
+                    yield out()
+                    number, ids, parts, held = number + 1, [], [], 0
+                ids.append(doc)
+                parts.append(code)
+                held += len(code)
     if parts:
         yield out()
 
 
-def _cuts(docs: DataFrame, buckets: int) -> list[int]:
-    """Ascending ids that part ``docs`` into about ``buckets`` equal ranges; any choice gives the same file order."""
-    if buckets < 2:
-        return []
-    found = docs.select("doc_id").approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)
-    return sorted({int(x) for x in found})
-
-
-def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", bucket_docs: int = BUCKET_DOCS) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES) -> None:
     """Write the ids of ``docs`` as a folder of files; the order is that of ``doc_id``."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    cuts = _cuts(docs, docs.count() // bucket_docs + 1)
-    coded = with_columns(docs, "text", "ids binary", lambda texts: [encode(texts, tokenizer)]).drop("text")
-    # a shift in a sorted list of literals; null ids come first
-    place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0), F.lit(0))
-    place = F.when(F.col("doc_id").isNull(), 0).otherwise(place)
-    dealt = coded.select(place.cast("int").alias("bucket"), "doc_id", "ids").repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
+    coded = with_columns(docs, "text", "packed binary", lambda texts: [[_narrow(c) for c in encode(texts, tokenizer)]]).drop("text")
+    coded = stash(coded, "token-ids")  # else the sample that sets the ranges would encode all texts once more
+    total = coded.agg(F.coalesce(F.sum(F.octet_length("packed")), F.lit(0))).first()[0]
+    dealt = coded.repartitionByRange(total // range_bytes + 1, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "packed")
     dealt.mapInArrow(_blocks, BLOCK_SCHEMA).write.parquet(path)
 
 
