@@ -52,7 +52,7 @@ def outcome(t):
 @query("daily_representative", "WITH h AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) SELECT day, o_orderkey, count(l_orderkey) AS n_lines FROM h LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def representative(t):
     top = A.daily_representative(t("orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderkey"), "day", "o_orderkey")
-    lines = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey")).join(F.broadcast(top.select("o_orderkey")), "o_orderkey", "left_semi").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_lines"))
+    lines = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey")).join(top.select("o_orderkey"), "o_orderkey", "left_semi").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_lines"))
     return top.select("day", "o_orderkey").join(lines, "o_orderkey", "left").select("day", "o_orderkey", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
 
 
