@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import shared_dir, slices, small, stash, table, with_columns
+from .common import shared_dir, slices, small, table, utf8
 
 END = 2
 #: Ids in a block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
 RANK_BITS = 512
-CACHED_WORDS = 250_000
-#: Bytes of ids in a range, about; a range (``bucket``) is written by one task.
-RANGE_BYTES = 12 << 20
+CACHED_WORDS = 500_000
+#: Documents in a range, about; a range (``bucket``) is written by one task.
+RANGE_DOCS = 8_000
 BLOCK_SCHEMA = "bucket int, block int, doc_ids array<long>, starts array<int>, n_ids int, chunks array<binary>, more array<binary>, ranks array<binary>"
 
 
@@ -158,10 +158,8 @@ def _wide(packed: bytes) -> np.ndarray:
 
 
 def _blocks(batches):
-    """Blocks of one range of ids, whose rows come sorted; the range's number is the partition's."""
-    from pyspark import TaskContext
-
-    bucket, number, ids, parts, held = TaskContext.get().partitionId(), 0, [], [], 0
+    """Blocks of rows that come sorted by range and id."""
+    bucket, number, ids, parts, held = None, 0, [], [], 0
 
     def out():
         data = np.concatenate(parts)
@@ -173,11 +171,13 @@ def _blocks(batches):
 
     for batch in batches:
         for part in slices([batch], "packed", 1 << 20):
-            for doc, packed in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for b, doc, packed in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 code = _wide(packed)
-                if parts and held + len(code) > BLOCK_IDS:
+                if parts and (b != bucket or held + len(code) > BLOCK_IDS):
                     yield out()
                     number, ids, parts, held = number + 1, [], [], 0
+                if b != bucket:
+                    bucket, number = b, 0
                 ids.append(doc)
                 parts.append(code)
                 held += len(code)
@@ -185,13 +185,29 @@ def _blocks(batches):
         yield out()
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES) -> None:
+def _firsts(docs: DataFrame, ranges: int) -> np.ndarray:
+    """The first id of each of about ``ranges`` equal ranges, from the ids alone: one line a range comes to the driver."""
+    ids = docs.select("doc_id").filter("doc_id is not null").repartitionByRange(ranges, "doc_id")
+    firsts = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("first")).toPandas()["first"]
+    return np.sort(firsts.to_numpy(np.int64))[1:]
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", range_docs: int = RANGE_DOCS) -> None:
     """Write the ids of ``docs`` as a folder of files; the order is that of ``doc_id``."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    coded = with_columns(docs, "text", "packed binary", lambda texts: [[_narrow(c) for c in encode(texts, tokenizer)]]).drop("text")
-    coded = stash(coded, "token-ids")  # else the sample that sets the ranges would encode all texts once more
-    total = coded.agg(F.coalesce(F.sum(F.octet_length("packed")), F.lit(0))).first()[0]
-    dealt = coded.repartitionByRange(total // range_bytes + 1, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "packed")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    ranges = docs.count() // range_docs + 1
+    sent = docs.sparkSession.sparkContext.broadcast(_firsts(docs, ranges))  # eight bytes a range
+    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("packed", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices([batch], "text"):
+                ids = part.column(0)
+                place = np.searchsorted(sent.value, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right")
+                packed = [_narrow(c) for c in encode(utf8(part.column(1)), tokenizer)]
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), ids, pa.array(packed, pa.binary())], names=["bucket", "doc_id", "packed"])
+
+    dealt = docs.mapInArrow(run, schema).repartition(ranges, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "packed")
     dealt.mapInArrow(_blocks, BLOCK_SCHEMA).write.parquet(path)
 
 

@@ -33,7 +33,7 @@ def test_files(spark, docs, empty, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_IDS", 400)
     library = tokenizers.Tokenizer.from_file(WORD_BPE)
     unique = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    token_files.write(unique, str(tmp_path / "f"), WORD_BPE, range_bytes=9000)
+    token_files.write(unique, str(tmp_path / "f"), WORD_BPE, range_docs=30)
     got = token_files.read(spark, str(tmp_path / "f")).withColumn("crc", F.crc32("ids")).orderBy("doc_id").collect()
     start, flat = 0, {}
     for r, d in zip(got, unique.orderBy("doc_id").collect(), strict=True):
