@@ -5,11 +5,11 @@ t_1 < t_2 < t_3; the output is the expected grade, the sum of these probabilitie
 
 Labels say only toxic or not, so the grades of the fit are: 0 for rows that are not toxic; toxic
 rows get 1, 2 or 3 by how many different features of strong toxic evidence they hold (``MILD``,
-``MIDDLE``).  Evidence is the log-odds of a feature's document frequency between the two classes
-over all labelled documents, counted by Spark.  Features are the ``FEATURES`` ones whose
+``MIDDLE``).  Evidence is the log-odds of a feature's document frequency between the two classes,
+counted by Spark.  Features are the ``FEATURES`` ones whose
 log-odds are surest (absolute value less two standard errors); values are log(1 + count).  The
-regression, with an absolute-value penalty that leaves most weights zero, is fitted on a sample of
-about ``FIT_ROWS`` labelled rows at most, by a hash of the id.
+regression has an absolute-value penalty that leaves most weights zero.  All of the fit uses about
+``FIT_ROWS`` labelled rows at most, picked by a hash of the id.
 
 Null, empty and wordless texts have no features; they get the severity of an empty text but are
 never flagged.  Without toxic labels nothing is flagged.
@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, utf8, with_columns
+from .common import slices, small, stash, table, utf8, with_columns
 
 GRADES = 3
 #: Features of strong evidence in toxic rows of grade 1, and of grade 2, at most.
 MILD, MIDDLE = 6, 15
-FEATURES, FIT_ROWS = 600, 6000
+FEATURES, FIT_ROWS = 600, 12_000
 #: Strong evidence: log-odds, and z-score.
 STRONG_ODDS, STRONG_Z = 2.0, 3.0
 #: Least share of labelled documents with a word, for it to be a feature, and least number.
@@ -83,13 +83,21 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, text, toxic)`` of the documents with one non-null toxic label; texts are not null."""
+    """``(doc_id, text, toxic)`` of about ``FIT_ROWS`` labelled documents at most, by a hash of the id; texts are not null.
+
+    The hash picks ids on both sides, and the labels picked are few enough to be sent, so no text is shuffled.
+    """
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").filter("text is not null").join(marks, "doc_id")
+    share = min(1.0, FIT_ROWS / max(1, marks.count()))
+
+    def picked(df: DataFrame) -> DataFrame:
+        return df.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id").cast("long")), F.lit(1_000_000)) < int(share * 1_000_000))
+
+    return picked(docs.select("doc_id", "text").filter("text is not null")).join(small(stash(picked(marks), "labels"), 2 * FIT_ROWS), "doc_id")
 
 
 def document_frequencies(rows: DataFrame) -> DataFrame:
-    """``(word, toxic, n)`` over all labelled documents; tasks sum their own words first."""
+    """``(word, toxic, n)`` over the rows of the fit; tasks sum their own words first."""
 
     def run(batches):
         held: Counter = Counter()
@@ -153,8 +161,6 @@ def _descend(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = labelled(docs, labels)
     by_word = document_frequencies(rows).groupBy("word").agg(F.sum(F.when(F.col("toxic") > 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(F.col("n"))).alias("b"))
-    from .common import stash
-
     by_word = stash(by_word, "toxic-words")
     totals = by_word.filter(F.octet_length("word") == 0).first()
     if totals is None or not totals["a"] or not totals["b"]:
@@ -166,18 +172,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     top = scored.orderBy(F.desc("sure"), "word").limit(FEATURES).collect()
     number = {r["word"]: i for i, r in enumerate(top)}
     strong = {r["word"] for r in top if r["odds"] >= STRONG_ODDS and r["z"] >= STRONG_Z}
-    draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    sample = rows.filter(draw < FIT_ROWS / (a + b))
-
     def values(texts):
         known = _Known(number)
         out = [Counter(chain.from_iterable(map(known.__getitem__, words(t)))) for t in texts]
         return [[[number[w] for w in c] for c in out], [[float(math.log1p(n)) for n in c.values()] for c in out], [len(strong.intersection(c)) for c in out]]
 
-    found = with_columns(sample, "text", "at array<int>, value array<double>, evidence int", values).select("toxic", "at", "value", "evidence").collect()
+    found = with_columns(rows, "text", "at array<int>, value array<double>, evidence int", values).select("toxic", "at", "value", "evidence").collect()
     if not found:
         return Model({}, [50.0] * GRADES)
-    x = np.zeros((len(found), len(number)))
+    x = np.zeros((len(found), len(number)), np.float32)
     y = np.zeros(len(found), np.int64)
     for i, r in enumerate(found):
         x[i, r["at"]] = r["value"]
