@@ -18,8 +18,11 @@ from .registry import QUERIES, SQL
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_query(name: str, sql: str | None = None):
-    """Register ``function(events)``, which makes a streaming DataFrame of the streaming table ``events``."""
+def stream_query(name: str, sql: str | None = None, sink: Callable | None = None, schema: str | None = None, at: str = "rows"):
+    """Register ``function(events)``, which makes a streaming DataFrame of the streaming table ``events``.
+
+    With ``sink(home)``, each batch goes through the function that it returns, which writes rows of ``schema`` to ``home`` at ``at``.
+    """
 
     def add(function: Callable[[DataFrame], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +30,13 @@ def stream_query(name: str, sql: str | None = None):
             own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
             own.conf.set("spark.sql.session.timeZone", "UTC")
             path = f"{sf_dir}/events.parquet"
-            schema = spark.read.parquet(path).schema
-            events = own.readStream.schema(schema).parquet(f"{path[:-1]}[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+            events = own.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]").withColumn("ts", F.col("ts").cast("timestamp"))
             made = function(events)
             home = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/{name}-{uuid.uuid4().hex}"
-            made.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{home}/state").format("parquet").option("path", f"{home}/rows").start().awaitTermination()
-            return spark.read.schema(made.schema).parquet(f"{home}/rows")
+            writer = made.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{home}/state")
+            writer = writer.foreachBatch(sink(home)) if sink else writer.format("parquet").option("path", f"{home}/rows")
+            writer.start().awaitTermination()
+            return spark.read.schema(schema or made.schema).parquet(f"{home}/{at}")
 
         QUERIES[name] = run
         if sql:
@@ -55,11 +59,12 @@ def request_reply(events: DataFrame) -> DataFrame:
     return made.select("req_id", "rep_id", ((F.unix_micros("rep_ts") - F.unix_micros("req_ts")) / 1e6).alias("delay_s"))
 
 
-@stream_query("sticky_names_stream", SQL["sticky_topn"].replace("SELECT event_type, CASE WHEN r <= 5 THEN CAST(user_id AS VARCHAR) ELSE 'other' END AS label, count(*) AS n FROM", "SELECT event_type AS key, event_id AS seq, CASE WHEN r <= 5 THEN CAST(user_id AS VARCHAR) ELSE 'other' END AS label FROM").rsplit(" GROUP BY 1, 2", 1)[0])
+@stream_query("sticky_names_stream", SQL["sticky_topn"].replace("SELECT event_type, CASE WHEN r <= 5 THEN CAST(user_id AS VARCHAR) ELSE 'other' END AS label, count(*) AS n FROM", "SELECT event_type AS key, event_id AS seq, CASE WHEN r <= 5 THEN CAST(user_id AS VARCHAR) ELSE 'other' END AS label FROM").rsplit(" GROUP BY 1, 2", 1)[0],
+    sink=lambda home: state.sticky_batches("event_type", "user_id", "us", "event_id", 5, home), schema="key string, seq long, label string", at="rows/*")
 def sticky(events: DataFrame) -> DataFrame:
-    return state.sticky_names(events.withColumn("us", F.unix_micros("ts")), "event_type", "user_id", "us", "event_id", 5)
+    return events.withColumn("us", F.unix_micros("ts"))
 
 
-@stream_query("ttl_set_stream")
+@stream_query("ttl_set_stream", sink=lambda home: state.ttl_batches("event_type", "user_id", "us", "event_id", 43_200, 20, home), schema=state.OUT, at="made/*/state=false")
 def ttl(events: DataFrame) -> DataFrame:
-    return state.ttl_set(events.withColumn("us", F.unix_micros("ts")), "event_type", "user_id", "us", "event_id", 43_200, 20)
+    return events.withColumn("us", F.unix_micros("ts"))

@@ -1,19 +1,88 @@
 """Structured Streaming: bounded dedupe, interval joins, keyed state with time to live, atomic snapshots.
 
 Stateful processors need the RocksDB state store.  Each has a batch twin in ``operators`` with equal results.
+A key's rows of a batch are put in order by runs in the task's own temp folder, so they may be more than fit into memory.
 """
 
 from __future__ import annotations
 
+import heapq
+import os
+import pickle
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from itertools import batched
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
+
+from ..operators.joins import sent
 
 OUT = "key string, us long, added boolean, expired long, dropped long, size long"
+#: Rows of a key that are sorted in memory, rows of one frame, and runs that are merged at once.
+RUN_ROWS, PART_ROWS, FAN = 100_000, 5_000, 16
+
+
+def in_order(rows: Iterator[pd.DataFrame], order: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """The rows of a key by ``order``, missing values last, in frames of bounded size; more than ``RUN_ROWS`` go through sorted runs on disk."""
+    names: list[str] = []
+    levels: list[list[str]] = []
+    with tempfile.TemporaryDirectory(prefix="runs-") as home:
+
+        def place(row: tuple) -> tuple:
+            return tuple((True, 0) if (v := row[names.index(c)]) is None or v != v else (False, v) for c in order)
+
+        def merged(paths: list[str]) -> Iterator[tuple]:
+            return heapq.merge(*map(read, paths), key=place)
+
+        def read(path: str) -> Iterator[tuple]:
+            with open(path, "rb") as f:
+                while f.peek(1):
+                    yield from pickle.load(f)
+
+        def write(found: Iterator[tuple]) -> str:
+            path = f"{home}/{uuid.uuid4().hex}"
+            with open(path, "wb") as f:
+                for part in batched(found, PART_ROWS):
+                    pickle.dump(part, f)
+            return path
+
+        def add(path: str, level: int = 0) -> None:
+            levels.extend([] for _ in range(level + 1 - len(levels)))
+            levels[level].append(path)
+            if len(levels[level]) == FAN:
+                full, levels[level] = levels[level], []
+                made = write(merged(full))
+                for p in full:
+                    os.unlink(p)
+                add(made, level + 1)
+
+        def sorted_run() -> pd.DataFrame:
+            return pd.concat(held, ignore_index=True).sort_values(list(order))
+
+        held, n = [], 0
+        for pdf in rows:
+            names = names or list(pdf.columns)
+            held.append(pdf)
+            n += len(pdf)
+            if n >= RUN_ROWS:
+                add(write(sorted_run().itertuples(index=False, name=None)))
+                held, n = [], 0
+        if not levels:
+            if held:
+                yield sorted_run()
+            return
+        if held:
+            add(write(sorted_run().itertuples(index=False, name=None)))
+            held = []
+        for part in batched(merged([p for level in levels for p in level]), PART_ROWS):
+            yield pd.DataFrame(part, columns=names)
 
 
 def dedupe(stream: DataFrame, key: Sequence[str], ts: str, within: str) -> DataFrame:
@@ -31,6 +100,20 @@ def correlate(requests: DataFrame, replies: DataFrame, keys: Sequence[str], requ
     return a.join(b, match, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def _touch(seen: dict, member, us: int, ttl: int, capacity: int) -> tuple[bool, int, int, int]:
+    """Whether the member was added, how many were expired and how many dropped, and the size after it."""
+    gone = [x for x, t in seen.items() if us - t > ttl]
+    for x in gone:
+        del seen[x]
+    added = member not in seen
+    seen[member] = us
+    dropped = 0
+    while len(seen) > capacity:
+        del seen[min(seen, key=lambda x: (seen[x], x))]
+        dropped += 1
+    return added, len(gone), dropped, len(seen)
+
+
 class TtlSet(StatefulProcessor):
     """Keys with their last sight: expire, touch or add, then drop the least recently seen over capacity."""
 
@@ -42,24 +125,16 @@ class TtlSet(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         seen = {k[0]: v[0] for k, v in self.seen.iterator()}
-        out = []
-        for row in pd.concat(list(rows)).sort_values(["us", "seq"]).itertuples(index=False):
-            gone = [x for x, t in seen.items() if row.us - t > self.ttl]
-            added = row.member not in seen or row.member in gone
-            for x in gone:
-                del seen[x]
-            seen[row.member] = row.us
-            dropped = 0
-            while len(seen) > self.capacity:
-                del seen[min(seen, key=lambda x: (seen[x], x))]
-                dropped += 1
-            out.append((str(key[0]), row.us, added, len(gone), dropped, len(seen)))
+        for pdf in in_order(rows, ["us", "seq"]):
+            out = []
+            for row in pdf.itertuples(index=False):
+                out.append((str(key[0]), row.us, *_touch(seen, row.member, row.us, self.ttl, self.capacity)))
+            yield pd.DataFrame(out, columns=["key", "us", "added", "expired", "dropped", "size"])
         for k, _ in list(self.seen.iterator()):
             if k[0] not in seen:
                 self.seen.removeKey(k)
         for member, us in seen.items():
             self.seen.updateValue((member,), (us,))
-        yield pd.DataFrame(out, columns=["key", "us", "added", "expired", "dropped", "size"])
 
     def close(self) -> None:
         pass
@@ -70,6 +145,50 @@ def ttl_set(stream: DataFrame, key: str, member: str, us: str, seq: str, ttl_s:
     return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=TtlSet(ttl_s, capacity), outputStructType=OUT, outputMode="Append", timeMode="None")
 
 
+def ttl_batches(key: str, member: str, us: str, seq: str, ttl_s: int, capacity: int, home: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink with the results of ``ttl_set``, in ``home/made/*/state=false``.
+
+    Spark sorts a batch, and a fold over Arrow batches keeps the set of one key.  The sets after a batch go to
+    ``state=true`` beside its rows and come before the rows of the next batch: a repeated batch gives the same.
+    """
+
+    def run(batches):
+        current, seen, started = None, {}, False
+        for batch in batches:
+            made = []
+            for k, m, t, seed in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if not started or k != current:
+                    made += [(current, x, u, None, None, None, None, True) for x, u in seen.items()]
+                    current, seen, started = k, {}, True
+                if seed:
+                    seen[m] = t
+                else:
+                    made.append((k, m, t, *_touch(seen, m, t, ttl_s * 1_000_000, capacity), False))
+            if made:
+                yield _ttl_rows(made)
+        if seen:
+            yield _ttl_rows([(current, x, u, None, None, None, None, True) for x, u in seen.items()])
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(F.col(key).cast("string").alias("key"), F.col(member).cast("string").alias("member"), F.col(us).cast("long").alias("us"), F.lit(False).alias("seed"), F.col(seq).alias("seq"))
+        if batch_id:
+            held = batch.sparkSession.read.schema("key string, member string, us long").parquet(f"{home}/made/{batch_id - 1}/state=true")
+            rows = rows.unionByName(held.withColumns({"seed": F.lit(True), "seq": F.lit(None).cast(rows.schema["seq"].dataType)}))
+        dealt = rows.repartition("key").sortWithinPartitions("key", F.desc("seed"), "us", "seq")
+        dealt.mapInArrow(run, _TTL).write.mode("overwrite").partitionBy("state").parquet(f"{home}/made/{batch_id}")
+
+    return sink
+
+
+_TTL = "key string, member string, us long, added boolean, expired long, dropped long, size long, state boolean"
+
+
+def _ttl_rows(made: list[tuple]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    fields = [c.split() for c in _TTL.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*made, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
 class StickyNames(StatefulProcessor):
     """The first ``n`` distinct members of a key keep their name, later ones are ``other``."""
 
@@ -81,14 +200,14 @@ class StickyNames(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         known = {k[0] for k, _ in self.names.iterator()}
-        pdf = pd.concat(list(rows)).sort_values(["us", "seq"])
-        labels = []
-        for row in pdf.itertuples(index=False):
-            if row.member not in known and len(known) < self.n:
-                known.add(row.member)
-                self.names.updateValue((row.member,), (row.us,))
-            labels.append(row.member if row.member in known else "other")
-        yield pd.DataFrame({"key": [str(key[0])] * len(pdf), "seq": pdf["seq"].to_numpy(), "label": labels})
+        for pdf in in_order(rows, ["us", "seq"]):
+            labels = []
+            for row in pdf.itertuples(index=False):
+                if row.member not in known and len(known) < self.n:
+                    known.add(row.member)
+                    self.names.updateValue((row.member,), (row.us,))
+                labels.append(row.member if row.member in known else "other")
+            yield pd.DataFrame({"key": [str(key[0])] * len(pdf), "seq": pdf["seq"].to_numpy(), "label": labels})
 
     def close(self) -> None:
         pass
@@ -99,6 +218,30 @@ def sticky_names(stream: DataFrame, key: str, member: str, us: str, seq: str, n:
     return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=StickyNames(n), outputStructType="key string, seq long, label string", outputMode="Append", timeMode="None")
 
 
+def sticky_batches(key: str, member: str, us: str, seq: str, n: int, home: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink with the results of ``sticky_names`` for members that are not null, in ``home/rows/*``.
+
+    A batch is reduced to the first sight of each (key, member) before a shuffle, so no key's rows meet in one task.  The at
+    most ``n`` names of each key are written to ``home/names`` by batch, from those of the batch before: a repeated batch gives the same.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(F.col(key).cast("string").alias("key"), F.col(member).cast("string").alias("member"), F.col(us).alias("us"), F.col(seq).alias("seq"))
+        found = rows.filter("member is not null").groupBy("key", "member").agg(F.min(F.struct(F.lit(True).alias("late"), "us", "seq")).alias("first"))
+        if batch_id:
+            before = spark.read.schema(found.schema).parquet(f"{home}/names/{batch_id - 1}")
+            early = F.struct(F.lit(False).alias("late"), F.col("first.us").alias("us"), F.col("first.seq").alias("seq"))
+            found = found.unionByName(before.withColumn("first", early)).groupBy("key", "member").agg(F.min("first").alias("first"))
+        ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("first", "member")))
+        ranked.filter(F.col("r") <= n).drop("r").write.mode("overwrite").parquet(f"{home}/names/{batch_id}")
+        names = spark.read.schema(found.schema).parquet(f"{home}/names/{batch_id}").select(F.col("key").alias("_key"), F.col("member").alias("_member"))
+        labelled = rows.join(sent(names), F.col("key").eqNullSafe(F.col("_key")) & (F.col("member") == F.col("_member")), "left")
+        labelled.select("key", "seq", F.coalesce("_member", F.lit("other")).alias("label")).write.mode("overwrite").parquet(f"{home}/rows/{batch_id}")
+
+    return sink
+
+
 class Monotone(StatefulProcessor):
     """Rows that exceed the last accepted row in every column; others come out as late, none is lost."""
 
@@ -110,14 +253,14 @@ class Monotone(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         base = self.base.get() if self.base.exists() else None
-        pdf = pd.concat(list(rows)).sort_values("seq")
-        verdict = []
-        for values in pdf[self.columns].itertuples(index=False, name=None):
-            good = base is None or all(v > b for v, b in zip(values, base, strict=True))
-            base = tuple(map(float, values)) if good else base
-            verdict.append("accepted" if good else "late")
+        for pdf in in_order(rows, ["seq"]):
+            verdict = []
+            for values in pdf[self.columns].itertuples(index=False, name=None):
+                good = base is None or all(v > b for v, b in zip(values, base, strict=True))
+                base = tuple(map(float, values)) if good else base
+                verdict.append("accepted" if good else "late")
+            yield pd.DataFrame({"key": [str(key[0])] * len(pdf), "seq": pdf["seq"].to_numpy(), "verdict": verdict})
         self.base.update(base)
-        yield pd.DataFrame({"key": [str(key[0])] * len(pdf), "seq": pdf["seq"].to_numpy(), "verdict": verdict})
 
     def close(self) -> None:
         pass
