@@ -2,15 +2,22 @@
 
 Rows of a key meet in one partition in order and pass through a small state: the fold reads Arrow
 batches as they come and never holds a key's rows together, so a key may be of any size.
+``ewma_dominant`` holds one mean a key, of a group of keys of bounded size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from .joins import sent
 
 
 def ordered_fold(df: DataFrame, by: Sequence[str], order: Sequence[str], start: Callable[[], object], step: Callable[[object, object], object], out: Sequence[T.StructField]) -> DataFrame:
@@ -52,40 +59,157 @@ def monotone_filter(df: DataFrame, by: Sequence[str], order: Sequence[str], colu
     return made.filter(F.col("_accepted")).drop("_accepted")
 
 
+#: Keys of a scope that a task of ``ewma_dominant`` holds at once, about.
+GROUP_KEYS = 50_000
+
+
+def _decayed(marked: DataFrame, n_scope: int, alpha: float, ratio: float, prune: float) -> DataFrame:
+    """Of each snapshot and group of keys: the two greatest means, and the keys whose observation the choice of the dominant key may need.
+
+    Input columns: the scope, snapshot, group, last (the mark at a snapshot's end), key, value and
+    reset, in order.  The first row of a snapshot and group carries its ties and total.
+    """
+    keep = n_scope + 1
+    schema = T.StructType([*marked.schema.fields[:keep], *[T.StructField(n, t) for n, t in (("k", T.StringType()), ("mean", T.DoubleType()), ("ties", T.LongType()), ("total", T.DoubleType()), ("reset", T.BooleanType()))]])
+
+    def top(names: list[str], means: np.ndarray) -> int:
+        same = np.flatnonzero(means == means.max())
+        return int(min(same, key=names.__getitem__))
+
+    def run(batches):
+        current, slot, names, means, live, seen = object(), {}, [], np.zeros(0), np.zeros(0, bool), []
+        for batch in batches:
+            made = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                scope, (group, last, key, value, reset) = row[:keep], row[keep:]
+                if (scope[:-1], group) != current:
+                    current, slot, names, means, live = (scope[:-1], group), {}, [], np.zeros(0), np.zeros(0, bool)
+                if not last:
+                    if key is None or value is None:
+                        raise ValueError("a key or value of ewma_dominant is null")
+                    seen.append((key, value))
+                    continue
+                if reset:
+                    live[:] = False
+                    means[:] = 0
+                    made.append((*scope, None, None, 0, 0.0, True))
+                    seen = []
+                    continue
+                fresh = [k for k, _ in seen if k not in slot]
+                slot.update(zip(fresh, range(len(names), len(names) + len(fresh))))
+                names += fresh
+                means = np.concatenate((means * (1 - alpha), np.zeros(len(fresh))))
+                live = np.concatenate((live, np.zeros(len(fresh), bool)))
+                at = np.array([slot[k] for k, _ in seen], np.int64)
+                means[at] += alpha * np.array([v for _, v in seen], np.float64)
+                live[at] = True
+                live &= means >= prune
+                means[~live] = 0
+                ranked = np.where(live, means, -np.inf)
+                best, second = None, None
+                if live.any():
+                    best = top(names, ranked)
+                    greatest = ranked[best]
+                    made.append((*scope, names[best], float(greatest), int((ranked == greatest).sum()), math.fsum(means), False))
+                    ranked[best] = -np.inf
+                    if live.sum() > 1:
+                        second = top(names, ranked)
+                        made.append((*scope, names[second], float(ranked[second]), 0, 0.0, False))
+                else:
+                    greatest = -math.inf
+                    made.append((*scope, None, None, 0, 0.0, False))
+                for i, (k, v) in zip(at.tolist(), seen, strict=True):
+                    # an observation that leaves a key out of reach changes nothing, unless it lowers its mean
+                    if i not in (best, second) and (not v >= 0 or live[i] and not greatest > ratio * means[i]):
+                        made.append((*scope, k, float(means[i]) if live[i] else None, 0, 0.0, False))
+                seen = []
+                if len(made) > 10_000:
+                    yield _rows(made, arrow)
+                    made = []
+            if made:
+                yield _rows(made, arrow)
+
+    arrow = to_arrow_schema(schema)
+    return marked.mapInArrow(run, schema)
+
+
+def _rows(made: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
+
+
 def ewma_dominant(df: DataFrame, scope: Sequence[str], snapshot: str, key: str, value: str, alpha: float = 0.3, ratio: float = 1.2, prune: float = 1e-9) -> DataFrame:
     """Per snapshot the dominant key by decayed means: it is left only for a key of more than ``ratio`` times its mean.
 
     Input has one row per (scope, snapshot, key).  Output, one row per snapshot: dominant, share,
     challenger ratio, ties for the best, tenure in snapshots, switches so far.  A snapshot of zeros clears all.
+
+    The keys of a scope are dealt to groups of about ``GROUP_KEYS``, each folded by a task of its own; per
+    snapshot these give their two greatest means and the observed keys within ``ratio``, and one fold chooses among them.
     """
     from pyspark.sql import functions as F
 
-    packed = df.groupBy(*scope, snapshot).agg(F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), F.col(value).cast("double")))).alias("means_of"))
-
-    def start():
-        return {"means": {}, "now": None, "tenure": 0, "switches": 0}
+    n = len(scope)
+    rows = df.select(*[F.col(c).alias(f"s{i}") for i, c in enumerate(scope)], F.col(snapshot).alias("snap"), F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("v"))
+    by = [f"s{i}" for i in range(n)]
+    groups = F.ceil(F.approx_count_distinct("k") / GROUP_KEYS).cast("int")
+    sizes = sent(rows.groupBy(*by).agg(F.greatest(F.lit(1), groups).alias("groups")).select(*[F.col(c).alias(f"_{c}") for c in by], "groups"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    ends = rows.groupBy(*by, "snap").agg(F.max((F.col("v") > 0) & ~F.isnan("v")).alias("some")).join(sizes, same)
+    ends = ends.select(*by, "snap", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(True).alias("last"), F.lit(None).cast("string").alias("k"), F.lit(None).cast("double").alias("v"), (~F.coalesce("some", F.lit(False))).alias("reset"))
+    dealt = rows.join(sizes, same).select(*by, "snap", F.pmod(F.xxhash64("k"), F.col("groups")).cast("int").alias("g"), F.lit(False).alias("last"), "k", "v", F.lit(False).alias("reset"))
+    marked = dealt.unionByName(ends).repartition(*by, "g").sortWithinPartitions(*by, "g", "snap", "last")
+    parts = _decayed(marked, n, alpha, ratio, prune)
+    out = [("dominant", T.StringType()), ("share", T.DoubleType()), ("challenger", T.DoubleType()), ("ties", T.LongType()), ("tenure", T.LongType()), ("switches", T.LongType())]
+    schema = T.StructType([*df.select(*scope, snapshot).schema.fields, *[T.StructField(c, t) for c, t in out]])
+    arrow = to_arrow_schema(schema)
 
-    def step(state: dict, row):
-        seen = dict(row.means_of)
-        if not any(v > 0 for v in seen.values()):
-            state.update(start() | {"switches": state["switches"]})
+    def choose(state: dict, top: list, ties: list, total: list, own: tuple | None, reset: bool) -> tuple:
+        if reset or not top:
+            state.update(now=None, tenure=0)
             return (None, None, None, 0, 0, state["switches"])
-        means = {k: v * (1 - alpha) for k, v in state["means"].items()}
-        for k, v in seen.items():
-            means[k] = means.get(k, 0.0) + alpha * v
-        means = {k: v for k, v in means.items() if v >= prune}
-        best = min(means, key=lambda k: (-means[k], k))
-        now = state["now"]
-        if now is None or now not in means or means[best] > ratio * means[now]:
+        now, mean = state["now"], state["mean"]
+        if now is not None:
+            mean = own[0] if own else mean * (1 - alpha)
+            mean = None if mean is None or mean < prune else mean
+        best, greatest = top[0]
+        if now is None or mean is None or greatest > ratio * mean:
             state["switches"] += now is not None and now != best
             state["tenure"] = state["tenure"] if now == best else 0
-            now = best
-        state.update(means=means, now=now, tenure=state["tenure"] + 1)
-        others = [v for k, v in means.items() if k != now]
-        return (now, means[now] / sum(means.values()), max(others, default=0.0) / means[now], sum(v == means[best] for v in means.values()), state["tenure"], state["switches"])
+            now, mean = best, greatest
+        state.update(now=now, mean=mean, tenure=state["tenure"] + 1)
+        challenger = next((m for k, m in top if k != now), 0.0)
+        return (now, mean / math.fsum(total), max(challenger, 0.0) / mean, sum(t for m, t in ties if m == greatest), state["tenure"], state["switches"])
 
-    out = [("dominant", T.StringType()), ("share", T.DoubleType()), ("challenger", T.DoubleType()), ("ties", T.LongType()), ("tenure", T.LongType()), ("switches", T.LongType())]
-    return ordered_fold(packed, scope, [snapshot], start, step, [T.StructField(n, t) for n, t in out]).drop("means_of")
+    def run(batches):
+        mark, state = None, {}
+        top, ties, total, own, cleared = [], [], [], None, False
+        for batch in batches:
+            made = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                at, (k, mean, tied, sum_, reset) = row[: n + 1], row[n + 1 :]
+                if at != mark:
+                    if mark is not None:
+                        made.append((*mark, *choose(state, top, ties, total, own, cleared)))
+                    if mark is None or at[:-1] != mark[:-1]:
+                        state = {"now": None, "mean": None, "tenure": 0, "switches": 0}
+                    mark, top, ties, total, own, cleared = at, [], [], [], None, reset
+                if k is None:
+                    continue
+                if k == state["now"]:
+                    own = (mean,)
+                if mean is not None:
+                    top = sorted([*top, (k, mean)], key=lambda x: (-x[1], x[0]))[:2]
+                if tied:
+                    ties.append((mean, tied))
+                    total.append(sum_)
+            if made:
+                yield _rows(made, arrow)
+        if mark is not None:
+            yield _rows([(*mark, *choose(state, top, ties, total, own, cleared))], arrow)
+
+    return (parts.repartition(*by) if by else parts.coalesce(1)).sortWithinPartitions(*by, "snap").mapInArrow(run, schema)
 
 
 def lifecycle(df: DataFrame, by: Sequence[str], order: Sequence[str], stage: str, ts_us: str, stages: Sequence[str], ttl_s: int, max_open: int = 4096) -> DataFrame:
