@@ -9,7 +9,8 @@ rows get 1, 2 or 3 by how many different features of strong toxic evidence they
 counted by Spark.  Features are the ``FEATURES`` ones whose
 log-odds are surest (absolute value less two standard errors); values are log(1 + count).  The
 regression has an absolute-value penalty that leaves most weights zero.  All of the fit uses about
-``FIT_ROWS`` labelled rows at most, picked by a hash of the id.
+``FIT_ROWS`` labelled rows at most, picked by a hash of the id: of toxic ones up to a half, so that rare
+ones stay, and the rest of the others.  Probabilities are corrected for the shares picked.
 
 Null, empty and wordless texts have no features; they get the severity of an empty text but are
 never flagged.  Without toxic labels nothing is flagged.
@@ -71,6 +72,8 @@ class _Known(dict):
 class Model:
     weights: dict[str, float]
     thresholds: list[float]
+    #: Share of the toxic rows that the fit picked over that of the others.
+    ratio: float = 1.0
 
     def __post_init__(self):
         self.known = _Known(self.weights)
@@ -79,21 +82,25 @@ class Model:
         """P(grade >= k) for each k."""
         found = Counter(chain.from_iterable(map(self.known.__getitem__, words(text))))
         x = sum(self.weights[w] * math.log1p(n) for w, n in found.items())
-        return [1 / (1 + math.exp(min(700.0, t - x))) for t in self.thresholds]
+        found = [1 / (1 + math.exp(min(700.0, t - x))) for t in self.thresholds]
+        return found if self.ratio == 1 else [p / (found[0] + self.ratio * (1 - found[0])) for p in found]
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, text, toxic)`` of about ``FIT_ROWS`` labelled documents at most, by a hash of the id; texts are not null.
+def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """``(doc_id, text, toxic)`` of about ``FIT_ROWS`` labelled documents at most, by a hash of the id and by class; texts are not null.
 
-    The hash picks ids on both sides, and the labels picked are few enough to be sent, so no text is shuffled.
+    Also the share of toxic rows picked over that of the others.  The hash picks ids on both sides,
+    and the labels picked are few enough to be sent, so no text is shuffled.
     """
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1.0, FIT_ROWS / max(1, marks.count()))
-
-    def picked(df: DataFrame) -> DataFrame:
-        return df.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id").cast("long")), F.lit(1_000_000)) < int(share * 1_000_000))
-
-    return picked(docs.select("doc_id", "text").filter("text is not null")).join(small(stash(picked(marks), "labels"), 2 * FIT_ROWS), "doc_id")
+    total, toxic = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0))).first()
+    most = max(FIT_ROWS // 2, FIT_ROWS - (total - toxic))
+    bad = min(1.0, most / max(1, toxic))
+    good = min(1.0, (FIT_ROWS - min(toxic, most)) / max(1, total - toxic))
+    draw = F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id").cast("long")), F.lit(1_000_000))
+    picked = marks.filter(draw < F.when(F.col("toxic") > 0, int(bad * 1_000_000)).otherwise(int(good * 1_000_000)))
+    texts = docs.select("doc_id", "text").filter("text is not null").filter(draw < int(max(bad, good) * 1_000_000))
+    return texts.join(small(stash(picked, "labels"), 2 * FIT_ROWS), "doc_id"), bad / (good or 1.0)
 
 
 def document_frequencies(rows: DataFrame) -> DataFrame:
@@ -159,7 +166,7 @@ def _descend(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = labelled(docs, labels)
+    rows, ratio = labelled(docs, labels)
     by_word = document_frequencies(rows).groupBy("word").agg(F.sum(F.when(F.col("toxic") > 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(F.col("n"))).alias("b"))
     by_word = stash(by_word, "toxic-words")
     totals = by_word.filter(F.octet_length("word") == 0).first()
@@ -186,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         x[i, r["at"]] = r["value"]
         y[i] = 0 if r["toxic"] <= 0 else 1 if r["evidence"] <= MILD else 2 if r["evidence"] <= MIDDLE else 3
     w, t = _descend(x, y)
-    return Model({k: float(w[i]) for k, i in number.items()}, [float(v) for v in t])
+    return Model({k: float(w[i]) for k, i in number.items()}, [float(v) for v in t], ratio)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
