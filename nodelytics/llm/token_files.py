@@ -16,8 +16,10 @@ Null texts are empty; a null doc_id sorts first.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,13 @@ from pyspark.sql.window import Window
 from .common import shared_dir, slices, small, table, utf8
 
 END = 2
+#: Fixed value: letters in a run and marks in a run are pieces of their own, as the pattern of the vocabulary's splitter says.
+_PIECES = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Ids in a block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
 RANK_BITS = 512
-CACHED_WORDS = 500_000
+#: Words whose ids a worker keeps, in each of two rounds.
+CACHED_WORDS = 300_000
 #: Documents in a range, about; a range (``bucket``) is written by one task.
 RANGE_DOCS = 8_000
 BLOCK_SCHEMA = "bucket int, block int, doc_ids array<long>, starts array<int>, n_ids int, chunks array<binary>, more array<binary>, ranks array<binary>"
@@ -86,19 +91,78 @@ def at(i: int, chunks: list[bytes], more: list[bytes], ranks: list[bytes]) -> in
 # --- encoding --------------------------------------------------------------------------------
 
 
+#: Letters that no step before the merges changes (lower case; composed; ASCII or Latin-1), and marks that follow them to the word's end.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)").fullmatch
+
+
 class _Words:
-    """Ids of words between ASCII white space, which the library splits at in any case."""
+    """Ids of words between ASCII white space, which the library splits at in any case.
+
+    A word of plain letters is one piece for the library's merges, and so is a run of marks after
+    it.  Such words are encoded by the same model behind a split at blanks alone; all others go
+    through the whole library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        top = max(vocabulary.values(), default=0) + 1
+        self.kind = "<u2" if top <= 1 << 16 else "<u4"
         self.ids: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
+        self._old: dict[bytes, bytes] = {}
+        settings = json.loads(self.library.to_str())
+        ending = settings["model"].get("end_of_word_suffix")
+        self.merges = None
+        lower = "Lowercase" in json.dumps(settings["normalizer"])
+        if ending and lower and _PIECES in json.dumps(settings["pre_tokenizer"]):
+            self.closes = np.zeros(top, bool)
+            self.closes[[i for t, i in vocabulary.items() if t.endswith(ending)]] = True
+            self.merges = Tokenizer.from_str(json.dumps({**settings, "added_tokens": [], "normalizer": None, "pre_tokenizer": None}))
+            self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Have the ids of all ``words`` in ``ids``."""
+        if len(self.ids) > CACHED_WORDS:  # words of the last round come back when they are met again
+            self.ids, self._old = {}, self.ids
+        new, ended, odd = set(), [], []
+        for w in words:
+            if w in self._old:
+                self.ids[w] = self._old[w]
+            elif self.merges is None:
+                odd.append(w)
+            elif w.isalpha() and w.islower():
+                new.add(w)
+            elif (m := _PLAIN(w)) is None:
+                odd.append(w)
+            elif m[2]:
+                letters, marks = m.groups()
+                ended.append((w, letters, marks))
+                if letters not in self.ids:
+                    new.add(letters)
+                if marks not in self.ids:
+                    new.add(marks)
+            else:
+                new.add(w)
+        self._learn_plain(list(new))
+        self._learn_odd(odd)
+        for w, letters, marks in ended:
+            self.ids[w] = self.ids[letters] + self.ids[marks]
+
+    def _learn_plain(self, words: list[bytes]) -> None:
+        """Words that are one piece each: the ids of one end where a token closes a word."""
+        lists = [words[lo : lo + 1000] for lo in range(0, len(words), 1000)]
+        for some, made in zip(lists, self.merges.encode_batch_fast([b" ".join(x).decode() for x in lists], add_special_tokens=False) if lists else [], strict=True):
+            codes = np.array(made.ids, self.kind)
+            ends = (codes.itemsize * (np.flatnonzero(self.closes[codes]) + 1)).tolist()
+            raw = codes.tobytes()
+            self.ids.update(zip(some, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def _learn_odd(self, words: list[bytes]) -> None:
         """Encode words in one text each thousand, and deal the ids out by where their characters stand."""
         for lo in range(0, len(words), 1000):
             some = words[lo : lo + 1000]
@@ -107,23 +171,15 @@ class _Words:
             lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
             starts = np.cumsum(lengths) - lengths
             of = np.searchsorted(starts, np.fromiter((o[0] for o in made.offsets), np.int64, len(made.ids)), "right") - 1
-            ends = 4 * np.cumsum(np.bincount(of, minlength=len(some)))
-            raw = np.array(made.ids, "<u4").tobytes()
-            begin = 0
-            for w, end in zip(some, ends.tolist(), strict=True):
-                self.ids[w] = raw[begin:end]
-                begin = end
-
-
-#: A closing mark between a letter and white space: the library makes it a piece of its own, so it can stand alone.
-_MARK = re.compile(rb"([a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([.,;:!?|]+)(?=[ \n])")
+            codes = np.array(made.ids, self.kind)
+            ends = (codes.itemsize * np.cumsum(np.bincount(of, minlength=len(some)))).tolist()
+            raw = codes.tobytes()
+            self.ids.update(zip(some, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
 
 
 def _split(text: bytes) -> list[bytes]:
-    """Words between ASCII white space, lower-cased (the library does so too) unless special strings may be inside, closing marks apart."""
-    if b"<|" in text:
-        return text.split()
-    return _MARK.sub(rb"\1 \2", text.lower()).split()
+    """Words between ASCII white space, lower-cased (the library does so too) unless special strings may be inside."""
+    return (text if b"<|" in text else text.lower()).split()
 
 
 @functools.lru_cache(maxsize=2)
@@ -131,34 +187,30 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
-def encode(texts: list[bytes | None], path: str, end: int | None = END) -> list[bytes]:
-    """Ids of whole texts, little-endian unsigned 32-bit, with the end id."""
+def encode_narrow(texts: list[bytes | None], path: str, end: int | None = END) -> tuple[list[bytes], str]:
+    """Ids of whole texts with the end id, in the least width that holds every id of the vocabulary, and that kind."""
     library = _words(path)
-    tail = b"" if end is None else np.array([end], "<u4").tobytes()
+    tail = b"" if end is None else np.array([end], library.kind).tobytes()
     words = [_split(t) if t else [] for t in texts]
-    if len(library.ids) > CACHED_WORDS:
-        library.ids.clear()
     new = set().union(*words).difference(library.ids)
     if new:
-        library.learn(list(new))
-    return [b"".join(map(library.ids.__getitem__, w)) + tail for w in words]
-
-
-# --- writing and reading ---------------------------------------------------------------------
+        if len(library.ids) > CACHED_WORDS:  # the cache starts anew, so the batch's known words are asked for too
+            new = set().union(*words)
+        library.learn(new)
+    return [b"".join(map(library.ids.__getitem__, w)) + tail for w in words], library.kind
 
 
-def _narrow(codes: bytes) -> bytes:
-    """Ids for the way to their block: 16-bit if all fit, led by the width."""
-    ids = np.frombuffer(codes, "<u4")
-    return b"\2" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\4" + codes
+def encode(texts: list[bytes | None], path: str, end: int | None = END) -> list[bytes]:
+    """Ids of whole texts, little-endian unsigned 32-bit, with the end id."""
+    codes, kind = encode_narrow(texts, path, end)
+    return codes if kind == "<u4" else [np.frombuffer(c, kind).astype("<u4").tobytes() for c in codes]
 
 
-def _wide(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.uint32)
+# --- writing and reading ---------------------------------------------------------------------
 
 
-def _blocks(batches):
-    """Blocks of rows that come sorted by range and id."""
+def _blocks(batches, kind: str):
+    """Blocks of rows that come sorted by range and id; ``kind``: the width of their ids."""
     bucket, number, ids, parts, held = None, 0, [], [], 0
 
     def out():
@@ -172,7 +224,7 @@ def _blocks(batches):
     for batch in batches:
         for part in slices([batch], "packed", 1 << 20):
             for b, doc, packed in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                code = _wide(packed)
+                code = np.frombuffer(packed, kind)
                 if parts and (b != bucket or held + len(code) > BLOCK_IDS):
                     yield out()
                     number, ids, parts, held = number + 1, [], [], 0
@@ -204,11 +256,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
             for part in slices([batch], "text"):
                 ids = part.column(0)
                 place = np.searchsorted(sent.value, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right")
-                packed = [_narrow(c) for c in encode(utf8(part.column(1)), tokenizer)]
+                packed = encode_narrow(utf8(part.column(1)), tokenizer)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), ids, pa.array(packed, pa.binary())], names=["bucket", "doc_id", "packed"])
 
-    dealt = docs.mapInArrow(run, schema).repartition(ranges, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "packed")
-    dealt.mapInArrow(_blocks, BLOCK_SCHEMA).write.parquet(path)
+    # a range is a partition of its own: its number, not a hash of it, says where it goes
+    dealt = docs.mapInArrow(run, schema).repartitionById(ranges, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "packed")
+    dealt.mapInArrow(functools.partial(_blocks, kind=_words(tokenizer).kind), BLOCK_SCHEMA).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
