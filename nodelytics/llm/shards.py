@@ -1,41 +1,48 @@
 """Sharding by a k-d tree over document metadata, with DataFrame operations only.
 
-Every node of the tree splits at the weighted median (by bytes) along its widest dimension:
-length, language, source.  A place on a dimension is a 60-bit integer - 20 bits of the value,
-then 20 bits of the text's checksum, then 20 bits of the id's hash - so equal values can still be
-split, equal texts lie side by side and part only if they outweigh the tolerance, and one value
-may hold any share of the rows.  Medians are found by counting bytes in 4096 cells per node and
-narrowing the cell that holds the median; each count is aggregated before its shuffle, and only
-one line per node comes to the driver.
-
-Law ``bytes``: sizes near equal.  Null texts weigh one byte and have checksum 0; null metadata
-has its own place.  Slots are gapless from 0 in the order of (id, checksum).
+Every node of the tree splits at the weighted median (by bytes) along its widest dimension -
+length, language, source - until the leaves reach the wanted size.
+
+The tree works on units.  A unit is all rows of one text, with their bytes and the least of their
+languages and sources, so equal texts share a shard.  Only a text whose copies together outweigh a
+whole shard is parted, by a hash of the ids.  A place on a dimension is a 60-bit integer, 20 bits
+of the value and 40 bits of the unit's number, so units of equal value can be split.
+
+Medians are found by counting bytes in 4096 cells a node and narrowing the median's cell; every
+count is aggregated before its shuffle.  A unit of over 1/64 of a shard is heavy; there are at most
+64 a shard, so the driver holds their list.  At each split heavy units go left up to half their
+bytes, in the order of their places, and the cut of the others makes up for the difference, so that
+sizes stay near equal.
+
+Law ``bytes``.  Null texts weigh one byte, have checksum 0 and count as one text; null metadata has
+its own place; empty tables have no shards.  Slots are gapless from 0 in the order of a hash of
+(id), then (id, checksum).  Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stash, table
+from .common import release, stash, table
 
 LEVELS, DIMENSIONS = 4, 3
 #: A split stops where the cell that holds the median has at most this share of the node's bytes.
 TOLERANCE = 0.002
+#: Units of more than one such part of a shard are heavy; a text heavier than a shard is parted into this many pieces a shard.
+HEAVY, PIECES = 64, 8
 _CELL_BITS = 12
 #: Rows that one task numbers at most, on average.
 SLOT_ROWS = 200_000
 
 
 def _place(value: Column) -> Column:
-    """60-bit places of a dimension value in [0, 1]; ``text_crc32`` and ``doc_id`` break ties."""
+    """60-bit places of a dimension value in [0, 1], ties by the unit."""
     top = F.least(F.lit((1 << 20) - 1), F.floor(value * (1 << 20))).cast("long")
-    middle = F.shiftright(F.col("text_crc32"), 12)
-    low = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 20) - 1))
-    return F.shiftleft(top, 40).bitwiseOR(F.shiftleft(middle, 20)).bitwiseOR(low)
+    return F.shiftleft(top, 40).bitwiseOR(F.shiftrightunsigned(F.col("unit"), 24))
 
 
 def _unit(column: str) -> Column:
@@ -43,78 +50,120 @@ def _unit(column: str) -> Column:
     return (F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)).cast("double")
 
 
+def _inline(spark: SparkSession, schema: list[str], rows: list[tuple]) -> DataFrame:
+    """A small table of longs from the driver, as a local relation."""
+    values = ", ".join("(" + ", ".join(f"{x}L" for x in r) + ")" for r in rows or [(0,) * len(schema)])
+    made = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(schema)})")
+    return F.broadcast(made if rows else made.limit(0))
+
+
 def metadata(docs: DataFrame) -> DataFrame:
     """The narrow rows that the tree works on; the texts are read once and not kept."""
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
     crc = F.coalesce(F.crc32(F.encode("text", "utf-8")), F.lit(0)).cast("long")
-    narrow = docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), _unit("lang").alias("u_lang"), _unit("source").alias("u_source"))
-    length = F.least(F.lit(1.0), F.log2(F.col("size").cast("double")) / 40)
-    return stash(narrow.select("doc_id", "size", "text_crc32", _place(length).alias("d0"), _place(F.col("u_lang")).alias("d1"), _place(F.col("u_source")).alias("d2")), "shard-metadata")
+    return stash(docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.xxhash64("text").alias("text_hash"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")), "shard-metadata")
 
 
-def _leaf(splits: dict[int, tuple[int, int]], make, node: int = 1) -> Column:
-    """One decision tree over the places; nodes are numbered from 1, the children of n are 2n and 2n + 1."""
-    if node not in splits:
-        return make(node)
-    dim, cut = splits[node]
-    return F.when(F.col(f"d{dim}") < F.lit(cut), _leaf(splits, make, 2 * node)).otherwise(_leaf(splits, make, 2 * node + 1))
+def with_unit(rows: DataFrame, shard_bytes: float) -> DataFrame:
+    """``rows`` with the number of their unit; the texts that outweigh a shard (fewer than there are shards) are parted by id."""
+    key = ["text_hash", "text_crc32", "size"]
+    sums = rows.groupBy(*key).agg(F.sum("size").alias("b")).filter(F.col("b") > shard_bytes)
+    heavy = F.broadcast(sums.select(*key, F.ceil(PIECES * F.col("b") / F.lit(shard_bytes)).cast("int").alias("pieces")))
+    piece = F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int"))
+    return rows.join(heavy, key, "left").withColumn("unit", F.xxhash64(*key, piece)).drop("pieces")
 
 
-def _widest(rows: DataFrame, splits: dict) -> dict[int, dict]:
-    """Per leaf: bytes, the dimension of the widest range (as a share of the whole table's), its bounds."""
-    spans = [f(f"d{i}").alias(f"{n}{i}") for i in range(DIMENSIONS) for n, f in (("lo", F.min), ("hi", F.max))]
-    found = rows.groupBy(_leaf(splits, F.lit).alias("node")).agg(F.sum("size").alias("bytes"), *spans).collect()
-    out = {}
-    for r in found:
-        width = {}
-        for i in range(DIMENSIONS):
-            whole = max(x[f"hi{i}"] for x in found) - min(x[f"lo{i}"] for x in found)
-            width[i] = (r[f"hi{i}"] - r[f"lo{i}"]) / max(1, whole)
-        dim = max(width, key=lambda i: (width[i], -i))
-        out[r["node"]] = {"dim": dim, "lo": r[f"lo{dim}"], "hi": r[f"hi{dim}"] + 1, "bytes": r["bytes"], "below": 0}
-    return out
-
-
-def weighted_medians(rows: DataFrame, splits: dict, nodes: dict[int, dict]) -> dict[int, int]:
-    """The place of the weighted median of each leaf: what lies below it goes left."""
-    cuts: dict[int, int] = {}
-    live = dict(nodes)
-    while live:
-        step = {k: max(1, math.ceil((v["hi"] - v["lo"]) / (1 << _CELL_BITS))) for k, v in live.items()}
+def units(rows: DataFrame) -> DataFrame:
+    """``(unit, bytes, d0, d1, d2)``: the units of ``rows`` and their places."""
+    made = rows.groupBy("unit").agg(F.sum("size").alias("bytes"), F.max("size").alias("size"), F.min("lang").alias("lang"), F.min("source").alias("source"))
+    length = F.least(F.lit(1.0), F.log2(F.col("size").cast("double")) / 40)
+    return made.select("unit", "bytes", _place(length).alias("d0"), _place(_unit("lang")).alias("d1"), _place(_unit("source")).alias("d2"))
 
-        def cell(k: int) -> Column:
-            if k not in live:
-                return F.lit(None).cast("struct<node:int,cell:bigint>")
-            v = live[k]
-            place = F.col(f"d{v['dim']}")
-            inside = F.struct(F.lit(k).alias("node"), F.floor((place - F.lit(v["lo"])) / F.lit(step[k])).cast("bigint").alias("cell"))
-            return F.when((place >= F.lit(v["lo"])) & (place < F.lit(v["hi"])), inside)
 
-        cells = rows.groupBy(_leaf(splits, cell).alias("x")).agg(F.sum("size").alias("b")).filter("x is not null").select("x.node", "x.cell", "b")
+def weighted_cuts(light: DataFrame, nodes: dict[int, dict]) -> dict[int, int]:
+    """The place in each node below which about ``target`` bytes of ``light (node, bytes, d0..)`` lie.
+
+    ``nodes``: per node ``dim``, the bounds ``lo`` (in) and ``hi`` (out), ``bytes`` and ``target``.
+    """
+    cuts = {k: v["lo"] for k, v in nodes.items() if v["target"] <= 0 or v["lo"] >= v["hi"]}
+    live = {k: {**v, "below": 0} for k, v in nodes.items() if k not in cuts}
+    while live:
+        step = {k: max(1, math.ceil((v["hi"] - v["lo"]) / (1 << _CELL_BITS))) for k, v in live.items()}
+        asked = _inline(light.sparkSession, ["node", "dim", "lo", "hi", "step", "need"], [(k, v["dim"], v["lo"], v["hi"], step[k], v["target"] - v["below"]) for k, v in live.items()])
+        place = F.element_at(F.array(*[f"d{i}" for i in range(DIMENSIONS)]), F.col("dim").cast("int") + 1)
+        inside = light.join(asked, "node").withColumn("place", place).filter("place >= lo and place < hi")
+        cells = inside.groupBy("node", "need", F.expr("(place - lo) div step").alias("cell")).agg(F.sum("bytes").alias("b"))
         sums = cells.withColumn("upto", F.sum("b").over(Window.partitionBy("node").orderBy("cell")))
-        half = F.create_map(*[x for k, v in live.items() for x in (F.lit(k), F.lit(v["bytes"] / 2 - v["below"]))])
-        middle = sums.filter(F.col("upto") >= half[F.col("node")]).groupBy("node").agg(F.min(F.struct("cell", "b", "upto")).alias("x")).collect()
-        for r in middle:  # one line for each leaf
-            k, x, v = r["node"], r["x"], live[r["node"]]
+        # the first cell that reaches the target, or else the last
+        order = F.struct((F.col("upto") < F.col("need")).alias("short"), F.when(F.col("upto") < F.col("need"), -F.col("cell")).otherwise(F.col("cell")).alias("o"), "cell", "b", "upto")
+        found = sums.groupBy("node").agg(F.min(order).alias("x")).collect()  # one line a node
+        for r in found:
+            k, x, v = r["node"], r["x"], live.pop(r["node"])
             start, w = v["lo"] + x["cell"] * step[k], step[k]
             under = v["below"] + x["upto"] - x["b"]
             if x["b"] <= TOLERANCE * v["bytes"] or w == 1:
-                before, after = v["bytes"] / 2 - under, under + x["b"] - v["bytes"] / 2
-                cuts[k] = start if before <= after else start + w
-                del live[k]
+                cuts[k] = start if v["target"] - under <= under + x["b"] - v["target"] else start + w
             else:
                 live[k] = v | {"lo": start, "hi": min(start + w, v["hi"]), "below": under}
+        for k in set(live) - {r["node"] for r in found}:  # no unit lies there
+            cuts[k] = live.pop(k)["lo"]
     return cuts
 
 
-def tree(rows: DataFrame, levels: int = LEVELS) -> dict[int, tuple[int, int]]:
-    """The splits ``node: (dimension, place)`` of ``levels`` levels; a leaf without rows is not split."""
-    splits: dict[int, tuple[int, int]] = {}
+def plan_splits(stats: dict[int, dict], heavies: list[dict], whole: list[int]) -> tuple[dict[int, dict], dict[int, int]]:
+    """Per node: the widest dimension (as a share of ``whole``, the table's widths), bounds and target of its light units; and the side of each heavy unit."""
+    nodes, side = {}, {}
+    for k in {*stats, *(h["node"] for h in heavies)}:
+        mine, s = [h for h in heavies if h["node"] == k], stats.get(k)
+        lo = [min([*([s["lo"][i]] if s else []), *(h["d"][i] for h in mine)]) for i in range(DIMENSIONS)]
+        hi = [max([*([s["hi"][i]] if s else []), *(h["d"][i] for h in mine)]) for i in range(DIMENSIONS)]
+        dim = max(range(DIMENSIONS), key=lambda i: ((hi[i] - lo[i]) / max(1, whole[i]), -i))
+        weight, light = sum(h["bytes"] for h in mine), s["bytes"] if s else 0
+        left, most = 0, None
+        mine.sort(key=lambda h: (h["d"][dim], h["unit"]))
+        for n in range(len(mine) + 1):
+            off = abs(2 * left - weight)
+            if most is None or off < most[0]:
+                most = (off, n, left)
+            left += mine[n]["bytes"] if n < len(mine) else 0
+        for n, h in enumerate(mine):
+            side[h["unit"]] = int(n >= most[1])
+        target = min(light, max(0, (weight + light) // 2 - most[2]))
+        nodes[k] = {"dim": dim, "lo": s["lo"][dim] if s else 0, "hi": s["hi"][dim] + 1 if s else 0, "bytes": weight + light, "target": target}
+    return nodes, side
+
+
+def leaves(made: DataFrame, levels: int, shard_bytes: float) -> DataFrame:
+    """``(unit, shard)`` for the units ``made``, by ``levels`` levels of splits."""
+    spark = made.sparkSession
+    spans = [f(f"d{i}").alias(f"{n}{i}") for i in range(DIMENSIONS) for n, f in (("lo", F.min), ("hi", F.max))]
+    is_heavy = F.col("bytes") > F.lit(shard_bytes / HEAVY)
+    # at most HEAVY a shard, as their bytes add up
+    heavies = [{"unit": r["unit"], "bytes": r["bytes"], "d": [r[f"d{i}"] for i in range(DIMENSIONS)], "node": 1} for r in made.filter(is_heavy).collect()]
+    light = made.filter(~is_heavy).withColumn("node", F.lit(1).cast("long"))
+    whole = None
+    before = None
     for _ in range(levels):
-        nodes = _widest(rows, splits)
-        cuts = weighted_medians(rows, splits, nodes)
-        splits |= {k: (nodes[k]["dim"], c) for k, c in cuts.items()}
-    return splits
+        found = light.groupBy("node").agg(F.sum("bytes").alias("bytes"), *spans).collect()  # one line a node
+        stats = {r["node"]: {"bytes": r["bytes"], "lo": [r[f"lo{i}"] for i in range(DIMENSIONS)], "hi": [r[f"hi{i}"] for i in range(DIMENSIONS)]} for r in found}
+        if whole is None:
+            all_ = [[*([stats[1]["lo"][i], stats[1]["hi"][i]] if stats else []), *(h["d"][i] for h in heavies)] for i in range(DIMENSIONS)]
+            whole = [max(x, default=0) - min(x, default=0) for x in all_]
+        nodes, side = plan_splits(stats, heavies, whole)
+        cuts = weighted_cuts(light, nodes)
+        splits = _inline(spark, ["node", "dim", "cut"], [(k, nodes[k]["dim"], c) for k, c in cuts.items()])
+        place = F.element_at(F.array(*[f"d{i}" for i in range(DIMENSIONS)]), F.col("dim").cast("int") + 1)
+        moved = light.join(splits, "node").withColumn("node", 2 * F.col("node") + (place >= F.col("cut")).cast("long")).drop("dim", "cut")
+        light = stash(moved, "shard-level")
+        if before is not None:
+            release(before)
+        before = light
+        for h in heavies:
+            h["node"] = 2 * h["node"] + side[h["unit"]]
+    first = 1 << levels
+    placed = light.select("unit", (F.col("node") - first).cast("int").alias("shard"))
+    known = _inline(spark, ["unit", "shard"], [(h["unit"], h["node"] - first) for h in heavies])
+    return placed.unionByName(known.select("unit", F.col("shard").cast("int").alias("shard")))
 
 
 def levels_for(total_bytes: int, target_bytes: int) -> int:
@@ -122,14 +171,19 @@ def levels_for(total_bytes: int, target_bytes: int) -> int:
     return max(0, math.ceil(math.log2(max(1.0, total_bytes / target_bytes))))
 
 
-def shards(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """Per row of ``docs``: doc_id, size, text_crc32, shard (0 to 2**levels - 1) and slot."""
-    rows = metadata(docs)
-
-    def shard(node: int) -> Column:
-        return F.lit((node << (levels + 1 - node.bit_length())) - (1 << levels))
+def shards(docs: DataFrame, levels: int | None = None, target_bytes: int | None = None) -> DataFrame:
+    """Per row of ``docs``: doc_id, size, text_crc32, shard (0 to 2**levels - 1) and slot.
 
-    placed = rows.select("doc_id", "size", "text_crc32", _leaf(tree(rows, levels), shard).cast("int").alias("shard"))
+    Give the levels, or the bytes that a shard should have at most on average.
+    """
+    rows = metadata(docs)
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if levels is None:
+        levels = levels_for(total, target_bytes) if target_bytes else LEVELS
+    shard_bytes = max(1.0, total / (1 << levels))
+    rows = with_unit(rows, shard_bytes)
+    placed = rows.join(stash(leaves(stash(units(rows), "shard-units"), levels, shard_bytes), "shard-leaves"), "unit")
+    placed = stash(placed.select("doc_id", "size", "text_crc32", "shard"), "shard-rows")
     parts = placed.count() // (SLOT_ROWS << levels) + 4
     placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
     counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -139,5 +193,5 @@ def shards(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    made = shards(table(spark, sf_dir, "documents"))
+    made = shards(table(spark, sf_dir, "documents"), LEVELS)
     return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
