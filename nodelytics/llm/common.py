@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,20 +20,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: ``spark.checkpoint.dir``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
+    """The folder that all executors and the driver share: ``spark.checkpoint.dir``.
+
+    Only a session on one machine may leave it out.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors and the driver share")
+    return named or DEFAULT_SHARED
+
+
+#: Stashes of the open ``scratch`` blocks, innermost last.
+_scratch: list[list[DataFrame]] = []
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 
     The write is committed by Spark's own protocol, so a lost executor costs a
     task, not the data.  Column types that Parquet cannot hold are the caller's concern.
+    ``keep``: the table outlives the innermost ``scratch`` block.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/nodelytics-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.stash_path = path
+    open_blocks = _scratch[:-1] if keep else _scratch
+    if open_blocks:
+        open_blocks[-1].append(made)
+    return made
+
+
+def release(*stashed: DataFrame) -> None:
+    """Delete stashes of which no later plan reads any more."""
+    for df in stashed:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stash_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch():
+    """Delete at the end what is stashed inside; what is read afterwards must be kept."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        release(*_scratch.pop())
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, or ``name`` with as many underscores in front as keep it apart from all columns of ``frames``.
+
+    No column of ``frames`` begins with it either, so it may lead a group of new names.
+    """
+    taken = [c.lower() for df in frames for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name = f"_{name}"
+    return name
+
+
+def refuse_clash(df: DataFrame, *names: str) -> None:
+    """An error, before anything runs, where a result column would have the name of an input column."""
+    clash = sorted({c.lower() for c in df.columns} & {n.lower() for n in names})
+    if clash:
+        raise ValueError(f"input columns {clash} have the names of result columns; rename or drop them first")
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -62,10 +115,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 2
 def with_columns(df: DataFrame, text: str, schema: str, function: Callable[[list[bytes | None]], list[list]]) -> DataFrame:
     """All columns of ``df`` and those of ``schema``, which ``function`` gives for a list of texts.
 
-    ``schema`` is DDL; its names must not occur in ``df``.
+    ``schema`` is DDL; a name of it that ``df`` has too is an error.
     """
     spark = df.sparkSession
     extra = spark.createDataFrame([], schema).schema
+    refuse_clash(df, *extra.names)
     from pyspark.sql.pandas.types import to_arrow_type
 
     fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in extra]

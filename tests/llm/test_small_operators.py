@@ -96,6 +96,16 @@ def test_quality_base(docs, empty):
     assert quality.with_base(empty.select("text")).count() == 0
 
 
+def test_quality_keeps_clashing_columns(docs, spark):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    odd = docs.withColumns({"_q_n_words": F.lit(1), "_cut_stratum": F.lit("a"), "_stratum": F.lit("b"), "_label_id": F.lit(3)})
+    made = quality.filter_documents(odd, labels)
+    want = sorted(str(r.n_words) for r in docs.collect() if r.text and brute_base(r.text)[0] >= 20 and brute_base(r.text)[4] * 100 <= 30 * brute_base(r.text)[0])
+    assert made.columns == odd.columns and sorted(str(r.n_words) for r in made.collect()) == want
+    with pytest.raises(ValueError, match="n_words"):
+        quality.with_base(docs)
+
+
 def test_exact_bound():
     for k, n, level in ((0, 50, 0.05), (3, 100, 0.01), (10, 4000, 0.001)):
         p = quality.upper_bound(k, n, level)
@@ -210,3 +220,38 @@ def test_shards_are_even_under_one_value(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same text")).otherwise(F.concat(F.lit("t"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")))).alias("text"), F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"))
     sums = [r[1] for r in shards.shards(docs).groupBy("shard").agg(F.sum("size")).collect()]
     assert len(sums) == 16 and max(sums) < 1.02 * min(sums)
+
+
+def test_equal_texts_share_a_shard(spark):
+    rng = np.random.default_rng(8)
+    texts = [f"text {i} " + "w " * int(rng.integers(1, 400)) for i in range(900)]
+    rows = [(i, texts[int(rng.integers(900))] if i % 2 else f"own {i} " + "v " * int(rng.integers(1, 300)), str(rng.choice(["en", "de", "fr"])), str(rng.choice(["a", "b"]))) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.shard, r["size"]) for r in shards.shards(docs).collect()}
+    of = defaultdict(set)
+    sums = Counter()
+    for i, t, _, _ in rows:
+        of[t].add(got[i][0])
+        sums[got[i][0]] += got[i][1]
+    assert all(len(x) == 1 for x in of.values()) and len(sums) == 16 and max(sums.values()) < 1.03 * min(sums.values())
+    by_target = {r.shard for r in shards.shards(docs, target_bytes=sum(sums.values()) // 7).collect()}
+    assert by_target == set(range(8))
+
+
+def test_cuts_are_weighted_medians(spark):
+    """Each cut against all places of its node, ordered and summed."""
+    rng = np.random.default_rng(9)
+    places, weights, node = rng.integers(0, 1 << 60, (3000, 3)), rng.integers(1, 90, 3000), rng.integers(4, 8, 3000)
+    light = spark.createDataFrame([(int(n), int(w), *map(int, p)) for n, w, p in zip(node, weights, places, strict=True)], "node long, bytes long, d0 long, d1 long, d2 long")
+    stats = {k: {"bytes": int(weights[node == k].sum()), "lo": places[node == k].min(0).tolist(), "hi": places[node == k].max(0).tolist()} for k in range(4, 8)}
+    heavies = [{"unit": 1, "bytes": 9000, "d": [5, 5, 5], "node": 4}, {"unit": 2, "bytes": 4000, "d": [9, 9, 9], "node": 9}]
+    nodes, side = shards.plan_splits(stats, heavies, [1 << 60] * 3)
+    cuts = shards.weighted_cuts(light, {k: v for k, v in nodes.items() if k in stats})
+    for k, s in stats.items():
+        width = [h - lo if k != 4 else h - 5 for lo, h in zip(s["lo"], s["hi"], strict=True)]
+        assert nodes[k]["dim"] == int(np.argmax(width))
+        mine = node == k
+        left = int(weights[mine & (places[:, nodes[k]["dim"]] < cuts[k])].sum())
+        heavy = 9000 * (side[1] == 0) if k == 4 else 0
+        assert abs(left + heavy - nodes[k]["bytes"] / 2) <= 0.002 * nodes[k]["bytes"] + 90
+    assert nodes[9]["target"] == 0 and side[2] in (0, 1)
