@@ -21,15 +21,25 @@ from ..operators.windows import micros
 Tables = dict[str, DataFrame]
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with further columns that are evaluated once a row.
+
+    As a generator's output they cannot be written out again in every later filter and column, as
+    plain columns are: a record would be parsed anew for each use of each of its fields.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*[c for c in df.columns if c not in columns], made)
+
+
 def records(lines: DataFrame) -> DataFrame:
     """JSON object records: column ``v``."""
-    return lines.withColumn("v", json.record(F.col("line")))
+    return once(lines, {"v": json.record(F.col("line"))})
 
 
 def enveloped(lines: DataFrame) -> DataFrame:
     """``["<time>", payload]`` records: ``ts`` (null if it does not parse) and ``p``."""
-    e = lines.withColumn("_e", json.envelope(F.col("line")))
-    return e.withColumns({"ts": S.parse_ts(F.col("_e.ts")), "p": F.col("_e.payload"), "bad_record": F.col("_e").isNull()}).drop("_e")
+    e = once(lines, {"_e": json.envelope(F.col("line"))})
+    return once(e, {"ts": S.parse_ts(F.col("_e.ts")), "p": F.col("_e.payload"), "bad_record": F.col("_e").isNull()}).drop("_e")
 
 
 def checked(rows: DataFrame, checks: Sequence[tuple[str, str, Column]]) -> tuple[DataFrame, DataFrame]:
@@ -75,7 +85,7 @@ def source_health(rows: DataFrame, source: Sequence[str], ts: str) -> DataFrame:
 def core_blocks(lines: DataFrame) -> Tables:
     """Lines with ``state_type`` (fast, slow, legacy), in the order of ``seq`` if there is one: accepted blocks, their intervals, apply times and histograms."""
     v = F.col("v")
-    rows = records(lines).withColumns({"height": _int(v, "$.height"), "block_time": S.parse_ts(_text(v, "$.block_time")), "wall_text": _text(v, "$.begin_block_wall_time"), "apply_s": _num(v, "$.apply_duration")})
+    rows = once(records(lines), {"height": _int(v, "$.height"), "block_time": S.parse_ts(_text(v, "$.block_time")), "wall_text": _text(v, "$.begin_block_wall_time"), "apply_s": _num(v, "$.apply_duration")})
     good, rejects = checked(rows, [("record", "bad_json", v.isNull()), ("block", "bad_height", F.col("height").isNull() | (F.col("height") < 0)), ("block", "bad_time", F.col("block_time").isNull()), ("block", "bad_duration", ~S.finite_nonneg(F.col("apply_s")))])
     good = good.select("node_id", "state_type", "height", "block_time", S.parse_ts(F.col("wall_text")).alias("wall_time"), (F.col("apply_s") * 1000).alias("apply_ms"), *[c for c in ("landed", "seq") if c in lines.columns], micros("block_time").alias("us"))
     arrival = ["seq"] if "seq" in lines.columns else ["us", "height"]
@@ -96,11 +106,11 @@ def replica_blocks(lines: DataFrame) -> Tables:
     """Block records with bundles of signed actions: per block and per action type; empty blocks are valid, empty bundles are not."""
     v = F.col("v")
     block = {"height": _int(v, "$.height"), "block_time": S.parse_ts(_text(v, "$.abci_block.time")), "round": _int(v, "$.abci_block.round"), "parent_round": _int(v, "$.abci_block.parent_round"), "proposer": _text(v, "$.abci_block.proposer"), "bundles": _items(v, "$.abci_block.signed_action_bundles"), "resps": _items(v, "$.resps.Full")}
-    rows = records(lines).withColumns(block)
+    rows = once(records(lines), block)
     actions_of = F.transform("bundles", lambda b: _items(b, "$[1].signed_actions"))
-    rows = rows.withColumn("groups", actions_of)
+    rows = once(rows, {"groups": actions_of})
     flat = F.transform(F.flatten("groups"), lambda a: F.struct(_text(a, "$.action.type").alias("type"), _text(a, "$.action.payload.action.type").alias("inner"), _items(a, "$.action.orders").alias("orders"), _items(a, "$.action.cancels").alias("cancels"), _items(a, "$.action.modifies").alias("modifies")))
-    rows = rows.withColumn("acts", flat)
+    rows = once(rows, {"acts": flat})
     needed = lambda a: ((a["type"] == "order") & a["orders"].isNull()) | (a["type"].isin("cancel", "cancelByCloid") & a["cancels"].isNull()) | ((a["type"] == "batchModify") & a["modifies"].isNull())
     good, rejects = checked(rows, [
         ("record", "bad_json", v.isNull()), ("record", "bad_height", F.col("height").isNull() | (F.col("height") <= 0)),
@@ -109,7 +119,7 @@ def replica_blocks(lines: DataFrame) -> Tables:
         ("action", "no_type", F.exists("acts", lambda a: a["type"].isNull())), ("operation", "no_list", F.exists("acts", needed)),
     ])
     counted = F.transform("acts", lambda a: F.struct(a["type"].alias("type"), a["inner"].alias("inner"), S.operation_count(a["type"], a["orders"], a["cancels"], a["modifies"]).alias("operations")))
-    good = good.withColumn("acts", counted)
+    good = once(good, {"acts": counted})
     add = lambda pick: F.aggregate("acts", F.lit(0).cast("long"), lambda s, a: s + pick(a))
     blocks = good.select("node_id", "height", "block_time", "round", "parent_round", "proposer", F.size("bundles").alias("bundles"), F.size("acts").alias("actions"), add(lambda a: a["operations"]).alias("operations"), add(lambda a: F.when(a["type"].isin("order", "twapOrder"), a["operations"]).otherwise(0)).alias("orders"), (F.col("round") - F.col("parent_round")).alias("round_advance"))
     acts = good.select("node_id", "height", F.inline("acts"))
@@ -132,13 +142,13 @@ def proposals(lines: DataFrame) -> DataFrame:
 def evm_blocks(lines: DataFrame) -> Tables:
     """Execution blocks with transactions and receipts: gas, fees, transaction types and shapes, receipt outcomes."""
     p = F.col("p")
-    rows = enveloped(lines).withColumn("b", json.single_variant(F.try_variant_get(p, "$.block", "variant"))["body"])
+    rows = once(enveloped(lines), {"b": json.single_variant(F.try_variant_get(p, "$.block", "variant"))["body"]})
     b = F.col("b")
     head = "$.header.header."
     q = lambda name: S.quantity(_text(b, head + name))
-    rows = rows.withColumns({"number": q("number").cast("long"), "gas_limit": q("gasLimit"), "gas_used": q("gasUsed"), "block_time": F.timestamp_seconds(q("timestamp").cast("long")), "base_fee": q("baseFeePerGas"), "txs": _items(b, "$.body.transactions"), "receipts": _items(p, "$.receipts"), "system_txs": _items(p, "$.system_txs"), "calls": _items(p, "$.read_precompile_calls")})
+    rows = once(rows, {"number": q("number").cast("long"), "gas_limit": q("gasLimit"), "gas_used": q("gasUsed"), "block_time": F.timestamp_seconds(q("timestamp").cast("long")), "base_fee": q("baseFeePerGas"), "txs": _items(b, "$.body.transactions"), "receipts": _items(p, "$.receipts"), "system_txs": _items(p, "$.system_txs"), "calls": _items(p, "$.read_precompile_calls")})
     tx = lambda t: json.single_variant(F.try_variant_get(t, "$.transaction", "variant"))
-    rows = rows.withColumn("tx_bodies", F.transform("txs", tx))
+    rows = once(rows, {"tx_bodies": F.transform("txs", tx)})
     good, rejects = checked(rows, [*_envelope_checks(), ("block", "no_version", b.isNull()), ("header", "bad_number", F.col("number").isNull()), ("header", "bad_gas", F.col("gas_used").isNull() | F.col("gas_limit").isNull() | (F.col("gas_used") > F.col("gas_limit"))), ("header", "bad_time", F.col("block_time").isNull()), ("body", "no_transactions", F.col("txs").isNull()), ("transaction", "bad_variant", F.exists("tx_bodies", lambda t: t.isNull())), ("receipts", "no_list", F.col("receipts").isNull())])
     kind = lambda t: t["tag"]
     fee_of = lambda t: S.quantity(_text(t["body"], "$.maxPriorityFeePerGas"))
@@ -170,10 +180,10 @@ def evm_blocks(lines: DataFrame) -> Tables:
 
 
 def _consensus(lines: DataFrame) -> DataFrame:
-    rows = enveloped(lines).withColumn("tag", _text(F.col("p"), "$[0]"))
+    rows = once(enveloped(lines), {"tag": _text(F.col("p"), "$[0]")})
     inner = F.try_variant_get(F.col("p"), "$[1]", "variant")
     message = F.coalesce(F.try_variant_get(inner, "$.msg", "variant"), inner)
-    return rows.withColumns({"body": inner, "source": S.normalize_address(_text(inner, "$.source")), "m": F.when(F.col("tag").isin("in", "out"), json.single_variant(message))})
+    return once(rows, {"body": inner, "source": S.normalize_address(_text(inner, "$.source")), "m": F.when(F.col("tag").isin("in", "out"), json.single_variant(message))})
 
 
 def consensus_events(lines: DataFrame) -> Tables:
@@ -234,7 +244,7 @@ def heartbeat_join(lines: DataFrame, as_of: Column) -> Tables:
 def consensus_status(lines: DataFrame) -> Tables:
     """The newest complete status per node: heartbeats, the disconnected relation, the missing set."""
     p = F.col("p")
-    rows = enveloped(lines).withColumns({"round": _int(p, "$.round"), "statuses": _items(p, "$.heartbeat_statuses"), "pairs": _items(p, "$.disconnected_validators"), "missing": json.text_array(p, "$.validators_missing_heartbeat")})
+    rows = once(enveloped(lines), {"round": _int(p, "$.round"), "statuses": _items(p, "$.heartbeat_statuses"), "pairs": _items(p, "$.disconnected_validators"), "missing": json.text_array(p, "$.validators_missing_heartbeat")})
     present = lambda name: F.try_variant_get(p, f"$.{name}", "variant").isNotNull()
     names = F.transform("statuses", lambda s: S.wire_key(_text(s, "$[0]")))
     good, rejects = checked(rows, [*_envelope_checks(), ("status", "bad_round", F.col("round").isNull()), ("heartbeat", "bad_list", present("heartbeat_statuses") & F.col("statuses").isNull()), ("heartbeat", "too_many", F.size("statuses") > vocab.VALIDATOR_ROWS), ("heartbeat", "bad_address", F.exists(names, lambda n: n.isNull())), ("heartbeat", "duplicate", F.size(names) != F.size(F.array_distinct(names))), ("disconnected", "bad_list", present("disconnected_validators") & F.col("pairs").isNull()), ("missing", "bad_list", present("validators_missing_heartbeat") & F.col("missing").isNull())])
@@ -258,7 +268,7 @@ def validator_status(lines: DataFrame) -> Tables:
     """Stake rows in two shapes, the jailed set and the home validator of the newest complete record."""
     p = F.col("p")
     stakes = F.coalesce(_items(p, "$.current_stakes.validator_to_stake"), _items(p, "$.current_stakes"))
-    rows = enveloped(lines).withColumns({"home": S.wire_key(_text(p, "$.home_validator")), "stakes": stakes, "jailed": json.text_array(p, "$.current_jailed_validators")})
+    rows = once(enveloped(lines), {"home": S.wire_key(_text(p, "$.home_validator")), "stakes": stakes, "jailed": json.text_array(p, "$.current_jailed_validators")})
     numeric = F.transform("stakes", lambda s: _num(s, "$[1]"))
     paired = F.transform("stakes", lambda s: _text(s, "$[1]"))
     mixed = F.exists(numeric, lambda x: x.isNotNull()) & F.exists(paired, lambda x: x.isNotNull())
@@ -279,7 +289,7 @@ def validator_status(lines: DataFrame) -> Tables:
 def validator_latency(lines: DataFrame) -> Tables:
     """Lines with ``validator``: newest sample and the greatest of each ten seconds."""
     v = F.col("v")
-    rows = records(lines).withColumns({"ts": S.parse_ts(_text(v, "$.time")), "round": _int(v, "$.round"), "latency": _num(v, "$.latency")})
+    rows = once(records(lines), {"ts": S.parse_ts(_text(v, "$.time")), "round": _int(v, "$.round"), "latency": _num(v, "$.latency")})
     good, rejects = checked(rows, [("record", "bad_json", v.isNull()), ("record", "bad_time", F.col("ts").isNull()), ("record", "bad_round", F.col("round").isNull()), ("record", "bad_latency", ~S.finite_nonneg(F.col("latency")))])
     rows = good.select("node_id", "validator", "ts", "round", "latency")
     return {"validator_latency": A.latest_per_key(rows, ["node_id", "validator"], ["ts", "round"]), "latency_peak": A.poll_peak(rows, ["node_id", "validator"], "ts", "latency", "10 seconds"), "rejects": rejects}
@@ -288,7 +298,7 @@ def validator_latency(lines: DataFrame) -> Tables:
 def validator_ema(lines: DataFrame) -> Tables:
     """Snapshots ``[[validator, value]...]``: their state, and the measured rows of the newest valid one."""
     p = F.col("p")
-    rows = enveloped(lines).withColumn("pairs", _items(p, "$"))
+    rows = once(enveloped(lines), {"pairs": _items(p, "$")})
     good, rejects = checked(rows, [*_envelope_checks(), ("snapshot", "no_list", F.col("pairs").isNull()), ("snapshot", "bad_row", F.exists("pairs", lambda x: _text(x, "$[0]").isNull() | _num(x, "$[1]").isNull())), ("snapshot", "duplicate", F.size(F.array_distinct(F.transform("pairs", lambda x: _text(x, "$[0]")))) != F.size("pairs"))])
     each = good.select("node_id", "ts", F.explode("pairs").alias("x")).select("node_id", "ts", S.wire_key(_text(F.col("x"), "$[0]")).alias("validator"), _num(F.col("x"), "$[1]").alias("value"))
     state = validation.classify_snapshot(each, ["node_id", "ts"], "value", vocab.EMA_SENTINEL, vocab.EMA_EPS)
@@ -300,7 +310,7 @@ def validator_ema(lines: DataFrame) -> Tables:
 def accumulators(lines: DataFrame, buckets: Sequence[str]) -> Tables:
     """Lines with ``bucket``: sums of positive deltas, refused where not finite."""
     v = F.col("v")
-    rows = validation.allow(records(lines), "bucket", buckets).withColumns({"ts": S.parse_ts(_text(v, "$.time")), "delta": _num(v, "$.delta")})
+    rows = once(validation.allow(records(lines), "bucket", buckets), {"ts": S.parse_ts(_text(v, "$.time")), "delta": _num(v, "$.delta")})
     good, rejects = checked(rows, [("record", "bad_json", v.isNull()), ("record", "bad_time", F.col("ts").isNull()), ("record", "bad_delta", F.col("delta").isNull() | F.isnan("delta"))])
     total = good.groupBy("node_id", "bucket").agg(A.safe_sum(F.when(F.col("delta") > 0, F.col("delta"))).alias("total"), F.max("ts").alias("last"))
     return {"accumulator": total, "rejects": rejects}

@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import event_queries, join_queries, order_queries, stream_queries  # noqa: E402,F401
+from . import chain_job_queries, event_queries, join_queries, order_queries, stream_queries, telemetry_job_queries  # noqa: E402,F401

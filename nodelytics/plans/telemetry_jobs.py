@@ -13,7 +13,7 @@ from ..operators import aggregates as A
 from ..operators import folds, joins, topk, validation
 from ..operators import windows as W
 from ..operators.windows import micros
-from .jobs import Tables, _envelope_checks, _int, _items, _num, _text, checked, enveloped, records
+from .jobs import Tables, _envelope_checks, _int, _items, _num, _text, checked, enveloped, once, records
 
 # --- remote calls and connections ------------------------------------------------------------
 
@@ -21,11 +21,11 @@ from .jobs import Tables, _envelope_checks, _int, _items, _num, _text, checked,
 def consensus_rpc(lines: DataFrame) -> Tables:
     """Five ordered events of a served request, joined by session and digests of request and answer within the time to live."""
     p = F.col("p")
-    rows = enveloped(lines).withColumn("tag", _text(p, "$[0]"))
+    rows = once(enveloped(lines), {"tag": _text(p, "$[0]")})
     session = _text(p, "$[1]")
     stages = {"Incoming tcp stream": (session, None, None), "Received rpc request": (session, "$[2]", None), "Rpc task inbound": (None, "$[1]", None), "Rpc task response": (None, "$[1]", "$[2]"), "Outbound response": (session, "$[2]", "$[3]")}
     part = lambda i: _pick(F.col("tag"), {t: v[i] for t, v in stages.items()}, p)
-    rows = rows.withColumns({"session": _pick(F.col("tag"), {t: v[0] for t, v in stages.items()}, p), "request": part(1), "response": part(2)})
+    rows = once(rows, {"session": _pick(F.col("tag"), {t: v[0] for t, v in stages.items()}, p), "request": part(1), "response": part(2)})
     good, rejects = checked(rows, [*_envelope_checks(), ("event", "no_tag", F.col("tag").isNull())])
     e = good.select("node_id", "ts", "tag", "session", "request", "response")
     known = list(stages)
@@ -53,7 +53,7 @@ def _pick(tag: Column, paths: Mapping[str, object], p: Column) -> Column:
 
 def validator_connections(lines: DataFrame, subsystems: Sequence[str]) -> Tables:
     p = F.col("p")
-    rows = enveloped(lines).withColumns({"tag": _text(p, "$[0]"), "subsystem": _text(p, "$[2]")})
+    rows = once(enveloped(lines), {"tag": _text(p, "$[0]"), "subsystem": _text(p, "$[2]")})
     good, rejects = checked(rows, [*_envelope_checks(), ("event", "no_tag", F.col("tag").isNull())])
     named = good.select("node_id", S.normalize_vocab(F.col("tag"), ["handle_stream_connection"]).alias("event"), S.normalize_vocab(F.col("subsystem"), subsystems).alias("subsystem"))
     return {"validator_conn_event": A.counter(named, ["node_id", "event", "subsystem"]), "rejects": rejects}
@@ -62,7 +62,7 @@ def validator_connections(lines: DataFrame, subsystems: Sequence[str]) -> Tables
 def gossip_children(lines: DataFrame, cap: int = 16) -> Tables:
     """The newest child-peer snapshot per node, its summary, the first peers by address, and tenures."""
     p = F.col("p")
-    rows = enveloped(lines).filter(_text(p, "$[0]") == "child_peers status").withColumn("pairs", _items(p, "$[1]"))
+    rows = once(enveloped(lines).filter(_text(p, "$[0]") == "child_peers status"), {"pairs": _items(p, "$[1]")})
     ip = lambda x: S.canonical_ipv4(F.coalesce(_text(x, "$[0].Ip"), _text(x, "$[0]")))
     ips = F.transform("pairs", ip)
     good, rejects = checked(rows, [*_envelope_checks(), ("peers", "no_list", F.col("pairs").isNull()), ("peers", "bad_address", F.exists(ips, lambda x: x.isNull())), ("peers", "duplicate", F.size(F.array_distinct(ips)) != F.size("pairs"))])
@@ -76,7 +76,7 @@ def gossip_children(lines: DataFrame, cap: int = 16) -> Tables:
 def gossip_events(lines: DataFrame) -> Tables:
     """Connection events by closed tag; a known tag without an address is rejected, an unknown one counts as other."""
     p = F.col("p")
-    rows = enveloped(lines).withColumns({"e": json.tagged(p), "ip": S.canonical_ip(F.coalesce(_text(p, "$[1].Ip"), _text(p, "$[1]")))})
+    rows = once(enveloped(lines), {"e": json.tagged(p), "ip": S.canonical_ip(F.coalesce(_text(p, "$[1].Ip"), _text(p, "$[1]")))})
     tag = F.col("e.tag")
     shapes = {t: F.col("e.arity") >= 2 for t in vocab.GOSSIP_TAGS}
     failed = validation.tagged_failure(tag, shapes)
@@ -90,7 +90,7 @@ def gossip_events(lines: DataFrame) -> Tables:
 def tcp_traffic(lines: DataFrame, ports: Sequence[int]) -> Tables:
     """Snapshots ``[[["In"|"Out", ip, port], value]...]``: endpoints summed over ports, the greatest with ``other``, ports, directions."""
     p = F.col("p")
-    rows = enveloped(lines).withColumn("items", _items(p, "$"))
+    rows = once(enveloped(lines), {"items": _items(p, "$")})
     side = lambda x: _text(x, "$[0][0]")
     bad = lambda x: ~F.coalesce(side(x).isin("In", "Out"), F.lit(False)) | _text(x, "$[0][1]").isNull() | _int(x, "$[0][2]").isNull() | ~S.finite_nonneg(_num(x, "$[1]"))
     good, rejects = checked(rows, [*_envelope_checks(), ("rows", "no_list", F.col("items").isNull()), ("rows", "bad_row", validation.reject_if_any(F.col("items"), bad))])
@@ -118,7 +118,7 @@ def endpoint_set(endpoints: DataFrame, as_of: Column) -> Tables:
 def tcp_lz4(peers: DataFrame, totals: DataFrame) -> Tables:
     """Peer and global records within five seconds are one window; endpoints with the byte-weighted ratio, and window lengths."""
     p = F.col("p")
-    rows = enveloped(peers).withColumn("items", _items(p, "$"))
+    rows = once(enveloped(peers), {"items": _items(p, "$")})
     bad = lambda x: ~F.coalesce(_text(x, "$[0][0]").isin("In", "Out"), F.lit(False)) | _text(x, "$[0][1]").isNull() | ~S.finite_nonneg(_num(x, "$[1]")) | ~S.finite_nonneg(_num(x, "$[2]")) | ~S.finite_nonneg(_num(x, "$[3]"))
     good, rejects = checked(rows, [*_envelope_checks(), ("rows", "no_list", F.col("items").isNull()), ("rows", "bad_row", validation.reject_if_any(F.col("items"), bad))])
     whole = enveloped(totals).filter("not bad_record and ts is not null").select("node_id", F.col("ts").alias("global_ts"), _num(p, "$[0]").alias("bytes"), _num(p, "$[1]").alias("packets"), _num(p, "$[2]").alias("ratio"))
@@ -142,11 +142,11 @@ def tcp_sockets(rows: DataFrame, ports: Sequence[int]) -> DataFrame:
 def mempool_events(lines: DataFrame) -> Tables:
     """Events by closed kind with status and error kind, items of drops, and the newest sizes with the oldest age."""
     p = F.col("p")
-    rows = enveloped(lines).withColumn("e", json.tagged(p))
+    rows = once(enveloped(lines), {"e": json.tagged(p)})
     tag = F.col("e.tag")
     sizes = F.transform(_items(p, "$[1]"), lambda x: F.struct(_text(x, "$[0]").alias("name"), _int(x, "$[1]").alias("size")))
     pending = F.transform(_items(p, "$[2]"), lambda x: S.parse_ts(_text(x, "$[1]")))
-    rows = rows.withColumns({"sizes": F.when(tag == "Size stats", sizes), "pending": F.when(tag == "Size stats", pending)})
+    rows = once(rows, {"sizes": F.when(tag == "Size stats", sizes), "pending": F.when(tag == "Size stats", pending)})
     named = F.map_from_arrays(F.transform("sizes", lambda s: s["name"]), F.transform("sizes", lambda s: s["size"]))
     shapes = {"add_tx": F.col("e.arity") >= 4, "verify_block": F.col("e.arity") >= 3, "committed": F.col("e.arity") >= 5, "dropping blocks": _items(p, "$[1]").isNotNull(), "dropping txs": _items(p, "$[1]").isNotNull(), "Size stats": F.size("sizes") == len(vocab.MEMPOOL_SIZES)}
     good, rejects = checked(rows, [
@@ -166,9 +166,9 @@ def mempool_events(lines: DataFrame) -> Tables:
 def mempool_txs(lines: DataFrame) -> Tables:
     """Actions and operations per record, orders by side and time in force, triggers apart."""
     p = F.col("p")
-    rows = enveloped(lines).withColumn("signed", _items(p, "$.signed_actions"))
+    rows = once(enveloped(lines), {"signed": _items(p, "$.signed_actions")})
     acts = F.transform("signed", lambda a: F.struct(_text(a, "$.action.type").alias("type"), _items(a, "$.action.orders").alias("orders"), _items(a, "$.action.cancels").alias("cancels"), _items(a, "$.action.modifies").alias("modifies")))
-    rows = rows.withColumn("acts", acts)
+    rows = once(rows, {"acts": acts})
     needs = lambda a: ((a["type"] == "order") & a["orders"].isNull()) | (a["type"].isin("cancel", "cancelByCloid") & a["cancels"].isNull()) | ((a["type"] == "batchModify") & a["modifies"].isNull())
     good, rejects = checked(rows, [*_envelope_checks(), ("record", "no_hash", _text(p, "$.tx_hash").isNull()), ("actions", "no_list", F.col("signed").isNull()), ("action", "no_type", F.exists("acts", lambda a: a["type"].isNull())), ("operation", "no_list", F.exists("acts", needs))])
     flat = good.select("node_id", "ts", F.inline("acts"))
@@ -229,7 +229,7 @@ def latency_summaries(lines: DataFrame, keys: Sequence[str], allowed: Sequence[s
     """Lines with the columns ``keys`` (subsystem, and step): the newest fresh summary, and its statistics one a row."""
     v = F.col("v")
     fields = ["total_n", "total_mean", *_STATS, "work_frac"]
-    rows = validation.allow(records(lines), keys[-1], allowed).withColumns({"ts": S.parse_ts(_text(v, "$.time")), **{f: _num(v, f"$.{f}") for f in fields}})
+    rows = once(validation.allow(records(lines), keys[-1], allowed), {"ts": S.parse_ts(_text(v, "$.time")), **{f: _num(v, f"$.{f}") for f in fields}})
     finite = F.lit(True)
     for f in fields:
         finite = finite & F.coalesce(~F.isnan(f) & (F.abs(f) < float("inf")), F.lit(False))
@@ -241,7 +241,7 @@ def latency_summaries(lines: DataFrame, keys: Sequence[str], allowed: Sequence[s
 def tokio_tasks(lines: DataFrame, allowed: Sequence[str], as_of: Column) -> Tables:
     """Task samples of the newest record of each task; a node's own suffix is cut from the name."""
     p = F.col("p")
-    rows = enveloped(lines).withColumns({"task": S.cut_at(_text(p, "$.task_name"), " home_validator="), "dropped": _int(p, "$.dropped_count"), "idle_s": _num(p, "$.total_idle_duration"), "scheduled": _int(p, "$.total_scheduled_count")})
+    rows = once(enveloped(lines), {"task": S.cut_at(_text(p, "$.task_name"), " home_validator="), "dropped": _int(p, "$.dropped_count"), "idle_s": _num(p, "$.total_idle_duration"), "scheduled": _int(p, "$.total_scheduled_count")})
     good, rejects = checked(rows, [*_envelope_checks(), ("task", "no_name", F.col("task").isNull()), ("task", "bad_number", ~S.finite_nonneg(F.col("idle_s")) | F.col("dropped").isNull() | F.col("scheduled").isNull())])
     rows = validation.allow(good, "task", allowed).select("node_id", "task", "ts", "dropped", "idle_s", "scheduled")
     return {"task_sample": A.latest_per_key(rows, ["node_id", "task"], ["ts"]).filter(S.fresh(F.col("ts"), as_of, 900)), "rejects": rejects}
@@ -250,7 +250,7 @@ def tokio_tasks(lines: DataFrame, allowed: Sequence[str], as_of: Column) -> Tabl
 def critical_messages(counts: DataFrame, rich: DataFrame) -> Tables:
     """Daily counters with ``source`` and ``landed``, and rich documents ``(node_id, source, mtime, doc)`` of the same generation."""
     p = F.col("p")
-    rows = enveloped(counts).withColumns({"base": S.parse_ts(_text(p, "$[0]")), "bugs": _int(p, "$[1]"), "crits": _int(p, "$[2]"), "locations": _int(p, "$[3]")})
+    rows = once(enveloped(counts), {"base": S.parse_ts(_text(p, "$[0]")), "bugs": _int(p, "$[1]"), "crits": _int(p, "$[2]"), "locations": _int(p, "$[3]")})
     good, rejects = checked(rows, [*_envelope_checks(), ("counts", "bad_row", F.col("base").isNull() | F.col("bugs").isNull() | F.col("crits").isNull() | F.col("locations").isNull())])
     now = A.latest_per_key(good.select("node_id", "source", "ts", "landed", "base", "bugs", "crits", "locations"), ["node_id", "source"], ["ts"])
     doc = F.col("doc")
