@@ -18,10 +18,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stash, table, with_columns
+from .common import fresh, refuse_clash, small, stash, table, with_columns
 
 WINDOW = 8
 #: False rejection of good documents allowed per stratum, and the chance that the guarantee fails anywhere.
@@ -151,8 +151,9 @@ def cutoffs(base: DataFrame, labels: DataFrame, stratum: str, prefix: str = "")
     Rows are counted by stratum, rule and grid cell before the shuffle; each pair of stratum
     and rule then is a group of at most one row for each grid cell.
     """
-    marks = labels.select(F.col("doc_id").alias("_label_id"), "quality").filter("quality = 1").select("_label_id").distinct()
-    good = base.filter(~base_failed(prefix)).join(marks, F.col("doc_id") == F.col("_label_id"), "left_semi")
+    marks = labels.filter("quality = 1").select("doc_id").distinct()
+    narrow = base.select("doc_id", stratum, *[f"`{prefix}{p.split()[0]}`" for p in BASE.split(", ")])
+    good = narrow.filter(~base_failed(prefix)).join(marks, "doc_id", "left_semi")
     cells = F.array(*[F.struct(F.lit(r).alias("rule"), sum((F.expr(_named(RULES[r][0], prefix)) > c).cast("int") for c in grid(r)).alias("cell")) for r in RULES])
     counted = stash(good.select(F.coalesce(F.col(stratum).cast("string"), F.lit("und")).alias("stratum"), F.explode(cells).alias("x")).groupBy("stratum", "x.rule", "x.cell").agg(F.count(F.lit(1)).alias("n")), "quality-cells")
     tests = counted.select("stratum", "rule").distinct().count()
@@ -169,29 +170,39 @@ def cutoffs(base: DataFrame, labels: DataFrame, stratum: str, prefix: str = "")
     return counted.groupBy("stratum", "rule").applyInPandas(pick, "stratum string, rule string, cutoff double")
 
 
-def verdicts(base: DataFrame, labels: DataFrame, stratum: str = "lang", prefix: str = "", made: str = "") -> DataFrame:
-    """``base`` and the columns ``base_failed`` and ``kept`` (names led by ``made``)."""
-    chosen = cutoffs(base, labels, stratum, prefix).groupBy("stratum").pivot("rule", list(RULES)).agg(F.max("cutoff"))
-    chosen = stash(chosen.select(F.col("stratum").alias("_stratum"), *[F.col(r).alias(f"_cut_{r}") for r in RULES]), "quality-cutoffs")
-    joined = base.join(small(chosen, 10_000), F.coalesce(F.col(stratum).cast("string"), F.lit("und")) == F.col("_stratum"), "left")
+def chosen_cutoffs(base: DataFrame, labels: DataFrame, stratum: str, prefix: str, made: str) -> DataFrame:
+    """One row a stratum: its name (``made`` + stratum) and a cutoff column (``made`` + rule) for each rule."""
+    wide = cutoffs(base, labels, stratum, prefix).groupBy("stratum").pivot("rule", list(RULES)).agg(F.max("cutoff"))
+    return stash(wide.select(*[F.col(c).alias(f"{made}{c}") for c in ("stratum", *RULES)]), "quality-cutoffs")
+
+
+def judged(base: DataFrame, labels: DataFrame, stratum: str, prefix: str, made: str) -> tuple[DataFrame, Column]:
+    """``base`` with its stratum's cutoffs, and whether a row is over one of them."""
+    chosen = chosen_cutoffs(base, labels, stratum, prefix, made)
+    joined = base.join(small(chosen, 10_000), F.coalesce(F.col(stratum).cast("string"), F.lit("und")) == F.col(f"{made}stratum"), "left")
     over = F.lit(False)
     for r in RULES:
-        over = over | F.coalesce(F.expr(_named(RULES[r][0], prefix)) > F.col(f"_cut_{r}"), F.lit(False))
-    return joined.withColumns({f"{made}base_failed": base_failed(prefix), f"{made}kept": ~base_failed(prefix) & ~over}).drop("_stratum", *[f"_cut_{r}" for r in RULES])
+        over = over | F.coalesce(F.expr(_named(RULES[r][0], prefix)) > F.col(f"{made}{r}"), F.lit(False))
+    return joined, over
+
+
+def verdicts(base: DataFrame, labels: DataFrame, stratum: str = "lang", prefix: str = "", made: str = "") -> DataFrame:
+    """``base`` and the columns ``base_failed`` and ``kept`` (names led by ``made``, which must not occur in ``base``)."""
+    refuse_clash(base, f"{made}base_failed", f"{made}kept")
+    joined, over = judged(base, labels, stratum, prefix, fresh("_cut_", base))
+    return joined.select(*base.columns, base_failed(prefix).alias(f"{made}base_failed"), (~base_failed(prefix) & ~over).alias(f"{made}kept"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass the base filter and the chosen cutoffs, with the same columns."""
-    base = with_base(docs, "text", "_q_")
-    marks = labels.select(F.col("doc_id").alias("_label_id")).distinct()
-    calibrate = with_base(docs.select("doc_id", "lang", "text").join(marks, F.col("doc_id") == F.col("_label_id"), "left_semi"), "text", "_q_").drop("text")
-    calibrate = stash(calibrate, "quality-holdout")
-    chosen = cutoffs(calibrate, labels, "lang", "_q_").groupBy("stratum").pivot("rule", list(RULES)).agg(F.max("cutoff"))
-    chosen = stash(chosen.select(F.col("stratum").alias("_stratum"), *[F.col(r).alias(f"_cut_{r}") for r in RULES]), "quality-cutoffs")
-    joined = base.join(small(chosen, 10_000), F.coalesce(F.col("lang").cast("string"), F.lit("und")) == F.col("_stratum"), "left")
-    for r in RULES:
-        joined = joined.filter(F.coalesce(F.expr(_named(RULES[r][0], "_q_")) <= F.col(f"_cut_{r}"), F.lit(True)))
-    return joined.filter(~base_failed("_q_")).select(*docs.columns)
+    """The rows of ``docs`` that pass the base filter and the chosen cutoffs, with the same columns.
+
+    Texts are read and counted once and written beside their counts; the cutoffs come from the
+    narrow columns of that table, and no text is shuffled.
+    """
+    prefix = fresh("_q_", docs)
+    whole = stash(with_base(docs, "text", prefix), "quality-base")
+    joined, over = judged(whole, labels, "lang", prefix, fresh("_cut_", whole))
+    return joined.filter(~base_failed(prefix) & ~over).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
