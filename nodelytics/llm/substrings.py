@@ -17,18 +17,21 @@ Null texts are empty; texts shorter than ``LENGTH`` lose nothing.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, small, stash, table, utf8, with_columns
+from .common import fresh, refuse_clash, release, slices, small, stash, table, utf8
 from .induced import disk_array, previous_prefix, suffix_order
 
 LENGTH, GRAM = 400, 100
+#: Passages of the pipeline: at least so many words; 50 words hold 200 bytes or more but for very short words.
+PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_GRAM = 50, 200, 50
 #: Chunk bytes of a shard, about, and different chunks of an anchor that may share one.
 SHARD_BYTES, HOT_CHUNKS = 3 << 20, 3000
 _SLAB = 1 << 18
@@ -95,7 +98,7 @@ def _text_id(text) -> F.Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
-def _anchors(texts: DataFrame) -> DataFrame:
+def _anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """``(tid, first, last, anchor)`` runs per row of ``texts (tid, text)``, as arrays."""
     lists = T.StructType([T.StructField("tid", T.BinaryType()), T.StructField("first", T.ArrayType(T.IntegerType())), T.StructField("last", T.ArrayType(T.IntegerType())), T.StructField("anchor", T.ArrayType(T.LongType()))])
 
@@ -104,8 +107,8 @@ def _anchors(texts: DataFrame) -> DataFrame:
             for part in slices([batch], "text", 4 << 20):
                 found = []
                 for t in utf8(part.column(1)):
-                    first, anchor = runs(t)
-                    last = np.append(first[1:], len(t) - LENGTH + 1) - 1
+                    first, anchor = runs(t, length, gram)
+                    last = np.append(first[1:], len(t) - length + 1) - 1
                     found.append((first, last, anchor))
                 columns = [pa.array([f[i] for f in found], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["tid", "first", "last", "anchor"])
@@ -113,7 +116,7 @@ def _anchors(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, lists)
 
 
-def _chunks(texts: DataFrame) -> DataFrame:
+def _chunks(texts: DataFrame, length: int) -> DataFrame:
     """``(tid, first, anchor, chunk)`` from ``(tid, text, runs)``; the same text in a row counts once."""
 
     def run(batches):
@@ -126,7 +129,7 @@ def _chunks(texts: DataFrame) -> DataFrame:
                         continue
                     before = tid
                     for r in rs:
-                        for column, value in zip(out, (tid, r["first"], r["anchor"], text[r["first"] : r["last"] + LENGTH]), strict=True):
+                        for column, value in zip(out, (tid, r["first"], r["anchor"], text[r["first"] : r["last"] + length]), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["tid", "first", "anchor", "chunk"])
 
@@ -148,7 +151,7 @@ def _ranges(cids: list[bytes], starts: np.ndarray, marked: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array([cids[i] for i in of.tolist()], pa.binary()), pa.array(at[head] - starts[of], pa.int32()), pa.array(at[tail] - starts[of], pa.int32())], names=["cid", "a", "b"])
 
 
-def marked_windows(chunks: list[bytes] | np.ndarray, lengths: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def marked_windows(chunks: list[bytes] | np.ndarray, lengths: np.ndarray, many: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Chunk starts in the shard's text, and which positions begin a window that also begins elsewhere.
 
     ``many``: the chunk occurs more than once, so each of its windows does.
@@ -163,15 +166,15 @@ def marked_windows(chunks: list[bytes] | np.ndarray, lengths: np.ndarray, many:
     t[inside] = text.astype(np.uint16) + 1
     t[ends] = 0
     phi, prefix = previous_prefix(t, suffix_order(t))
-    long = prefix >= LENGTH
+    long = prefix >= length
     marked = long.copy()
     marked[phi[long]] = True
     for i in np.flatnonzero(many).tolist():
-        marked[starts[i] : ends[i] - LENGTH + 1] = True
+        marked[starts[i] : ends[i] - length + 1] = True
     return starts, marked
 
 
-def _solve(batches):
+def _solve(batches, length: int):
     """Shards one after the other; the chunks of one are gathered in a file."""
     import tempfile
 
@@ -180,7 +183,7 @@ def _solve(batches):
     def out():
         file.flush()
         text = np.memmap(file, np.uint8, "r") if sum(lengths) else np.zeros(0, np.uint8)
-        starts, marked = marked_windows(text, np.array(lengths, np.int64), np.array(many, bool))
+        starts, marked = marked_windows(text, np.array(lengths, np.int64), np.array(many, bool), length)
         return _ranges(cids, starts, marked)
 
     for batch in batches:
@@ -197,28 +200,30 @@ def _solve(batches):
         yield out()
 
 
-def _window_hashes(batches):
+def _window_hashes(batches, length: int):
     """``(cid, at, h, m)`` of every window of chunks whose anchor has too many for one shard."""
     for batch in batches:
         for cid, chunk, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            n = len(chunk) - LENGTH + 1
-            yield pa.RecordBatch.from_arrays([pa.array([cid] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([hashlib.blake2b(chunk[i : i + LENGTH], digest_size=16).digest() for i in range(n)], pa.binary()), pa.array([m] * n, pa.int64())], names=["cid", "at", "h", "m"])
+            n = len(chunk) - length + 1
+            yield pa.RecordBatch.from_arrays([pa.array([cid] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([hashlib.blake2b(chunk[i : i + length], digest_size=16).digest() for i in range(n)], pa.binary()), pa.array([m] * n, pa.int64())], names=["cid", "at", "h", "m"])
 
 
-def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``(tid, spans)``: per distinct text with something to remove, the maximal byte runs ``[a, b)``, in order."""
-    texts = docs.select(F.col(text).alias("text")).filter(F.octet_length("text") >= LENGTH).select(_text_id(F.col("text")).alias("tid"), "text")
-    rows = stash(_anchors(texts), "anchors")
-    copies = rows.groupBy("tid").agg(F.count(F.lit(1)).alias("n"), F.max(F.element_at("last", -1)).alias("last")).filter("n > 1").select("tid", F.array(F.struct(F.lit(0).alias("a"), (F.col("last") + LENGTH).alias("b"))).alias("spans"))
+    texts = docs.select(F.col(text).alias("text")).filter(F.octet_length("text") >= length).select(_text_id(F.col("text")).alias("tid"), "text")
+    rows = stash(_anchors(texts, length, gram), "anchors")
+    copies = rows.groupBy("tid").agg(F.count(F.lit(1)).alias("n"), F.max(F.element_at("last", -1)).alias("last")).filter("n > 1").select("tid", F.array(F.struct(F.lit(0).alias("a"), (F.col("last") + length).alias("b"))).alias("spans"))
     copies = stash(copies, "copies")
     once = rows.dropDuplicates(["tid"]).select("tid", F.inline(F.arrays_zip("first", "last", "anchor")))
     once = stash(once, "runs")
     # written first, so that the join below has two plain exchanges, of which a hot anchor's can be split
+    release(rows)
     again = stash(once.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "anchors-again")
     single = once.join(again, "anchor", "left_semi")
     asked = single.groupBy("tid").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("runs"))
     made = texts.join(asked, "tid").select("tid", "text", "runs")
-    chunks = stash(_chunks(made).withColumn("cid", F.unhex(F.substring(F.sha2("chunk", 256), 1, 32))), "chunks")
+    chunks = stash(_chunks(made, length).withColumn("cid", F.unhex(F.substring(F.sha2("chunk", 256), 1, 32))), "chunks")
+    release(once, again)
     # per different chunk: how often it occurs (in a text that has copies, twice at least); per anchor: its different chunks
     narrow = chunks.select("tid", "anchor", "cid", F.octet_length("chunk").alias("n"))
     mine = narrow.join(copies.select("tid", F.lit(1).alias("copied")), "tid", "left")
@@ -226,7 +231,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     cids = stash(cids, "distinct-chunks")
     sizes = cids.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.max("m").alias("m"), F.max("cid").alias("cid"), F.max("n").alias("n"))
     # a chunk without another of its anchor has nothing to be compared with
-    alone = sizes.filter("k = 1 and m > 1").select("cid", F.lit(0).alias("a"), (F.col("n") - LENGTH).alias("b"))
+    alone = sizes.filter("k = 1 and m > 1").select("cid", F.lit(0).alias("a"), (F.col("n") - length).alias("b"))
     several = stash(sizes.filter("k > 1").select("anchor", "k"), "anchors-to-order")
     texts_of = chunks.join(several.select("anchor"), "anchor", "left_semi").groupBy("cid", "anchor", "chunk").agg(F.lit(1).alias("one"))
     counted = stash(texts_of.join(cids.select("cid", "anchor", "m"), ["cid", "anchor"]).select("cid", "anchor", "chunk", "m"), "chunks-to-order")
@@ -234,15 +239,18 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     total = counted.agg(F.coalesce(F.sum(F.octet_length("chunk")), F.lit(0))).first()[0]
     n = total // SHARD_BYTES + 1
     sharded = counted.join(crowded, "anchor", "left_anti").select(F.pmod(F.xxhash64("anchor"), F.lit(n)).cast("int").alias("shard"), "cid", "chunk", "m")
-    solved = sharded.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_solve, _RANGES)
-    windows = counted.join(crowded, "anchor", "left_semi").select("cid", "chunk", "m").mapInArrow(_window_hashes, "cid binary, at int, h binary, m long")
+    solved = sharded.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(functools.partial(_solve, length=length), _RANGES)
+    windows = counted.join(crowded, "anchor", "left_semi").select("cid", "chunk", "m").mapInArrow(functools.partial(_window_hashes, length=length), "cid binary, at int, h binary, m long")
     found = windows.groupBy("h").agg(F.sum("m").alias("m")).filter("m > 1").select("h")
     hot = windows.join(found, "h", "left_semi").select("cid", F.col("at").alias("a"), F.col("at").alias("b"))
     ranges = stash(solved.unionByName(hot).unionByName(alone), "ranges")
+    release(counted, several, cids)
 
-    back = chunks.select("tid", "first", "cid").join(ranges, "cid").select("tid", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + LENGTH).alias("b"))
+    back = chunks.select("tid", "first", "cid").join(ranges, "cid").select("tid", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + length).alias("b"))
     spans = _joined(back).join(copies.select("tid"), "tid", "left_anti")
-    return stash(spans.unionByName(copies), "spans")
+    found = stash(spans.unionByName(copies), "spans")
+    release(chunks, ranges, copies)
+    return found
 
 
 def _joined(ranges: DataFrame) -> DataFrame:
@@ -257,36 +265,67 @@ def _joined(ranges: DataFrame) -> DataFrame:
     return whole.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` and ``_spans`` (removed byte runs) and ``_kept`` (remaining bytes, binary)."""
-    found = repeated_spans(docs, text)
-    joined = docs.join(found.withColumnRenamed("tid", "_tid").withColumnRenamed("spans", "_spans"), _text_id(docs[text]) == F.col("_tid"), "left").drop("_tid")
-    data = F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")
-    spans = F.coalesce("_spans", F.array().cast("array<struct<a:int,b:int>>"))
-    joined = joined.withColumn("_spans", spans)
-    # the gaps between removed runs, from the end of one to the start of the next
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, made: str = "") -> DataFrame:
+    """``docs`` and two columns, their names led by ``made``: ``spans`` (removed byte runs) and ``kept`` (remaining bytes)."""
+    refuse_clash(docs, f"{made}spans", f"{made}kept")
+    new = fresh("_span_", docs)
+    found = repeated_spans(docs, text, length, gram).select(F.col("tid").alias(f"{new}tid"), F.col("spans").alias(f"{new}found"))
+    joined = docs.join(found, _text_id(F.col(text)) == F.col(f"{new}tid"), "left")
+    spans = F.coalesce(f"{new}found", F.array().cast("array<struct<a:int,b:int>>"))
+    whole = joined.withColumn(f"{made}spans", spans).drop(f"{new}tid", f"{new}found")
+    return whole.withColumn(f"{made}kept", without(F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8"), F.col(f"{made}spans")))
+
+
+def without(data: Column, spans: Column) -> Column:
+    """``data`` (binary) without the byte runs ``spans``: the gaps from the end of one to the start of the next."""
     gaps = F.zip_with(
-        F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["b"])),
-        F.concat(F.transform("_spans", lambda s: s["a"]), F.array(F.octet_length(data))),
+        F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["b"])),
+        F.concat(F.transform(spans, lambda s: s["a"]), F.array(F.octet_length(data))),
         lambda a, b: F.struct(a.alias("a"), b.alias("b")),
     )
     kept = F.aggregate(gaps, F.lit(b""), lambda acc, g: F.concat(acc, F.substring(data, g["a"] + 1, g["b"] - g["a"])))
-    return joined.withColumn("_kept", F.when(F.size("_spans") == 0, data).otherwise(kept))
+    return F.when(F.size(spans) == 0, data).otherwise(kept)
+
+
+def cut_passages(text: bytes, spans: list[tuple[int, int]], least_words: int) -> tuple[str, bool]:
+    """``text`` without the spans of at least ``least_words`` words, and whether there were any.
+
+    A character of which only a part remains goes as a whole.
+    """
+    spans = [(a, b) for a, b in spans if len(text[a:b].split()) >= least_words]
+    if not spans:
+        return text.decode("utf-8", "ignore"), False
+    edges = [0, *(x for s in spans for x in s), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "ignore"), True
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated bytes gone from ``text``, and ``n_chars`` counted anew where it changed.
+def drop_passages(docs: DataFrame, length: int = PASSAGE_BYTES, gram: int = PASSAGE_GRAM, least_words: int = PASSAGE_WORDS) -> DataFrame:
+    """``docs`` without the passages of ``least_words`` words that also stand elsewhere; ``n_chars`` is counted anew where a text changed.
 
-    A character of which only a part remains goes as a whole.  Rows stay, with what is left; null texts stay null.
+    A passage is a run of bytes each of which lies in a string of ``length`` bytes that also starts
+    anywhere else.  Rows stay, with what is left; null texts stay null; further columns stay as they are.
     """
-    cut = remove_repeats(docs)
-    made = with_columns(cut, "_kept", "_text string", lambda parts: [[p.decode("utf-8", "ignore") for p in parts]])
-    changed = F.size("_spans") > 0
-    columns = {"text": F.when(changed, F.col("_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("_text").cast("long")).otherwise(F.col("n_chars"))}
-    return made.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
+    new = fresh("_cut_", docs)
+    found = repeated_spans(docs, "text", length, gram).select(F.col("tid").alias(f"{new}tid"), F.col("spans").alias(f"{new}spans"))
+    joined = docs.join(found, _text_id(F.col("text")) == F.col(f"{new}tid"), "left").drop(f"{new}tid")
+    place, at = docs.columns.index("text"), len(docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices([batch], batch.schema.names[place]):
+                made = []
+                for t, spans in zip(utf8(part.column(place)), part.column(at).to_pylist(), strict=True):
+                    made.append((None, False) if not spans else cut_passages(t, [(s["a"], s["b"]) for s in spans], least_words))
+                columns = [pa.array([m[0] if m[1] else None for m in made], pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], *columns], names=[*part.schema.names[:at], f"{new}text"])
+
+    cut = joined.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(f"{new}text", T.StringType())]))
+    left = F.col(f"{new}text")
+    columns = {"text": F.coalesce(left, F.col("text")), "n_chars": F.coalesce(F.length(left).cast("long"), F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return cut.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    made = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    removed = F.aggregate("_spans", F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"])
-    return made.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"])
+    return cut.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

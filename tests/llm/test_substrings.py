@@ -70,16 +70,41 @@ def test_removal(spark, docs, monkeypatch, hot):
     rows = rows.withColumn("n", F.monotonically_increasing_id())
     kept = {r.n: r for r in rows.collect()}
     want = dict(zip(kept, brute([(r.text or "").encode() for r in kept.values()]), strict=True))
-    got = substrings.remove_repeats(rows).select("n", "_spans", F.sha2("_kept", 256).alias("sha")).collect()
+    got = substrings.remove_repeats(rows).select("n", "spans", F.sha2("kept", 256).alias("sha")).collect()
     assert len(got) == len(want)
     for r in got:
-        assert (sum(s.b - s.a for s in r._spans), len(r._spans), r.sha) == want[r.n], kept[r.n]
-    made = substrings.drop_repeats(rows.drop("n"))
+        assert (sum(s.b - s.a for s in r.spans), len(r.spans), r.sha) == want[r.n], kept[r.n]
+    made = substrings.drop_passages(rows.drop("n"))
     assert made.columns == ["doc_id", "text", "n_chars"] and made.count() == len(want)
     for r in made.collect():
         assert r.text is None or r.n_chars == len(r.text)
 
 
+def test_passages_of_fifty_words(spark):
+    """Passages of 50 words leave every text they stand in, shorter repeats stay, and further columns do not clash."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(4000)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passages, short = [prose(n) for n in (51, 60, 120)], prose(40)
+    texts = {i: prose(150) for i in range(20)}
+    for i, p in enumerate(passages * 2):
+        texts[i] = f"{prose(70)} {p} {prose(30)}" if i % 2 else f"{p} {prose(30)}"
+    for i in (10, 11):
+        texts[i] = f"{prose(60)} {short} {prose(60)}"
+    docs = spark.createDataFrame([(i, t, len(t), "a", "b", "c") for i, t in texts.items()], "doc_id long, text string, n_chars long, spans string, kept string, _cut_text string")
+    made = substrings.drop_passages(docs)
+    assert made.columns == docs.columns
+    got = {r.doc_id: r for r in made.collect()}
+    for i, t in texts.items():
+        if i < 6:
+            inside = " ".join(passages[i % 3].split()[1:-1])
+            assert inside in t and inside not in got[i].text and len(got[i].text) > 150 and got[i].n_chars == len(got[i].text)
+        else:
+            assert got[i].text == t
+    with pytest.raises(ValueError, match="kept"):
+        substrings.remove_repeats(docs)
+
+
 def test_empty(empty):
-    assert substrings.remove_repeats(empty).count() == 0
-    assert substrings.drop_repeats(empty).columns == empty.columns
+    assert substrings.remove_repeats(empty.drop("kept")).count() == 0
+    assert substrings.drop_passages(empty).columns == empty.columns and substrings.drop_passages(empty).count() == 0
