@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from nodelytics.llm import decontaminate, lexicon, quality, simhash, substrings
-from nodelytics.llm.common import stash, table
+from nodelytics.llm.common import release, scratch, stash, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of long strings that occur elsewhere; rows stay, with what is left."""
-    return substrings.drop_repeats(docs)
+    """Texts without passages of 50 words or more that also stand elsewhere; rows stay, with what is left."""
+    return substrings.drop_passages(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage and its predecessor left in the shared folder goes when its output is written."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stash(docs, "stage")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch():
+            made = stash(stage(spark, docs, sf_dir), "stage", keep=True)
+        if i:
+            release(docs)
+        docs = made
+    return STAGES[-1][1](spark, docs, sf_dir)
