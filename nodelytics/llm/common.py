@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -34,17 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
 _scratch: list[list[DataFrame]] = []
 
 
-def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def stash(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 
     The write is committed by Spark's own protocol, so a lost executor costs a
     task, not the data.  Column types that Parquet cannot hold are the caller's concern.
-    ``keep``: the table outlives the innermost ``scratch`` block.
+    ``keep``: the table outlives the innermost ``scratch`` block.  ``options``: the writer's.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/nodelytics-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    made = spark.read.schema(df.schema).parquet(path)
+    return stash_all([df], name, keep, **options)
+
+
+def stash_all(frames: Iterable[DataFrame], name: str, keep: bool = False, **options: str) -> DataFrame:
+    """The rows of all ``frames``, which are of one schema, in one table; each is written before the next is asked for."""
+    path = None
+    for df in frames:
+        path = path or f"{shared_dir(df.sparkSession)}/nodelytics-{name}-{uuid.uuid4().hex}"
+        df.write.mode("append").options(**options).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
     made.stash_path = path
     open_blocks = _scratch[:-1] if keep else _scratch
     if open_blocks:
