@@ -128,7 +128,7 @@ def _ipv6(addresses: pd.Series) -> pd.Series:
             return None
         return str(a.ipv4_mapped or a)
 
-    return addresses.map(one)
+    return addresses.map({a: one(a) for a in addresses.unique()})
 
 
 def canonical_ip(c: Column) -> Column:

@@ -7,6 +7,7 @@ batches as they come and never holds a key's rows together, so a key may be of a
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Sequence
 
@@ -103,7 +104,9 @@ def _decayed(marked: DataFrame, n_scope: int, alpha: float, ratio: float, prune:
                 at = np.array([slot[k] for k, _ in seen], np.int64)
                 means[at] += alpha * np.array([v for _, v in seen], np.float64)
                 live[at] = True
-                live &= means >= prune
+                small = means < prune
+                small[at] = False  # a key that is seen stays, however small its mean
+                live &= ~small
                 means[~live] = 0
                 ranked = np.where(live, means, -np.inf)
                 best, second = None, None
@@ -172,7 +175,7 @@ def ewma_dominant(df: DataFrame, scope: Sequence[str], snapshot: str, key: str,
         now, mean = state["now"], state["mean"]
         if now is not None:
             mean = own[0] if own else mean * (1 - alpha)
-            mean = None if mean is None or mean < prune else mean
+            mean = None if mean is None or own is None and mean < prune else mean
         best, greatest = top[0]
         if now is None or mean is None or greatest > ratio * mean:
             state["switches"] += now is not None and now != best
@@ -243,24 +246,47 @@ def lifecycle(df: DataFrame, by: Sequence[str], order: Sequence[str], stage: str
     return ordered_fold(df, by, order, dict, step, [T.StructField("completed", T.BooleanType()), T.StructField("duration_s", T.DoubleType())])
 
 
+class TtlMembers:
+    """Members with their last sight, and a heap of sights by time and member, in which older sights of a member are stale."""
+
+    def __init__(self, ttl_us: int, capacity: int, seen: dict | None = None):
+        self.ttl, self.capacity = ttl_us, capacity
+        self.seen = dict(seen or {})
+        self._heap = [self._sight(t, k) for k, t in self.seen.items()]
+        heapq.heapify(self._heap)
+
+    @staticmethod
+    def _sight(time: int, member) -> tuple:
+        return time, member is None, "" if member is None else member, member
+
+    def _oldest(self) -> tuple | None:
+        while self._heap and self.seen.get(self._heap[0][-1]) != self._heap[0][0]:
+            heapq.heappop(self._heap)
+        return self._heap[0] if self._heap else None
+
+    def touch(self, member, now: int) -> tuple[bool, int, int, int]:
+        """Whether the member was added, how many were expired and how many dropped, and the size after it."""
+        expired = dropped = 0
+        while (old := self._oldest()) and now - old[0] > self.ttl:
+            del self.seen[old[-1]]
+            expired += 1
+        added = member not in self.seen
+        self.seen[member] = now
+        heapq.heappush(self._heap, self._sight(now, member))
+        while len(self.seen) > self.capacity:
+            del self.seen[self._oldest()[-1]]
+            dropped += 1
+        return added, expired, dropped, len(self.seen)
+
+
 def ttl_set(df: DataFrame, by: Sequence[str], order: Sequence[str], key: str, ts_us: str, ttl_s: int, capacity: int) -> DataFrame:
     """A bounded set of keys: expire first, then touch or add, then drop the least recently seen while over capacity.
 
     Per row: whether the key was added, how many were expired and how many dropped, and the size after it.
     """
 
-    def step(seen: dict, row):
-        now, k = getattr(row, ts_us), getattr(row, key)
-        gone = [x for x, t in seen.items() if now - t > ttl_s * 1_000_000]
-        for x in gone:
-            del seen[x]
-        added = k not in seen
-        seen[k] = now
-        dropped = 0
-        while len(seen) > capacity:
-            del seen[min(seen, key=lambda x: (seen[x], x))]
-            dropped += 1
-        return (added, len(gone), dropped, len(seen))
+    def step(seen: TtlMembers, row):
+        return seen.touch(getattr(row, key), getattr(row, ts_us))
 
     out = [("added", T.BooleanType()), ("expired", T.LongType()), ("dropped", T.LongType()), ("size", T.LongType())]
-    return ordered_fold(df, by, order, dict, step, [T.StructField(n, t) for n, t in out])
+    return ordered_fold(df, by, order, lambda: TtlMembers(ttl_s * 1_000_000, capacity), step, [T.StructField(n, t) for n, t in out])

@@ -33,10 +33,26 @@ def expand_truncated(df: DataFrame, column: str, registry: DataFrame, full: str,
     return df.join(sent(unique), F.col(column) == F.col("_t"), "left").drop("_t")
 
 
+def _buckets(ts: Column, low: int, high: int) -> Column:
+    """The time buckets, as wide as the interval, that ``[ts + low, ts + high]`` touches: two at most."""
+    width = max(1, high - low)
+    return F.array_distinct(F.array(F.floor((ts + low) / width), F.floor((ts + high) / width)))
+
+
+def within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, low_s: float, high_s: float) -> DataFrame:
+    """Pairs of equal keys whose right time is ``low_s`` to ``high_s`` seconds after the left one.
+
+    The rows of a key meet only in common time buckets, so a busy key is spread over time and its pairs stay near those wanted.
+    """
+    low, high = round(low_s * 1_000_000), round(high_s * 1_000_000)
+    a = left.withColumn("_b", F.explode(_buckets(micros(left_ts), low, high)))
+    b = right.withColumn("_b", F.floor(micros(right_ts) / max(1, high - low)))
+    return a.join(b, [*keys, "_b"]).filter((micros(right_ts) - micros(left_ts)).between(low, high)).drop("_b")
+
+
 def correlate(requests: DataFrame, replies: DataFrame, keys: Sequence[str], request_ts: str, reply_ts: str, within_s: int) -> DataFrame:
     """Replies not before their request and within the time, with the delay in seconds."""
-    delay = micros(reply_ts) - micros(request_ts)
-    return requests.join(replies, list(keys)).filter((delay >= 0) & (delay <= within_s * 1_000_000)).withColumn("delay_s", delay / 1e6)
+    return within(requests, replies, keys, request_ts, reply_ts, 0, within_s).withColumn("delay_s", (micros(reply_ts) - micros(request_ts)) / 1e6)
 
 
 def reply_outcomes(requests: DataFrame, replies: DataFrame, keys: Sequence[str], loose: Sequence[str], source: str, request_ts: str, reply_ts: str, reply_id: str, within_s: int) -> DataFrame:
@@ -57,10 +73,11 @@ def reply_outcomes(requests: DataFrame, replies: DataFrame, keys: Sequence[str],
 
 def unanswered(requests: DataFrame, replies: DataFrame, keys: Sequence[str], request_ts: str, reply_ts: str, within_s: int, as_of: Column) -> DataFrame:
     """Requests older than the time at ``as_of`` without a reply inside it."""
-    old = requests.filter(micros(as_of) - micros(request_ts) > within_s * 1_000_000)
+    high = within_s * 1_000_000
+    old = requests.filter(micros(as_of) - micros(request_ts) > high)
     r = replies.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col(reply_ts).alias("_r_ts"))
-    delay = micros("_r_ts") - micros(request_ts)
-    match = (delay >= 0) & (delay <= within_s * 1_000_000)
+    r = r.withColumn("_r_b", F.explode(_buckets(micros("_r_ts"), -high, 0)))
+    match = (micros("_r_ts") - micros(request_ts)).between(0, high) & (F.floor(micros(request_ts) / max(1, high)) == F.col("_r_b"))
     for k in keys:
         match = match & (F.col(k) == F.col(f"_r_{k}"))
     return old.join(r, match, "left_anti")
@@ -76,7 +93,8 @@ def band_pair(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
 
 
 def match_generations(a: DataFrame, b: DataFrame, keys: Sequence[str], a_ts: str, b_ts: str, skew_s: int) -> DataFrame:
-    return a.join(b, list(keys)).filter(F.abs(micros(a_ts) - micros(b_ts)) <= skew_s * 1_000_000)
+    """Pairs of equal keys at most ``skew_s`` seconds apart."""
+    return within(a, b, keys, a_ts, b_ts, -skew_s, skew_s)
 
 
 def count_semi(df: DataFrame, eligible: DataFrame, key: Sequence[str], by: Sequence[str]) -> DataFrame:

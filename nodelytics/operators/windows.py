@@ -133,12 +133,41 @@ def lags(df: DataFrame, head: str, others: Sequence[str]) -> DataFrame:
     return df.withColumns({f"{head}_minus_{c}": F.col(head) - F.col(c) for c in others})
 
 
+#: Snapshots in a block of ``ewma``: powers over a block stay far inside the range of a double.
+EWMA_BLOCK = 256
+
+
 def ewma(df: DataFrame, scope: Sequence[str], key: str, idx: str, value: str, alpha: float) -> DataFrame:
     """Exponentially weighted mean per key at each of its snapshots: absent snapshots count as zero.
 
-    Closed form: the weighted sum of the values so far, scaled by powers of the distance to the scope's first index.
+    Closed form in blocks of ``EWMA_BLOCK`` snapshots: within a block the weighted sum so far, scaled
+    by powers of the distance to the block's start; before it, the decayed sums of the two blocks in
+    which the key was seen last (older ones are below the resolution of a double).  For a mean that
+    starts anew after a gap, let the epoch of ``snapshot_index`` be part of the scope.
     """
     keep = 1.0 - alpha
-    scaled = F.col(value) * alpha * F.pow(F.lit(1 / keep), F.col(idx).cast("double"))
-    w = _over([*scope, key], [idx]).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("ewma", F.sum(scaled).over(w) * F.pow(F.lit(keep), F.col(idx).cast("double")))
+    at, by = F.col(idx).cast("long"), [*scope, key]
+    rows = df.withColumn("_block", F.floor(at / EWMA_BLOCK)).withColumn("_in", F.pmod(at, F.lit(EWMA_BLOCK)).cast("double"))
+    scaled = F.col(value) * alpha * F.pow(F.lit(1 / keep), F.col("_in"))
+    w = Window.partitionBy(*by, "_block").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", F.sum(scaled).over(w) * F.pow(F.lit(keep), F.col("_in")))
+    # of each block: the mean at its last snapshot, were there no block before it
+    ends = rows.groupBy(*by, "_block").agg((F.sum(scaled) * keep ** (EWMA_BLOCK - 1)).alias("_end"))
+    order = Window.partitionBy(*by).orderBy("_block")
+
+    def carried(n: int) -> Column:
+        steps = (F.col("_block") - F.lag("_block", n).over(order) - 1) * EWMA_BLOCK
+        return F.coalesce(F.lag("_end", n).over(order) * F.pow(F.lit(keep), steps.cast("double")), F.lit(0.0))
+
+    before = ends.withColumn("_before", carried(1) + carried(2)).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_block").alias("_b"), "_before")
+    same = F.col("_block") == F.col("_b")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    joined = rows.join(before, same).withColumn("ewma", F.col("_own") + F.col("_before") * F.pow(F.lit(keep), F.col("_in") + 1))
+    return joined.select(*df.columns, "ewma")
+
+
+def retire_idle(df: DataFrame, by: Sequence[str], ts: str, as_of: Column, idle_s: int) -> DataFrame:
+    """Rows of the keys that were seen within the time before ``as_of``; keys idle for longer are retired with all their rows."""
+    last = df.groupBy(*by).agg(F.max(ts).alias("_last")).filter(micros(as_of) - micros("_last") <= idle_s * 1_000_000)
+    return df.join(last.drop("_last"), list(by), "left_semi")

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
+from ..operators.folds import TtlMembers
 from ..operators.joins import sent
 
 OUT = "key string, us long, added boolean, expired long, dropped long, size long"
@@ -100,20 +101,6 @@ def correlate(requests: DataFrame, replies: DataFrame, keys: Sequence[str], requ
     return a.join(b, match, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _touch(seen: dict, member, us: int, ttl: int, capacity: int) -> tuple[bool, int, int, int]:
-    """Whether the member was added, how many were expired and how many dropped, and the size after it."""
-    gone = [x for x, t in seen.items() if us - t > ttl]
-    for x in gone:
-        del seen[x]
-    added = member not in seen
-    seen[member] = us
-    dropped = 0
-    while len(seen) > capacity:
-        del seen[min(seen, key=lambda x: (seen[x], x))]
-        dropped += 1
-    return added, len(gone), dropped, len(seen)
-
-
 class TtlSet(StatefulProcessor):
     """Keys with their last sight: expire, touch or add, then drop the least recently seen over capacity."""
 
@@ -124,17 +111,16 @@ class TtlSet(StatefulProcessor):
         self.seen = handle.getMapState("seen", "member string", "us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        seen = {k[0]: v[0] for k, v in self.seen.iterator()}
+        before = {k[0]: v[0] for k, v in self.seen.iterator()}  # at most ``capacity``
+        members = TtlMembers(self.ttl, self.capacity, before)
         for pdf in in_order(rows, ["us", "seq"]):
-            out = []
-            for row in pdf.itertuples(index=False):
-                out.append((str(key[0]), row.us, *_touch(seen, row.member, row.us, self.ttl, self.capacity)))
+            out = [(str(key[0]), row.us, *members.touch(row.member, row.us)) for row in pdf.itertuples(index=False)]
             yield pd.DataFrame(out, columns=["key", "us", "added", "expired", "dropped", "size"])
-        for k, _ in list(self.seen.iterator()):
-            if k[0] not in seen:
-                self.seen.removeKey(k)
-        for member, us in seen.items():
-            self.seen.updateValue((member,), (us,))
+        for member in before.keys() - members.seen.keys():
+            self.seen.removeKey((member,))
+        for member, us in members.seen.items():
+            if before.get(member) != us:  # only what changed is written
+                self.seen.updateValue((member,), (us,))
 
     def close(self) -> None:
         pass
@@ -153,21 +139,23 @@ def ttl_batches(key: str, member: str, us: str, seq: str, ttl_s: int, capacity:
     """
 
     def run(batches):
-        current, seen, started = None, {}, False
+        current, held, started = None, {}, False
+        members = None
         for batch in batches:
             made = []
             for k, m, t, seed in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 if not started or k != current:
-                    made += [(current, x, u, None, None, None, None, True) for x, u in seen.items()]
-                    current, seen, started = k, {}, True
+                    made += [(current, x, u, None, None, None, None, True) for x, u in (members.seen if members else held).items()]
+                    current, held, members, started = k, {}, None, True
                 if seed:
-                    seen[m] = t
+                    held[m] = t
                 else:
-                    made.append((k, m, t, *_touch(seen, m, t, ttl_s * 1_000_000, capacity), False))
+                    members = members or TtlMembers(ttl_s * 1_000_000, capacity, held)
+                    made.append((k, m, t, *members.touch(m, t), False))
             if made:
                 yield _ttl_rows(made)
-        if seen:
-            yield _ttl_rows([(current, x, u, None, None, None, None, True) for x, u in seen.items()])
+        if left := members.seen if members else held:
+            yield _ttl_rows([(current, x, u, None, None, None, None, True) for x, u in left.items()])
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(F.col(key).cast("string").alias("key"), F.col(member).cast("string").alias("member"), F.col(us).cast("long").alias("us"), F.lit(False).alias("seed"), F.col(seq).alias("seq"))
@@ -271,6 +259,41 @@ def monotone(stream: DataFrame, key: str, seq: str, columns: Sequence[str]) -> D
     return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=Monotone(columns), outputStructType="key string, seq long, verdict string", outputMode="Append", timeMode="None")
 
 
+class RetireIdle(StatefulProcessor):
+    """The last sight of a key; once event time has passed it by ``idle_s`` seconds, the key comes out and its state goes."""
+
+    def __init__(self, idle_s: int):
+        self.idle_ms = idle_s * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        before = self.last.get()[0] if self.last.exists() else None
+        newest = max((int(pdf["us"].max()) for pdf in rows), default=before)
+        if before is None or newest > before:
+            if before is not None:
+                self.handle.deleteTimer(before // 1000 + self.idle_ms)
+            self.last.update((newest,))
+            self.handle.registerTimer(newest // 1000 + self.idle_ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0]
+        self.last.clear()
+        yield pd.DataFrame({"key": [str(key[0])], "last_us": [last]})
+
+    def close(self) -> None:
+        pass
+
+
+def retire_idle(stream: DataFrame, key: str, ts: str, idle_s: int, delay: str) -> DataFrame:
+    """``(key, last_us)`` of each key at the end of its idle time; nothing is kept of a retired key."""
+    rows = stream.withWatermark(ts, delay).select(F.col(key).cast("string").alias("key"), F.unix_micros(ts).alias("us"), F.col(ts).alias("ts"))
+    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=RetireIdle(idle_s), outputStructType="key string, last_us long", outputMode="Append", timeMode="EventTime")
+
+
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append", sink: Callable | None = None):
     """Run a stream over what is there and end; into a memory table, or through ``sink(batch, id)``."""
     writer = df.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
