@@ -45,7 +45,9 @@ def vocab(t):
 def json_validate(t):
     rows = t("events").select(json.req(json.record(F.col("props")), "$.k", "int").alias("k"))
     checked = validation.validate(rows, [("decode", "missing_k", F.col("k").isNull()), ("range", "below_10", F.col("k") < 10), ("accepted", "seventh", F.col("k") % 7 == 0)])
-    return checked.groupBy(F.coalesce("reject.stage", F.lit("accepted")).alias("stage"), F.coalesce("reject.reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    good, rejects = validation.split_rejects(checked)
+    accepted = good.agg(F.lit("accepted").alias("stage"), F.lit("ok").alias("reason"), F.count(F.lit(1)).alias("n")).filter("n > 0")
+    return validation.reject_counts(rejects).unionByName(accepted)
 
 
 @query("explicit_histogram_value", _histogram_sql(BOUNDS, "value", "SELECT event_type, value FROM events WHERE value IS NOT NULL", "event_type"))
@@ -96,10 +98,7 @@ def unique_seen(t):
     events = t("events")
     as_of = events.agg(F.max("ts").alias("as_of"))  # one row
     rows = events.join(F.broadcast(as_of))
-    last = rows.groupBy("event_type", "user_id", "as_of").agg(F.max("ts").alias("last"))
-    age = W.micros("as_of") - W.micros("last")
-    day = 86_400_000_000
-    return last.groupBy("event_type").agg(*[F.sum((age <= d * day).cast("long")).alias(f"d{d}") for d in (1, 7, 30)])
+    return A.unique_seen(rows, ["event_type", "as_of"], "user_id", "ts", F.col("as_of"), {f"d{d}": d * 86_400 for d in (1, 7, 30)}).drop("as_of")
 
 
 @query("inter_arrival", "SELECT event_id, user_id, CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) / 1000.0 AS gap_ms FROM events")

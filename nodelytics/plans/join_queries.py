@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import fresh
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import windows as W
@@ -92,10 +93,11 @@ def asof(t):
     return J.asof(views, purchases, ["user_id"], "ts", "ts", "p_id", "purchase_id").select("event_id", "purchase_id")
 
 
-@query("fresh_targets", "SELECT s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey IN (1, 2, 3) ORDER BY s_acctbal DESC, s_suppkey LIMIT 10")
+@query("fresh_targets", "SELECT s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey BETWEEN 1 AND 10 ORDER BY s_acctbal DESC, s_suppkey LIMIT 10")
 def targets(t):
-    profiles = t("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
-    return J.select_targets(t("supplier"), profiles, "s_nationkey", F.col("n_regionkey").isin(1, 2, 3), [F.desc("s_acctbal"), F.col("s_suppkey")], 10).select("s_suppkey", "s_name")
+    as_of = F.lit("2024-01-01").cast("timestamp")
+    profiles = t("nation").select(F.col("n_nationkey").alias("s_nationkey"), (as_of - F.make_dt_interval(mins=F.col("n_nationkey") - 1) + F.make_dt_interval(secs=F.when(F.col("n_nationkey") == 0, 30).otherwise(0))).alias("seen"))
+    return J.select_targets(t("supplier"), profiles, "s_nationkey", fresh(F.col("seen"), as_of, 540), [F.desc("s_acctbal"), F.col("s_suppkey")], 10).select("s_suppkey", "s_name")
 
 
 _ALIAS = "SELECT c_nationkey AS g, CASE WHEN c_custkey % 2 = 0 THEN '0x' || lpad(CAST(c_custkey % 90 AS VARCHAR), 40, '0') ELSE '0x0000..' || lpad(CAST(c_custkey % 90 AS VARCHAR), 4, '0') END AS a FROM customer"

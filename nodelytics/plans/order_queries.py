@@ -38,8 +38,7 @@ def rollup(t):
 
 @query("weighted_discount", "SELECT l_returnflag, round(coalesce(CAST(sum(CAST(l_discount AS DECIMAL(18,2)) * CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / nullif(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE), 0), 0), 9) AS mean_discount FROM lineitem WHERE l_extendedprice > 0 GROUP BY 1")
 def weighted(t):
-    total = F.sum(F.when(F.col("l_extendedprice") > 0, cents("l_discount") * cents("l_extendedprice"))).cast("double")
-    return t("lineitem").groupBy("l_returnflag").agg(F.round(F.coalesce(total / F.nullif(F.sum(F.when(F.col("l_extendedprice") > 0, cents("l_extendedprice"))).cast("double"), F.lit(0.0)), F.lit(0.0)), 9).alias("mean_discount"))
+    return t("lineitem").groupBy("l_returnflag").agg(F.round(A.weighted_mean(cents("l_discount").cast("double"), cents("l_extendedprice").cast("double")), 9).alias("mean_discount"))
 
 
 @query("outcome_relation", "SELECT relation, count(*) AS n FROM (SELECT CASE WHEN count(l_orderkey) < 4 THEN 'fewer' WHEN count(l_orderkey) > 4 THEN 'more' ELSE 'equal' END AS relation FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey) GROUP BY 1")

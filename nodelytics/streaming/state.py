@@ -279,7 +279,7 @@ class RetireIdle(StatefulProcessor):
             self.handle.registerTimer(newest // 1000 + self.idle_ms)
         yield from ()
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0]
         self.last.clear()
         yield pd.DataFrame({"key": [str(key[0])], "last_us": [last]})
