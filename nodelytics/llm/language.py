@@ -4,8 +4,10 @@ Each language has a byte context tree of variable order (0 to 3).  At a context
 its count over (total + distinct), and the escape, distinct over (total + distinct), leads to the
 next shorter context; below order 0 all 256 bytes are equal.  Statistics are frozen after the fit,
 so the code length of a text under a language is exact and does not depend on other texts; the
-shortest code wins.  For speed the trees are one table of code lengths: a row for each kept
-context, a column for each byte.
+shortest code wins.  For speed the frequent contexts of all languages are one table of code lengths,
+a row for each context and a column for each byte; at the few places where a text stands in one of
+the other, rare contexts, their counts are looked up in sorted lists and the same formula is applied.
+No context is dropped.
 
 The trees are fitted on a sample of bounded size (``FIT_DOCS`` documents a language, by a hash of
 the id).  A null text, or one without a letter, is ``und`` with score 0; the score of others is the
@@ -27,7 +29,7 @@ from .common import slices, table, utf8, with_columns
 ORDER = 3
 #: Documents a language that the fit reads, about (whole texts).
 FIT_DOCS = 1500
-#: Contexts of two and three bytes that are kept (the most frequent ones), and bytes of the code table.
+#: Contexts of two and three bytes that have rows in the code table (the most frequent ones), and bytes of it; the others are looked up.
 CONTEXTS = 12_000
 TABLE_BYTES = 40 << 20
 UND = "und"
@@ -110,9 +112,39 @@ class Model:
                 last = found
         self.cost = np.ascontiguousarray(cost.transpose(0, 2, 1).reshape(self.rows * width, len(langs)), np.float32)
         self._first, self._kept = first, kept
+        #: Rare contexts by order, and per order and language their counts: contexts, totals, distinct bytes; and (context, byte), count.
+        self._rare = {2: np.setdiff1d(np.unique(every >> 8 & 0xFFFF), two), 3: np.setdiff1d(np.unique(every >> 8), three)}
+        self._lists = {order: [self._counts(*grams[lang], order) for lang in langs] for order in (2, 3)}
+
+    def _counts(self, g: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, ...]:
+        """Sorted lists of a language's counts at the rare contexts of an order."""
+        part = g & ((1 << 8 * (order + 1)) - 1)
+        mine = np.isin(part >> 8, self._rare[order])
+        keys, at = np.unique(part[mine], return_inverse=True)
+        count = np.bincount(at, n[mine], len(keys)) if len(keys) else np.zeros(0)
+        contexts, first, distinct = np.unique(keys >> 8, return_index=True, return_counts=True)
+        total = np.add.reduceat(count, first) if len(keys) else np.zeros(0)
+        return contexts, total, distinct, keys, count
+
+    def rare_bits(self, row: np.ndarray, history: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Bits of bytes in rare contexts, summed per language, from the rows of their longest frequent contexts."""
+        p = np.exp2(-self.cost[row * self.width + self.column[byte]].astype(np.float64))
+        for order in (2, 3):
+            context = history & ((1 << 8 * order) - 1)
+            rare = np.isin(context, self._rare[order])
+            for k, (contexts, total, distinct, keys, count) in enumerate(self._lists[order]):
+                at = np.searchsorted(contexts, context)
+                live = np.flatnonzero(rare & (at < len(contexts)))
+                live = live[contexts[at[live]] == context[live]]
+                t, d = total[at[live]], distinct[at[live]]
+                key = context[live] << 8 | byte[live]
+                place = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+                found = keys[place] == key if len(keys) else np.zeros(len(key), bool)
+                p[live, k] = np.where(found, count[place] / (t + d), d / (t + d) * p[live, k]) if len(live) else p[live, k]
+        return -np.log2(p).sum(0)
 
     def lookup(self) -> np.ndarray:
-        """The row of each history of three byte columns: its longest kept suffix."""
+        """The row of each history of three byte columns: its longest suffix in the table; less than 0, by one, where a rare context is longer."""
         w = self.width
         c = self.column
         out = np.zeros((w, w, w), np.int32)  # histories oldest first
@@ -120,7 +152,11 @@ class Model:
             out[:, :, c[x]] = self._first[1] + np.searchsorted(self._kept[1], x)
         for i, x in enumerate(self._kept[2].tolist()):
             out[:, c[x >> 8], c[x & 255]] = self._first[2] + i
-        three = self._kept[3]
+        for x in self._rare[2].tolist():
+            out[:, c[x >> 8], c[x & 255]] = -1 - out[:, c[x >> 8], c[x & 255]]
+        three, rare = self._kept[3], self._rare[3]
+        at = c[rare >> 16], c[rare >> 8 & 255], c[rare & 255]
+        out[at] = np.minimum(out[at], -1 - out[at])
         out[c[three >> 16], c[three >> 8 & 255], c[three & 255]] = self._first[3] + np.arange(len(three))
         return out.reshape(-1)
 
@@ -134,12 +170,19 @@ def _frequent(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 def code_lengths(model: Model, rows: np.ndarray, text: bytes) -> np.ndarray:
     """Bits of the whole text under each language."""
     total = np.zeros(len(model.langs))
-    c = model.column[np.frombuffer(b"\0\0\0" + text, np.uint8)]
+    data = np.frombuffer(b"\0\0\0" + text, np.uint8)
+    c = model.column[data]
     w = model.width
     for lo in range(0, len(c) - 3, _SLAB):
         x = c[lo : lo + _SLAB + 3]
-        row = rows[(x[:-3] * w + x[1:-2]) * w + x[2:-1]]
-        total += model.cost[row.astype(np.int64) * w + x[3:]].sum(0, dtype=np.float64)
+        row = rows[(x[:-3] * w + x[1:-2]) * w + x[2:-1]].astype(np.int64)
+        rare = np.flatnonzero(row < 0)
+        if len(rare):
+            d = data[lo : lo + _SLAB + 3].astype(np.int64)
+            total += model.rare_bits(-1 - row[rare], d[rare] << 16 | d[rare + 1] << 8 | d[rare + 2], d[rare + 3])
+            keep = row >= 0
+            row, x = row[keep], np.concatenate((x[:3], x[3:][keep]))
+        total += model.cost[row * w + x[3:]].sum(0, dtype=np.float64)
     return total
 
 

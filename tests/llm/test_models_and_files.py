@@ -49,18 +49,15 @@ def test_files(spark, docs, empty, tmp_path, monkeypatch):
         assert token_files.read(spark, str(tmp_path / name)).count() == rows.count()
 
 
-def brute_bits(grams, text, order=3, contexts=None):
-    """Code length of a text by the trees' definition, with the contexts that the model keeps."""
+def brute_bits(grams, text, order=3):
+    """Code length of a text by the trees' definition."""
     total = 0.0
     data = b"\0\0\0" + text
     for i in range(3, len(data)):
         hist, byte = data[i - 3 : i], data[i]
         p, chain = 1 / 256, []
         for k in range(order + 1):
-            context = hist[3 - k :]
-            if k and context not in contexts[k]:
-                break
-            chain.append(grams[k].get(context, {}))
+            chain.append(grams[k].get(hist[3 - k :], {}))
         for node in chain:
             n, d = sum(node.values()), len(node)
             if n:
@@ -69,7 +66,9 @@ def brute_bits(grams, text, order=3, contexts=None):
     return total
 
 
-def test_code_lengths_are_exact():
+@pytest.mark.parametrize("rows_for", [0, 12, 10_000])
+def test_code_lengths_are_exact(rows_for):
+    """However few contexts have rows in the table."""
     texts = {"x": b"abracadabra abacus", "y": b"zebra zoo zebra"}
     grams, counted = {}, {}
     for lang, t in texts.items():
@@ -82,13 +81,13 @@ def test_code_lengths_are_exact():
             for k in range(4):
                 node = counted[lang][k].setdefault(h[3 - k :], {})
                 node[b] = node.get(b, 0) + m
-    model = language.Model(["x", "y"], grams, contexts=12)
-    kept = [set(), {bytes([x]) for x in model._kept[1].tolist()}, {int(x).to_bytes(2, "big") for x in model._kept[2]}, {int(x).to_bytes(3, "big") for x in model._kept[3]}]
+    model = language.Model(["x", "y"], grams, contexts=rows_for)
+    assert len(model._rare[3]) > 0 or rows_for > 12
     rows = model.lookup()
-    for text in (b"abra zoo", b"qq!a", b"abacus\xff"):
+    for text in (b"abra zoo", b"qq!a", b"abacus\xff", b"", texts["x"] + texts["y"], b"cadabra zebra\xfe zoo abr"):
         got = language.code_lengths(model, rows, text)
         for k, lang in enumerate(model.langs):
-            assert abs(got[k] - brute_bits(counted[lang], text, contexts=kept)) < 1e-3
+            assert abs(got[k] - brute_bits(counted[lang], text)) < 1e-3
 
 
 def test_language(spark, empty):
@@ -129,6 +128,45 @@ def test_toxicity(spark, empty):
     assert toxicity.predict(empty.select("doc_id", "text"), toxicity.fit(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int"))).count() == 0
 
 
+def test_loss_and_gradient_by_brute_force():
+    """The loss from its definition, and the gradient against differences of it."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(40, 5)), rng.integers(0, toxicity.GRADES + 1, 40)
+    w, gaps = rng.normal(size=5), np.array([-0.4, 0.2, -0.7])
+
+    def plain(w, gaps):
+        edges = [gaps[0], gaps[0] + np.exp(gaps[1]), gaps[0] + np.exp(gaps[1]) + np.exp(gaps[2])]
+        total = 0.0
+        for row, grade in zip(x, y, strict=True):
+            at_least = [1.0, *(1 / (1 + np.exp(t - sum(a * b for a, b in zip(row, w, strict=True)))) for t in edges), 0.0]
+            total -= np.log(at_least[grade] - at_least[grade + 1])
+        return total / len(y)
+
+    loss, g_w, g_gap = toxicity._loss(x, y, w, gaps)
+    assert loss == pytest.approx(plain(w, gaps))
+    step = 1e-6
+    for i in range(5):
+        e = np.eye(5)[i] * step
+        assert g_w[i] == pytest.approx((plain(w + e, gaps) - plain(w - e, gaps)) / (2 * step), abs=1e-6)
+    for i in range(3):
+        e = np.eye(3)[i] * step
+        assert g_gap[i] == pytest.approx((plain(w, gaps + e) - plain(w, gaps - e)) / (2 * step), abs=1e-6)
+    found, thresholds = toxicity._descend(x, y)
+    assert np.all(np.diff(thresholds) > 0)
+    gaps = np.concatenate((thresholds[:1], np.log(np.diff(thresholds))))
+    least = plain(found, gaps) + toxicity.LASSO * np.abs(found).sum()
+    for _ in range(30):  # no point near it is better
+        assert least <= plain(found + rng.normal(size=5) * 0.02, gaps + rng.normal(size=3) * 0.02) + 1e-3
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a", 0.5, 1)], "doc_id long, text string, score double, grade int")
+    with pytest.raises(ValueError, match="score"):
+        language.predict(docs, language.Model([], {}))
+    with pytest.raises(ValueError, match="grade"):
+        toxicity.predict(docs, toxicity.Model({}, [1.0] * 3))
+
+
 def test_pipeline(spark, tmp_path):
     import hashlib
 

@@ -166,7 +166,7 @@ def brute_contamination(texts, items):
                 for i in range(len(words) - len(w) + 1):
                     if words[i : i + len(w)] == w:
                         hit.update(range(i, i + len(w)))
-                        named.add(str(item))
+                        named |= set() if item is None else {str(item)}
         out.append((len(words), len(hit), sorted(named)))
     return out
 
@@ -175,8 +175,7 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     few = docs.filter("doc_id is null or doc_id < 82")
     texts = {r.doc_id: r.text for r in few.collect() if r.doc_id is not None}
     items = [(1, texts[7][:200]), (2, "Two Words"), (3, ""), (4, None), (5, "12"), (6, texts[3].upper()), (7, "never seen here"), (8, texts[7][:200]), (None, texts[9][:300])]
-    items = [i for i in items if i[0] is not None]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench = spark.createDataFrame([(*i, 7) for i in items], "item_id long, text string, doc_id int")
     want = dict(zip(texts, brute_contamination(texts.values(), items), strict=True))
     for size in (1 << 24, 300):  # one slice, many slices
         monkeypatch.setattr(decontaminate, "SLICE_BYTES", size)
@@ -192,12 +191,33 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert decontaminate.drop_contaminated(few, bench.limit(0)).count() == few.count()
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "a b c rare d e"), (2, "rare x x x x x a"), (3, None)], "doc_id long, text string")
-    number = {b"a": 0, b"rare": 1}
-    index = decontaminate.forward(docs, number, ["doc_id"])
-    got = decontaminate.proximity_hits(index, [("7", [0, 1])], 2, 4).join(index, "row").collect()
-    assert [(r.doc_id, r.item) for r in got] == [(1, "7")]
+def test_proximity(spark, monkeypatch):
+    """Against every word of every document; words of other documents do not count."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 60), p=np.arange(1, 31) / 465)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+    items = [(1, "w3 w9"), (2, "w1 W2 w1 w4"), (3, "w29"), (4, "none w3"), (5, None)]
+    monkeypatch.setattr(decontaminate, "_CANDIDATES", 7)
+    segments = decontaminate.index(docs.repartition(3), ["doc_id"])
+    hits = decontaminate.proximity_hits(segments, spark.createDataFrame(items, "item_id long, text string"), 4)
+    rows = segments.select("segment", F.posexplode("docs").alias("doc", "d")).select("segment", "doc", "d.doc_id")
+    got = sorted((r.doc_id, r.start, r.item) for r in hits.join(rows, ["segment", "doc"]).collect())
+    count = Counter(w for t in texts for w in t.split())
+    want = []
+    for item, text in items:
+        asked = sorted(set((text or "").lower().split()))
+        if not asked or not all(count[w] for w in asked):
+            continue
+        least = {w for w in asked if count[w] == min(count[x] for x in asked)}
+        assert len(least) == 1
+        for i, t in enumerate(texts):
+            ws = t.split()
+            want += [(i, p, str(item)) for p, w in enumerate(ws) if w in least and set(asked) <= set(ws[max(0, p - 4) : p + 5])]
+    assert got == sorted(want) and got
+    # the stored index serves a second benchmark
+    again = decontaminate.phrase_hits(segments, spark.createDataFrame([(7, "w3 w9")], "item_id long, text string"))
+    assert again.count() == sum(a == "w3" and b == "w9" for t in texts for a, b in zip(t.split(), t.split()[1:]))
 
 
 def test_shards(docs, empty):

@@ -23,27 +23,32 @@ def brute(texts, length=400):
     return out
 
 
-def test_order_and_prefixes():
+@pytest.mark.parametrize(("base", "piece", "memory"), [(1 << 20, 1 << 17, 4 << 20), (4, 1 << 17, 4 << 20), (4, 3, 64), (8, 7, 0)])
+def test_order_and_prefixes(monkeypatch, base, piece, memory):
+    """Against a plain sort of the suffixes: by recursion to strings of a few names, and with queues that go to disk."""
+    monkeypatch.setattr(induced, "BASE", base)
+    monkeypatch.setattr(induced, "PIECE", piece)
+    monkeypatch.setattr(induced, "QUEUE_MEMORY", memory)
     for seed in range(20):
         rng = random.Random(seed)
-        chunks = [bytes(rng.choice(b"abc" if seed % 2 else b"a") for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 9))]
+        chunks = [bytes(rng.choice(b"abc" if seed % 2 else b"a") for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 9))] + [b"ab" * 20] * (seed % 3)
         t = np.concatenate([x for c in chunks + chunks[:2] for x in (np.frombuffer(c, np.uint8).astype(np.uint16) + 1, np.zeros(1, np.uint16))])
-        text = t.tolist()
-        order = np.array(induced.suffix_order(t))
+        text, cap = t.tolist(), rng.choice([7, 1000])
+        order, prefix = induced.suffix_order(t, cap, np.flatnonzero(t == 0))
         assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
-        phi, prefix = induced.previous_prefix(t, order)
-        for a, b in zip(order.tolist(), order[1:].tolist(), strict=False):
+        for n, (a, b) in enumerate(zip(order.tolist(), order[1:].tolist(), strict=False)):
             k = 0
-            while max(a, b) + k < len(text) and text[a + k] == text[b + k] != 0:
+            while k < cap and max(a, b) + k < len(text) and text[a + k] == text[b + k] != 0:
                 k += 1
-            assert (phi[b], prefix[b]) == (a, k)
+            assert prefix[n + 1] == k
 
 
 def test_queues_spill():
     q = induced.DiskQueues(memory=64)
+    pairs = lambda i: np.column_stack((np.arange(i, i + 10), np.full(10, i))).astype(np.int32)
     for i in range(20):
-        q.push(i % 3, np.arange(i, i + 10, dtype=np.int32))
-    assert np.concatenate(list(q.take(1))).tolist() == [x for i in range(1, 20, 3) for x in range(i, i + 10)]
+        q.push(i % 3, pairs(i))
+    assert np.concatenate(list(q.take(1))).tolist() == [x for i in range(1, 20, 3) for x in pairs(i).tolist()]
     assert list(q.take(1)) == []
 
 
@@ -60,6 +65,7 @@ def test_runs_depend_on_windows_alone():
 
 @pytest.mark.parametrize("hot", [3000, 1])
 def test_removal(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(induced, "BASE", 1000)
     monkeypatch.setattr(substrings, "HOT_CHUNKS", hot)
     monkeypatch.setattr(substrings, "SHARD_BYTES", 20_000)
     rng = random.Random(2)
