@@ -1,18 +1,85 @@
 """Closed vocabularies.  All lists here are fixed values of the node's formats."""
 
-# fixed values: action types by category; types outside are "other"
-_BY_CATEGORY = {
-    "trading": "order twapOrder twapCancel cancel cancelByCloid batchModify modify scheduleCancel liquidate",
-    "transfer": "usdClassTransfer usdSend spotSend sendAsset agentSendAsset sendToEvmWithData vaultTransfer vaultDistribute subAccountTransfer subAccountSpotTransfer cDeposit cWithdraw withdraw3 spotUser",
-    "settings": "approveAgent approveBuilderFee setReferrer updateLeverage updateIsolatedMargin createSubAccount subAccountModify registerReferrer linkStakingUser setDisplayName createVault vaultModify topUpIsolatedOnlyMargin convertToMultiSigUser multiSig agentEnableDexAbstraction agentSetAbstraction userSetAbstraction userDexAbstraction authorizeAqav2Role stakingLinkDisableTradingUser userPortfolioMargin",
-    "governance": "tokenDelegate voteAppHash VoteEthDepositAction VoteEthFinalizedWithdrawalAction VoteGlobalAction SetGlobalAction CSignerAction CValidatorAction ValidatorSignWithdrawalAction NetChildVaultPositionsAction validatorL1UpdateReferenceOracle validatorL1Vote validatorL1Stream voteL1Hash l1ValidatorVoteBridgeDeposit gossipPriorityBid",
-    "rewards": "claimRewards reserveRequestWeight",
-    "evm": "evmRawTx evmUserModify evmUserSpotTransfer finalizeEvmContract",
-    "deployment": "perpDeploy spotDeploy activateOutcomeDeployer deployerSendToEvmForFrozenUser startFeeTrial reassessFees",
-    "markets": "borrowLend userOutcome hip3LiquidatorTransfer",
-    "system": "noop",
+# fixed values: action types and their categories; types outside are "other"
+ACTION_CATEGORIES = {
+    "order": "trading",
+    "twapOrder": "trading",
+    "twapCancel": "trading",
+    "cancel": "trading",
+    "cancelByCloid": "trading",
+    "batchModify": "trading",
+    "modify": "trading",
+    "scheduleCancel": "trading",
+    "liquidate": "trading",
+    "usdClassTransfer": "transfer",
+    "usdSend": "transfer",
+    "spotSend": "transfer",
+    "sendAsset": "transfer",
+    "agentSendAsset": "transfer",
+    "sendToEvmWithData": "transfer",
+    "vaultTransfer": "transfer",
+    "vaultDistribute": "transfer",
+    "subAccountTransfer": "transfer",
+    "subAccountSpotTransfer": "transfer",
+    "cDeposit": "transfer",
+    "cWithdraw": "transfer",
+    "withdraw3": "transfer",
+    "spotUser": "transfer",
+    "approveAgent": "settings",
+    "approveBuilderFee": "settings",
+    "setReferrer": "settings",
+    "updateLeverage": "settings",
+    "updateIsolatedMargin": "settings",
+    "createSubAccount": "settings",
+    "subAccountModify": "settings",
+    "registerReferrer": "settings",
+    "linkStakingUser": "settings",
+    "setDisplayName": "settings",
+    "createVault": "settings",
+    "vaultModify": "settings",
+    "topUpIsolatedOnlyMargin": "settings",
+    "convertToMultiSigUser": "settings",
+    "multiSig": "settings",
+    "agentEnableDexAbstraction": "settings",
+    "agentSetAbstraction": "settings",
+    "userSetAbstraction": "settings",
+    "userDexAbstraction": "settings",
+    "authorizeAqav2Role": "settings",
+    "stakingLinkDisableTradingUser": "settings",
+    "userPortfolioMargin": "settings",
+    "tokenDelegate": "governance",
+    "voteAppHash": "governance",
+    "VoteEthDepositAction": "governance",
+    "VoteEthFinalizedWithdrawalAction": "governance",
+    "VoteGlobalAction": "governance",
+    "SetGlobalAction": "governance",
+    "CSignerAction": "governance",
+    "CValidatorAction": "governance",
+    "ValidatorSignWithdrawalAction": "governance",
+    "NetChildVaultPositionsAction": "governance",
+    "validatorL1UpdateReferenceOracle": "governance",
+    "validatorL1Vote": "governance",
+    "validatorL1Stream": "governance",
+    "voteL1Hash": "governance",
+    "l1ValidatorVoteBridgeDeposit": "governance",
+    "gossipPriorityBid": "governance",
+    "claimRewards": "rewards",
+    "reserveRequestWeight": "rewards",
+    "evmRawTx": "evm",
+    "evmUserModify": "evm",
+    "evmUserSpotTransfer": "evm",
+    "finalizeEvmContract": "evm",
+    "perpDeploy": "deployment",
+    "spotDeploy": "deployment",
+    "activateOutcomeDeployer": "deployment",
+    "deployerSendToEvmForFrozenUser": "deployment",
+    "startFeeTrial": "deployment",
+    "reassessFees": "deployment",
+    "borrowLend": "markets",
+    "userOutcome": "markets",
+    "hip3LiquidatorTransfer": "markets",
+    "noop": "system",
 }
-ACTION_CATEGORIES = {action: category for category, actions in _BY_CATEGORY.items() for action in actions.split()}
 # fixed values: events of the pending-transaction log
 MEMPOOL_EVENTS = ["add_tx", "verify_block", "committed", "dropping blocks", "dropping txs", "handle_blocks_and_txs", "register_block unknown tx hashes", "Size stats", "Pruned rpc request throttle"]
 # fixed values: components of a size report
@@ -45,15 +112,15 @@ ACCUMULATOR_BUCKETS = ["CommittedBlocks", "CommittedTxs", "CommittedTxBytes", "D
 # fixed values: outcomes of a reachability probe
 PROBE_OUTCOMES = ["success", "timeout", "refused", "unreachable"]
 # fixed values: histogram bounds (milliseconds, counts, gwei, seconds)
-BLOCK_TIME_MS = [*range(10, 101, 10), *range(120, 301, 20), 350, 400, 450, 500, 600, 700, 800, 900, 1000, 1500, 2000]
-APPLY_MS = [0.1, 0.2, 0.5, 1, 2, 3, 5, 7, 10, 15, 20, 30, 50, 75, 100, *range(150, 251, 10), 300, 400, 500, 750, 1000, 1500, 2000, 3000, 5000, 10000]
+BLOCK_TIME_MS = [10, 20, 30, 40, 50, 60, 70, 80, 90, 100, 120, 140, 160, 180, 200, 220, 240, 260, 280, 300, 350, 400, 450, 500, 600, 700, 800, 900, 1000, 1500, 2000]
+APPLY_MS = [0.1, 0.2, 0.5, 1, 2, 3, 5, 7, 10, 15, 20, 30, 50, 75, 100, 150, 160, 170, 180, 190, 200, 210, 220, 230, 240, 250, 300, 400, 500, 750, 1000, 1500, 2000, 3000, 5000, 10000]
 ACTIONS_PER_BLOCK = [0, 1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000]
 ORDERS_PER_BLOCK = [0, 1, 2, 5, 10, 20, 50, 100, 150, 200, 250, 300, 400, 500, 750, 1000, 1500, 2000, 3000, 5000, 7500, 10000]
 OPERATIONS_PER_BLOCK = [0, 1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 3000, 5000, 7500, 10000, 15000, 20000, 30000, 50000]
-EVM_BLOCK_TIME_MS = [200, 400, 600, 800, *range(900, 1901, 100), 2000, 2200, 2500, 2800, 3200]
-EVM_TX_PER_BLOCK = [*range(13), 15, 20, 25, 30, 35, 40]
-FEE_GWEI = [0.1, 0.5, *range(1, 11), 15, 20, 25, 30, *range(40, 101, 10), 125, 150, 175, 200, 250, 300, *range(400, 1001, 100), 1500, 2000, 5000]
-CERTIFICATE_SIZE = [1, 3, 5, 7, 10, *range(13, 50, 3), 51]
+EVM_BLOCK_TIME_MS = [200, 400, 600, 800, 900, 1000, 1100, 1200, 1300, 1400, 1500, 1600, 1700, 1800, 1900, 2000, 2200, 2500, 2800, 3200]
+EVM_TX_PER_BLOCK = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 15, 20, 25, 30, 35, 40]
+FEE_GWEI = [0.1, 0.5, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 15, 20, 25, 30, 40, 50, 60, 70, 80, 90, 100, 125, 150, 175, 200, 250, 300, 400, 500, 600, 700, 800, 900, 1000, 1500, 2000, 5000]
+CERTIFICATE_SIZE = [1, 3, 5, 7, 10, 13, 16, 19, 22, 25, 28, 31, 34, 37, 40, 43, 46, 49, 51]
 ROUND_ADVANCE = [1, 2, 3, 4, 5, 10, 25, 50, 100]
 MEMPOOL_ACTIONS = [1, 2, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000]
 RECEIPT_LAG_S = [0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1, 2, 5, 10, 30, 60, 180]
