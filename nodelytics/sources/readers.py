@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,19 +51,36 @@ def split_long(lines: DataFrame, cap: int = RECORD_CAP) -> tuple[DataFrame, Data
     return lines.filter(~long), lines.filter(long).withColumns({"stage": F.lit("read"), "reason": F.lit("record_too_long")})
 
 
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """``(file_path, mtime, line_no, line, last, torn)``: a file whose lines and their newlines add up to more than its size ends without one.
+
+    Lines are read as lines, so a file may be of any size and is split over tasks; its order comes
+    from the place of its splits and the lines' places in them.
+    """
+    text = spark.read.format("text").option("lineSep", "\n").option("recursiveFileLookup", "true").load(path)
+    m = "_metadata"
+    lines = text.select(F.col(f"{m}.file_path").alias("file_path"), F.col(f"{m}.file_modification_time").alias("mtime"), F.col(f"{m}.file_size").alias("size"), F.col(f"{m}.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    # one row a split
+    blocks = lines.groupBy("file_path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.max("size").alias("size"))
+    within = Window.partitionBy("file_path")
+    before = F.sum("n").over(within.orderBy("block")) - F.col("n")
+    places = blocks.select("file_path", "block", (before - F.col("first")).alias("shift"), F.sum("n").over(within).alias("lines"), (F.sum("bytes").over(within) > F.max("size").over(within)).alias("torn"))
+    numbered = lines.join(places, ["file_path", "block"]).withColumn("line_no", F.col("at") + F.col("shift"))
+    return numbered.select("file_path", "mtime", "line_no", "line", (F.col("line_no") == F.col("lines") - 1).alias("last"), "torn")
+
+
 def torn_tails(spark: SparkSession, path: str) -> DataFrame:
     """Files whose last byte is no newline: their last line is not committed yet."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.filter((F.col("length") > 0) & (F.substring("content", -1, 1) != F.lit(b"\n"))).select(F.col("path").alias("file_path"))
+    return committed(spark, path).filter("last and torn").select("file_path")
 
 
 def drop_torn_tails(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(file_path, line_no, line)`` of committed lines, and the torn last lines as rejects."""
-    files = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(path).select(F.col("_metadata.file_path").alias("file_path"), "value")
-    rows = files.select("file_path", (~F.endswith("value", F.lit("\n"))).alias("torn"), F.size(F.split("value", "\n")).alias("n"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    last = F.col("line_no") == F.col("n") - 1
-    good = rows.filter(~last).select("file_path", "line_no", "line")
-    return good, rows.filter(last & F.col("torn")).select("file_path", "line", F.lit("read").alias("stage"), F.lit("torn_line").alias("reason"))
+    """``(file_path, line_no, line)`` of committed lines, and as rejects the torn last lines and those over the record cap."""
+    torn = F.col("last") & F.col("torn")
+    long = F.octet_length("line") > RECORD_CAP
+    rows = committed(spark, path)
+    rejects = rows.filter(torn | long).select("file_path", "line", F.lit("read").alias("stage"), F.when(torn, "torn_line").otherwise("record_too_long").alias("reason"))
+    return rows.filter(~torn & ~long).select("file_path", "line_no", "line"), rejects
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -78,17 +96,51 @@ def read_single_ints(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file_path"), F.when(n >= 0, n).alias("value"))
 
 
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, size, mtime)`` of files without their contents; Spark's scan passes over empty files, its listing does not (their time is unknown)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    names = spark.createDataFrame([(f,) for f in files.inputFiles()], "name string")
+    found = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    whole = names.join(found, _plain(F.col("name")) == _plain(F.col("path")), "left")
+    return whole.select(F.coalesce("path", "name").alias("path"), F.coalesce("size", F.lit(0)).alias("size"), "mtime")
+
+
 def file_inventory(spark: SparkSession, path: str, node_id: str) -> DataFrame:
     """Path, size and time of files; contents are not read.  Device, inode and allocation need a supplied inventory."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.lit(node_id).alias("node_id"), "path", F.lit(False).alias("is_dir"), F.lit(True).alias("is_regular"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    return _listed(spark, path).select(F.lit(node_id).alias("node_id"), "path", F.lit(False).alias("is_dir"), F.lit(True).alias("is_regular"), "size", "mtime")
 
 
 def read_file_heads(spark: SparkSession, path: str, n: int = 4096) -> DataFrame:
-    """The first bytes of each file with its state: empty, readable or truncated."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    state = F.when(F.col("length") == 0, "empty").when(F.col("length") > n, "truncated").otherwise("readable")
-    return files.select("path", F.col("modificationTime").alias("mtime"), state.alias("state"), F.decode(F.substring("content", 1, n), "ISO-8859-1").alias("head"))
+    """The first bytes of each file with its state: empty, readable or truncated.
+
+    Sizes come from the listing; of a file, the lines of its first split are read until there are enough bytes.
+    """
+    text = spark.read.format("text").option("lineSep", "\n").option("recursiveFileLookup", "true").load(path)
+    first = text.filter("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("file"), F.substring(F.encode("value", "utf-8"), 1, n).alias("line"))
+
+    def run(batches):
+        file, head = None, b""
+        for batch in batches:
+            done = []
+            for f, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if f != file:
+                    done += [(file, head)] if file is not None else []
+                    file, head = f, b""
+                if len(head) < n:
+                    head += line + b"\n"
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.binary())], names=["file", "bytes"])
+        if file is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([file], pa.string()), pa.array([head], pa.binary())], names=["file", "bytes"])
+
+    heads = first.mapInArrow(run, "file string, bytes binary")
+    state = F.when(F.col("size") == 0, "empty").when(F.col("size") > n, "truncated").otherwise("readable")
+    taken = F.least(F.lit(n).cast("long"), F.col("size")).cast("int")
+    head = F.decode(F.substring("bytes", F.lit(1), taken), "ISO-8859-1")
+    return _listed(spark, path).join(heads, _plain(F.col("path")) == _plain(F.col("file")), "left").select("path", "mtime", state.alias("state"), F.coalesce(head, F.lit("")).alias("head"))
 
 
 def read_marker_blocks(spark: SparkSession, path: str, marker: str, complete: str) -> DataFrame:
@@ -118,7 +170,6 @@ def read_socket_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_tail_status(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: time of change, and whether the last committed line is one JSON value."""
-    files = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(path)
-    last: Column = F.element_at(F.split(F.regexp_replace("value", r"\n$", ""), "\n"), -1)
-    return files.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("mtime"), (F.endswith("value", F.lit("\n")) & F.try_parse_json(last).isNotNull()).alias("valid"))
+    """Per file with a line: time of change, and whether its last line is committed and one JSON value."""
+    last = committed(spark, path).filter("last")
+    return last.select("file_path", "mtime", (~F.col("torn") & F.try_parse_json("line").isNotNull()).alias("valid"))

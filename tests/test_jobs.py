@@ -221,6 +221,20 @@ def test_readers_and_sinks(spark, tmp_path):
     assert (r.local_port, r.state, r.bad) == (4001, "LISTEN", False) and telemetry_jobs.tcp_sockets(sock, [4001]).filter("n > 0").count() == 1
     (tmp_path / "tail").write_text('{"a":1}\n{"b":')
     assert not readers.stream_tail_status(spark, str(tmp_path / "tail")).first().valid
+    big, rows = tmp_path / "big", [f"{i} é".ljust(i % 90, "x") for i in range(4000)]
+    big.mkdir()
+    (big / "whole").write_text("".join(f"{x}\n" for x in rows))
+    (big / "torn").write_text("\n".join(rows))
+    (big / "none").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # many splits a file
+    good, rejects = readers.drop_torn_tails(spark, str(big))
+    got = {(r.file_path.split("/")[-1], r.line_no): r.line for r in good.collect()}
+    assert got == {(f, i): x for f in ("whole", "torn") for i, x in enumerate(rows) if f == "whole" or i < 3999}
+    assert [(r.line, r.reason) for r in rejects.collect()] == [(rows[-1], "torn_line")]
+    heads = {r.path.split("/")[-1]: r for r in readers.read_file_heads(spark, str(big), 50).collect()}
+    assert {f: r.state for f, r in heads.items()} == {"whole": "truncated", "torn": "truncated", "none": "empty"}
+    assert heads["torn"].head == "\n".join(rows).encode()[:50].decode("latin-1") and heads["none"].head == ""
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     m = sinks.metric(spark.createDataFrame([("n1", dt.datetime(2026, 5, 25), "x", 1.0)], "node_id string, ts timestamp, label string, v double"), "m", "gauge", ["label"], F.col("v"))
     for _ in range(2):
         sinks.write_metrics(m, str(tmp_path / "metrics"))
