@@ -193,10 +193,21 @@ def ewma(t):
     return W.ewma(rows.withColumn("scope", F.lit(1)), ["scope"], "user_id", "idx", "v", 0.3).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "user_id", F.round(F.col("ewma") + 3e-7, 4).alias("ewma"))  # off the decimal ties
 
 
-@query("dominant_hysteresis")
+_MEANS = """WITH RECURSIVE d AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, user_id, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS v FROM events GROUP BY 1, 2, 3),
+p AS (SELECT event_type, day, list({'k': CAST(user_id AS VARCHAR), 'v': v}) AS items, row_number() OVER (PARTITION BY event_type ORDER BY day) AS n FROM d GROUP BY 1, 2),
+s AS (SELECT event_type, 0::BIGINT AS n, NULL::VARCHAR AS day, []::STRUCT(k VARCHAR, m DOUBLE)[] AS means, NULL::VARCHAR AS now, 0::BIGINT AS tenure, 0::BIGINT AS switches FROM p GROUP BY 1
+UNION ALL SELECT event_type, n, day, means, next, CASE WHEN now IS NOT NULL AND next = now THEN tenure + 1 ELSE 1 END, switches + CASE WHEN now IS NOT NULL AND next <> now THEN 1 ELSE 0 END
+FROM (SELECT *, CASE WHEN own IS NULL OR list_max(list_transform(means, lambda x: x.m)) > 1.2 * own THEN list_sort(list_filter(list_transform(means, lambda x: {'m': -x.m, 'k': x.k}), lambda x: true))[1].k ELSE now END AS next
+FROM (SELECT *, list_filter(means, lambda x: x.k = now)[1].m AS own FROM (SELECT p.event_type, p.n, p.day, s.now, s.tenure, s.switches, list_concat(
+list_transform(p.items, lambda i: {'k': i.k, 'm': coalesce(list_filter(s.means, lambda x: x.k = i.k)[1].m, 0.0) * 0.7 + 0.3 * i.v}),
+list_transform(list_filter(s.means, lambda x: NOT list_contains(list_transform(p.items, lambda i: i.k), x.k)), lambda x: {'k': x.k, 'm': x.m * 0.7})) AS means FROM s JOIN p ON p.event_type = s.event_type AND p.n = s.n + 1))))"""
+
+
+@query("dominant_hysteresis", f"{_MEANS} SELECT event_type, day, now AS dominant, round(list_filter(means, lambda x: x.k = now)[1].m / list_sum(list_transform(means, lambda x: x.m)), 9) AS share, round(coalesce(list_max(list_transform(list_filter(means, lambda x: x.k <> now), lambda x: x.m)), 0.0) / list_filter(means, lambda x: x.k = now)[1].m, 9) AS challenger, tenure, switches FROM s WHERE n > 0")
 def dominant(t):
     daily = t("events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id").agg(F.sum(cents("value")).cast("double").alias("v"))
-    return folds.ewma_dominant(daily, ["event_type"], "day", "user_id", "v")
+    made = folds.ewma_dominant(daily, ["event_type"], "day", "user_id", "v").drop("ties")
+    return made.withColumns({c: F.round(c, 9) for c in ("share", "challenger")})
 
 
 @query("source_health", "WITH o AS (SELECT event_type, count(*) AS records, CAST(sum(CASE WHEN value < 5 THEN 1 ELSE 0 END) AS BIGINT) AS rejects, max(epoch_us(ts)) AS last_attempt_us, max(CASE WHEN value >= 5 THEN epoch_us(ts) END) AS last_valid_us FROM events GROUP BY 1) SELECT event_type, records, rejects, CAST(CASE WHEN last_valid_us = last_attempt_us THEN 1 ELSE 0 END AS INTEGER) AS schema_ok, CAST(last_attempt_us - last_valid_us AS DOUBLE) / 1000000.0 AS valid_age_s FROM o")
@@ -223,7 +234,15 @@ def funnel(t):
     return made.filter("completed").groupBy("user_id").agg(F.count(F.lit(1)).alias("chains"), F.max("duration_s").alias("longest_s"))
 
 
-@query("ttl_set_fold")
+#: One step an event: the members that are not too old; added, moved up or kept; and the least recent one out beyond 20.
+TTL_SQL = """WITH RECURSIVE e AS (SELECT event_type, user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT event_type, 0::BIGINT AS n, 0::BIGINT AS us, NULL::BIGINT AS user_id, []::STRUCT(t BIGINT, m BIGINT)[] AS seen, false AS added, 0::BIGINT AS expired, 0::BIGINT AS dropped FROM e GROUP BY 1
+UNION ALL SELECT event_type, n, us, user_id, CASE WHEN len(kept) > 20 THEN list_sort(kept)[2:] ELSE kept END, NOT known, expired, CASE WHEN len(kept) > 20 THEN 1 ELSE 0 END
+FROM (SELECT event_type, n, us, user_id, len(seen) - len(alive) AS expired, len(list_filter(alive, lambda x: x.m = user_id)) > 0 AS known, list_append(list_filter(alive, lambda x: x.m <> user_id), {'t': us, 'm': user_id}) AS kept
+FROM (SELECT e.event_type, e.n, e.us, e.user_id, s.seen, list_filter(s.seen, lambda x: e.us - x.t <= 43200000000) AS alive FROM s JOIN e ON e.event_type = s.event_type AND e.n = s.n + 1)))"""
+
+
+@query("ttl_set_fold", f"{TTL_SQL} SELECT event_type, CAST(sum(CASE WHEN added THEN 1 ELSE 0 END) AS BIGINT) AS added, CAST(sum(expired) AS BIGINT) AS expired, CAST(sum(dropped) AS BIGINT) AS dropped, CAST(max(len(seen)) AS BIGINT) AS largest FROM s WHERE n > 0 GROUP BY 1")
 def ttl(t):
     rows = t("events").select("event_type", "user_id", "event_id", W.micros("ts").alias("us"))
     return folds.ttl_set(rows, ["event_type"], ["us", "event_id"], "user_id", "us", 43_200, 20).groupBy("event_type").agg(F.sum(F.col("added").cast("long")).alias("added"), F.sum("expired").alias("expired"), F.sum("dropped").alias("dropped"), F.max("size").alias("largest"))

@@ -73,6 +73,6 @@ def sticky(events: DataFrame) -> DataFrame:
     return events.withColumn("us", F.unix_micros("ts"))
 
 
-@stream_query("ttl_set_stream", sink=lambda home: state.ttl_batches("event_type", "user_id", "us", "event_id", 43_200, 20, home), schema=state.OUT, at="made/*/state=false")
+@stream_query("ttl_set_stream", f"{event_queries.TTL_SQL} SELECT event_type AS key, us, added, expired, dropped, CAST(len(seen) AS BIGINT) AS size FROM s WHERE n > 0", sink=lambda home: state.ttl_batches("event_type", "user_id", "us", "event_id", 43_200, 20, home), schema=state.OUT, at="made/*/state=false")
 def ttl(events: DataFrame) -> DataFrame:
     return events.withColumn("us", F.unix_micros("ts"))
