@@ -105,7 +105,7 @@ def _decayed(marked: DataFrame, n_scope: int, alpha: float, ratio: float, prune:
                 means[at] += alpha * np.array([v for _, v in seen], np.float64)
                 live[at] = True
                 small = means < prune
-                small[at] = False  # a key that is seen stays, however small its mean
+                small[at] = means[at] < 0  # a key that is seen stays, however small its mean
                 live &= ~small
                 means[~live] = 0
                 ranked = np.where(live, means, -np.inf)

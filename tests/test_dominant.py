@@ -20,7 +20,11 @@ def plain(rows, alpha=0.3, ratio=1.2, prune=1e-9):
             means = {k: v * (1 - alpha) for k, v in means.items()}
             for k, v in seen.items():
                 means[k] = means.get(k, 0.0) + alpha * v
-            means = {k: v for k, v in means.items() if v >= prune or k in seen}
+            means = {k: v for k, v in means.items() if v >= prune or k in seen and v >= 0}
+            if not means:
+                now, tenure = None, 0
+                out[scope, s] = (None, None, None, 0, 0, switches)
+                continue
             best = min(means, key=lambda k: (-means[k], k))
             if now is None or now not in means or means[best] > ratio * means[now]:
                 switches += now is not None and now != best
