@@ -8,8 +8,10 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere
 3. The other runs become chunks (a run's windows overlap, so a chunk is a run and one window
    more), are collapsed where equal, and go to shards by anchor: equal windows share a shard.
 4. Each shard orders its suffixes by induced sorting with disk-backed queues and marks windows
-   that share ``LENGTH`` bytes with a neighbour.  An anchor with very many different chunks
-   does not go to one shard; its windows are counted by a 128-bit hash instead.
+   that share ``LENGTH`` bytes with a neighbour.  The chunks of an anchor that has very many (a
+   common line in different surroundings) are first cut again, by a second choice of anchors, and
+   collapsed where equal, so that they too spread over shards.  Shards are about ``SHARD_BYTES``, but
+   may be of any size: what they hold lies in files.
 5. Marked windows return to their texts and are joined into spans.
 
 Null texts are empty; texts shorter than ``LENGTH`` lose nothing.
@@ -18,7 +20,6 @@ Null texts are empty; texts shorter than ``LENGTH`` lose nothing.
 from __future__ import annotations
 
 import functools
-import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, refuse_clash, release, slices, small, stash, table, utf8
-from .induced import disk_array, previous_prefix, suffix_order
+from .induced import disk_array, suffix_order
 
 LENGTH, GRAM = 400, 100
 #: Passages of the pipeline: at least so many words; 50 words hold 200 bytes or more but for very short words.
 PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_GRAM = 50, 200, 50
-#: Chunk bytes of a shard, about, and different chunks of an anchor that may share one.
+#: Chunk bytes of a shard, about, and different chunks of an anchor beyond which it is parted by a second one.
 SHARD_BYTES, HOT_CHUNKS = 3 << 20, 3000
 _SLAB = 1 << 18
 _ODD = 0x9E3779B97F4A7C15 | 1
@@ -62,10 +63,11 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def runs(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+def runs(text: bytes, length: int = LENGTH, gram: int = GRAM, choice: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """First window of each run, and its anchor.  A run ends where the next begins, or with the text's last window.
 
     Anchors depend on the window's bytes alone: the leftmost of the least hashes (their upper 44 bits).
+    ``choice``: 0, or 1 for another hash, whose anchors lie elsewhere.
     """
     data = np.frombuffer(text, np.uint8)
     n_windows, w = len(data) - length + 1, length - gram + 1
@@ -75,6 +77,9 @@ def runs(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarra
     for lo in range(0, max(n_windows, 0), step):
         hi = min(lo + step, n_windows)
         h = gram_hashes(data[lo : hi + length - 1], gram)
+        if choice:
+            h = h * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
         m = (h >> np.uint64(20) << np.uint64(20)) | np.arange(len(h), dtype=np.uint64)
         span = 1
         while span * 2 <= w:
@@ -158,17 +163,20 @@ def marked_windows(chunks: list[bytes] | np.ndarray, lengths: np.ndarray, many:
     """
     text = chunks if isinstance(chunks, np.ndarray) else np.frombuffer(b"".join(chunks), np.uint8)
     n = len(text) + len(lengths)
-    t = disk_array(n, np.uint16)
+    t = disk_array(n, np.uint16)  # zero where nothing is written: the separators
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    inside = np.ones(n, bool)
-    inside[ends] = False
-    t[inside] = text.astype(np.uint16) + 1
-    t[ends] = 0
-    phi, prefix = previous_prefix(t, suffix_order(t))
-    long = prefix >= length
-    marked = long.copy()
-    marked[phi[long]] = True
+    for lo in range(0, len(text), _SLAB):
+        part = text[lo : lo + _SLAB]
+        at = np.arange(lo, lo + len(part))
+        t[at + np.searchsorted(starts - np.arange(len(starts)), at, "right") - 1] = part.astype(np.uint16) + 1
+    order, prefix = suffix_order(t, length, ends)
+    marked = disk_array(n, bool)
+    for lo in range(0, n, _SLAB):
+        k = np.flatnonzero(prefix[lo : lo + _SLAB] >= length) + lo
+        marked[order[k]] = True
+        marked[order[k - 1]] = True
+    del order, prefix
     for i in np.flatnonzero(many).tolist():
         marked[starts[i] : ends[i] - length + 1] = True
     return starts, marked
@@ -200,12 +208,26 @@ def _solve(batches, length: int):
         yield out()
 
 
-def _window_hashes(batches, length: int):
-    """``(cid, at, h, m)`` of every window of chunks whose anchor has too many for one shard."""
+def _split(batches, length: int, gram: int):
+    """``(anchor, cid, first, part, m)``: the runs of chunks by a second choice of anchors, for those of a crowded first one."""
     for batch in batches:
-        for cid, chunk, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            n = len(chunk) - length + 1
-            yield pa.RecordBatch.from_arrays([pa.array([cid] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([hashlib.blake2b(chunk[i : i + length], digest_size=16).digest() for i in range(n)], pa.binary()), pa.array([m] * n, pa.int64())], names=["cid", "at", "h", "m"])
+        for one in slices([batch], "chunk", 2 << 20):
+            out = ([], [], [], [], [])
+            for cid, chunk, m in zip(*(one.column(i).to_pylist() for i in range(3)), strict=True):
+                first, anchor = runs(chunk, length, gram, 1)
+                last = np.append(first[1:], len(chunk) - length + 1) - 1
+                for f, l, a in zip(first.tolist(), last.tolist(), anchor.tolist(), strict=True):
+                    for column, value in zip(out, (a, cid, f, chunk[f : l + length], m), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["anchor", "cid", "first", "part", "m"])
+
+
+def _ordered(chunks: DataFrame, length: int) -> DataFrame:
+    """``(cid, a, b)``: runs of windows of ``chunks (anchor, cid, chunk, m)`` that repeat, from the suffix orders of shards dealt by anchor."""
+    total = chunks.agg(F.coalesce(F.sum(F.octet_length("chunk")), F.lit(0))).first()[0]
+    n = total // SHARD_BYTES + 1
+    sharded = chunks.select(F.pmod(F.xxhash64("anchor"), F.lit(n)).cast("int").alias("shard"), "cid", "chunk", "m")
+    return sharded.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(functools.partial(_solve, length=length), _RANGES)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -236,15 +258,15 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     texts_of = chunks.join(several.select("anchor"), "anchor", "left_semi").groupBy("cid", "anchor", "chunk").agg(F.lit(1).alias("one"))
     counted = stash(texts_of.join(cids.select("cid", "anchor", "m"), ["cid", "anchor"]).select("cid", "anchor", "chunk", "m"), "chunks-to-order")
     crowded = small(several.filter(F.col("k") > HOT_CHUNKS).select("anchor"), 100_000)
-    total = counted.agg(F.coalesce(F.sum(F.octet_length("chunk")), F.lit(0))).first()[0]
-    n = total // SHARD_BYTES + 1
-    sharded = counted.join(crowded, "anchor", "left_anti").select(F.pmod(F.xxhash64("anchor"), F.lit(n)).cast("int").alias("shard"), "cid", "chunk", "m")
-    solved = sharded.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(functools.partial(_solve, length=length), _RANGES)
-    windows = counted.join(crowded, "anchor", "left_semi").select("cid", "chunk", "m").mapInArrow(functools.partial(_window_hashes, length=length), "cid binary, at int, h binary, m long")
-    found = windows.groupBy("h").agg(F.sum("m").alias("m")).filter("m > 1").select("h")
-    hot = windows.join(found, "h", "left_semi").select("cid", F.col("at").alias("a"), F.col("at").alias("b"))
+    solved = _ordered(counted.join(crowded, "anchor", "left_anti").select("anchor", "cid", "chunk", "m"), length)
+    # the chunks of a crowded anchor are parted by a second anchor; equal parts become one chunk again
+    parted = counted.join(crowded, "anchor", "left_semi").select("cid", "chunk", "m").mapInArrow(functools.partial(_split, length=length, gram=gram), "anchor long, cid binary, first int, part binary, m long")
+    parted = stash(parted.withColumn("pid", F.unhex(F.substring(F.sha2("part", 256), 1, 32))), "parts")
+    parts = stash(parted.groupBy("anchor", F.col("pid").alias("cid"), F.col("part").alias("chunk")).agg(F.sum("m").alias("m")), "parts-to-order")
+    of_parts = _ordered(parts, length).withColumnRenamed("cid", "pid")
+    hot = parted.select("cid", "first", "pid").join(of_parts, "pid").select("cid", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
     ranges = stash(solved.unionByName(hot).unionByName(alone), "ranges")
-    release(counted, several, cids)
+    release(counted, several, cids, parted, parts)
 
     back = chunks.select("tid", "first", "cid").join(ranges, "cid").select("tid", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + length).alias("b"))
     spans = _joined(back).join(copies.select("tid"), "tid", "left_anti")
