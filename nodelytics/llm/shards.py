@@ -11,8 +11,8 @@ of the value and 40 bits of the unit's number, so units of equal value can be sp
 Medians are found by counting bytes in 4096 cells a node and narrowing the median's cell; every
 count is aggregated before its shuffle.  A unit of over 1/64 of a shard is heavy; there are at most
 64 a shard, so the driver holds their list.  At each split heavy units go left up to half their
-bytes, in the order of their places, and the cut of the others makes up for the difference, so that
-sizes stay near equal.
+bytes, in the order of their places; some are moved where the others' cut could not make up for the
+difference; then that cut does, so that sizes stay near equal.
 
 Law ``bytes``.  Null texts weigh one byte, have checksum 0 and count as one text; null metadata has
 its own place; empty tables have no shards.  Slots are gapless from 0 in the order of a hash of
@@ -21,6 +21,7 @@ its own place; empty tables have no shards.  Slots are gapless from 0 in the ord
 
 from __future__ import annotations
 
+import bisect
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,6 +111,41 @@ def weighted_cuts(light: DataFrame, nodes: dict[int, dict]) -> dict[int, int]:
     return cuts
 
 
+#: Heavy units of a node of which every division is tried.
+FEW = 14
+
+
+def even_out(left: list[dict], right: list[dict], slack: int) -> None:
+    """Where the heavy units' difference exceeds what light ones make up for: the most even division of a few, or moves and exchanges while one lowers it."""
+    every = [*left, *right]
+    if abs(sum(h["bytes"] for h in left) - sum(h["bytes"] for h in right)) > slack and len(every) <= FEW:
+        sums = [0]
+        for h in every:
+            sums += [x + h["bytes"] for x in sums]
+        best = min(range(len(sums)), key=lambda i: abs(2 * sums[i] - sums[-1]))
+        left[:] = [h for i, h in enumerate(every) if best >> i & 1]
+        right[:] = [h for i, h in enumerate(every) if not best >> i & 1]
+        return
+    while (off := sum(h["bytes"] for h in left) - sum(h["bytes"] for h in right)) and abs(off) > slack:
+        more, less = (left, right) if off > 0 else (right, left)
+        smaller = sorted(less, key=lambda h: h["bytes"])
+        sizes = [h["bytes"] for h in smaller]
+        best = (abs(off), None, None)
+        for a in more:
+            at = bisect.bisect_left(sizes, a["bytes"] - abs(off) // 2)
+            for b in [None, *smaller[max(0, at - 1) : at + 1]]:
+                found = abs(abs(off) - 2 * (a["bytes"] - (b["bytes"] if b else 0)))
+                if found < best[0]:
+                    best = (found, a, b)
+        if best[1] is None:
+            return
+        more.remove(best[1])
+        less.append(best[1])
+        if best[2]:
+            less.remove(best[2])
+            more.append(best[2])
+
+
 def plan_splits(stats: dict[int, dict], heavies: list[dict], whole: list[int]) -> tuple[dict[int, dict], dict[int, int]]:
     """Per node: the widest dimension (as a share of ``whole``, the table's widths), bounds and target of its light units; and the side of each heavy unit."""
     nodes, side = {}, {}
@@ -126,9 +162,10 @@ def plan_splits(stats: dict[int, dict], heavies: list[dict], whole: list[int]) -
             if most is None or off < most[0]:
                 most = (off, n, left)
             left += mine[n]["bytes"] if n < len(mine) else 0
-        for n, h in enumerate(mine):
-            side[h["unit"]] = int(n >= most[1])
-        target = min(light, max(0, (weight + light) // 2 - most[2]))
+        halves = mine[: most[1]], mine[most[1] :]
+        even_out(*halves, light)
+        side |= {h["unit"]: i for i in (0, 1) for h in halves[i]}
+        target = min(light, max(0, (weight + light) // 2 - sum(h["bytes"] for h in halves[0])))
         nodes[k] = {"dim": dim, "lo": s["lo"][dim] if s else 0, "hi": s["hi"][dim] + 1 if s else 0, "bytes": weight + light, "target": target}
     return nodes, side
 

@@ -237,9 +237,17 @@ def test_shards(docs, empty):
 
 
 def test_shards_are_even_under_one_value(spark):
-    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same text")).otherwise(F.concat(F.lit("t"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")))).alias("text"), F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"))
-    sums = [r[1] for r in shards.shards(docs).groupBy("shard").agg(F.sum("size")).collect()]
+    def table(other):
+        text = F.when(F.col("id") % 3 == 0, F.lit("same text")).otherwise(F.concat(other, F.repeat(F.lit("x"), (F.col("id") % 97).cast("int"))))
+        return spark.range(20_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"))
+
+    sums = [r[1] for r in shards.shards(table(F.concat(F.lit("t"), "id"))).groupBy("shard").agg(F.sum("size")).collect()]
     assert len(sums) == 16 and max(sums) < 1.02 * min(sums)
+    # 97 texts of up to a third of a shard: none is parted but the one that outweighs a shard, so sizes are as even as whole texts allow
+    few = shards.shards(table(F.lit("t"))).cache()
+    sums = [r[1] for r in few.groupBy("shard").agg(F.sum("size")).collect()]
+    assert len(sums) == 16 and max(sums) < 1.15 * min(sums)
+    assert few.groupBy("text_crc32", "size").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count() == 1
 
 
 def test_equal_texts_share_a_shard(spark):
