@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, with_columns
+from .common import fresh, release, scratch, stash, with_columns
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -137,7 +137,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u")
         nearer = moved.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(moved.select("u", F.col("m").alias("v")))
-        edges = stash(nearer.filter("u <> v").distinct(), "links")
+        spent, edges = edges, stash(nearer.filter("u <> v").distinct(), "links")
+        release(spent)
         before, now = now, state(edges)
         if now == before:
             break
@@ -145,38 +146,46 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``fp`` (signed), ``component_id``, and the columns ``keep``.
+def grouped(rows: DataFrame, fp: str = "fp", doc_id: str = "doc_id") -> DataFrame:
+    """``(fp, root, component_id)`` of every fingerprint of ``rows``: the least fingerprint and the least id of its component."""
+    nodes = stash(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least")), "nodes")
+    with scratch():  # the link tables go with their rounds
+        stars = stash(components(links(nodes)), "stars", keep=True)
+    roots = nodes.join(stars, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    return roots.select("fp", "root").join(named, "root").select("fp", "root", "component_id")
+
+
+def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``fp`` (signed) and ``component_id``.
 
     ``component_id`` is the least id reachable over links of at most 3 bits; ids that are
     null do not count, so a group of null ids alone has a null component.
     """
-    made = with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep), "text", "fp").select("doc_id", "fp", *keep)
+    made = with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp").select("doc_id", "fp")
     rows = stash(made, "fingerprints")
-    nodes = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    stars = components(links(nodes))
-    roots = nodes.join(stars, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = roots.filter("root is not null").join(named, "root").select("fp", "component_id")
-    return rows.join(joined, "fp").select("doc_id", "fp", "component_id", *keep)
+    return rows.join(grouped(rows), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the least id (then the least text hash)."""
-    rows = stash(near_duplicate_groups(docs.select("doc_id", "text", F.xxhash64("text").alias("_th")), keep=("_th",)), "groups")
-    best = rows.groupBy("fp", "component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_th")).alias("b"))
-    # a component of null ids alone is named by its fingerprint
-    name = F.when(F.col("component_id").isNull(), F.col("fp"))
-    best = best.groupBy("component_id", name.alias("f")).agg(F.min("b").alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b._th").alias("_h"))
-    again = rows.groupBy("doc_id", "_th").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"))
-
-    def same(other: DataFrame):
-        return docs["doc_id"].eqNullSafe(other["_id"]) & (F.xxhash64(docs["text"]) == other["_h"])
-
-    once = docs.join(best, same(best), "left_semi")
-    first = best.join(again, best["_id"].eqNullSafe(again["_id"]) & (best["_h"] == again["_h"]), "left_semi")
-    repeated = docs.join(first, same(first), "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.join(first, once["doc_id"].eqNullSafe(first["_id"]) & (F.xxhash64(once["text"]) == first["_h"]), "left_anti").unionByName(repeated)
+    """``docs`` with one row of each near-duplicate group: the one with the least id (null ids last), then the least text hash.
+
+    Groups are found and rows chosen on narrow columns; then the texts move once, to meet the
+    chosen ids and hashes.  Of rows that are equal in both, one stays.
+    """
+    new = fresh("_near_", docs)
+    key = F.xxhash64("text")
+    made = with_fingerprint(docs.select("doc_id", "text", key.alias("hash")), "text", "fp").select("doc_id", "hash", "fp")
+    rows = stash(made, "fingerprints").groupBy("fp", "doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "n")
+    # the best of each fingerprint first, so that a large group is one row for each of its fingerprints
+    best = stash(rows.groupBy("fp").agg(F.min(order).alias("b")), "bests")
+    chosen = best.join(grouped(rows), "fp").groupBy("root").agg(F.min("b").alias("b"))
+    chosen = stash(chosen.select(F.col("b.doc_id").alias(f"{new}id"), F.col("b.hash").alias(f"{new}hash"), (F.col("b.n") > 1).alias(f"{new}again")), "chosen")
+    met = docs.join(chosen.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(chosen[f"{new}id"]) & (F.xxhash64(docs["text"]) == chosen[f"{new}hash"]))
+    again = F.col(f"{new}again")
+    whole = met.filter(~again).unionByName(met.filter(again).dropDuplicates([f"{new}id", f"{new}hash"]))
+    return whole.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
