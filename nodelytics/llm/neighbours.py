@@ -45,7 +45,7 @@ K = 5
 #: Directions (even, for the closed form of the test), and the probability of the stopping test.
 PROJECTED, CONFIDENCE = 8, 0.98
 #: Rows of the sample that gives the upper splits, at most; rows of a block; points of a leaf of its tree.
-SAMPLE, BLOCK, LEAF = 262_144, 4096, 64
+SAMPLE, BLOCK, LEAF = 262_144, 4096, 256
 #: Sample rows a cell, at least.
 SAMPLED_A_CELL = 16
 #: Visits of a block that one task takes.
@@ -138,10 +138,9 @@ def build(points: np.ndarray, depth: int, tight: bool) -> tuple[Tree, list[np.nd
 
 @dataclass
 class Block:
-    """One block in a worker: unit vectors in the order of its leaves, their projections and tree."""
+    """One block in a worker: unit vectors in the order of its leaves, and the tree over their projections."""
 
     vectors: np.ndarray
-    projected: np.ndarray
     ends: np.ndarray
     tree: Tree
 
@@ -149,43 +148,43 @@ class Block:
     def of(cls, vectors: np.ndarray, project: np.ndarray) -> tuple[Block, np.ndarray]:
         """The block, and the order in which it holds the rows."""
         unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
-        projected = unit @ project
         depth = max(0, math.ceil(math.log2(max(1, len(unit) / LEAF))))
-        tree, leaves = build(projected, depth, tight=True)
+        tree, leaves = build(unit @ project, depth, tight=True)
         order = np.concatenate(leaves)
-        return cls(unit[order], projected[order], np.append(0, np.cumsum([len(x) for x in leaves])), tree), order
+        return cls(unit[order], np.append(0, np.cumsum([len(x) for x in leaves])), tree), order
 
     def search(self, point: np.ndarray, at: np.ndarray, k: int, bound: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
         """``(rows, squared distances)`` of verified points, the nearest k at most.
 
-        Nodes leave the heap in the order of their projected distance; a leaf's points that the test
-        does not exclude are verified at once.  ``bound``: a squared k-th distance known before.
+        Nodes leave the heap in the order of their projected distance; the points of a leaf are verified
+        together.  ``bound``: a squared k-th distance known before.
         """
         rows, found = np.zeros(0, np.int64), np.zeros(0)
+        best = math.inf
         limit = bound * factor
-        heap = [(float(self.tree.distance(at, np.array([0]))[0]), 0)]
+        distance = self.tree.distance(at, slice(None)).tolist()
+        heap = [(distance[0], 0)]
         while heap:
-            distance, node = heapq.heappop(heap)
-            if distance > limit:
+            d, node = heapq.heappop(heap)
+            if d > limit:
                 break
             if node < self.tree.inner:
-                children = np.array([2 * node + 1, 2 * node + 2])
-                for d, c in zip(self.tree.distance(at, children).tolist(), children.tolist(), strict=True):
-                    if d <= limit:
-                        heapq.heappush(heap, (d, c))
+                for c in (2 * node + 1, 2 * node + 2):
+                    if distance[c] <= limit:
+                        heapq.heappush(heap, (distance[c], c))
                 continue
             a, z = self.ends[node - self.tree.inner], self.ends[node - self.tree.inner + 1]
-            gap = self.projected[a:z] - at
-            near = np.flatnonzero((gap * gap).sum(axis=1) <= limit) + a
+            far = np.maximum(0, 2 - 2 * (self.vectors[a:z] @ point))
+            near = np.flatnonzero(far < best)
             if not len(near):
                 continue
-            far = np.maximum(0, 2 - 2 * (self.vectors[near] @ point))
-            rows, found = np.append(rows, near), np.append(found, far)
+            rows, found = np.append(rows, near + a), np.append(found, far[near])
             if len(rows) > k:
                 keep = np.argpartition(found, k - 1)[:k]
                 rows, found = rows[keep], found[keep]
             if len(rows) == k:
-                limit = min(limit, float(found.max()) * factor)
+                best = float(found.max())
+                limit = min(limit, best * factor)
         return rows, found
 
 
