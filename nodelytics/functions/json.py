@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Exact JSON types: the names that ``schema_of_variant`` gives.
-_TYPES = {"int": "^(BIGINT|DECIMAL\\(\\d+,0\\))$", "number": "^(BIGINT|DOUBLE|DECIMAL.*)$", "string": "^STRING$", "bool": "^BOOLEAN$", "array": "^ARRAY<", "object": "^OBJECT<"}
 _CASTS = {"int": "bigint", "number": "double", "string": "string", "bool": "boolean", "array": "array<variant>", "object": "map<string,variant>"}
 
 
@@ -15,10 +13,26 @@ def record(line: Column) -> Column:
     return F.try_parse_json(line)
 
 
+def _is(v: Column, kind: str) -> Column:
+    """Whether a scalar VARIANT has exactly the JSON type."""
+    name = F.schema_of_variant(v)
+    if kind == "string":
+        return name == "STRING"
+    if kind == "bool":
+        return name == "BOOLEAN"
+    whole = (name == "BIGINT") | name.rlike(r"^DECIMAL\(\d+,0\)$")
+    return whole if kind == "int" else whole | (name == "DOUBLE") | name.startswith("DECIMAL")
+
+
 def req(v: Column, path: str, kind: str) -> Column:
-    """The value at ``path`` if it is present, not null, and of exactly the JSON type; else null."""
-    inner = F.try_variant_get(v, path, "variant")
-    return F.when(F.schema_of_variant(inner).rlike(_TYPES[kind]), F.try_variant_get(v, path, _CASTS[kind]))
+    """The value at ``path`` if it is present, not null, and of exactly the JSON type; else null.
+
+    Only a list or an object casts to one, so what is inside them is not walked for their type.
+    """
+    value = F.try_variant_get(v, path, _CASTS[kind])
+    if kind in ("array", "object"):
+        return value
+    return F.when(_is(F.try_variant_get(v, path, "variant"), kind), value)
 
 
 def presence(v: Column, path: str) -> Column:
@@ -57,5 +71,5 @@ def digest(v: Column) -> Column:
 def text_array(v: Column, path: str) -> Column:
     """The array at ``path`` if all its items are non-empty text; null otherwise."""
     items = req(v, path, "array")
-    good = F.forall(items, lambda x: F.schema_of_variant(x).rlike("^STRING$") & (F.try_variant_get(x, "$", "string") != ""))
+    good = F.forall(items, lambda x: _is(x, "string") & (F.try_variant_get(x, "$", "string") != ""))
     return F.when(good, F.transform(items, lambda x: F.try_variant_get(x, "$", "string")))

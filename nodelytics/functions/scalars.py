@@ -17,16 +17,23 @@ def finite_nonneg(c: Column) -> Column:
     return F.coalesce(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")) & (c >= 0), F.lit(False))
 
 
+def _hex_digits(c: Column) -> Column:
+    """Hexadecimal digits without 0x and leading zeros; null if it is no hexadecimal text."""
+    return F.when(c.rlike("^(0[xX])?[0-9a-fA-F]+$"), F.regexp_replace(c, "^(0[xX])?0*", ""))
+
+
+def _conv(digits: Column) -> Column:
+    """At most 16 hexadecimal digits as DECIMAL(20,0); none are 0."""
+    return F.conv(F.concat(F.lit("0"), digits), 16, 10).cast("decimal(20,0)")
+
+
 def hex_to_decimal(c: Column) -> Column:
-    """A hexadecimal quantity, with or without 0x, as DECIMAL(38,0); null if it is no hex text or has over 126 bits."""
-    digits = F.ltrim(F.regexp_replace(F.lower(c), "^0x", ""), F.lit("0"))
-    valid = c.rlike("^(0[xX])?[0-9a-fA-F]+$") & (F.length(digits) <= 31)
-    value = F.aggregate(
-        F.split(digits, ""),
-        F.lit(0).cast("decimal(38,0)"),
-        lambda acc, d: F.when(d == "", acc).otherwise((acc * 16 + F.conv(d, 16, 10).cast("decimal(2,0)")).cast("decimal(38,0)")),
-    )
-    return F.when(valid, value)
+    """A hexadecimal quantity, with or without 0x, as DECIMAL(38,0); null if it is no hex text or has over 31 digits."""
+    digits = _hex_digits(c)
+    n = F.length(digits)
+    high, low = F.substr(digits, F.lit(1), n - 15), F.substr(digits, n - 14, F.lit(15))
+    wide = (_conv(high) * F.lit(1 << 60).cast("decimal(19,0)")).cast("decimal(38,0)") + _conv(low)
+    return F.when(n <= 15, _conv(digits).cast("decimal(38,0)")).when(n <= 31, wide.cast("decimal(38,0)"))
 
 
 def quantity(c: Column) -> Column:
@@ -52,6 +59,92 @@ def wei_to_gwei(c: Column) -> Column:
     return F.concat_ws(".", whole.cast("string"), F.lpad(rest.cast("string"), 9, "0")).cast("double")
 
 
+#: Quantities of up to 256 bits are three limbs of 26 decimal digits, the most significant first, so that
+#: structs compare as the numbers do.
+_LIMB = 10**26
+_LIMBS = "struct<hi:decimal(26,0),mid:decimal(26,0),lo:decimal(26,0)>"
+
+
+def _limbs(hi: Column, mid: Column, lo: Column) -> Column:
+    return F.struct(hi.alias("hi"), mid.alias("mid"), lo.alias("lo")).cast(_LIMBS)
+
+
+def _carry(x: Column) -> tuple[Column, Column]:
+    """Quotient and rest of a DECIMAL(38,0) by a limb."""
+    limb = F.lit(str(_LIMB)).cast("decimal(27,0)")
+    return ((x - x % limb) / limb).cast("decimal(38,0)"), x % limb
+
+
+def wide_of(c: Column) -> Column:
+    """The limbs of a DECIMAL(38,0) of at least zero."""
+    high, low = _carry(c.cast("decimal(38,0)"))
+    return F.when(c.isNotNull(), _limbs(F.lit(0), high, low))
+
+
+def _wide_text(digits: Column) -> Column:
+    text = F.lpad(digits, 78, "0")
+    made = _limbs(*[F.substr(text, F.lit(i), F.lit(26)).cast("decimal(26,0)") for i in (1, 27, 53)])
+    most = str((1 << 256) - 1)
+    greatest = _limbs(*[F.lit(most[a:z]).cast("decimal(26,0)") for a, z in ((0, 26), (26, 52), (52, 78))])
+    return F.when(made <= greatest, made)
+
+
+def _wide_hex(digits: Column) -> Column:
+    """Four digits at a time."""
+    text = F.lpad(digits, 64, "0")
+    chunks = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: _conv(F.substr(text, i * 4 + 1, F.lit(4))))
+
+    def step(acc: Column, chunk: Column) -> Column:
+        up = lambda limb, add: (limb.cast("decimal(31,0)") * F.lit(65_536).cast("decimal(5,0)") + add).cast("decimal(38,0)")
+        over, lo = _carry(up(acc["lo"], chunk))
+        over, mid = _carry(up(acc["mid"], over))
+        return _limbs(up(acc["hi"], over), mid, lo)
+
+    return F.aggregate(chunks, _limbs(F.lit(0), F.lit(0), F.lit(0)), step)
+
+
+def wide(c: Column) -> Column:
+    """Hexadecimal text, or decimal digits, of at most 256 bits as limbs; null for other text and larger numbers."""
+    digits = _hex_digits(c)
+    n = F.length(digits)
+    of_hex = F.when(n <= 15, _limbs(F.lit(0), F.lit(0), _conv(digits))).when(n <= 31, wide_of(hex_to_decimal(c))).when(n <= 64, _wide_hex(digits))
+    return F.when(c.rlike("^0[xX]"), of_hex).when(c.rlike("^[0-9]{1,78}$"), _wide_text(c))
+
+
+def wide_zero() -> Column:
+    return _limbs(F.lit(0), F.lit(0), F.lit(0))
+
+
+def wide_sub(a: Column, b: Column) -> Column:
+    """``max(a - b, 0)`` of limbs."""
+    limb = F.lit(str(_LIMB)).cast("decimal(27,0)")
+    lo = a["lo"] - b["lo"]
+    mid = a["mid"] - b["mid"] - (lo < 0).cast("int")
+    hi = a["hi"] - b["hi"] - (mid < 0).cast("int")
+    up = lambda x: F.when(x < 0, x + limb).otherwise(x)
+    return F.when(a <= b, wide_zero()).when(a > b, _limbs(hi, up(mid), up(lo)))
+
+
+def _wide_digits(c: Column) -> Column:
+    return F.concat(*[F.lpad(c[x].cast("string"), 26, "0") for x in ("hi", "mid", "lo")])
+
+
+def wide_text(c: Column) -> Column:
+    """The decimal digits of limbs."""
+    return F.regexp_replace(_wide_digits(c), "^0+(?=[0-9])", "")
+
+
+def wide_gwei(c: Column) -> Column:
+    """Wei to gwei, rounded once to double."""
+    digits = _wide_digits(c)
+    return F.concat(F.substr(digits, F.lit(1), F.lit(69)), F.lit("."), F.substr(digits, F.lit(70), F.lit(9))).cast("double")
+
+
+def wide_ratio(a: Column, b: Column) -> Column:
+    """``a / b`` as double; null where b is zero."""
+    return F.when(b > wide_zero(), _wide_digits(a).cast("double") / _wide_digits(b).cast("double"))
+
+
 def gas_ratio(used: Column, limit: Column) -> Column:
     """Used gas over the limit, in [0, 1]; null at limit 0."""
     return F.when(limit > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), used.cast("double") / limit.cast("double"))))

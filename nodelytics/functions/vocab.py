@@ -80,8 +80,18 @@ ACTION_CATEGORIES = {
     "hip3LiquidatorTransfer": "markets",
     "noop": "system",
 }
-# fixed values: events of the pending-transaction log
-MEMPOOL_EVENTS = ["add_tx", "verify_block", "committed", "dropping blocks", "dropping txs", "handle_blocks_and_txs", "register_block unknown tx hashes", "Size stats", "Pruned rpc request throttle"]
+# fixed values: events of the pending-transaction log and their labels
+MEMPOOL_EVENTS = {
+    "add_tx": "add_tx",
+    "verify_block": "verify_block",
+    "committed": "committed",
+    "dropping blocks": "dropping_blocks",
+    "dropping txs": "dropping_txs",
+    "handle_blocks_and_txs": "handle_blocks_and_txs",
+    "register_block unknown tx hashes": "register_block_unknown_tx_hashes",
+    "Size stats": "size_stats",
+    "Pruned rpc request throttle": "pruned_rpc_request_throttle",
+}
 # fixed values: components of a size report
 MEMPOOL_SIZES = ["committed_tx_hashes", "uncommitted_txs", "blocks", "rpc_requests"]
 # fixed values: time in force of orders
@@ -99,14 +109,35 @@ STDERR_CLASSES = [
     ("network", ["connection timeout", "upstream connect error", "invalid ip address"]),
     ("panic", ["panicked at", "panicked:"]),
 ]
-# fixed values: error kinds of the pending-transaction log
-MEMPOOL_ERRORS = ["MissingValidatorSetRound", "TxInvalidBroadcasterNonce", "BadBlockRound", "TxUnexpectedBroadcaster", "BlockAlreadyRegistered", "AddTxDuplicate", "AddTxCommitted", "AddTxNotSignedAction"]
-# fixed values: tags of the connection log
-GOSSIP_TAGS = [
-    "verified gossip rpc", "handle_stream_connection", "performing checks on stream", "got tcp greeting", "error checking connection",
-    "rejecting gossip stream because max peers reached", "closing gossip stream because no quorum yet", "finished checks", "sending abci_state", "successfully sent abci_state",
-    "sending evm kvs", "dropping connection after sending abci state", "marking node_ip as verified", "dropping connection", "closing gossip stream because peer is already connected",
-]
+# fixed values: error kinds of the pending-transaction log and their labels
+MEMPOOL_ERRORS = {
+    "MissingValidatorSetRound": "missing_validator_set_round",
+    "TxInvalidBroadcasterNonce": "tx_invalid_broadcaster_nonce",
+    "BadBlockRound": "bad_block_round",
+    "TxUnexpectedBroadcaster": "tx_unexpected_broadcaster",
+    "BlockAlreadyRegistered": "block_already_registered",
+    "AddTxDuplicate": "add_tx_duplicate",
+    "AddTxCommitted": "add_tx_committed",
+    "AddTxNotSignedAction": "add_tx_not_signed_action",
+}
+# fixed values: tags of the connection log and their labels
+GOSSIP_TAGS = {
+    "verified gossip rpc": "verified_gossip_rpc",
+    "handle_stream_connection": "handle_stream_connection",
+    "performing checks on stream": "performing_checks_on_stream",
+    "got tcp greeting": "got_tcp_greeting",
+    "error checking connection": "error_checking_connection",
+    "rejecting gossip stream because max peers reached": "rejecting_gossip_stream_max_peers_reached",
+    "closing gossip stream because no quorum yet": "closing_gossip_stream_no_quorum_yet",
+    "finished checks": "finished_checks",
+    "sending abci_state": "sending_abci_state",
+    "successfully sent abci_state": "successfully_sent_abci_state",
+    "sending evm kvs": "sending_evm_kvs",
+    "dropping connection after sending abci state": "dropping_connection_after_sending_abci_state",
+    "marking node_ip as verified": "marking_node_ip_verified",
+    "dropping connection": "dropping_connection",
+    "closing gossip stream because peer is already connected": "closing_gossip_stream_peer_already_connected",
+}
 # fixed values: consensus buckets
 ACCUMULATOR_BUCKETS = ["CommittedBlocks", "CommittedTxs", "CommittedTxBytes", "DroppedTxs", "RoundCatchUp", "RoundQc", "RoundTc", "RpcRequestsRegistered", "RpcRequestsSent"]
 # fixed values: outcomes of a reachability probe

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import nonneg_sub
+
 
 def counter(df: DataFrame, labels: Sequence[str], value: str | None = None, name: str = "n") -> DataFrame:
     """Sum of increments by labels; without a value, rows count."""
@@ -113,21 +115,31 @@ def response_stats(df: DataFrame, keys: Sequence[str], requests: Column, statuse
     )
 
 
-def priority_fee(kind: Column, max_priority: Column, max_fee: Column, gas_price: Column, base: Column) -> Column:
-    """Effective priority fee of a transaction over the base fee."""
-    zero = F.lit(0).cast("decimal(38,0)")
-    modern = F.when(max_priority.isNotNull() & max_fee.isNotNull(), F.least(max_priority, F.greatest(max_fee - base, zero)))
-    return F.when(kind == "Eip1559", modern).when(kind.isin("Legacy", "Eip2930") & gas_price.isNotNull(), F.greatest(gas_price - base, zero))
+def priority_fee(kind: Column, max_priority: Column, max_fee: Column, gas_price: Column, base: Column, sub: Callable[[Column, Column], Column] = nonneg_sub) -> Column:
+    """Effective priority fee of a transaction over the base fee; ``sub`` is the difference, at least zero, of the type of number."""
+    modern = F.when(max_priority.isNotNull() & max_fee.isNotNull(), F.least(max_priority, sub(max_fee, base)))
+    return F.when(kind == "Eip1559", modern).when(kind.isin("Legacy", "Eip2930") & gas_price.isNotNull(), sub(gas_price, base))
 
 
-def max_priority_fee(txs: DataFrame, receipts: DataFrame, key: str) -> DataFrame:
-    """Per block: if every transaction has a receipt with an effective price, the receipts' maximum; else the larger of both.
+def block_priority_fee(fees: Column, effective: Column, base: Column, sub: Callable[[Column, Column], Column] = nonneg_sub) -> Column:
+    """The maximum of one block from the arrays of its transactions' fees and receipts' effective prices; null if none is known.
 
-    ``txs (key, fee)``, ``receipts (key, effective, base)``.  Without a known fee the maximum is 0 and ``has_fee`` false.
+    If every transaction has a receipt with an effective price, the receipts decide; else the larger of both.
     """
-    zero = F.lit(0).cast("decimal(38,0)")
+    known = F.filter(effective, lambda x: x.isNotNull())
+    of_receipts = F.array_max(F.transform(known, lambda x: sub(x, base)))
+    whole = (F.size(effective) == F.size(fees)) & (F.size(known) == F.size(effective))
+    return F.when(whole, of_receipts).otherwise(F.greatest(F.array_max(fees), of_receipts))
+
+
+def max_priority_fee(txs: DataFrame, receipts: DataFrame, key: str, sub: Callable[[Column, Column], Column] = nonneg_sub, zero: Column | None = None) -> DataFrame:
+    """``block_priority_fee`` over tables ``txs (key, fee)`` and ``receipts (key, effective, base)``.
+
+    Without a known fee the maximum is 0 and ``has_fee`` false.
+    """
+    zero = F.lit(0).cast("decimal(38,0)") if zero is None else zero
     a = txs.groupBy(key).agg(F.count(F.lit(1)).alias("n_tx"), F.max("fee").alias("tx_fee"))
-    b = receipts.groupBy(key).agg(F.count(F.lit(1)).alias("n_rec"), F.count("effective").alias("n_eff"), F.max(F.when(F.col("effective").isNotNull(), F.greatest(F.col("effective") - F.col("base"), zero))).alias("rec_fee"))
+    b = receipts.groupBy(key).agg(F.count(F.lit(1)).alias("n_rec"), F.count("effective").alias("n_eff"), F.max(F.when(F.col("effective").isNotNull(), sub(F.col("effective"), F.col("base")))).alias("rec_fee"))
     whole = (F.col("n_rec") == F.col("n_tx")) & (F.col("n_eff") == F.col("n_rec"))
     best = F.when(whole, F.col("rec_fee")).otherwise(F.greatest("tx_fee", "rec_fee"))
     return a.join(b, key, "full").select(key, F.coalesce(best, zero).alias("max_fee"), best.isNotNull().alias("has_fee"))
@@ -146,13 +158,13 @@ def nested_outcomes(groups: Column, ok) -> Column:
     return F.struct(good.alias("ok"), (F.size(flat) - good).alias("other"))
 
 
-def disk_usage(inventory: DataFrame, scopes: Mapping[str, str]) -> DataFrame:
-    """Apparent bytes, and allocated bytes once per (device, inode), inside each of the overlapping path scopes."""
+def disk_usage(inventory: DataFrame, by: Sequence[str], scopes: Mapping[str, str]) -> DataFrame:
+    """Apparent bytes, and allocated bytes once per (device, inode), of each ``by`` inside each of the overlapping path scopes."""
     inside = F.array_compact(F.array(*[F.when(F.col("path").startswith(p), F.lit(s)) for s, p in scopes.items()]))
-    rows = inventory.filter("is_regular").select("size", "alloc_bytes", "device", "inode", F.explode(inside).alias("scope"))
-    apparent = rows.groupBy("scope").agg(F.sum("size").alias("apparent_bytes"))
-    allocated = rows.groupBy("scope", "device", "inode").agg(F.max("alloc_bytes").alias("a")).groupBy("scope").agg(F.sum("a").alias("allocated_bytes"))
-    return apparent.join(allocated, "scope")
+    rows = inventory.filter("is_regular").select(*by, "size", "alloc_bytes", "device", "inode", F.explode(inside).alias("scope"))
+    # one shuffle: sums of a file's links first, then of files
+    files = rows.groupBy(*by, "scope", "device", "inode").agg(F.sum("size").alias("s"), F.max("alloc_bytes").alias("a"))
+    return files.groupBy(*by, "scope").agg(F.sum("s").alias("apparent_bytes"), F.sum("a").alias("allocated_bytes"))
 
 
 def classed_file_stats(inventory: DataFrame, by: Sequence[str], as_of: Column, stale_s: int = 86_400) -> DataFrame:
@@ -173,6 +185,13 @@ def retained_markers(inventory: DataFrame, scope: Sequence[str], start: Column,
     return inventory.withColumn("_start", start).filter("_start is not null").groupBy(*scope).agg(F.count(F.lit(1)).alias("markers"), F.max("_start").alias("newest_start"), F.max(mtime).alias("newest_activity"))
 
 
+def with_census(owners: DataFrame, values: Mapping[str, Sequence]) -> DataFrame:
+    """Each owner with every combination of the closed lists of values."""
+    for name, each in values.items():
+        owners = owners.select("*", F.explode(F.array(*[F.lit(x) for x in each])).alias(name))
+    return owners
+
+
 def zero_filled(df: DataFrame, census: DataFrame, keys: Sequence[str], counts: Sequence[str]) -> DataFrame:
     """``df`` on every row of a closed census, zero where it has none; rows outside the census go."""
     return census.join(df, list(keys), "left").select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
@@ -189,13 +208,15 @@ def snapshot_sizes(pairs: Column) -> Column:
     return F.struct(F.map_from_arrays(F.transform(pairs, lambda p: p["name"]), F.transform(pairs, lambda p: p["size"])).alias("sizes"), F.array_max(F.transform(pairs, lambda p: p["age"])).alias("oldest"))
 
 
-def socket_census(rows: DataFrame, ports: Sequence[int], states: Sequence[str]) -> DataFrame:
-    """Sockets by (port, side, state), zero-filled; the local port is tested first and each row counts once."""
+def socket_census(rows: DataFrame, by: Sequence[str], ports: Sequence[int], states: Sequence[str]) -> DataFrame:
+    """Sockets of each ``by`` by (port, side, state), zero-filled; the local port is tested first and each row counts once."""
     local, remote = F.col("local_port").isin(list(ports)), F.col("remote_port").isin(list(ports))
-    found = rows.filter(local | remote).select(F.when(local, F.col("local_port")).otherwise(F.col("remote_port")).alias("port"), F.when(local, "local").otherwise("remote").alias("side"), "state")
-    counted = found.groupBy("port", "side", "state").agg(F.count(F.lit(1)).alias("n"))
-    census = rows.sparkSession.createDataFrame([(p, s, x) for p in ports for s in ("local", "remote") for x in states], "port int, side string, state string")
-    return zero_filled(counted, F.broadcast(census), ["port", "side", "state"], ["n"])
+    side = F.when(local, "local").when(remote, "remote")
+    found = rows.select(*by, F.when(local, F.col("local_port")).otherwise(F.col("remote_port")).alias("port"), side.alias("side"), "state")
+    # rows of no port still name their node
+    counted = found.groupBy(*by, "port", "side", "state").agg(F.count(F.lit(1)).alias("n"))
+    every = with_census(counted.select(*by).distinct(), {"port": ports, "side": ("local", "remote"), "state": states})
+    return zero_filled(counted, every, [*by, "port", "side", "state"], ["n"])
 
 
 def child_summary(df: DataFrame, by: Sequence[str], verified: str, connections: str, cap: int = 16) -> DataFrame:

@@ -160,7 +160,8 @@ def _evm(t) -> DataFrame:
     rows = t("orders").join(per, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     none = F.array().cast("array<string>")
     header = F.concat(F.lit('{"number":'), _hex(F.col("o_orderkey") + 1), F.lit(',"gasLimit":"30000000","gasUsed":'), _hex((F.col("o_custkey") % 400) * 100_000), F.lit(',"timestamp":'), _hex(F.unix_timestamp("o_orderdate")), F.lit(',"baseFeePerGas":'), _hex((1 + F.col("o_orderkey") % 5).cast("long") * _BASE), F.lit("}"))
-    calls = F.lit('[["0x1",[["a",{"Ok":1}],["b",{"Err":2}]]],["0x2",[["c",{"Ok":3}]]]]')
+    kind = lambda ok: F.when(ok, '{"Ok":1}').otherwise('{"Err":2}')
+    calls = F.concat(F.lit('[["0x1",[["a",'), kind(F.col("o_orderkey") % 2 == 0), F.lit('],["b",{"Err":2}]]],["0x2",[["c",'), kind(F.col("o_custkey") % 3 > 0), F.lit("]]]]"))
     payload = F.concat(F.lit('{"block":{"V1":{"header":{"header":'), header, F.lit('},"body":{"transactions":'), listed(F.coalesce("txs", none)), F.lit('}}},"receipts":'), listed(F.coalesce("receipts", none)), F.lit(',"system_txs":[1],"read_precompile_calls":'), calls, F.lit("}"))
     return rows.select(node("o_orderkey"), enveloped(F.col("o_orderdate"), payload).alias("line"))
 
@@ -177,7 +178,7 @@ _EVM = f"SELECT o_orderkey, node_id, o_custkey, count(l_orderkey) AS n_tx, count
 _BEST = "CASE WHEN n_rec = n_tx AND n_eff = n_rec THEN rec_fee ELSE greatest(tx_fee, rec_fee) END"
 
 
-@query("job_evm_blocks", f"SELECT node_id, o_orderkey + 1 AS number, (o_custkey % 400) * 100000 / 30000000.0::DOUBLE AS gas_ratio, CAST(1 + o_orderkey % 5 AS DOUBLE) AS base_fee_gwei, CAST(n_tx AS INTEGER) AS txs, CAST(n_rec AS INTEGER) AS receipts, n_tx <> n_rec AS mismatch, CASE WHEN n_tx > 0 THEN coalesce({_BEST}, 0) / 1000000000.0::DOUBLE END AS max_priority_gwei, CASE WHEN n_tx > 0 THEN {_BEST} IS NOT NULL END AS has_fee, CAST(2 AS INTEGER) AS ok_calls, CAST(1 AS INTEGER) AS other_calls FROM ({_EVM})")
+@query("job_evm_blocks", f"SELECT node_id, o_orderkey + 1 AS number, (o_custkey % 400) * 100000 / 30000000.0::DOUBLE AS gas_ratio, CAST(1 + o_orderkey % 5 AS DOUBLE) AS base_fee_gwei, CAST(n_tx AS INTEGER) AS txs, CAST(n_rec AS INTEGER) AS receipts, n_tx <> n_rec AS mismatch, CASE WHEN n_tx > 0 THEN coalesce({_BEST}, 0) / 1000000000.0::DOUBLE END AS max_priority_gwei, CASE WHEN n_tx > 0 THEN {_BEST} IS NOT NULL END AS has_fee, CAST((o_orderkey % 2 = 0)::INTEGER + (o_custkey % 3 > 0)::INTEGER AS INTEGER) AS ok_calls, CAST(3 - (o_orderkey % 2 = 0)::INTEGER - (o_custkey % 3 > 0)::INTEGER AS INTEGER) AS other_calls FROM ({_EVM})")
 def evm_blocks(t):
     made = jobs.evm_blocks(_evm(t))["evm_block"]
     return made.select("node_id", "number", "gas_ratio", "base_fee_gwei", "txs", "receipts", "mismatch", "max_priority_gwei", "has_fee", F.col("calls.ok").alias("ok_calls"), F.col("calls.other").alias("other_calls"))
@@ -208,6 +209,22 @@ def evm_fees(t):
     return jobs.evm_blocks(_evm(t))["evm_fee_hist"].drop("total")
 
 
+def _evm_twice(t) -> dict[str, DataFrame]:
+    """Every line is logged twice, as after a restart."""
+    lines = _evm(t)
+    return jobs.evm_blocks(lines.withColumn("copies", F.lit(2)).select("*", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("node_id", "line"))
+
+
+@query("job_evm_repeated_receipts", f"SELECT node_id, 2 * count(*) FILTER (outcome = 'success') AS success, 2 * count(*) FILTER (outcome = 'failed') AS failed, 2 * count(*) FILTER (outcome = 'unknown') AS unknown FROM ({_TXS}) WHERE has_receipt GROUP BY 1")
+def evm_repeated(t):
+    return _evm_twice(t)["evm_receipt"].select("node_id", "success", "failed", "unknown")
+
+
+@query("job_evm_repeated_fees", f"SELECT node_id, o_orderkey + 1 AS number, 2 * count(*) AS copies, coalesce({_BEST}, 0) / 1000000000.0::DOUBLE AS max_priority_gwei FROM ({_EVM}) WHERE n_tx > 0 GROUP BY ALL")
+def evm_repeated_fees(t):
+    return _evm_twice(t)["evm_block"].filter("has_fee is not null").groupBy("node_id", "number").agg(F.count(F.lit(1)).alias("copies"), F.max("max_priority_gwei").alias("max_priority_gwei"))
+
+
 @query("job_evm_rejects", f"SELECT {NODE.format('o_orderkey')} AS node_id, 'header' AS stage, 'bad_gas' AS reason, count(*) AS n FROM orders WHERE o_custkey % 400 > 300 GROUP BY 1")
 def evm_rejects(t):
     return validation.reject_counts(jobs.evm_blocks(_evm(t))["rejects"], ["node_id"])
@@ -419,19 +436,28 @@ def periods(t):
     return _summaries(t)["validator_period"].drop("generation")
 
 
-@query("job_profiles", "WITH u AS (SELECT * FROM supplier WHERE s_suppkey % 5 > 0), d AS (SELECT s_nationkey AS day, max(s_suppkey % 10) AS height FROM u GROUP BY 1), n AS (SELECT max({'a': s_nationkey, 'b': s_suppkey % 10}) AS x FROM u) SELECT s_suppkey, '0x' || printf('%040x', s_suppkey) AS address, '10.0.' || (s_suppkey // 256) || '.' || (s_suppkey % 256) AS ip FROM u, n WHERE s_nationkey = x.a AND s_suppkey % 10 = x.b")
+_PROFILES = f"(SELECT *, {NODE.format('s_suppkey // 7')} AS node_id, s_nationkey AS day, s_suppkey % 10 AS height FROM supplier WHERE s_suppkey % 5 > 0)"
+
+
+def _profiles(t, cut: Column) -> DataFrame:
+    """Suppliers as profile rows of three nodes; a fifth has a blank name."""
+    key = F.col("s_suppkey")
+    name, ip = F.when(key % 5 == 0, "").otherwise(F.col("s_name")), F.concat_ws(".", F.lit("::ffff:10"), F.lit("0"), F.floor(key / 256), key % 256)
+    number = F.concat(F.lit("n"), (F.floor(key / 7) % 3).cast("string"))
+    return t("supplier").select("s_suppkey", number.alias("node_id"), F.col("s_nationkey").alias("day"), (key % 10).alias("height"), cut.alias("address"), name.alias("moniker"), ip.alias("ip"), F.lit(False).alias("legacy"))
+
+
+@query("job_profiles", f"WITH n AS (SELECT node_id, max({{'a': day, 'b': height}}) AS x FROM {_PROFILES} GROUP BY 1) SELECT u.node_id, s_suppkey, '0x' || printf('%040x', s_suppkey) AS address, '10.0.' || (s_suppkey // 256) || '.' || (s_suppkey % 256) AS ip FROM {_PROFILES} u JOIN n ON u.node_id = n.node_id AND day = x.a AND height = x.b")
 def profiles(t):
-    s = t("supplier")
-    cut = F.concat(F.substring(address(F.col("s_suppkey")), 1, 6), F.lit(".."), F.substring(address(F.col("s_suppkey")), -4, 4))
-    rows = s.select("s_suppkey", F.col("s_nationkey").alias("day"), (F.col("s_suppkey") % 10).alias("height"), cut.alias("address"), F.when(F.col("s_suppkey") % 5 == 0, "").otherwise(F.col("s_name")).alias("moniker"), F.concat_ws(".", F.lit("::ffff:10"), F.lit("0"), F.floor(F.col("s_suppkey") / 256), F.col("s_suppkey") % 256).alias("ip"), F.lit(False).alias("legacy"))
-    registry = s.select(address(F.col("s_suppkey")).alias("validator"))
-    return jobs.validator_profiles(rows, registry)["validator_profile"].select("s_suppkey", "address", "ip")
+    full = address(F.col("s_suppkey"))
+    rows = _profiles(t, F.concat(F.substring(full, 1, 6), F.lit(".."), F.substring(full, -4, 4)))
+    return jobs.validator_profiles(rows, t("supplier").select(full.alias("validator")))["validator_profile"].select("node_id", "s_suppkey", "address", "ip")
 
 
-@query("job_profile_days", "SELECT s_nationkey AS day, max(s_suppkey % 10) AS height, CAST(arg_max(n, h) AS BIGINT) AS count FROM (SELECT s_nationkey, s_suppkey % 10 AS h, s_suppkey % 10 AS s_suppkey, count(*) OVER (PARTITION BY s_nationkey, s_suppkey % 10) AS n FROM supplier WHERE s_suppkey % 5 > 0) GROUP BY 1")
+@query("job_profile_days", f"SELECT node_id, day, max(height) AS height, CAST(arg_max(n, height) AS BIGINT) AS count FROM (SELECT node_id, day, height, count(*) AS n FROM {_PROFILES} GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def profile_days(t):
-    rows = t("supplier").select(F.col("s_nationkey").alias("day"), (F.col("s_suppkey") % 10).alias("height"), F.lit("0x0000..0001").alias("address"), F.when(F.col("s_suppkey") % 5 == 0, "").otherwise(F.col("s_name")).alias("moniker"), F.lit("10.0.0.1").alias("ip"), F.lit(False).alias("legacy"))
-    return jobs.validator_profiles(rows, rows.select(F.col("address").alias("validator")))["validator_daily"].select("day", "height", "count")
+    rows = _profiles(t, F.lit("0x0000..0001"))
+    return jobs.validator_profiles(rows, rows.select(F.col("address").alias("validator")))["validator_daily"].select("node_id", "day", "height", "count")
 
 
 @query("job_probe_targets", "SELECT '0x' || printf('%040x', c_custkey) AS address, CAST(c_custkey * 10 AS BIGINT) AS stake FROM customer JOIN supplier ON s_suppkey = c_custkey WHERE c_custkey % 3 > 0 AND c_custkey % 4 <> 0 AND s_suppkey % 60 <= 20 ORDER BY 2 DESC LIMIT 10")

@@ -102,32 +102,59 @@ def core_blocks(lines: DataFrame) -> Tables:
     }
 
 
+def _actions(groups: Column) -> Column:
+    """Type, inner type and operation lists of the signed actions of all bundles; a type that is no text is null."""
+    action = lambda a: F.struct(
+        _text(a, "$.action.type").alias("type"),
+        _text(a, "$.action.payload.action.type").alias("inner"),
+        *[F.size(_items(a, f"$.action.{name}")).alias(name) for name in ("orders", "cancels", "modifies")],
+    )
+    return F.transform(F.flatten(groups), action)
+
+
+def _unlisted(a: Column) -> Column:
+    """An action whose type needs a list that it does not have."""
+    return ((a["type"] == "order") & a["orders"].isNull()) | (a["type"].isin("cancel", "cancelByCloid") & a["cancels"].isNull()) | ((a["type"] == "batchModify") & a["modifies"].isNull())
+
+
+def _operations(a: Column) -> Column:
+    """Operations of one action by the sizes of its lists."""
+    sizes = F.when(a["type"] == "order", a["orders"]).when(a["type"].isin("cancel", "cancelByCloid"), a["cancels"]).when(a["type"] == "batchModify", a["modifies"])
+    return F.coalesce(sizes, F.lit(1)).cast("long")
+
+
 def replica_blocks(lines: DataFrame) -> Tables:
-    """Block records with bundles of signed actions: per block and per action type; empty blocks are valid, empty bundles are not."""
+    """Block records with bundles of signed actions: per block and per action type; empty blocks are valid, empty bundles are not.
+
+    A record is parsed once, and all sums of a block are taken over its own lists.
+    """
     v = F.col("v")
-    block = {"height": _int(v, "$.height"), "block_time": S.parse_ts(_text(v, "$.abci_block.time")), "round": _int(v, "$.abci_block.round"), "parent_round": _int(v, "$.abci_block.parent_round"), "proposer": _text(v, "$.abci_block.proposer"), "bundles": _items(v, "$.abci_block.signed_action_bundles"), "resps": _items(v, "$.resps.Full")}
-    rows = once(records(lines), block)
-    actions_of = F.transform("bundles", lambda b: _items(b, "$[1].signed_actions"))
-    rows = once(rows, {"groups": actions_of})
-    flat = F.transform(F.flatten("groups"), lambda a: F.struct(_text(a, "$.action.type").alias("type"), _text(a, "$.action.payload.action.type").alias("inner"), _items(a, "$.action.orders").alias("orders"), _items(a, "$.action.cancels").alias("cancels"), _items(a, "$.action.modifies").alias("modifies")))
-    rows = once(rows, {"acts": flat})
-    needed = lambda a: ((a["type"] == "order") & a["orders"].isNull()) | (a["type"].isin("cancel", "cancelByCloid") & a["cancels"].isNull()) | ((a["type"] == "batchModify") & a["modifies"].isNull())
+    block = {
+        "height": _int(v, "$.height"), "block_time": S.parse_ts(_text(v, "$.abci_block.time")), "round": _int(v, "$.abci_block.round"), "parent_round": _int(v, "$.abci_block.parent_round"), "proposer": _text(v, "$.abci_block.proposer"),
+        "groups": F.transform(_items(v, "$.abci_block.signed_action_bundles"), lambda b: _items(b, "$[1].signed_actions")),
+        "statuses": F.flatten(F.transform(_items(v, "$.resps.Full"), lambda g: F.transform(_items(g, "$[1]"), lambda r: _text(r, "$.res.status")))),
+        "bad_json": v.isNull(),
+    }
+    rows = once(records(lines), block).drop("v")
+    rows = once(rows, {"acts": _actions(F.col("groups"))})
     good, rejects = checked(rows, [
-        ("record", "bad_json", v.isNull()), ("record", "bad_height", F.col("height").isNull() | (F.col("height") <= 0)),
+        ("record", "bad_json", F.col("bad_json")), ("record", "bad_height", F.col("height").isNull() | (F.col("height") <= 0)),
         ("block", "bad_time", F.col("block_time").isNull()), ("block", "bad_round", F.col("round").isNull() | (F.col("round") <= 0)), ("block", "no_proposer", F.col("proposer").isNull()),
-        ("bundles", "no_list", F.col("bundles").isNull()), ("bundle", "no_actions", F.exists("groups", lambda g: F.coalesce(F.size(g) == 0, F.lit(True)))),
-        ("action", "no_type", F.exists("acts", lambda a: a["type"].isNull())), ("operation", "no_list", F.exists("acts", needed)),
+        ("bundles", "no_list", F.col("groups").isNull()), ("bundle", "no_actions", F.exists("groups", lambda g: F.coalesce(F.size(g) == 0, F.lit(True)))),
+        ("action", "no_type", F.exists("acts", lambda a: a["type"].isNull())), ("operation", "no_list", F.exists("acts", _unlisted)),
     ])
-    counted = F.transform("acts", lambda a: F.struct(a["type"].alias("type"), a["inner"].alias("inner"), S.operation_count(a["type"], a["orders"], a["cancels"], a["modifies"]).alias("operations")))
-    good = once(good, {"acts": counted})
+    good = once(good, {"acts": F.transform("acts", lambda a: F.struct(a["type"].alias("type"), a["inner"].alias("inner"), _operations(a).alias("operations")))})
     add = lambda pick: F.aggregate("acts", F.lit(0).cast("long"), lambda s, a: s + pick(a))
-    blocks = good.select("node_id", "height", "block_time", "round", "parent_round", "proposer", F.size("bundles").alias("bundles"), F.size("acts").alias("actions"), add(lambda a: a["operations"]).alias("operations"), add(lambda a: F.when(a["type"].isin("order", "twapOrder"), a["operations"]).otherwise(0)).alias("orders"), (F.col("round") - F.col("parent_round")).alias("round_advance"))
-    acts = good.select("node_id", "height", F.inline("acts"))
+    blocks = good.select(
+        "node_id", "height", "block_time", "round", "parent_round", "proposer", F.size("groups").alias("bundles"), F.size("acts").alias("actions"), add(lambda a: a["operations"]).alias("operations"),
+        add(lambda a: F.when(a["type"].isin("order", "twapOrder"), a["operations"]).otherwise(0)).alias("orders"), (F.col("round") - F.col("parent_round")).alias("round_advance"),
+    )
+    acts = good.select("node_id", F.inline("acts"))
     names = list(vocab.ACTION_CATEGORIES)
-    action = acts.groupBy("node_id", F.col("type").alias("action"), S.categorize(F.col("type"), vocab.ACTION_CATEGORIES).alias("category"), S.normalize_vocab(F.col("inner"), names).alias("inner")).agg(F.count(F.lit(1)).alias("actions"), F.sum("operations").alias("operations"))
-    status = lambda r: _text(r, "$.res.status")
-    statuses = F.when(F.col("resps").isNotNull(), F.flatten(F.transform("resps", lambda g: F.transform(_items(g, "$[1]"), status))))
-    responses = A.response_stats(good.withColumn("statuses", statuses), ["node_id", "height"], F.size("acts"), "statuses")
+    # raw types meet first, so the vocabulary is looked up once a type and not once an action
+    action = acts.groupBy("node_id", "type", "inner").agg(F.count(F.lit(1)).alias("actions"), F.sum("operations").alias("operations"))
+    action = action.groupBy("node_id", F.col("type").alias("action"), S.categorize(F.col("type"), vocab.ACTION_CATEGORIES).alias("category"), S.normalize_vocab(F.col("inner"), names).alias("inner")).agg(F.sum("actions").alias("actions"), F.sum("operations").alias("operations"))
+    responses = A.response_stats(good, ["node_id", "height"], F.size("acts"), "statuses")
     return {
         "replica_block": blocks, "replica_action": action, "replica_response": responses, "rejects": rejects, "proposal": A.counter(blocks, ["node_id", "proposer"], name="blocks"),
         "replica_hist": A.explicit_histogram(blocks, "actions", vocab.ACTIONS_PER_BLOCK, ["node_id"]), "replica_order_hist": A.explicit_histogram(blocks, "orders", vocab.ORDERS_PER_BLOCK, ["node_id"]), "replica_operation_hist": A.explicit_histogram(blocks, "operations", vocab.OPERATIONS_PER_BLOCK, ["node_id"]),
@@ -139,38 +166,61 @@ def proposals(lines: DataFrame) -> DataFrame:
     return lines.select("node_id", F.get_json_object("line", "$.abci_block.proposer").alias("proposer")).filter("proposer is not null").groupBy("node_id", "proposer").agg(F.count(F.lit(1)).alias("blocks"))
 
 
+def _transaction(base: Column):
+    """Type, shape, recipient and effective priority fee of one transaction body (``tag``, ``body``)."""
+
+    def made(t: Column) -> Column:
+        to, text = F.try_variant_get(t["body"], "$.to", "variant"), _text(t["body"], "$.to")
+        shape = F.when(F.is_variant_null(to), "create").when(S.is_full_address(F.lower(text)), "message").otherwise("unknown")
+        price = lambda name: S.wide(_text(t["body"], f"$.{name}"))
+        fee = A.priority_fee(t["tag"], price("maxPriorityFeePerGas"), price("maxFeePerGas"), price("gasPrice"), base, S.wide_sub)
+        return F.struct(S.normalize_vocab(t["tag"], vocab.TX_TYPES).alias("type"), shape.alias("shape"), F.lower(text).alias("recipient"), fee.alias("fee"))
+
+    return made
+
+
 def evm_blocks(lines: DataFrame) -> Tables:
-    """Execution blocks with transactions and receipts: gas, fees, transaction types and shapes, receipt outcomes."""
-    p = F.col("p")
+    """Execution blocks with transactions and receipts: gas, fees (to 256 bits), transaction types and shapes, receipt outcomes.
+
+    A record is parsed once; fees, receipts and calls of a block are sums over its own lists, so a block that is logged
+    twice counts twice in every table, and nothing is joined back.
+    """
+    p, b = F.col("p"), F.col("b")
     rows = once(enveloped(lines), {"b": json.single_variant(F.try_variant_get(p, "$.block", "variant"))["body"]})
-    b = F.col("b")
-    head = "$.header.header."
-    q = lambda name: S.quantity(_text(b, head + name))
-    rows = once(rows, {"number": q("number").cast("long"), "gas_limit": q("gasLimit"), "gas_used": q("gasUsed"), "block_time": F.timestamp_seconds(q("timestamp").cast("long")), "base_fee": q("baseFeePerGas"), "txs": _items(b, "$.body.transactions"), "receipts": _items(p, "$.receipts"), "system_txs": _items(p, "$.system_txs"), "calls": _items(p, "$.read_precompile_calls")})
-    tx = lambda t: json.single_variant(F.try_variant_get(t, "$.transaction", "variant"))
-    rows = once(rows, {"tx_bodies": F.transform("txs", tx)})
-    good, rejects = checked(rows, [*_envelope_checks(), ("block", "no_version", b.isNull()), ("header", "bad_number", F.col("number").isNull()), ("header", "bad_gas", F.col("gas_used").isNull() | F.col("gas_limit").isNull() | (F.col("gas_used") > F.col("gas_limit"))), ("header", "bad_time", F.col("block_time").isNull()), ("body", "no_transactions", F.col("txs").isNull()), ("transaction", "bad_variant", F.exists("tx_bodies", lambda t: t.isNull())), ("receipts", "no_list", F.col("receipts").isNull())])
-    kind = lambda t: t["tag"]
-    fee_of = lambda t: S.quantity(_text(t["body"], "$.maxPriorityFeePerGas"))
-    to = lambda t: F.try_variant_get(t["body"], "$.to", "variant")
-    shape = lambda t: F.when(F.is_variant_null(to(t)), "create").when(S.is_full_address(F.lower(_text(t["body"], "$.to"))), "message").otherwise("unknown")
-    txs = good.select("node_id", "number", "base_fee", F.explode("tx_bodies").alias("t"))
-    t = F.col("t")
-    fee = S.quantity(_text(t["body"], "$.gasPrice"))
-    effective = A.priority_fee(kind(t), fee_of(t), S.quantity(_text(t["body"], "$.maxFeePerGas")), fee, F.coalesce("base_fee", F.lit(0).cast("decimal(38,0)")))
-    txs = txs.select("node_id", "number", S.normalize_vocab(kind(t), vocab.TX_TYPES).alias("type"), shape(t).alias("shape"), F.lower(_text(t["body"], "$.to")).alias("recipient"), effective.alias("fee"))
-    r = F.col("r")
-    receipts = good.select("node_id", "number", "base_fee", F.explode("receipts").alias("r")).select("node_id", "number", F.col("base_fee").alias("base"), json.req(r, "$.success", "bool").alias("success"), S.quantity(F.coalesce(_text(r, "$.effectiveGasPrice"), _text(r, "$.effective_gas_price"))).alias("effective"))
-    key = F.struct("node_id", "number").alias("key")
-    fees = A.max_priority_fee(txs.select(key, "fee"), receipts.select(key, "effective", F.coalesce("base", F.lit(0).cast("decimal(38,0)")).alias("base")), "key").select("key.*", S.wei_to_gwei(F.col("max_fee")).alias("max_priority_gwei"), "has_fee")
-    calls = A.nested_outcomes(F.transform("calls", lambda c: _items(c, "$[1]")), lambda c: F.try_variant_get(c, "$[1].Ok", "variant").isNotNull())
-    blocks = good.select("node_id", "number", "block_time", S.gas_ratio(F.col("gas_used"), F.col("gas_limit")).alias("gas_ratio"), S.wei_to_gwei(F.col("base_fee")).alias("base_fee_gwei"), F.size("txs").alias("txs"), F.size("receipts").alias("receipts"), (F.size("txs") != F.size("receipts")).alias("mismatch"), F.coalesce(F.size("system_txs"), F.lit(0)).alias("system_txs"), calls.alias("calls"))
-    blocks = W.advancing_interval(blocks, ["node_id"], ["number"], "block_time").join(fees, ["node_id", "number"], "left")
-    outcomes = receipts.join(blocks.select("node_id", "number", "mismatch"), ["node_id", "number"])
+    q = lambda name: S.quantity(_text(b, f"$.header.header.{name}"))
+    rows = once(rows, {
+        "number": q("number").cast("long"), "gas_limit": q("gasLimit"), "gas_used": q("gasUsed"), "block_time": F.timestamp_seconds(q("timestamp").cast("long")),
+        "base_fee": S.wide(_text(b, "$.header.header.baseFeePerGas")), "no_version": b.isNull(),
+        "bodies": F.transform(_items(b, "$.body.transactions"), lambda t: json.single_variant(F.try_variant_get(t, "$.transaction", "variant"))),
+        "receipts": F.transform(_items(p, "$.receipts"), lambda r: F.struct(json.req(r, "$.success", "bool").alias("success"), S.wide(F.coalesce(_text(r, "$.effectiveGasPrice"), _text(r, "$.effective_gas_price"))).alias("effective"))),
+        "system_txs": F.coalesce(F.size(_items(p, "$.system_txs")), F.lit(0)),
+        "calls": A.nested_outcomes(F.transform(_items(p, "$.read_precompile_calls"), lambda c: _items(c, "$[1]")), lambda c: F.try_variant_get(c, "$[1].Ok", "variant").isNotNull()),
+    }).drop("p", "b")
+    good, rejects = checked(rows, [
+        *_envelope_checks(), ("block", "no_version", F.col("no_version")), ("header", "bad_number", F.col("number").isNull()),
+        ("header", "bad_gas", F.col("gas_used").isNull() | F.col("gas_limit").isNull() | (F.col("gas_used") > F.col("gas_limit"))), ("header", "bad_time", F.col("block_time").isNull()),
+        ("body", "no_transactions", F.col("bodies").isNull()), ("transaction", "bad_variant", F.exists("bodies", lambda t: t.isNull())), ("receipts", "no_list", F.col("receipts").isNull()),
+    ])
+    base = F.coalesce("base_fee", S.wide_zero())
+    good = once(good, {"base": base})
+    good = once(good, {"txs": F.transform("bodies", _transaction(F.col("base")))}).drop("bodies")
+    best = A.block_priority_fee(F.transform("txs", lambda t: t["fee"]), F.transform("receipts", lambda r: r["effective"]), F.col("base"), S.wide_sub)
+    good = once(good, {"best": best})
+    some = F.size("txs") + F.size("receipts") > 0
+    of = lambda p: F.size(F.filter("receipts", p))
+    blocks = good.select(
+        "node_id", "number", "block_time", S.gas_ratio(F.col("gas_used"), F.col("gas_limit")).alias("gas_ratio"), S.wide_gwei(F.col("base_fee")).alias("base_fee_gwei"),
+        F.size("txs").alias("txs"), F.size("receipts").alias("receipts"), (F.size("txs") != F.size("receipts")).alias("mismatch"), "system_txs", "calls",
+        F.when(some, S.wide_gwei(F.coalesce("best", S.wide_zero()))).alias("max_priority_gwei"), F.when(some, F.col("best").isNotNull()).alias("has_fee"),
+        of(lambda r: r["success"]).alias("success"), of(lambda r: ~r["success"]).alias("failed"), of(lambda r: r["success"].isNull()).alias("unknown"),
+    )
+    timed = W.advancing_interval(blocks, ["node_id"], ["number"], "block_time")
+    txs = good.select("node_id", "number", F.inline("txs")).withColumn("fee_gwei", S.wide_gwei(F.col("fee")))
+    outcomes = blocks.groupBy("node_id").agg(*[F.sum(c).alias(c) for c in ("success", "failed", "unknown")], F.sum(F.col("mismatch").cast("long")).alias("mismatches"), F.max(F.when(F.col("mismatch"), F.col("number"))).alias("last_mismatch"))
     return {
-        "evm_block": blocks, "evm_tx": txs, "rejects": rejects, "evm_tx_types": A.counter(txs, ["node_id", "type", "shape"]), "evm_receipt": A.receipt_outcomes(outcomes, ["node_id"], "success", F.lit(False), "number"),
-        "evm_mismatch": blocks.filter("mismatch").groupBy("node_id").agg(F.count(F.lit(1)).alias("mismatches"), F.max("number").alias("last_mismatch")),
-        "evm_time_hist": A.explicit_histogram(blocks, "gap_ms", vocab.EVM_BLOCK_TIME_MS, ["node_id"]), "evm_tx_hist": A.explicit_histogram(blocks, "txs", vocab.EVM_TX_PER_BLOCK, ["node_id"]),
+        "evm_block": timed, "evm_tx": txs, "rejects": rejects, "evm_tx_types": A.counter(txs, ["node_id", "type", "shape"]), "evm_receipt": outcomes,
+        "evm_mismatch": outcomes.filter("mismatches > 0").select("node_id", "mismatches", "last_mismatch"),
+        "evm_time_hist": A.explicit_histogram(timed, "gap_ms", vocab.EVM_BLOCK_TIME_MS, ["node_id"]), "evm_tx_hist": A.explicit_histogram(blocks, "txs", vocab.EVM_TX_PER_BLOCK, ["node_id"]),
         "evm_fee_hist": A.explicit_histogram(blocks.filter("has_fee"), "max_priority_gwei", vocab.FEE_GWEI, ["node_id"]),
         "evm_recipients": A.counter(W.sticky_topn(txs.filter("recipient is not null"), ["node_id"], "recipient", ["number"], 20), ["node_id", "label"]),
     }
@@ -333,13 +383,13 @@ def validator_summaries(documents: DataFrame) -> Tables:
 
 
 def validator_profiles(profiles: DataFrame, registry: DataFrame) -> Tables:
-    """Decoded profile rows ``(day, height, address, moniker, ip, legacy)``: the newest set, and one representative height a day."""
+    """Decoded profile rows ``(node_id, day, height, address, moniker, ip, legacy)``: each node's newest set, and one representative height a day."""
     usable = profiles.withColumn("ip", S.canonical_ip(F.col("ip"))).filter("moniker <> '' and ip is not null")
-    newest = usable.agg(F.max(F.struct("day", "height")).alias("x")).select("x.*")
-    now = usable.join(F.broadcast(newest), ["day", "height"], "left_semi")
+    newest = usable.groupBy("node_id").agg(F.max(F.struct("day", "height")).alias("x")).select("node_id", "x.*")
+    now = usable.join(newest, ["node_id", "day", "height"], "left_semi")
     resolved = joins.expand_truncated(now, "address", registry, "validator", S.truncate_address(F.col("validator")))
-    counts = usable.groupBy("day", "height").agg(F.count(F.lit(1)).alias("count"), F.bool_or("legacy").alias("legacy"))
-    daily = counts.groupBy("day").agg(F.max(F.struct("height", "count", "legacy")).alias("x")).select("day", "x.*")
+    counts = usable.groupBy("node_id", "day", "height").agg(F.count(F.lit(1)).alias("count"), F.bool_or("legacy").alias("legacy"))
+    daily = counts.groupBy("node_id", "day").agg(F.max(F.struct("height", "count", "legacy")).alias("x")).select("node_id", "day", "x.*")
     return {"validator_profile": resolved.withColumn("address", F.coalesce("full", "address")).drop("full"), "validator_daily": daily}
 
 

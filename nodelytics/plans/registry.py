@@ -26,4 +26,3 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import chain_job_queries, event_queries, join_queries, operator_queries, order_queries, stream_queries, telemetry_job_queries  # noqa: E402,F401

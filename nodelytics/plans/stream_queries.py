@@ -11,18 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir
 from ..streaming import state
 from . import event_queries, join_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a session on one machine may leave it out."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors and the driver share")
-    return named or "/tmp/checkpoints"
-
-
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -40,7 +33,7 @@ def stream_query(name: str, sql: str | None = None, sink: Callable | None = None
             path = f"{sf_dir}/events.parquet"
             events = own.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]").withColumn("ts", F.col("ts").cast("timestamp"))
             made = function(events)
-            home = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+            home = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
             writer = made.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{home}/state")
             writer = writer.foreachBatch(sink(home)) if sink else writer.format("parquet").option("path", f"{home}/rows")
             writer.start().awaitTermination()

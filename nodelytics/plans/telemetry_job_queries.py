@@ -92,7 +92,7 @@ def child_tenure(t):
     return _children(t)["child_tenure"].select("node_id", "ip", "tenure")
 
 
-@query("job_gossip_events", f"SELECT node_id, CASE WHEN k % 4 = 0 THEN 'got tcp greeting' WHEN k % 4 = 1 THEN 'finished checks' ELSE 'other' END AS event, count(*) AS n FROM {_K} WHERE NOT (k % 4 = 1 AND k % 8 = 1) GROUP BY 1, 2")
+@query("job_gossip_events", f"SELECT node_id, CASE WHEN k % 4 = 0 THEN 'got_tcp_greeting' WHEN k % 4 = 1 THEN 'finished_checks' ELSE 'other' END AS event, count(*) AS n FROM {_K} WHERE NOT (k % 4 = 1 AND k % 8 = 1) GROUP BY 1, 2")
 def gossip_events(t):
     e = t("events").withColumn("k", _k())
     tag = F.when(F.col("k") % 4 == 0, "got tcp greeting").when(F.col("k") % 4 == 1, "finished checks").otherwise("new thing")
@@ -174,10 +174,19 @@ def lz4_windows(t):
     return _lz4(t)["lz4_global"].select("node_id", "global_ts", "bytes", "duration_s")
 
 
-@query("job_sockets", f"WITH p AS (SELECT unnest([4001, 4002]) AS port), s AS (SELECT unnest(['local', 'remote']) AS side), x AS (SELECT unnest([{', '.join(repr(x) for x in vocab.SOCKET_STATES)}]) AS state), f AS (SELECT CASE WHEN l_linenumber = 1 THEN 4001 ELSE 4002 END AS port, CASE WHEN l_linenumber IN (1, 2) THEN 'local' ELSE 'remote' END AS side, CASE l_returnflag WHEN 'N' THEN 'LISTEN' ELSE 'ESTABLISHED' END AS state FROM lineitem WHERE l_linenumber <= 3 AND l_linestatus = 'O') SELECT p.port, s.side, x.state, count(f.port) AS n FROM p, s, x LEFT JOIN f ON f.port = p.port AND f.side = s.side AND f.state = x.state GROUP BY 1, 2, 3")
+_SOCKETS = f"""
+WITH v AS (SELECT *, {NODE.format('l_orderkey')} AS node_id FROM lineitem WHERE l_linestatus = 'O'),
+p AS (SELECT unnest([4001, 4002]) AS port), s AS (SELECT unnest(['local', 'remote']) AS side), x AS (SELECT unnest([{', '.join(repr(x) for x in vocab.SOCKET_STATES)}]) AS state), n AS (SELECT DISTINCT node_id FROM v),
+f AS (SELECT node_id, CASE WHEN l_linenumber = 1 THEN 4001 ELSE 4002 END AS port, CASE WHEN l_linenumber IN (1, 2) THEN 'local' ELSE 'remote' END AS side, CASE l_returnflag WHEN 'N' THEN 'LISTEN' ELSE 'ESTABLISHED' END AS state FROM v WHERE l_linenumber <= 3)
+SELECT n.node_id, p.port, s.side, x.state, count(f.port) AS n FROM n, p, s, x LEFT JOIN f ON f.node_id = n.node_id AND f.port = p.port AND f.side = s.side AND f.state = x.state GROUP BY 1, 2, 3, 4"""
+
+
+@query("job_sockets", _SOCKETS)
 def sockets(t):
     ln = F.col("l_linenumber")
-    rows = t("lineitem").select(F.when(ln == 1, 4001).when(ln == 2, 4002).otherwise(7).alias("local_port"), F.when(ln == 3, 4002).when(ln == 1, 4002).otherwise(8).alias("remote_port"), F.when(F.col("l_returnflag") == "N", "LISTEN").otherwise("ESTABLISHED").alias("state"), (F.col("l_linestatus") != "O").alias("bad"))
+    local, remote = F.when(ln == 1, 4001).when(ln == 2, 4002).otherwise(7), F.when(ln == 3, 4002).when(ln == 1, 4002).otherwise(8)
+    state = F.when(F.col("l_returnflag") == "N", "LISTEN").otherwise("ESTABLISHED")
+    rows = t("lineitem").select(node("l_orderkey"), local.alias("local_port"), remote.alias("remote_port"), state.alias("state"), (F.col("l_linestatus") != "O").alias("bad"))
     return jobs.tcp_sockets(rows, [4001, 4002])
 
 
@@ -197,7 +206,7 @@ def _mempool(t) -> dict[str, DataFrame]:
     return jobs.mempool_events(e.select(node("user_id"), enveloped(F.col("ts"), payload).alias("line")))
 
 
-@query("job_mempool_events", f"SELECT node_id, CASE event_type WHEN 'view' THEN 'add_tx' WHEN 'click' THEN 'verify_block' WHEN 'purchase' THEN 'dropping txs' WHEN 'error' THEN 'Size stats' ELSE 'other' END AS event, CASE WHEN event_type = 'view' THEN CASE WHEN k % 3 < 2 THEN 'err' ELSE 'ok' END WHEN event_type = 'click' THEN CASE WHEN k % 2 = 0 THEN 'ok' ELSE 'other' END ELSE 'none' END AS status, CASE WHEN event_type = 'view' AND k % 3 = 0 THEN 'BadBlockRound' WHEN event_type = 'view' AND k % 3 = 1 THEN 'other' END AS error, count(*) AS n, CAST(sum(CASE WHEN event_type = 'purchase' THEN k % 5 ELSE 0 END) AS BIGINT) AS items FROM {_K} WHERE NOT (event_type = 'error' AND k % 10 = 0) GROUP BY 1, 2, 3, 4")
+@query("job_mempool_events", f"SELECT node_id, CASE event_type WHEN 'view' THEN 'add_tx' WHEN 'click' THEN 'verify_block' WHEN 'purchase' THEN 'dropping txs' WHEN 'error' THEN 'Size stats' ELSE 'other' END AS event, CASE WHEN event_type = 'view' THEN CASE WHEN k % 3 < 2 THEN 'err' ELSE 'ok' END WHEN event_type = 'click' THEN CASE WHEN k % 2 = 0 THEN 'ok' ELSE 'other' END ELSE 'none' END AS status, CASE WHEN event_type = 'view' AND k % 3 = 0 THEN 'bad_block_round' WHEN event_type = 'view' AND k % 3 = 1 THEN 'other' END AS error, count(*) AS n, CAST(sum(CASE WHEN event_type = 'purchase' THEN k % 5 ELSE 0 END) AS BIGINT) AS items FROM {_K} WHERE NOT (event_type = 'error' AND k % 10 = 0) GROUP BY 1, 2, 3, 4")
 def mempool_events(t):
     return _mempool(t)["mempool_event"]
 
@@ -347,12 +356,18 @@ _STATES = "CASE WHEN k % 11 = 0 THEN 'empty' WHEN k % 11 = 1 THEN 'unreadable' W
 _REASONS = "CASE WHEN k % 11 < 2 THEN 'none' WHEN event_type = 'click' THEN 'panic' WHEN event_type = 'view' THEN 'network' WHEN event_type = 'error' THEN 'none' ELSE 'unknown' END"
 
 
-@query("job_child_stderr", f"WITH s AS (SELECT unnest(['empty', 'readable', 'truncated', 'unreadable']) AS state), r AS (SELECT unnest([{', '.join(repr(c) for c, _ in vocab.STDERR_CLASSES)}, 'unknown', 'none']) AS reason), f AS (SELECT {_STATES} AS state, {_REASONS} AS reason, count(*) AS n, max(ts) AS newest FROM {_K} GROUP BY 1, 2) SELECT s.state, r.reason, coalesce(n, 0) AS files, newest FROM s CROSS JOIN r LEFT JOIN f ON f.state = s.state AND f.reason = r.reason")
+_STDERR = f"""
+WITH s AS (SELECT unnest(['empty', 'readable', 'truncated', 'unreadable']) AS state), r AS (SELECT unnest([{', '.join(repr(c) for c, _ in vocab.STDERR_CLASSES)}, 'unknown', 'none']) AS reason), n AS (SELECT DISTINCT node_id FROM {_K}),
+f AS (SELECT node_id, {_STATES} AS state, {_REASONS} AS reason, count(*) AS n, max(ts) AS newest FROM {_K} GROUP BY 1, 2, 3)
+SELECT n.node_id, s.state, r.reason, coalesce(f.n, 0) AS files, newest FROM n CROSS JOIN s CROSS JOIN r LEFT JOIN f ON f.node_id = n.node_id AND f.state = s.state AND f.reason = r.reason"""
+
+
+@query("job_child_stderr", _STDERR)
 def child_stderr(t):
-    k = F.col("k") % 11
-    head = F.when(F.col("event_type") == "click", "thread Panicked at main").when(F.col("event_type") == "view", "Upstream connect error").when(F.col("event_type") == "error", " ").otherwise("bye")
-    rows = t("events").withColumn("k", _k()).select(F.when(k == 0, "empty").when(k == 1, "unreadable").when(k == 2, "truncated").otherwise("readable").alias("state"), head.alias("head"), F.col("ts").alias("mtime"))
-    return jobs.child_stderr(rows)
+    k, kind = F.col("k") % 11, F.col("event_type")
+    head = F.when(kind == "click", "thread Panicked at main").when(kind == "view", "Upstream connect error").when(kind == "error", " ").otherwise("bye")
+    state = F.when(k == 0, "empty").when(k == 1, "unreadable").when(k == 2, "truncated").otherwise("readable")
+    return jobs.child_stderr(t("events").withColumn("k", _k()).select(node("user_id"), state.alias("state"), head.alias("head"), F.col("ts").alias("mtime")))
 
 
 @query("job_rate_limit_files", f"SELECT node_id, event_type AS stream, count(*) AS files, CAST(sum(k) AS BIGINT) AS bytes, count(*) FILTER (epoch_us({AS_OF_SQL}) - epoch_us(ts) BETWEEN 0 AND 86400000000) AS recent, max(ts) FILTER (ts <= {AS_OF_SQL}) AS newest FROM {_K} GROUP BY 1, 2")
@@ -381,10 +396,19 @@ def public_ip(t):
     return jobs.public_ip_changes(rows, _now()).drop("age_s")
 
 
-@query("job_disk_scopes", "WITH f AS (SELECT *, l_orderkey % 5 AS a, l_linenumber > 1 AS deep, l_orderkey % 100 AS inode FROM lineitem WHERE l_returnflag <> 'A'), s AS (SELECT 'all' AS scope, * FROM f UNION ALL SELECT 'deep', * FROM f WHERE deep) SELECT scope, CAST(sum(l_partkey) AS BIGINT) AS apparent_bytes, CAST((SELECT sum(m) FROM (SELECT max(l_suppkey) AS m FROM s s2 WHERE s2.scope = s.scope GROUP BY a, inode)) AS BIGINT) AS allocated_bytes FROM s GROUP BY 1")
+_DISK = f"""
+WITH f AS (SELECT *, {NODE.format('l_suppkey')} AS node_id, l_orderkey % 5 AS a, l_linenumber > 1 AS deep, l_orderkey % 100 AS inode FROM lineitem WHERE l_returnflag <> 'A'),
+s AS (SELECT 'all' AS scope, * FROM f UNION ALL SELECT 'deep', * FROM f WHERE deep),
+i AS (SELECT node_id, scope, sum(l_partkey) AS s, max(l_suppkey) AS m FROM s GROUP BY node_id, scope, a, inode)
+SELECT node_id, scope, CAST(sum(s) AS BIGINT) AS apparent_bytes, CAST(sum(m) AS BIGINT) AS allocated_bytes FROM i GROUP BY 1, 2"""
+
+
+@query("job_disk_scopes", _DISK)
 def disk_scopes(t):
+    """Three nodes whose devices and inodes have the same numbers."""
     path = F.concat(F.lit("/data/"), F.when(F.col("l_linenumber") > 1, "deep/").otherwise("top/"), F.col("l_partkey"))
-    rows = t("lineitem").select(path.alias("path"), (F.col("l_returnflag") != "A").alias("is_regular"), F.col("l_partkey").alias("size"), F.col("l_suppkey").alias("alloc_bytes"), (F.col("l_orderkey") % 5).alias("device"), (F.col("l_orderkey") % 100).alias("inode"))
+    sizes = [F.col("l_partkey").alias("size"), F.col("l_suppkey").alias("alloc_bytes"), (F.col("l_orderkey") % 5).alias("device"), (F.col("l_orderkey") % 100).alias("inode")]
+    rows = t("lineitem").select(node("l_suppkey"), path.alias("path"), (F.col("l_returnflag") != "A").alias("is_regular"), *sizes)
     return jobs.disk_scopes(rows, {"all": "/data/", "deep": "/data/deep/"})
 
 

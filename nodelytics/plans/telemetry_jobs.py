@@ -81,7 +81,7 @@ def gossip_events(lines: DataFrame) -> Tables:
     shapes = {t: F.col("e.arity") >= 2 for t in vocab.GOSSIP_TAGS}
     failed = validation.tagged_failure(tag, shapes)
     good, rejects = checked(rows, [*_envelope_checks(), ("event", "no_tag", tag.isNull()), ("payload", "bad_shape", failed.isNotNull())])
-    return {"gossip_event": A.counter(good.select("node_id", S.normalize_vocab(tag, vocab.GOSSIP_TAGS).alias("event")), ["node_id", "event"]), "rejects": rejects}
+    return {"gossip_event": A.counter(good.select("node_id", S.categorize(tag, vocab.GOSSIP_TAGS).alias("event")), ["node_id", "event"]), "rejects": rejects}
 
 
 # --- traffic ---------------------------------------------------------------------------------
@@ -133,7 +133,7 @@ def tcp_lz4(peers: DataFrame, totals: DataFrame) -> Tables:
 
 def tcp_sockets(rows: DataFrame, ports: Sequence[int]) -> DataFrame:
     """Census of parsed socket tables; a file with any bad row counts for nothing."""
-    return A.socket_census(rows.filter("not bad"), ports, vocab.SOCKET_STATES)
+    return A.socket_census(rows.filter("not bad"), ["node_id"], ports, vocab.SOCKET_STATES)
 
 
 # --- pending transactions --------------------------------------------------------------------
@@ -157,7 +157,7 @@ def mempool_events(lines: DataFrame) -> Tables:
     status = F.when(tag == "add_tx", _text(p, "$[3]")).when(tag == "verify_block", _text(p, "$[2]"))
     error = F.map_keys(json.req(p, "$[4]", "object"))[0]
     items = F.when(tag.isin("dropping blocks", "dropping txs"), F.size(_items(p, "$[1]"))).when(tag == "Pruned rpc request throttle", _int(p, "$[1]") - _int(p, "$[2]")).otherwise(0)
-    events = good.select("node_id", S.normalize_vocab(tag, vocab.MEMPOOL_EVENTS).alias("event"), F.when(status.isNull(), "none").otherwise(S.normalize_vocab(status, ["ok", "err"])).alias("status"), F.when(status == "err", S.normalize_vocab(error, vocab.MEMPOOL_ERRORS)).alias("error"), items.cast("long").alias("items"))
+    events = good.select("node_id", S.categorize(tag, vocab.MEMPOOL_EVENTS).alias("event"), F.when(status.isNull(), "none").otherwise(S.normalize_vocab(status, ["ok", "err"])).alias("status"), F.when(status == "err", S.categorize(error, vocab.MEMPOOL_ERRORS)).alias("error"), items.cast("long").alias("items"))
     counted = events.groupBy("node_id", "event", "status", "error").agg(F.count(F.lit(1)).alias("n"), F.sum("items").alias("items"))
     newest = A.latest_per_key(good.filter("sizes is not null").select("node_id", "ts", "sizes", "pending"), ["node_id"], ["ts"])
     return {"mempool_event": counted, "mempool_size": newest.select("node_id", "ts", named.alias("sizes"), S.nonneg_age(F.array_min("pending"), F.col("ts")).alias("oldest_s")), "rejects": rejects}
@@ -271,10 +271,10 @@ def log_volume(lines: DataFrame) -> DataFrame:
 def child_stderr(heads: DataFrame) -> DataFrame:
     """First bytes ``(node_id, state, head, mtime)``: files by state and reason over the whole census."""
     reason = F.when(F.col("state").isin("empty", "unreadable"), "none").otherwise(S.classify_text(F.col("head"), vocab.STDERR_CLASSES))
-    counted = heads.withColumn("reason", reason).groupBy("state", "reason").agg(F.count(F.lit(1)).alias("files"), F.max("mtime").alias("newest"))
-    names = [c for c, _ in vocab.STDERR_CLASSES] + ["unknown", "none"]
-    census = heads.sparkSession.createDataFrame([(s, r) for s in ("empty", "readable", "truncated", "unreadable") for r in names], "state string, reason string")
-    return census.join(counted, ["state", "reason"], "left").select("state", "reason", F.coalesce("files", F.lit(0)).alias("files"), "newest")
+    counted = heads.withColumn("reason", reason).groupBy("node_id", "state", "reason").agg(F.count(F.lit(1)).alias("files"), F.max("mtime").alias("newest"))
+    reasons = [c for c, _ in vocab.STDERR_CLASSES] + ["unknown", "none"]
+    census = A.with_census(counted.select("node_id").distinct(), {"state": ("empty", "readable", "truncated", "unreadable"), "reason": reasons})
+    return census.join(counted, ["node_id", "state", "reason"], "left").select("node_id", "state", "reason", F.coalesce("files", F.lit(0)).alias("files"), "newest")
 
 
 def rate_limit_files(inventory: DataFrame, as_of: Column, recent_s: int = 120) -> DataFrame:
@@ -304,7 +304,7 @@ def public_ip_changes(documents: DataFrame, as_of: Column) -> DataFrame:
 
 
 def disk_scopes(inventory: DataFrame, scopes: Mapping[str, str]) -> DataFrame:
-    return A.disk_usage(inventory, scopes)
+    return A.disk_usage(inventory, ["node_id"], scopes)
 
 
 def tmp_usage(inventory: DataFrame, classes: Sequence[tuple[str, Sequence[str]]], as_of: Column) -> DataFrame:

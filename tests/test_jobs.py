@@ -102,9 +102,10 @@ def test_validators(spark):
     made = jobs.validator_summaries(docs)
     t = made["stake_totals"].first()
     assert (t.generation, t.total_sum, t.eligible_n, t.jailed_n) == (1, 10.0, 1, 1) and made["validator_period"].first().apr is None
-    prof = spark.createDataFrame([("d1", 1, "0xaaaa..aaaa", "m", "192.0.2.1", False), ("d1", 2, "0xaaaa..aaaa", "m", "192.0.2.1", False), ("d2", 1, A, "", "192.0.2.1", True)], "day string, height long, address string, moniker string, ip string, legacy boolean")
+    prof = spark.createDataFrame([("n1", "d1", 1, "0xaaaa..aaaa", "m", "192.0.2.1", False), ("n1", "d1", 2, "0xaaaa..aaaa", "m", "192.0.2.1", False), ("n1", "d2", 1, A, "", "192.0.2.1", True), ("n2", "d0", 9, A, "m", "192.0.2.2", False)], "node_id string, day string, height long, address string, moniker string, ip string, legacy boolean")
     made = jobs.validator_profiles(prof, spark.createDataFrame([(A,)], "validator string"))
-    assert made["validator_profile"].first().address == A and [(r.day, r.height, r["count"]) for r in made["validator_daily"].collect()] == [("d1", 2, 1)]
+    assert {(r.node_id, r.address, r.ip) for r in made["validator_profile"].collect()} == {("n1", A, "192.0.2.1"), ("n2", A, "192.0.2.2")}
+    assert {(r.node_id, r.day, r.height, r["count"]) for r in made["validator_daily"].collect()} == {("n1", "d1", 2, 1), ("n2", "d0", 9, 1)}
 
 
 def test_network(spark):
@@ -119,7 +120,7 @@ def test_network(spark):
     s = kids["child_summary"].first()
     assert (s.verified, s.unverified, s.connections, s.overflow) == (1, 1, 3, 0) and reasons(kids) == ["duplicate"]
     ev = telemetry_jobs.gossip_events(lines(spark, [[TS.format(1), ["dropping connection", {"Ip": "192.0.2.1"}]], [TS.format(1), ["dropping connection"]], [TS.format(1), ["future tag"]]]))
-    assert {r.event: r.n for r in ev["gossip_event"].collect()} == {"dropping connection": 1, "other": 1} and reasons(ev) == ["bad_shape"]
+    assert {r.event: r.n for r in ev["gossip_event"].collect()} == {"dropping_connection": 1, "other": 1} and reasons(ev) == ["bad_shape"]
 
 
 def test_traffic(spark):
@@ -139,7 +140,7 @@ def test_traffic(spark):
 def test_mempool(spark):
     rows = [["add_tx", "h", True, "ok"], ["add_tx", "h", True, "err", {"AddTxDuplicate": {}}], ["dropping txs", [["t", "h"]]], ["Size stats", [["committed_tx_hashes", 1], ["uncommitted_txs", 1], ["blocks", 2], ["rpc_requests", 0]], [["h", TS.format(1)]]], ["Size stats", [["committed_tx_hashes", 1], ["uncommitted_txs", 3], ["blocks", 2], ["rpc_requests", 0]], []], ["brand new"]]
     made = telemetry_jobs.mempool_events(lines(spark, [[TS.format(5), x] for x in rows]))
-    assert {(r.event, r.status, r.error, r.n, r["items"]) for r in made["mempool_event"].collect()} >= {("add_tx", "err", "AddTxDuplicate", 1, 0), ("dropping txs", "none", None, 1, 1), ("other", "none", None, 1, 0)}
+    assert {(r.event, r.status, r.error, r.n, r["items"]) for r in made["mempool_event"].collect()} >= {("add_tx", "err", "add_tx_duplicate", 1, 0), ("dropping_txs", "none", None, 1, 1), ("other", "none", None, 1, 0)}
     s = made["mempool_size"].first()
     assert s.sizes["blocks"] == 2 and s.oldest_s == 4.0 and reasons(made) == ["count_mismatch"]
     order = lambda b, t: {"b": b, "t": t}
@@ -165,8 +166,10 @@ def test_state_and_files(spark):
     assert conf == {"notes": (0, 1)}
     tmp = {r["class"]: (r["files"], r.stale) for r in telemetry_jobs.tmp_usage(inv, [("log", ["notes"])], as_of()).collect()}
     assert tmp["log"] == (1, 1) and telemetry_jobs.rate_limit_files(inv.withColumn("stream", F.lit("a")), as_of()).first()["files"] == 6
-    heads = spark.createDataFrame([("n1", "readable", "thread panicked at x", t(1)), ("n1", "empty", "", t(1))], "node_id string, state string, head string, mtime timestamp")
-    census = {(r.state, r.reason): r["files"] for r in telemetry_jobs.child_stderr(heads).collect()}
+    heads = spark.createDataFrame([("n1", "readable", "thread panicked at x", t(1)), ("n1", "empty", "", t(1)), ("n2", "readable", "panicked at y", t(2))], "node_id string, state string, head string, mtime timestamp")
+    every = telemetry_jobs.child_stderr(heads).collect()
+    census = {(r.state, r.reason): r["files"] for r in every if r.node_id == "n1"}
+    assert len(every) == 2 * len(census) and {r["files"] for r in every if r.node_id == "n2" and r.reason == "panic" and r.state == "readable"} == {1}
     assert census["readable", "panic"] == 1 and census["empty", "none"] == 1 and census["truncated", "network"] == 0
 
 
@@ -218,7 +221,7 @@ def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "tcp").write_text("  sl  local_address rem_address   st\n   0: 0100007F:0FA1 00000000:0000 0A 0\n")
     sock = readers.read_socket_table(spark, str(tmp_path / "tcp"))
     r = sock.first()
-    assert (r.local_port, r.state, r.bad) == (4001, "LISTEN", False) and telemetry_jobs.tcp_sockets(sock, [4001]).filter("n > 0").count() == 1
+    assert (r.local_port, r.state, r.bad) == (4001, "LISTEN", False) and telemetry_jobs.tcp_sockets(sock.withColumn("node_id", F.lit("n1")), [4001]).filter("n > 0").count() == 1
     (tmp_path / "tail").write_text('{"a":1}\n{"b":')
     assert not readers.stream_tail_status(spark, str(tmp_path / "tail")).first().valid
     big, rows = tmp_path / "big", [f"{i} é".ljust(i % 90, "x") for i in range(4000)]

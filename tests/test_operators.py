@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -48,12 +49,40 @@ def test_validation(spark):
     assert good.count() == 1 and {(r.stage, r.reason, r.n) for r in validation.reject_counts(bad).collect()} == {("x", "neg", 1), ("x", "later", 4)}
 
 
+def test_wide_quantities(spark):
+    """Against Python's integers, up to 256 bits."""
+    rng = random.Random(1)
+    numbers = [0, 1, 15, 10**26 - 1, 10**26, (1 << 60) - 1, 1 << 60, (1 << 124) - 1, 1 << 124, 1 << 200, (1 << 256) - 1] + [rng.getrandbits(rng.randint(1, 256)) for _ in range(60)]
+    rows = [(hex(a), str(b), str(a), str(b)) for a in numbers for b in rng.sample(numbers, 5)]
+    df = spark.createDataFrame(rows, "a string, b string, x string, y string").withColumns({"wa": S.wide(F.col("a")), "wb": S.wide(F.col("b"))})
+    made = df.select("x", "y", S.wide_text(F.col("wa")).alias("a"), S.wide_text(F.col("wb")).alias("b"), S.wide_text(S.wide_sub(F.col("wa"), F.col("wb"))).alias("sub"), S.wide_text(F.least("wa", "wb")).alias("least"), S.wide_ratio(F.col("wa"), F.col("wb")).alias("ratio"), S.wide_gwei(F.col("wa")).alias("gwei"))
+    for r in made.collect():
+        x, y = int(r.x), int(r.y)
+        assert (r.a, r.b, r.sub, r["least"]) == (r.x, r.y, str(max(x - y, 0)), str(min(x, y)))
+        assert r.ratio is None if y == 0 else abs(r.ratio - x / y) <= 1e-15 * (x / y)
+        assert r.gwei == float(f"{x // 10**9}.{x % 10**9:09d}")
+    bad = one(spark, a=S.wide(F.lit(hex(1 << 256))), b=S.wide(F.lit(str(1 << 256))), c=S.wide(F.lit("0xzz")), d=S.wide(F.lit("-1")), e=S.wide_of(F.lit(str(5 * 10**30)).cast("decimal(38,0)")))
+    assert (bad.a, bad.b, bad.c, bad.d) == (None, None, None, None) and int(bad.e.mid) == 50_000
+
+
+def test_wide_priority_fee(spark):
+    big = 1 << 200
+    txs = spark.createDataFrame([(1, str(big)), (1, "7"), (2, None)], "k int, t string").select("k", S.wide(F.col("t")).alias("fee"))
+    rec = spark.createDataFrame([(1, hex(big + 12), "5"), (2, None, "5")], "k int, e string, b string").select("k", S.wide(F.col("e")).alias("effective"), S.wide(F.col("b")).alias("base"))
+    made = A.max_priority_fee(txs, rec, "k", S.wide_sub, S.wide_zero()).select("k", S.wide_text(F.col("max_fee")).alias("fee"), "has_fee")
+    assert {tuple(r) for r in made.collect()} == {(1, str(big + 7), True), (2, "0", False)}
+    r = one(spark, a=S.wide_text(A.priority_fee(F.lit("Eip1559"), S.wide(F.lit(str(big))), S.wide(F.lit(str(big + 3))), S.wide(F.lit(None).cast("string")), S.wide(F.lit("4")), S.wide_sub)))
+    assert r.a == str(big - 1)
+
+
 def test_aggregates(spark):
     inv = spark.createDataFrame([("/a/x", True, 10, 1, 1, 8), ("/a/b/y", True, 10, 1, 1, 8), ("/a/b/z", True, 5, 1, 2, 4), ("/a", False, 0, 1, 3, 0)], "path string, is_regular boolean, size long, device long, inode long, alloc_bytes long")
-    got = {r.scope: (r.apparent_bytes, r.allocated_bytes) for r in A.disk_usage(inv, {"all": "/a", "b": "/a/b"}).collect()}
+    got = {r.scope: (r.apparent_bytes, r.allocated_bytes) for r in A.disk_usage(inv, [], {"all": "/a", "b": "/a/b"}).collect()}
     assert got == {"all": (25, 12), "b": (15, 12)}
+    fleet = inv.withColumn("node_id", F.explode(F.array(F.lit("n1"), F.lit("n2"))))
+    assert {(r.node_id, r.scope, r.apparent_bytes, r.allocated_bytes) for r in A.disk_usage(fleet, ["node_id"], {"all": "/a"}).collect()} == {("n1", "all", 25, 12), ("n2", "all", 25, 12)}
     socks = spark.createDataFrame([(10, 20, "LISTEN"), (20, 10, "LISTEN"), (1, 2, "LISTEN")], "local_port int, remote_port int, state string")
-    census = {(r.port, r.side): r.n for r in A.socket_census(socks, [10, 20], ["LISTEN"]).collect()}
+    census = {(r.port, r.side): r.n for r in A.socket_census(socks, [], [10, 20], ["LISTEN"]).collect()}
     assert census == {(10, "local"): 1, (20, "local"): 1, (10, "remote"): 0, (20, "remote"): 0}
     txs = spark.createDataFrame([(1, 5), (1, 9), (2, None)], "k int, fee int").withColumn("fee", F.col("fee").cast("decimal(38,0)"))
     rec = spark.createDataFrame([(1, 7, 1), (1, 4, 1), (2, None, 0)], "k int, effective int, base int").select("k", F.col("effective").cast("decimal(38,0)").alias("effective"), F.col("base").cast("decimal(38,0)").alias("base"))

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from nodelytics.plans import registry
+from nodelytics.plans import all_queries as registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
