@@ -41,12 +41,10 @@ def presence(v: Column, path: str) -> Column:
     return F.when(inner.isNull(), "missing").when(F.is_variant_null(inner), "null").otherwise("value")
 
 
-def envelope(line: Column) -> Column:
-    """``["<time>", payload]`` as a struct of ``ts`` text and ``payload``; null unless there are exactly two items and the first is text."""
-    v = record(line)
-    items = req(v, "$", "array")
+def envelope(v: Column) -> Column:
+    """A parsed ``["<time>", payload]`` as a struct of ``ts`` text and ``payload``; null unless there are exactly two items and the first is text."""
     ts = req(v, "$[0]", "string")
-    return F.when((F.size(items) == 2) & ts.isNotNull(), F.struct(ts.alias("ts"), F.try_variant_get(v, "$[1]", "variant").alias("payload")))
+    return F.when((F.size(req(v, "$", "array")) == 2) & ts.isNotNull(), F.struct(ts.alias("ts"), F.try_variant_get(v, "$[1]", "variant").alias("payload")))
 
 
 def tagged(payload: Column) -> Column:

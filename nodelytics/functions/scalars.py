@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda, each mention of an expression is an evaluation of it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 # --- numbers and units -----------------------------------------------------------------------
 
 
@@ -27,18 +32,21 @@ def _conv(digits: Column) -> Column:
     return F.conv(F.concat(F.lit("0"), digits), 16, 10).cast("decimal(20,0)")
 
 
-def hex_to_decimal(c: Column) -> Column:
-    """A hexadecimal quantity, with or without 0x, as DECIMAL(38,0); null if it is no hex text or has over 31 digits."""
-    digits = _hex_digits(c)
+def _of_digits(digits: Column) -> Column:
     n = F.length(digits)
     high, low = F.substr(digits, F.lit(1), n - 15), F.substr(digits, n - 14, F.lit(15))
-    wide = (_conv(high) * F.lit(1 << 60).cast("decimal(19,0)")).cast("decimal(38,0)") + _conv(low)
-    return F.when(n <= 15, _conv(digits).cast("decimal(38,0)")).when(n <= 31, wide.cast("decimal(38,0)"))
+    long = (_conv(high) * F.lit(1 << 60).cast("decimal(19,0)")).cast("decimal(38,0)") + _conv(low)
+    return F.when(n <= 15, _conv(digits).cast("decimal(38,0)")).when(n <= 31, long.cast("decimal(38,0)"))
+
+
+def hex_to_decimal(c: Column) -> Column:
+    """A hexadecimal quantity, with or without 0x, as DECIMAL(38,0); null if it is no hex text or has over 31 digits."""
+    return bound(_hex_digits(c), _of_digits)
 
 
 def quantity(c: Column) -> Column:
     """Hexadecimal text, or decimal digits, as DECIMAL(38,0)."""
-    return F.when(c.rlike("^0[xX]"), hex_to_decimal(c)).when(c.rlike("^[0-9]{1,38}$"), c.try_cast("decimal(38,0)"))
+    return bound(c, lambda t: F.when(t.rlike("^0[xX]"), bound(_hex_digits(t), _of_digits)).when(t.rlike("^[0-9]{1,38}$"), t.try_cast("decimal(38,0)")))
 
 
 def wide_key(c: Column) -> Column:
@@ -105,10 +113,12 @@ def _wide_hex(digits: Column) -> Column:
 
 def wide(c: Column) -> Column:
     """Hexadecimal text, or decimal digits, of at most 256 bits as limbs; null for other text and larger numbers."""
-    digits = _hex_digits(c)
-    n = F.length(digits)
-    of_hex = F.when(n <= 15, _limbs(F.lit(0), F.lit(0), _conv(digits))).when(n <= 31, wide_of(hex_to_decimal(c))).when(n <= 64, _wide_hex(digits))
-    return F.when(c.rlike("^0[xX]"), of_hex).when(c.rlike("^[0-9]{1,78}$"), _wide_text(c))
+
+    def of_hex(digits: Column) -> Column:
+        n = F.length(digits)
+        return F.when(n <= 15, _limbs(F.lit(0), F.lit(0), _conv(digits))).when(n <= 31, bound(_of_digits(digits), wide_of)).when(n <= 64, _wide_hex(digits))
+
+    return bound(c, lambda t: F.when(t.rlike("^0[xX]"), bound(_hex_digits(t), of_hex)).when(t.rlike("^[0-9]{1,78}$"), bound(t, _wide_text)))
 
 
 def wide_zero() -> Column:
@@ -122,7 +132,8 @@ def wide_sub(a: Column, b: Column) -> Column:
     mid = a["mid"] - b["mid"] - (lo < 0).cast("int")
     hi = a["hi"] - b["hi"] - (mid < 0).cast("int")
     up = lambda x: F.when(x < 0, x + limb).otherwise(x)
-    return F.when(a <= b, wide_zero()).when(a > b, _limbs(hi, up(mid), up(lo)))
+    small = (a["mid"] == 0) & (a["hi"] == 0)  # so are those of the lesser one
+    return F.when(a <= b, wide_zero()).when(small, _limbs(F.lit(0), F.lit(0), lo)).when(a > b, _limbs(hi, up(mid), up(lo)))
 
 
 def _wide_digits(c: Column) -> Column:

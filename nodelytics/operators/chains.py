@@ -118,7 +118,7 @@ class Recent:
 
     def fresh(self, key: str | None) -> bool:
         """Whether the key is not held; a missing or empty key never is."""
-        if not key:
+        if key is None or key == "" or key != key:
             return True
         if key in self.held:
             return False

@@ -44,6 +44,11 @@ def address(c: Column) -> Column:
     return F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(c)), 40, "0"))
 
 
+def dealt(lines: DataFrame) -> DataFrame:
+    """Log lines over all cores, as those of many files are; the driver's tables are single small files."""
+    return lines.repartition(lines.sparkSession.sparkContext.defaultParallelism)
+
+
 #: In SQL: a node, and the truncated spelling of an address made of a number.
 NODE, WIRE = "'n' || CAST({} % 3 AS VARCHAR)", "'0x0000..' || right(printf('%040x', {}), 4)"
 
@@ -103,7 +108,7 @@ def _replica(t) -> DataFrame:
     block = F.concat(F.lit('{"time":"'), iso(F.col("o_orderdate")), F.lit('","round":'), F.col("o_orderkey") + 2, F.lit(',"parent_round":'), F.col("o_orderkey") - F.col("o_custkey") % 4, F.lit(',"proposer":"p'), F.col("o_custkey") % 7, F.lit('","signed_action_bundles":'), bundles, F.lit("}"))
     resps = F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise(F.concat(F.lit(',"resps":{"Full":[["0x1",'), listed(F.coalesce("statuses", F.array().cast("array<string>"))), F.lit("]]}")))
     line = F.concat(F.lit('{"height":'), F.when(F.col("o_orderkey") % 23 == 3, 0).otherwise(F.col("o_orderkey") + 1), F.lit(',"abci_block":'), block, resps, F.lit("}"))
-    return rows.select(node("o_orderkey"), line.alias("line"))
+    return dealt(rows.select(node("o_orderkey"), line.alias("line")))
 
 
 _ORDERS = "(SELECT * FROM orders WHERE o_orderkey % 23 <> 3)"
@@ -163,7 +168,7 @@ def _evm(t) -> DataFrame:
     kind = lambda ok: F.when(ok, '{"Ok":1}').otherwise('{"Err":2}')
     calls = F.concat(F.lit('[["0x1",[["a",'), kind(F.col("o_orderkey") % 2 == 0), F.lit('],["b",{"Err":2}]]],["0x2",[["c",'), kind(F.col("o_custkey") % 3 > 0), F.lit("]]]]"))
     payload = F.concat(F.lit('{"block":{"V1":{"header":{"header":'), header, F.lit('},"body":{"transactions":'), listed(F.coalesce("txs", none)), F.lit('}}},"receipts":'), listed(F.coalesce("receipts", none)), F.lit(',"system_txs":[1],"read_precompile_calls":'), calls, F.lit("}"))
-    return rows.select(node("o_orderkey"), enveloped(F.col("o_orderdate"), payload).alias("line"))
+    return dealt(rows.select(node("o_orderkey"), enveloped(F.col("o_orderdate"), payload).alias("line")))
 
 
 _USED = "(SELECT * FROM orders WHERE o_custkey % 400 <= 300)"

@@ -38,7 +38,7 @@ def records(lines: DataFrame) -> DataFrame:
 
 def enveloped(lines: DataFrame) -> DataFrame:
     """``["<time>", payload]`` records: ``ts`` (null if it does not parse) and ``p``."""
-    e = once(lines, {"_e": json.envelope(F.col("line"))})
+    e = once(once(lines, {"_v": json.record(F.col("line"))}), {"_e": json.envelope(F.col("_v"))}).drop("_v")
     return once(e, {"ts": S.parse_ts(F.col("_e.ts")), "p": F.col("_e.payload"), "bad_record": F.col("_e").isNull()}).drop("_e")
 
 
@@ -168,15 +168,18 @@ def proposals(lines: DataFrame) -> DataFrame:
 
 def _transaction(base: Column):
     """Type, shape, recipient and effective priority fee of one transaction body (``tag``, ``body``)."""
+    prices = ("maxPriorityFeePerGas", "maxFeePerGas", "gasPrice")
 
-    def made(t: Column) -> Column:
-        to, text = F.try_variant_get(t["body"], "$.to", "variant"), _text(t["body"], "$.to")
-        shape = F.when(F.is_variant_null(to), "create").when(S.is_full_address(F.lower(text)), "message").otherwise("unknown")
-        price = lambda name: S.wide(_text(t["body"], f"$.{name}"))
-        fee = A.priority_fee(t["tag"], price("maxPriorityFeePerGas"), price("maxFeePerGas"), price("gasPrice"), base, S.wide_sub)
-        return F.struct(S.normalize_vocab(t["tag"], vocab.TX_TYPES).alias("type"), shape.alias("shape"), F.lower(text).alias("recipient"), fee.alias("fee"))
+    def read(t: Column) -> Column:
+        texts = [_text(t["body"], f"$.{name}").alias(name) for name in prices]
+        return F.struct(t["tag"].alias("tag"), F.is_variant_null(F.try_variant_get(t["body"], "$.to", "variant")).alias("none"), F.lower(_text(t["body"], "$.to")).alias("to"), *texts)
 
-    return made
+    def priced(x: Column) -> Column:
+        fee = S.bound(F.struct(*[S.wide(x[n]).alias(n) for n in prices]), lambda w: A.priority_fee(x["tag"], *[w[n] for n in prices], base, S.wide_sub))
+        shape = F.when(x["none"], "create").when(S.is_full_address(x["to"]), "message").otherwise("unknown")
+        return F.struct(S.normalize_vocab(x["tag"], vocab.TX_TYPES).alias("type"), shape.alias("shape"), x["to"].alias("recipient"), fee.alias("fee"))
+
+    return lambda t: S.bound(read(t), priced)
 
 
 def evm_blocks(lines: DataFrame) -> Tables:

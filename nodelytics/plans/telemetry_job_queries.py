@@ -206,7 +206,7 @@ def _mempool(t) -> dict[str, DataFrame]:
     return jobs.mempool_events(e.select(node("user_id"), enveloped(F.col("ts"), payload).alias("line")))
 
 
-@query("job_mempool_events", f"SELECT node_id, CASE event_type WHEN 'view' THEN 'add_tx' WHEN 'click' THEN 'verify_block' WHEN 'purchase' THEN 'dropping txs' WHEN 'error' THEN 'Size stats' ELSE 'other' END AS event, CASE WHEN event_type = 'view' THEN CASE WHEN k % 3 < 2 THEN 'err' ELSE 'ok' END WHEN event_type = 'click' THEN CASE WHEN k % 2 = 0 THEN 'ok' ELSE 'other' END ELSE 'none' END AS status, CASE WHEN event_type = 'view' AND k % 3 = 0 THEN 'bad_block_round' WHEN event_type = 'view' AND k % 3 = 1 THEN 'other' END AS error, count(*) AS n, CAST(sum(CASE WHEN event_type = 'purchase' THEN k % 5 ELSE 0 END) AS BIGINT) AS items FROM {_K} WHERE NOT (event_type = 'error' AND k % 10 = 0) GROUP BY 1, 2, 3, 4")
+@query("job_mempool_events", f"SELECT node_id, CASE event_type WHEN 'view' THEN 'add_tx' WHEN 'click' THEN 'verify_block' WHEN 'purchase' THEN 'dropping_txs' WHEN 'error' THEN 'size_stats' ELSE 'other' END AS event, CASE WHEN event_type = 'view' THEN CASE WHEN k % 3 < 2 THEN 'err' ELSE 'ok' END WHEN event_type = 'click' THEN CASE WHEN k % 2 = 0 THEN 'ok' ELSE 'other' END ELSE 'none' END AS status, CASE WHEN event_type = 'view' AND k % 3 = 0 THEN 'bad_block_round' WHEN event_type = 'view' AND k % 3 = 1 THEN 'other' END AS error, count(*) AS n, CAST(sum(CASE WHEN event_type = 'purchase' THEN k % 5 ELSE 0 END) AS BIGINT) AS items FROM {_K} WHERE NOT (event_type = 'error' AND k % 10 = 0) GROUP BY 1, 2, 3, 4")
 def mempool_events(t):
     return _mempool(t)["mempool_event"]
 

@@ -37,12 +37,12 @@ from .readers import RECORD_CAP
 SCHEMA = "node_id string, stream string, file_date string, file_hour int, file_path string, pos long, line string, reason string"
 #: Newest files of a folder whose sizes are in an offset; bytes of one task; bytes of one read; first bytes that tell a file from its replacement.
 KEPT, TASK_BYTES, READ_BYTES, HEAD = 2, 64 << 20, 1 << 20, 64
-#: Lines of one Arrow batch.
-BATCH_LINES = 10_000
+#: Lines of one Arrow batch; files of one task.
+BATCH_LINES, TASK_FILES = 10_000, 256
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """Bytes ``start`` to ``end`` of a file; ``closed``: the file ends there for good."""
 
     path: str
@@ -54,6 +54,23 @@ class Range(InputPartition):
     closed: bool
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads: many small files, or a part of a large one."""
+
+    parts: list[Range]
+
+
+def packed(ranges: list[Range], task_bytes: int) -> list[Ranges]:
+    made, held, size = [], [], 0
+    for r in ranges:
+        if held and (size + r.end - r.start > task_bytes or len(held) == TASK_FILES):
+            made.append(Ranges(held))
+            held, size = [], 0
+        held, size = [*held, r], size + r.end - r.start
+    return [*made, Ranges(held)] if held else made
+
+
 def _line_start(f, start: int, cap: int) -> tuple[int, bytes | None]:
     """Where the line that crosses ``start`` begins, and its bytes up to there (None: more than the cap)."""
     at, held = start, b""
@@ -168,7 +185,7 @@ class GrowingReader(DataSourceStreamReader):
     def initialOffset(self) -> dict:
         return self.latestOffset() if self.history == "skip" else {"nodes": {}}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
         fs, root = self._open()
         made: list[Range] = []
         order = lambda name: (name.split("/")[0], int(name.split("/")[1]))
@@ -187,7 +204,7 @@ class GrowingReader(DataSourceStreamReader):
                 was = before.get(name, {"size": 0, "head": -1})
                 replaced = is_["size"] < was["size"] or (was["head"] != -1 and is_["head"] != was["head"])
                 made += self._ranges(f"{folder}/{name}", node, *order(name), 0 if replaced else was["size"], is_["size"], False)
-        return made
+        return packed(made, self.task_bytes)
 
     def _ranges(self, path: str, node: str, date: str, hour: int, start: int, end: int, closed: bool) -> list[Range]:
         if start >= end and not closed:
@@ -195,9 +212,12 @@ class GrowingReader(DataSourceStreamReader):
         cuts = [*range(start, end, self.task_bytes), end] if start < end else [start, end]
         return [Range(path, node, date, hour, a, z, closed and z == end) for a, z in zip(cuts, cuts[1:], strict=False)]
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         fs, _ = self._open()
+        for part in partition.parts:
+            yield from self._read(fs, part)
 
+    def _read(self, fs, part: Range) -> Iterator[pa.RecordBatch]:
         def batch(rows: list[tuple[int, str | None, str | None]]) -> pa.RecordBatch:
             same = lambda value, kind: pa.array([value] * len(rows), kind)
             columns = [same(part.node, pa.string()), same(self.stream, pa.string()), same(part.date, pa.string()), same(part.hour, pa.int32()), same(part.path, pa.string())]

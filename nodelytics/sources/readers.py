@@ -144,10 +144,20 @@ def read_file_heads(spark: SparkSession, path: str, n: int = 4096) -> DataFrame:
 
 
 def read_marker_blocks(spark: SparkSession, path: str, marker: str, complete: str) -> DataFrame:
-    """The newest block between markers that holds the completing text, per file."""
-    files = spark.read.format("text").option("wholetext", "true").load(path)
-    blocks = files.select(F.col("_metadata.file_path").alias("file_path"), F.posexplode(F.split("value", marker)).alias("n", "block"))
-    return blocks.filter((F.col("n") > 0) & F.contains("block", F.lit(complete))).groupBy("file_path").agg(F.max_by("block", "n").alias("block"))
+    """The newest block of lines after a line that matches ``marker`` that holds the completing text, per file.
+
+    Files are read as lines; only lines with a marker or the completing text, and those of the chosen block, are gathered.
+    """
+    lines = committed(spark, path)
+    starts, ends = F.col("line").rlike(marker), F.contains("line", F.lit(complete))
+    marks = lines.filter(starts | ends).select("file_path", "line_no", starts.alias("starts"), ends.alias("ends"))
+    before = Window.partitionBy("file_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = marks.withColumn("start", F.max(F.when(F.col("starts"), F.col("line_no"))).over(before))
+    chosen = spans.groupBy("file_path").agg(F.max(F.when(F.col("ends") & ~F.col("starts"), F.col("start"))).alias("start")).filter("start is not null")
+    stop = spans.filter("starts").select("file_path", F.col("line_no").alias("next")).join(chosen, "file_path").groupBy("file_path", "start").agg(F.min(F.when(F.col("next") > F.col("start"), F.col("next"))).alias("stop"))
+    inside = lines.join(stop, "file_path").filter("line_no > start and (stop is null or line_no < stop)")
+    whole = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return inside.groupBy("file_path").agg(F.array_join(F.transform(whole, lambda x: x["line"]), "\n").alias("block"))
 
 
 def latest_date_numeric(inventory: DataFrame, scope: list[str]) -> DataFrame:
@@ -156,17 +166,35 @@ def latest_date_numeric(inventory: DataFrame, scope: list[str]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*scope).orderBy(F.desc("date"), F.desc("height")))).filter("_r = 1").drop("_r")
 
 
-def read_socket_table(spark: SparkSession, path: str) -> DataFrame:
-    """Kernel socket tables: ports and state of each row; ``bad`` marks files whose header or any row does not parse."""
-    states = F.create_map(*[F.lit(x) for kv in {"01": "ESTABLISHED", "02": "SYN_SENT", "03": "SYN_RECV", "04": "FIN_WAIT1", "05": "FIN_WAIT2", "06": "TIME_WAIT", "07": "CLOSE", "08": "CLOSE_WAIT", "09": "LAST_ACK", "0A": "LISTEN", "0B": "CLOSING"}.items() for x in kv])
-    files = spark.read.format("text").option("wholetext", "true").load(path)
-    rows = files.select(F.col("_metadata.file_path").alias("file_path"), F.posexplode(F.split(F.rtrim(F.regexp_replace("value", r"\n+$", "")), "\n")).alias("n", "line"))
+#: fixed values: states of the kernel's socket tables
+_SOCKET_STATES = {
+    "01": "ESTABLISHED",
+    "02": "SYN_SENT",
+    "03": "SYN_RECV",
+    "04": "FIN_WAIT1",
+    "05": "FIN_WAIT2",
+    "06": "TIME_WAIT",
+    "07": "CLOSE",
+    "08": "CLOSE_WAIT",
+    "09": "LAST_ACK",
+    "0A": "LISTEN",
+    "0B": "CLOSING",
+}
+
+
+def read_socket_table(spark: SparkSession, path: str, node: str = r"/([^/]+)/[^/]+$") -> DataFrame:
+    """Kernel socket tables: node, ports and state of each row; ``bad`` marks files whose header or any row does not parse.
+
+    Files are read as lines; what is known of a whole file is one row a file.
+    """
+    states = F.create_map(*[F.lit(x) for kv in _SOCKET_STATES.items() for x in kv])
     shape = r"^\s*\d+: [0-9A-F]+:([0-9A-F]{4}) [0-9A-F]+:([0-9A-F]{4}) ([0-9A-F]{2})( |$)"
-    header = F.trim("line").startswith("sl ")
-    bad = F.when(F.col("n") == 0, ~header).otherwise(~F.col("line").rlike(shape))
-    over = Window.partitionBy("file_path")
+    lines = committed(spark, path).filter("line_no = 0 or line <> ''")
+    wrong = F.when(F.col("line_no") == 0, ~F.trim("line").startswith("sl ")).otherwise(~F.col("line").rlike(shape))
+    files = lines.groupBy("file_path").agg(F.bool_or(wrong).alias("bad"))
     port = lambda i: F.conv(F.regexp_extract("line", shape, i), 16, 10).cast("int")
-    return rows.withColumn("bad", F.bool_or(bad).over(over)).filter("n > 0").select("file_path", "bad", port(1).alias("local_port"), port(2).alias("remote_port"), F.coalesce(states[F.regexp_extract("line", shape, 3)], F.lit("UNKNOWN")).alias("state"))
+    rows = lines.filter("line_no > 0").join(files, "file_path")
+    return rows.select(F.regexp_extract("file_path", node, 1).alias("node_id"), "file_path", "bad", port(1).alias("local_port"), port(2).alias("remote_port"), F.coalesce(states[F.regexp_extract("line", shape, 3)], F.lit("UNKNOWN")).alias("state"))
 
 
 def stream_tail_status(spark: SparkSession, path: str) -> DataFrame:

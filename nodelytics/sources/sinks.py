@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +40,36 @@ def write_validator_csv(df: DataFrame, path: str, mode: str = "error") -> None:
 def write_lines(df: DataFrame, column: str, path: str, mode: str = "error") -> None:
     """One value a line; empty ones go."""
     df.select(F.col(column).cast("string")).filter(F.col(column).isNotNull() & (F.col(column) != "")).write.mode(mode).text(path)
+
+
+def write_named_files(df: DataFrame, root: str, path: str = "path", line: str = "line", order: Sequence[str] = (), end: str | None = None) -> int:
+    """Lines as files of given names below ``root``, as a node writes them; the number of files.
+
+    A task writes the lines of its files as they come, to a name of its own that is moved at the end, so no file is held in
+    memory and a repeated task leaves whole files.  ``end`` is the column of what follows a line (a newline without it).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, home = pyarrow.fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pyarrow.fs.LocalFileSystem(), root)
+        now, out, made, fresh = None, None, 0, ""
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                fs.move(fresh, f"{home}/{now}")
+
+        for batch in batches:
+            for name, text, tail in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if name != now:
+                    close()
+                    now, made = name, made + 1
+                    fs.create_dir(f"{home}/{name}".rpartition("/")[0], recursive=True)
+                    fresh = f"{home}/{name}.{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(fresh)
+                out.write((text or "").encode() + (tail or "").encode())
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64())], names=["n"])
+
+    rows = df.select(F.col(path).alias("path"), F.col(line).alias("line"), (F.col(end) if end else F.lit("\n")).alias("end"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(order)])
+    dealt = rows.repartition("path").sortWithinPartitions("path", *[f"_{i}" for i in range(len(order))]).select("path", "line", "end")
+    return dealt.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -38,7 +38,7 @@ def test_text_and_times(spark):
 
 def test_strict_json(spark):
     v = json.record(F.lit('{"a": "5", "b": 5, "c": null, "d": 1.5, "e": ["x", ""], "f": {"K": {"z": 1}}}'))
-    r = one(spark, a=json.req(v, "$.a", "int"), b=json.req(v, "$.b", "int"), c=json.presence(v, "$.c"), d=json.req(v, "$.d", "int"), e=json.text_array(v, "$.e"), f=json.single_variant(F.try_variant_get(v, "$.f", "variant"))["tag"], g=json.presence(v, "$.zz"), h=json.envelope(F.lit('["t", 1, 2]')), i=json.envelope(F.lit('["t", [1]]'))["ts"], j=json.record(F.lit('{"a":1,"a":2}')))
+    r = one(spark, a=json.req(v, "$.a", "int"), b=json.req(v, "$.b", "int"), c=json.presence(v, "$.c"), d=json.req(v, "$.d", "int"), e=json.text_array(v, "$.e"), f=json.single_variant(F.try_variant_get(v, "$.f", "variant"))["tag"], g=json.presence(v, "$.zz"), h=json.envelope(json.record(F.lit('["t", 1, 2]'))), i=json.envelope(json.record(F.lit('["t", [1]]')))["ts"], j=json.record(F.lit('{"a":1,"a":2}')))
     assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g, r.h, r.i, r.j) == (None, 5, "null", None, None, "K", "missing", None, "t", None)
 
 
