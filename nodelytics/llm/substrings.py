@@ -163,6 +163,8 @@ def marked_windows(chunks: list[bytes] | np.ndarray, lengths: np.ndarray, many:
     """
     text = chunks if isinstance(chunks, np.ndarray) else np.frombuffer(b"".join(chunks), np.uint8)
     n = len(text) + len(lengths)
+    if n >= 1 << 31:
+        raise ValueError(f"a shard of {n} symbols is beyond the 32-bit positions of the suffix order; use more shards (SHARD_BYTES)")
     t = disk_array(n, np.uint16)  # zero where nothing is written: the separators
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
@@ -309,23 +311,45 @@ def without(data: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, data).otherwise(kept)
 
 
+_BLANK = b" \t\n\r\x0b\x0c"
+
+
+def whole_words(text: bytes, a: int, b: int) -> tuple[int, int]:
+    """The part of ``[a, b)`` without the words of which it holds only an end or a beginning."""
+    blank = lambda i: text[i] in _BLANK
+    if 0 < a < b and not blank(a - 1):
+        while a < b and not blank(a):
+            a += 1
+    if a < b < len(text) and not blank(b):
+        while b > a and not blank(b - 1):
+            b -= 1
+    return a, b
+
+
 def cut_passages(text: bytes, spans: list[tuple[int, int]], least_words: int) -> tuple[str, bool]:
-    """``text`` without the spans of at least ``least_words`` words, and whether there were any.
+    """``text`` without the spans of at least ``least_words`` whole words, and whether there were any.
 
-    A character of which only a part remains goes as a whole.
+    Only whole words go, and what is left on both sides of a passage stays two words.
     """
-    spans = [(a, b) for a, b in spans if len(text[a:b].split()) >= least_words]
+    spans = [(a, b) for a, b in (whole_words(text, a, b) for a, b in spans) if len(text[a:b].split()) >= least_words]
     if not spans:
         return text.decode("utf-8", "ignore"), False
     edges = [0, *(x for s in spans for x in s), len(text)]
-    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "ignore"), True
+    kept = b""
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        part = text[a:b]
+        glued = kept and part and kept[-1] not in _BLANK and part[0] not in _BLANK
+        kept += b" " + part if glued else part
+    return kept.decode("utf-8", "ignore"), True
 
 
 def drop_passages(docs: DataFrame, length: int = PASSAGE_BYTES, gram: int = PASSAGE_GRAM, least_words: int = PASSAGE_WORDS) -> DataFrame:
     """``docs`` without the passages of ``least_words`` words that also stand elsewhere; ``n_chars`` is counted anew where a text changed.
 
     A passage is a run of bytes each of which lies in a string of ``length`` bytes that also starts
-    anywhere else.  Rows stay, with what is left; null texts stay null; further columns stay as they are.
+    anywhere else.  Every copy goes, the first too: which bytes of overlapping passages are copies of which
+    is not told, so what only stands in repeated passages is lost to the corpus.  Rows stay, with what is
+    left; null texts stay null; further columns stay as they are.
     """
     new = fresh("_cut_", docs)
     found = repeated_spans(docs, "text", length, gram).select(F.col("tid").alias(f"{new}tid"), F.col("spans").alias(f"{new}spans"))

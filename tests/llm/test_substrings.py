@@ -114,3 +114,29 @@ def test_passages_of_fifty_words(spark):
 def test_empty(empty):
     assert substrings.remove_repeats(empty.drop("kept")).count() == 0
     assert substrings.drop_passages(empty).columns == empty.columns and substrings.drop_passages(empty).count() == 0
+
+
+def test_only_whole_words_go():
+    words = [f"word{i}" for i in range(60)]
+    text = " ".join(words).encode()
+    at = [text.index(w.encode()) for w in words]
+    # both ends in the middle of a word: 48 whole words do not count as 50
+    assert substrings.cut_passages(text, [(at[4] + 3, at[53] + 3)], 50) == (text.decode(), False)
+    kept, cut = substrings.cut_passages(text, [(at[4] + 3, at[53] + 3)], 48)
+    assert cut and kept == " ".join(words[:5] + words[53:])
+    # a span of whole words leaves the words on both sides apart
+    kept, cut = substrings.cut_passages(text, [(at[4], at[54] - 1)], 50)
+    assert cut and kept.split() == words[:4] + words[54:]
+    kept, cut = substrings.cut_passages(text, [(at[4] - 1, at[54])], 50)
+    assert cut and kept.split() == words[:4] + words[54:]
+    assert substrings.cut_passages(text, [(0, len(text))], 50) == ("", True)
+    assert substrings.whole_words(b"abc", 1, 2) == (2, 2)
+    wide = ("漢" * 30 + " " + "字 " * 60).encode()
+    kept, cut = substrings.cut_passages(wide, [(10, len(wide))], 50)
+    assert cut and kept == "漢" * 30
+
+
+def test_too_large_a_shard_is_refused():
+    endless = np.lib.stride_tricks.as_strided(np.zeros(1, np.uint8), shape=((1 << 31) - 1,), strides=(0,))
+    with pytest.raises(ValueError, match="more shards"):
+        substrings.marked_windows(endless, np.array([1]), np.array([False]), 4)
