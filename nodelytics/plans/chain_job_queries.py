@@ -381,6 +381,27 @@ def stakes(t):
     return jobs.validator_status(lines)["status_stake"].drop("ts")
 
 
+def _spelled(t) -> DataFrame:
+    """Stakes a day; on odd days the first address comes again as a truncated one, on every fifth day again in full."""
+    row = lambda a: F.concat(F.lit("["), quoted(a), F.lit(","), F.col("c"), F.lit("]"))
+    e = t("events").withColumn("day", F.date_trunc("day", "ts")).groupBy(node("user_id"), "day", "user_id").agg(F.count(F.lit(1)).alias("c"))
+    full = address(F.col("user_id"))
+    per = e.groupBy("node_id", "day").agg(F.array_sort(F.collect_list(row(full))).alias("rows"), F.min(row(full)).alias("first"), F.min(row(F.concat(F.lit("0x0000.."), F.substring(full, -4, 4)))).alias("short"))
+    d = F.dayofmonth("day")
+    rows = F.concat("rows", F.when(d % 5 == 0, F.array("first")).when(d % 2 == 1, F.array("short")).otherwise(F.array().cast("array<string>")))
+    return per.select("node_id", enveloped(F.col("day"), F.concat(F.lit('{"current_stakes":'), listed(rows), F.lit("}"))).alias("line"))
+
+
+@query("job_stake_rejects", f"SELECT node_id, 'stakes' AS stage, CASE WHEN day(day) % 5 = 0 THEN 'duplicate' ELSE 'alias_conflict' END AS reason, count(*) AS n FROM (SELECT DISTINCT node_id, day FROM {_DAYS}) WHERE day(day) % 5 = 0 OR day(day) % 2 = 1 GROUP BY 1, 2, 3")
+def stake_rejects(t):
+    return validation.reject_counts(jobs.validator_status(_spelled(t))["rejects"], ["node_id"])
+
+
+@query("job_stakes_checked", f"WITH g AS (SELECT * FROM {_DAYS} WHERE day(day) % 5 > 0 AND day(day) % 2 = 0), n AS (SELECT node_id, max(day) AS day FROM g GROUP BY 1) SELECT g.node_id, {WIRE.format('user_id')} AS signer, CAST(c AS DOUBLE) AS stake FROM g JOIN n USING (node_id, day)")
+def stakes_checked(t):
+    return jobs.validator_status(_spelled(t))["status_stake"].drop("ts")
+
+
 @query("job_ema", f"WITH s AS (SELECT node_id, day, CASE WHEN user_id % 5 = 0 THEN 0.4 ELSE c END AS v, user_id FROM {_DAYS}), k AS (SELECT node_id, day, count(*) FILTER (v <> 0.4) AS measured FROM s GROUP BY 1, 2), n AS (SELECT node_id, max(day) AS day FROM k GROUP BY 1), g AS (SELECT k.* FROM k JOIN n USING (node_id, day) WHERE measured > 0) SELECT s.node_id, {WIRE.format('user_id')} AS validator, CAST(v AS DOUBLE) AS value FROM s JOIN g USING (node_id, day) WHERE v <> 0.4")
 def ema(t):
     row = F.concat(F.lit("["), quoted(address(F.col("user_id"))), F.lit(","), F.when(F.col("user_id") % 5 == 0, "0.4").otherwise(F.col("c").cast("string")), F.lit("]"))
@@ -495,3 +516,26 @@ def probe_ages(t):
 def ranked_inbound(t):
     rows = t("events").groupBy(node("user_id"), F.date_trunc("day", "ts").alias("ts"), F.concat(F.lit("u"), "user_id").alias("ip")).agg(F.count(F.lit(1)).alias("value"))
     return jobs.ranked_inbound(rows)
+
+
+#: Snapshots a minute apart, numbered by the events of an order; a missing minute ends what was before.
+_INBOUND = f"""WITH RECURSIVE d AS (SELECT {NODE.format('user_id')} AS node_id, event_id // 40 AS m, 'u' || user_id AS k, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS v FROM events WHERE value IS NOT NULL AND event_id % 400 >= 40 GROUP BY 1, 2, 3),
+p AS (SELECT node_id, m, list({{'k': k, 'v': v}}) AS items, row_number() OVER (PARTITION BY node_id ORDER BY m) AS n FROM d GROUP BY 1, 2),
+s AS (SELECT node_id, 0::BIGINT AS n, NULL::BIGINT AS m, []::STRUCT(k VARCHAR, m DOUBLE)[] AS means, NULL::VARCHAR AS now, 0::BIGINT AS tenure, 0::BIGINT AS switches FROM p GROUP BY 1
+UNION ALL SELECT node_id, n, m, means, next, CASE WHEN now IS NOT NULL AND next = now THEN tenure + 1 ELSE 1 END, switches + CASE WHEN now IS NOT NULL AND next <> now THEN 1 ELSE 0 END
+FROM (SELECT *, CASE WHEN own IS NULL OR list_max(list_transform(means, lambda x: x.m)) > 1.2 * own THEN list_sort(list_transform(means, lambda x: {{'m': -x.m, 'k': x.k}}))[1].k ELSE now END AS next
+FROM (SELECT *, list_filter(means, lambda x: x.k = now)[1].m AS own FROM (SELECT node_id, n, m, now, tenure, switches, list_concat(
+list_transform(items, lambda i: {{'k': i.k, 'm': coalesce(list_filter(held, lambda x: x.k = i.k)[1].m, 0.0) * 0.7 + 0.3 * i.v}}),
+list_transform(list_filter(held, lambda x: NOT list_contains(list_transform(items, lambda i: i.k), x.k)), lambda x: {{'k': x.k, 'm': x.m * 0.7}})) AS means
+FROM (SELECT p.node_id, p.n, p.m, p.items, CASE WHEN p.m - s.m = 1 THEN s.means ELSE [] END AS held, CASE WHEN p.m - s.m = 1 THEN s.now END AS now, CASE WHEN p.m - s.m = 1 THEN s.tenure ELSE 0 END AS tenure, CASE WHEN p.m - s.m = 1 THEN s.switches ELSE 0 END AS switches FROM s JOIN p ON p.node_id = s.node_id AND p.n = s.n + 1)))))
+SELECT node_id, to_timestamp(1704067200 + m * 60)::TIMESTAMP AS ts, now AS dominant, round(list_filter(means, lambda x: x.k = now)[1].m / list_sum(list_transform(means, lambda x: x.m)), 9) AS share, tenure, switches FROM s WHERE n > 0"""
+
+
+@query("job_dominant_inbound", _INBOUND)
+def dominant(t):
+    e = t("events").filter("value is not null and event_id % 400 >= 40")
+    ts = F.timestamp_seconds(1_704_067_200 + F.floor(F.col("event_id") / 40) * 60)
+    rows = e.select(node("user_id"), ts.alias("ts"), F.concat(F.lit("u"), "user_id").alias("ip"), F.col("value").cast("decimal(18,2)").alias("value"))
+    rows = rows.groupBy("node_id", "ts", "ip").agg(F.sum("value").cast("double").alias("value"))
+    made = jobs.dominant_inbound(rows)
+    return made.select("node_id", "ts", "dominant", F.round("share", 9).alias("share"), "tenure", "switches")

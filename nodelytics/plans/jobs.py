@@ -317,15 +317,29 @@ def status_summary(tables: Tables, eligible: DataFrame) -> DataFrame:
     return a.join(b, "node_id", "full").na.fill(0)
 
 
+def without_alias_conflicts(good: DataFrame, rejects: DataFrame, stage: str, addresses: Column) -> tuple[DataFrame, DataFrame]:
+    """Records of which two spellings may be one address become rejects; ``good`` has ``node_id``, ``ts`` and ``line``."""
+    good = good.withColumn("_record", F.xxhash64("line"))
+    key = ["node_id", "ts", "_record"]
+    spelled = good.select(*key, F.explode(addresses).alias("address")).distinct()
+    bad = joins.alias_conflicts(spelled, key, "address").select(*key).distinct()
+    found = good.join(bad, key, "left_semi").select("node_id", F.lit(stage).alias("stage"), F.lit("alias_conflict").alias("reason"), "line")
+    return good.join(bad, key, "left_anti").drop("_record"), rejects.unionByName(found)
+
+
 def validator_status(lines: DataFrame) -> Tables:
-    """Stake rows in two shapes, the jailed set and the home validator of the newest complete record."""
+    """Stake rows in two shapes, the jailed set and the home validator of the newest complete record; no address comes twice in a record, in any spelling."""
     p = F.col("p")
     stakes = F.coalesce(_items(p, "$.current_stakes.validator_to_stake"), _items(p, "$.current_stakes"))
     rows = once(enveloped(lines), {"home": S.wire_key(_text(p, "$.home_validator")), "stakes": stakes, "jailed": json.text_array(p, "$.current_jailed_validators")})
-    numeric = F.transform("stakes", lambda s: _num(s, "$[1]"))
-    paired = F.transform("stakes", lambda s: _text(s, "$[1]"))
-    mixed = F.exists(numeric, lambda x: x.isNotNull()) & F.exists(paired, lambda x: x.isNotNull())
-    good, rejects = checked(rows, [*_envelope_checks(), ("stakes", "no_list", F.col("stakes").isNull()), ("stakes", "mixed_rows", mixed), ("stakes", "bad_row", F.exists("stakes", lambda s: _num(s, "$[1]").isNull() & _text(s, "$[1]").isNull()))])
+    rows = once(rows, {"addresses": F.transform("stakes", lambda s: F.lower(F.trim(_text(s, "$[0]")))), "numeric": F.transform("stakes", lambda s: _num(s, "$[1]")), "paired": F.transform("stakes", lambda s: _text(s, "$[1]"))})
+    some = lambda c: F.exists(c, lambda x: x.isNotNull())
+    good, rejects = checked(rows, [
+        *_envelope_checks(), ("stakes", "no_list", F.col("stakes").isNull()), ("stakes", "mixed_rows", some("numeric") & some("paired")),
+        ("stakes", "bad_row", F.exists(F.arrays_zip("numeric", "paired"), lambda s: s["numeric"].isNull() & s["paired"].isNull())),
+        ("stakes", "bad_address", F.exists("addresses", lambda a: a.isNull())), ("stakes", "duplicate", F.size("addresses") != F.size(F.array_distinct("addresses"))),
+    ])
+    good, rejects = without_alias_conflicts(good, rejects, "stakes", F.col("addresses"))
     now = A.latest_per_key(good.select("node_id", "ts", "home", "stakes"), ["node_id"], ["ts"])
     jailed = A.latest_per_key(good.filter("jailed is not null").select("node_id", "ts", "jailed"), ["node_id"], ["ts"])
     s = F.col("s")
@@ -413,7 +427,8 @@ def dominant_inbound(endpoints: DataFrame) -> DataFrame:
     """Endpoint rows ``(node_id, ts, ip, value)`` of one direction: the dominant one by decayed means, anew after a gap."""
     index = W.snapshot_index(endpoints, ["node_id"], "ts", vocab.ADMISSION_GAP_S * 1_000_000)
     rows = endpoints.groupBy("node_id", "ts", "ip").agg(F.sum("value").alias("value")).join(index, ["node_id", "ts"])
-    return folds.ewma_dominant(rows, ["node_id", "epoch"], "idx", "ip", "value", vocab.EWMA_ALPHA, vocab.SWITCH_RATIO)
+    made = folds.ewma_dominant(rows, ["node_id", "epoch"], "idx", "ip", "value", vocab.EWMA_ALPHA, vocab.SWITCH_RATIO)
+    return made.join(index, ["node_id", "epoch", "idx"])
 
 
 def ranked_inbound(endpoints: DataFrame) -> DataFrame:
