@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..sources.scratch import Scratch
@@ -77,3 +79,66 @@ def advancing(df: DataFrame, by: Sequence[str], us: str, order: Sequence[str], c
     best = running(df, by, us, order, {"_best": ("max", F.col(column))}, before=True, rows=rows)
     steps = best.filter(F.col("_best").isNull() | (F.col(column) > F.col("_best"))).drop("_best")
     return running(steps, by, us, order, {"_prev": ("last", F.col(us))}, before=True, rows=rows).withColumn("gap_us", F.col(us) - F.col("_prev")).drop("_prev")
+
+
+def monotone(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], rows: int = BLOCK_ROWS) -> DataFrame:
+    """``folds.monotone_filter`` with the rows of a key in blocks: each accepted row exceeds the last accepted one in every column.
+
+    Which rows of a block are accepted depends on what is before it only through the last accepted row, and soon does not
+    depend on it at all, as chains from different starts meet.  So each block is folded from the end of the block before it as it
+    was in the last round, until no end changes: then every block began where the one before it ended.  Each round folds all
+    blocks at once; the rounds are as many as the blocks that a difference runs through, two or three as a rule.
+    """
+    if not by:
+        return monotone(df.withColumn("_all", F.lit(1)), ["_all"], order, columns, rows).drop("_all")
+    keys, names = [*by, "_block"], [f"_e{i}" for i in range(len(columns))]
+    cut = with_block(df, by, order[0], rows)
+    fields, kept = cut.schema.fields, cut.columns
+    scratch = Scratch(df.sparkSession, "ends")
+    ends_schema = T.StructType([*[f for f in fields if f.name in keys], *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def fold(with_rows: bool):
+        def run(parts):
+            mark, base = None, None
+
+            def end() -> pd.DataFrame:
+                return pd.DataFrame([(*mark, *(base or [None] * len(names)))], columns=ends_schema.names)
+
+            for pdf in parts:
+                good = []
+                marks = pdf[ends_schema.names[: len(keys)]].astype(object).itertuples(index=False, name=None)
+                for m, seed, values, start in zip(marks, pdf["_seed"], pdf[list(columns)].itertuples(index=False, name=None), pdf[names].itertuples(index=False, name=None), strict=True):
+                    if m != mark:
+                        if mark is not None and not with_rows:
+                            yield end()
+                        mark, base = m, None
+                    if seed:
+                        base = None if start[0] is None or start[0] != start[0] else list(start)
+                        good.append(False)
+                        continue
+                    fits = base is None or all(v > b for v, b in zip(values, base, strict=True))
+                    base = list(map(float, values)) if fits else base
+                    good.append(fits)
+                if with_rows:
+                    yield pdf.loc[good, kept]
+            if mark is not None and not with_rows:
+                yield end()
+
+        return run
+
+    def seeded(ends: DataFrame | None) -> DataFrame:
+        plain = cut.withColumns({"_seed": F.lit(False), **{n: F.lit(None).cast("double") for n in names}})
+        if ends is not None:
+            # a block without an accepted row ends where it began, so its end is never empty after the first round
+            before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+            entry = ends.select(*keys, *[F.last(n, ignorenulls=True).over(before).alias(n) for n in names]).withColumn("_seed", F.lit(True))
+            plain = plain.unionByName(entry, allowMissingColumns=True)
+        return plain.repartition(*keys).sortWithinPartitions(*keys, F.desc("_seed"), *order)
+
+    ends, n = None, 0
+    while True:
+        made = scratch.write(seeded(ends).mapInPandas(fold(False), ends_schema), f"round={n}", ends_schema)
+        if ends is not None and made.exceptAll(ends).isEmpty():
+            break
+        ends, n = made, n + 1
+    return seeded(ends).mapInPandas(fold(True), cut.schema).drop("_block")

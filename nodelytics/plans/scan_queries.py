@@ -44,6 +44,15 @@ def extremes(t):
     return made.select("event_id", "high", "low")
 
 
+@query("monotone_one_key", """WITH RECURSIVE o AS (SELECT event_id, event_type, user_id % 7 + event_id // 300 AS a, value + event_id / 200.0 AS b, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events WHERE value IS NOT NULL),
+f AS (SELECT event_type, rn, event_id, a, b, true AS ok FROM o WHERE rn = 1 UNION ALL SELECT o.event_type, o.rn, o.event_id, CASE WHEN o.a > f.a AND o.b > f.b THEN o.a ELSE f.a END, CASE WHEN o.a > f.a AND o.b > f.b THEN o.b ELSE f.b END, o.a > f.a AND o.b > f.b FROM f JOIN o ON o.event_type = f.event_type AND o.rn = f.rn + 1)
+SELECT event_id, event_type FROM f WHERE ok""")
+def monotone(t):
+    a, b = F.col("user_id") % 7 + F.floor(F.col("event_id") / 300), F.col("value") + F.col("event_id") / 200.0
+    rows = _events(t).filter("value is not null").select("event_id", "event_type", "us", a.alias("a"), b.alias("b"))
+    return scans.monotone(rows, ["event_type"], ["us", "event_id"], ["a", "b"], ROWS).select("event_id", "event_type")
+
+
 # --- health ----------------------------------------------------------------------------------
 
 #: An event type of a node is a source; ten days are a generation.  Sign-ups are disabled, errors cannot be read in the last one.
