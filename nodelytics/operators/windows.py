@@ -167,6 +167,27 @@ def ewma(df: DataFrame, scope: Sequence[str], key: str, idx: str, value: str, al
     return joined.select(*df.columns, "ewma")
 
 
+def ewma_pruned(df: DataFrame, scope: Sequence[str], key: str, idx: str, value: str, alpha: float, prune: float = 1e-9) -> DataFrame:
+    """``ewma`` of a bounded set of keys: a key whose mean falls below ``prune`` while it is absent starts anew, and a snapshot without a positive value clears all.
+
+    Both are cuts of a key's rows into segments, so the closed form stays: epochs end with cleared snapshots, and an absence
+    cuts where the mean before it, decayed over it, is below the limit.  Rows of a cleared snapshot have no mean.
+    """
+    keep, names = 1.0 - alpha, [f"_s{i}" for i in range(len(scope))]
+    snapshots = df.groupBy(*[F.col(c).alias(n) for c, n in zip(scope, names, strict=True)], F.col(idx).alias("_at")).agg((F.coalesce(F.max(value), F.lit(0.0)) <= 0).alias("_clear"))
+    snapshots = snapshots.withColumn("_epoch", F.sum(F.col("_clear").cast("long")).over(_over(names, ["_at"]).rowsBetween(Window.unboundedPreceding, 0)))
+    same = F.col(idx) == F.col("_at")
+    for c, n in zip(scope, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    rows = df.join(snapshots, same).drop("_at", *names)
+    live = ewma(rows.filter(~F.col("_clear")), [*scope, "_epoch"], key, idx, value, alpha)
+    w = _over([*scope, "_epoch", key], [idx])
+    left = F.lag("ewma").over(w) * F.pow(F.lit(keep), (F.col(idx) - F.lag(idx).over(w) - 1).cast("double"))
+    cut = islands(live.withColumn("_cut", F.coalesce(left < prune, F.lit(False))).drop("ewma"), [*scope, "_epoch", key], [idx], F.col("_cut"), "_segment")
+    made = ewma(cut, [*scope, "_epoch", "_segment"], key, idx, value, alpha)
+    return made.select(*df.columns, "ewma").unionByName(rows.filter("_clear").select(*df.columns, F.lit(None).cast("double").alias("ewma")))
+
+
 def retire_idle(df: DataFrame, by: Sequence[str], ts: str, as_of: Column, idle_s: int) -> DataFrame:
     """Rows of the keys that were seen within the time before ``as_of``; keys idle for longer are retired with all their rows."""
     last = df.groupBy(*by).agg(F.max(ts).alias("_last")).filter(micros(as_of) - micros("_last") <= idle_s * 1_000_000)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nodelytics.operators import folds, scans
+from nodelytics.operators import windows as W
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +44,26 @@ def test_monotone_blocks_equal_the_fold(rows):
         want = folds.monotone_filter(df, by, ["us", "n"], ["v", "m"])
         assert got.columns == df.columns and sorted(r.n for r in got.collect()) == sorted(r.n for r in want.collect())
     assert scans.monotone(df.limit(0), ["k"], ["us", "n"], ["v"], rows=70).count() == 0
+
+
+def test_pruned_means_equal_a_plain_fold(spark):
+    """Three thousand snapshots with long absences and snapshots of zeros."""
+    rng, means, rows, want = random.Random(6), {}, [], {}
+    for i in range(3000):
+        seen = {k: rng.choice([0.0, 1e-6, 5.0, 300.0]) if i % 37 else 0.0 for k in range(12) if rng.random() < (0.4, 0.02)[k % 2]}
+        rows += [("s", i, k, v) for k, v in seen.items()]
+        if seen and max(seen.values()) <= 0:
+            means = {}
+            want.update({(i, k): None for k in seen})
+            continue
+        if not seen:
+            means = {k: m * 0.7 for k, m in means.items()}
+        else:
+            means = {k: means.get(k, 0.0) * 0.7 + 0.3 * seen.get(k, 0.0) for k in means.keys() | seen.keys()}
+        want.update({(i, k): means[k] for k in seen})
+        means = {k: m for k, m in means.items() if m >= 1e-9}
+    made = W.ewma_pruned(spark.createDataFrame(rows, "scope string, idx long, key int, v double"), ["scope"], "key", "idx", "v", 0.3)
+    got = {(r.idx, r.key): r.ewma for r in made.collect()}
+    assert got.keys() == want.keys()
+    assert all((a is None) == (got[k] is None) and (a is None or abs(a - got[k]) <= 1e-9 + 1e-9 * a) for k, a in want.items())
+    assert None in want.values()
