@@ -35,11 +35,11 @@ from .common import fresh, slices, small, stash, stash_all, table, utf8
 
 WINDOW = 10
 #: Text bytes of a segment; a longer document has one of its own.
-SEGMENT_BYTES = 3 << 20
+SEGMENT_BYTES = 3 << 19
 #: Bytes of benchmark text that are looked up at once.
 SLICE_BYTES = 4 << 20
 #: Candidates that are compared at once.
-_CANDIDATES = 1 << 20
+_CANDIDATES = 1 << 18
 #: Keys of contaminated texts (32 bytes each) that are sent to every worker at most.
 SENT_KEYS = 200_000
 #: A-Z become a-z; these bytes and those of non-ASCII characters make words, all others part them.
@@ -84,7 +84,7 @@ def index(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
                 number += 1
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return stash(docs.select(*keep, F.col(text).alias(fresh("text", docs.select(*keep)))).mapInArrow(run, schema), "segments", **{"parquet.block.size": str(16 << 20)})  # a row is large: a writer holds a few
+    return stash(docs.select(*keep, F.col(text).alias(fresh("text", docs.select(*keep)))).mapInArrow(run, schema), "segments", **{"parquet.block.size": str(8 << 20)})  # a row is large: a writer holds a few
 
 
 @dataclass
