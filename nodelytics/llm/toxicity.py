@@ -4,8 +4,8 @@ P(grade >= k) = sigmoid(w.x - t_k) with one weight vector for all grades and ord
 t_1 < t_2 < t_3; the output is the expected grade, the sum of these probabilities.
 
 Labels say only toxic or not, so the grades of the fit are: 0 for rows that are not toxic; toxic
-rows get 1, 2 or 3 by how many different features of strong toxic evidence they hold (``MILD``,
-``MIDDLE``).  Evidence is the log-odds of a feature's document frequency between the two classes,
+rows get 1, 2 or 3 by how many different features of strong toxic evidence they hold, cut at the
+thirds of that number over the toxic rows of the fit.  Evidence is the log-odds of a feature's document frequency between the two classes,
 counted by Spark.  Features are the ``FEATURES`` ones whose
 log-odds are surest (absolute value less two standard errors); values are log(1 + count).  The
 regression has an absolute-value penalty that leaves most weights zero.  All of the fit uses about
@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 from .common import slices, small, stash, table, utf8, with_columns
 
 GRADES = 3
-#: Features of strong evidence in toxic rows of grade 1, and of grade 2, at most.
-MILD, MIDDLE = 6, 15
 FEATURES, FIT_ROWS = 600, 12_000
 #: Strong evidence: log-odds, and z-score.
 STRONG_ODDS, STRONG_Z = 2.0, 3.0
@@ -189,9 +187,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model({}, [50.0] * GRADES)
     x = np.zeros((len(found), len(number)), np.float32)
     y = np.zeros(len(found), np.int64)
+    thirds = np.quantile([r["evidence"] for r in found if r["toxic"] > 0] or [0], [k / GRADES for k in range(1, GRADES)])
     for i, r in enumerate(found):
         x[i, r["at"]] = r["value"]
-        y[i] = 0 if r["toxic"] <= 0 else 1 if r["evidence"] <= MILD else 2 if r["evidence"] <= MIDDLE else 3
+        y[i] = 0 if r["toxic"] <= 0 else 1 + int((r["evidence"] > thirds).sum())
     w, t = _descend(x, y)
     return Model({k: float(w[i]) for k, i in number.items()}, [float(v) for v in t], ratio)
 
