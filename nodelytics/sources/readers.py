@@ -1,13 +1,13 @@
-"""Readers: logs, documents, inventories and captures as tables.  Paths are globs that Spark resolves; nothing is opened locally."""
+"""Readers: logs, documents, inventories and captures as tables.  Paths are globs that Spark resolves, or folders that executors list."""
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import path_date
+from . import scan
 
 #: Longest record that is read; longer ones are rejected.
 RECORD_CAP = 64 << 20
@@ -96,51 +96,16 @@ def read_single_ints(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file_path"), F.when(n >= 0, n).alias("value"))
 
 
-def _plain(path: Column) -> Column:
-    return F.regexp_replace(path, "^file:/+", "/")
-
-
-def _listed(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, size, mtime)`` of files without their contents; Spark's scan passes over empty files, its listing does not (their time is unknown)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    names = spark.createDataFrame([(f,) for f in files.inputFiles()], "name string")
-    found = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    whole = names.join(found, _plain(F.col("name")) == _plain(F.col("path")), "left")
-    return whole.select(F.coalesce("path", "name").alias("path"), F.coalesce("size", F.lit(0)).alias("size"), "mtime")
-
-
 def file_inventory(spark: SparkSession, path: str, node_id: str) -> DataFrame:
-    """Path, size and time of files; contents are not read.  Device, inode and allocation need a supplied inventory."""
-    return _listed(spark, path).select(F.lit(node_id).alias("node_id"), "path", F.lit(False).alias("is_dir"), F.lit(True).alias("is_regular"), "size", "mtime")
+    """Everything below a folder, listed by executors; contents are not read.  See ``scan.walk``."""
+    return scan.tree(spark, path).select(F.lit(node_id).alias("node_id"), "*")
 
 
 def read_file_heads(spark: SparkSession, path: str, n: int = 4096) -> DataFrame:
-    """The first bytes of each file with its state: empty, readable or truncated.
-
-    Sizes come from the listing; of a file, the lines of its first split are read until there are enough bytes.
-    """
-    text = spark.read.format("text").option("lineSep", "\n").option("recursiveFileLookup", "true").load(path)
-    first = text.filter("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("file"), F.substring(F.encode("value", "utf-8"), 1, n).alias("line"))
-
-    def run(batches):
-        file, head = None, b""
-        for batch in batches:
-            done = []
-            for f, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if f != file:
-                    done += [(file, head)] if file is not None else []
-                    file, head = f, b""
-                if len(head) < n:
-                    head += line + b"\n"
-            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.binary())], names=["file", "bytes"])
-        if file is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([file], pa.string()), pa.array([head], pa.binary())], names=["file", "bytes"])
-
-    heads = first.mapInArrow(run, "file string, bytes binary")
-    state = F.when(F.col("size") == 0, "empty").when(F.col("size") > n, "truncated").otherwise("readable")
-    taken = F.least(F.lit(n).cast("long"), F.col("size")).cast("int")
-    head = F.decode(F.substring("bytes", F.lit(1), taken), "ISO-8859-1")
-    return _listed(spark, path).join(heads, _plain(F.col("path")) == _plain(F.col("file")), "left").select("path", "mtime", state.alias("state"), F.coalesce(head, F.lit("")).alias("head"))
+    """The first bytes of each file below a folder, or of one file, with its state: empty, readable, truncated or unreadable."""
+    found = scan.tree(spark, path)
+    files = found.filter(F.col("is_regular") | (F.col("error") == "NotADirectoryError")).select("path")
+    return scan.file_heads(files, n).select("path", "mtime", "state", "head")
 
 
 def read_marker_blocks(spark: SparkSession, path: str, marker: str, complete: str) -> DataFrame:
