@@ -87,11 +87,15 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def refuse_clash(df: DataFrame, *names: str) -> None:
-    """An error, before anything runs, where a result column would have the name of an input column."""
-    clash = sorted({c.lower() for c in df.columns} & {n.lower() for n in names})
-    if clash:
-        raise ValueError(f"input columns {clash} have the names of result columns; rename or drop them first")
+def apart(df: DataFrame, *names: str) -> list[str]:
+    """The names of result columns: those given, with as many underscores in front as keep each apart from the columns of ``df``."""
+    taken, made = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        made.append(name)
+    return made
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -121,13 +125,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 2
 def with_columns(df: DataFrame, text: str, schema: str, function: Callable[[list[bytes | None]], list[list]]) -> DataFrame:
     """All columns of ``df`` and those of ``schema``, which ``function`` gives for a list of texts.
 
-    ``schema`` is DDL; a name of it that ``df`` has too is an error.
+    ``schema`` is DDL; a name of it that ``df`` has too gets underscores in front.
     """
     spark = df.sparkSession
     extra = spark.createDataFrame([], schema).schema
-    refuse_clash(df, *extra.names)
     from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructField, StructType
 
+    extra = StructType([StructField(n, f.dataType) for n, f in zip(apart(df, *extra.names), extra.fields, strict=True)])
     fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in extra]
     position = df.columns.index(text)
 
@@ -138,6 +143,4 @@ def with_columns(df: DataFrame, text: str, schema: str, function: Callable[[list
                 columns = [*part.columns, *(pa.array(v, type=f.type) for v, f in zip(made, fields, strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *(f.name for f in fields)])
 
-    from pyspark.sql.types import StructType
-
     return df.mapInArrow(run, StructType([*df.schema.fields, *extra.fields]))

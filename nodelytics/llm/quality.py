@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, refuse_clash, small, stash, table, with_columns
+from .common import fresh, apart, small, stash, table, with_columns
 
 WINDOW = 8
 #: False rejection of good documents allowed per stratum, and the chance that the guarantee fails anywhere.
@@ -88,7 +88,10 @@ def base_counts(text: bytes | None) -> tuple[int, ...]:
 
 
 def with_base(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` and the base columns, their names led by ``prefix``."""
+    """``docs`` and the base columns, their names led by ``prefix``, which must keep them apart from those of ``docs``."""
+    names = [f"{prefix}{p.split()[0]}" for p in BASE.split(", ")]
+    if apart(docs, *names) != names:
+        raise ValueError(f"docs has a column of {names}: give a prefix")
     schema = ", ".join(f"`{prefix}{p.split()[0]}` long" for p in BASE.split(", "))
     return with_columns(docs, text, schema, lambda texts: list(map(list, zip(*map(base_counts, texts), strict=True))) if texts else [[] for _ in BASE.split(", ")])
 
@@ -187,10 +190,10 @@ def judged(base: DataFrame, labels: DataFrame, stratum: str, prefix: str, made:
 
 
 def verdicts(base: DataFrame, labels: DataFrame, stratum: str = "lang", prefix: str = "", made: str = "") -> DataFrame:
-    """``base`` and the columns ``base_failed`` and ``kept`` (names led by ``made``, which must not occur in ``base``)."""
-    refuse_clash(base, f"{made}base_failed", f"{made}kept")
+    """``base`` and the columns ``base_failed`` and ``kept``, their names led by ``made`` (and by underscores where ``base`` has them)."""
+    failed, kept = apart(base, f"{made}base_failed", f"{made}kept")
     joined, over = judged(base, labels, stratum, prefix, fresh("_cut_", base))
-    return joined.select(*base.columns, base_failed(prefix).alias(f"{made}base_failed"), (~base_failed(prefix) & ~over).alias(f"{made}kept"))
+    return joined.select(*base.columns, base_failed(prefix).alias(failed), (~base_failed(prefix) & ~over).alias(kept))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, refuse_clash, release, slices, small, stash, table, utf8
+from .common import fresh, apart, release, slices, small, stash, table, utf8
 from .induced import disk_array, suffix_order
 
 LENGTH, GRAM = 400, 100
@@ -290,14 +290,14 @@ def _joined(ranges: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, made: str = "") -> DataFrame:
-    """``docs`` and two columns, their names led by ``made``: ``spans`` (removed byte runs) and ``kept`` (remaining bytes)."""
-    refuse_clash(docs, f"{made}spans", f"{made}kept")
+    """``docs`` and two columns, their names led by ``made`` (and by underscores where ``docs`` has them): ``spans`` (removed byte runs) and ``kept`` (remaining bytes)."""
+    removed, kept = apart(docs, f"{made}spans", f"{made}kept")
     new = fresh("_span_", docs)
     found = repeated_spans(docs, text, length, gram).select(F.col("tid").alias(f"{new}tid"), F.col("spans").alias(f"{new}found"))
     joined = docs.join(found, _text_id(F.col(text)) == F.col(f"{new}tid"), "left")
     spans = F.coalesce(f"{new}found", F.array().cast("array<struct<a:int,b:int>>"))
-    whole = joined.withColumn(f"{made}spans", spans).drop(f"{new}tid", f"{new}found")
-    return whole.withColumn(f"{made}kept", without(F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8"), F.col(f"{made}spans")))
+    whole = joined.withColumn(removed, spans).drop(f"{new}tid", f"{new}found")
+    return whole.withColumn(kept, without(F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8"), F.col(removed)))
 
 
 def without(data: Column, spans: Column) -> Column:
