@@ -1,4 +1,4 @@
-"""Sinks.  A generation becomes visible by one job commit."""
+"""Sinks.  Partitions of the metric table are replaced by one job; generations become visible by one rename."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import generations
+
 
 def metric(df: DataFrame, name: str, kind: str, labels: list[str], value: Column, ts: str = "ts", node: str = "node_id") -> DataFrame:
     """Rows of the long metric table."""
@@ -24,8 +26,8 @@ def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def metrics_to(path: str):
-    """For ``foreachBatch``: one overwrite for each generation."""
-    return lambda df, _: write_metrics(df, path)
+    """For ``foreachBatch``: each batch is a generation of its own, of which a reader sees one; see ``generations``."""
+    return generations.generations_to(path)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:

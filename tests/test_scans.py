@@ -40,7 +40,7 @@ def test_blocks_are_alike(rows):
 def test_monotone_blocks_equal_the_fold(rows):
     df = rows.filter("v is not null").withColumn("m", F.pmod(F.xxhash64("n"), F.lit(40)) + F.col("us") / 50_000)
     for by in (["k"], []):
-        got = scans.monotone(df, by, ["us", "n"], ["v", "m"], rows=70)
+        got = scans.monotone(df, by, ["us", "n"], ["v", "m"], rows=400)
         want = folds.monotone_filter(df, by, ["us", "n"], ["v", "m"])
         assert got.columns == df.columns and sorted(r.n for r in got.collect()) == sorted(r.n for r in want.collect())
     assert scans.monotone(df.limit(0), ["k"], ["us", "n"], ["v"], rows=70).count() == 0
