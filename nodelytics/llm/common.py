@@ -30,6 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     return named or DEFAULT_SHARED
 
 
+#: Writer's options for rows of megabytes: a reader takes a row group at once, and Parquet's limit by bytes looks at every hundredth row only.
+LARGE_ROWS = {"parquet.block.row.count.limit": "2"}
+
 #: Stashes of the open ``scratch`` blocks, innermost last.
 _scratch: list[list[DataFrame]] = []
 

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from .common import fresh, slices, small, stash, stash_all, table, utf8
+from .common import LARGE_ROWS, fresh, slices, small, stash, stash_all, table, utf8
 
 WINDOW = 10
 #: Text bytes of a segment; a longer document has one of its own.
@@ -84,7 +84,7 @@ def index(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
                 number += 1
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return stash(docs.select(*keep, F.col(text).alias(fresh("text", docs.select(*keep)))).mapInArrow(run, schema), "segments", **{"parquet.block.size": str(8 << 20)})  # a row is large: a writer holds a few
+    return stash(docs.select(*keep, F.col(text).alias(fresh("text", docs.select(*keep)))).mapInArrow(run, schema), "segments", **LARGE_ROWS)
 
 
 @dataclass

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from .common import slices, stash, stash_all, table, utf8
+from .common import LARGE_ROWS, slices, stash, stash_all, table, utf8
 
 TOP = 10
 #: Share of the length in the saturation, in hundredths.
@@ -99,7 +99,7 @@ def index(docs: DataFrame, vocabulary: list[bytes], doc_id: str = "doc_id", text
                     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, *(pa.array([x.tobytes()], pa.binary()) for x in binary)], names=schema.names)
                     number += 1
 
-    return stash(docs.select(doc_id, text).mapInArrow(run, schema), "postings", **{"parquet.block.size": str(16 << 20)})
+    return stash(docs.select(doc_id, text).mapInArrow(run, schema), "postings", **LARGE_ROWS)
 
 
 def statistics(slices_: DataFrame, n_vocabulary: int) -> tuple[int, int, np.ndarray]:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stash, table
+from .common import LARGE_ROWS, stash, table
 
 K = 5
 #: Directions (even, for the closed form of the test), and the probability of the stopping test.
@@ -256,7 +256,7 @@ def blocks_of(stored: DataFrame, tree: Tree, project: np.ndarray) -> tuple[DataF
         return pa.table([pa.array([part.column("cell")[0].as_py()], pa.int32()), pa.array([part.column("block")[0].as_py()], pa.int32()), pa.array([vectors.astype("<f8").tobytes()], pa.binary()), pa.array([part.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64())))], names=["cell", "block", "vectors", "ids"])
 
     packed = dealt.groupBy("cell", "block").applyInArrow(pack, "cell int, block int, vectors binary, ids array<array<long>>")
-    return stash(packed, "blocks", **{"parquet.block.size": str(16 << 20)}), sizes
+    return stash(packed, "blocks", **LARGE_ROWS), sizes
 
 
 # --- searches --------------------------------------------------------------------------------
