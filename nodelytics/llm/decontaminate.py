@@ -31,11 +31,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from .common import LARGE_ROWS, fresh, slices, small, stash, stash_all, table, utf8
+from .common import fresh, slices, small, stash, stash_all, table, utf8
 
 WINDOW = 10
-#: Text bytes of a segment; a longer document has one of its own.
-SEGMENT_BYTES = 3 << 19
+#: Text bytes of a segment; a longer document has one of its own.  Its row stays below half a megabyte, which the
+#: JVM's collector still takes as a usual object; rows of megabytes filled an executor's heap.
+SEGMENT_BYTES = 3 << 17
+#: Rows of a row group, which a reader takes at once.
+_GROUP = {"parquet.block.row.count.limit": "8"}
 #: Bytes of benchmark text that are looked up at once.
 SLICE_BYTES = 4 << 20
 #: Candidates that are compared at once.
@@ -84,7 +87,7 @@ def index(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
                 number += 1
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return stash(docs.select(*keep, F.col(text).alias(fresh("text", docs.select(*keep)))).mapInArrow(run, schema), "segments", **LARGE_ROWS)
+    return stash(docs.select(*keep, F.col(text).alias(fresh("text", docs.select(*keep)))).mapInArrow(run, schema), "segments", **_GROUP)
 
 
 @dataclass
