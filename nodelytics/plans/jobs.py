@@ -294,13 +294,25 @@ def heartbeat_join(lines: DataFrame, as_of: Column) -> Tables:
     }
 
 
+def without_alias_conflicts(good: DataFrame, rejects: DataFrame, stage: str, addresses: Column) -> tuple[DataFrame, DataFrame]:
+    """Records of which two spellings may be one address become rejects; ``good`` has ``node_id``, ``ts`` and ``line``."""
+    good = good.withColumn("_record", F.xxhash64("line"))
+    key = ["node_id", "ts", "_record"]
+    spelled = good.select(*key, F.explode(addresses).alias("address")).distinct()
+    bad = joins.alias_conflicts(spelled, key, "address").select(*key).distinct()
+    found = good.join(bad, key, "left_semi").select("node_id", F.lit(stage).alias("stage"), F.lit("alias_conflict").alias("reason"), "line")
+    return good.join(bad, key, "left_anti").drop("_record"), rejects.unionByName(found)
+
+
 def consensus_status(lines: DataFrame) -> Tables:
     """The newest complete status per node: heartbeats, the disconnected relation, the missing set."""
     p = F.col("p")
     rows = once(enveloped(lines), {"round": _int(p, "$.round"), "statuses": _items(p, "$.heartbeat_statuses"), "pairs": _items(p, "$.disconnected_validators"), "missing": json.text_array(p, "$.validators_missing_heartbeat")})
     present = lambda name: F.try_variant_get(p, f"$.{name}", "variant").isNotNull()
     names = F.transform("statuses", lambda s: S.wire_key(_text(s, "$[0]")))
-    good, rejects = checked(rows, [*_envelope_checks(), ("status", "bad_round", F.col("round").isNull()), ("heartbeat", "bad_list", present("heartbeat_statuses") & F.col("statuses").isNull()), ("heartbeat", "too_many", F.size("statuses") > vocab.VALIDATOR_ROWS), ("heartbeat", "bad_address", F.exists(names, lambda n: n.isNull())), ("heartbeat", "duplicate", F.size(names) != F.size(F.array_distinct(names))), ("disconnected", "bad_list", present("disconnected_validators") & F.col("pairs").isNull()), ("missing", "bad_list", present("validators_missing_heartbeat") & F.col("missing").isNull())])
+    spelled = F.transform("statuses", lambda s: F.lower(F.trim(_text(s, "$[0]"))))
+    good, rejects = checked(rows, [*_envelope_checks(), ("status", "bad_round", F.col("round").isNull()), ("heartbeat", "bad_list", present("heartbeat_statuses") & F.col("statuses").isNull()), ("heartbeat", "too_many", F.size("statuses") > vocab.VALIDATOR_ROWS), ("heartbeat", "bad_address", F.exists(names, lambda n: n.isNull())), ("heartbeat", "duplicate", F.size(spelled) != F.size(F.array_distinct(spelled))), ("disconnected", "bad_list", present("disconnected_validators") & F.col("pairs").isNull()), ("missing", "bad_list", present("validators_missing_heartbeat") & F.col("missing").isNull())])
+    good, rejects = without_alias_conflicts(good, rejects, "heartbeat", spelled)
     now = A.latest_per_key(good.select("node_id", "ts", "round", "statuses", "pairs", "missing"), ["node_id"], ["ts", "round"])
     s = F.col("s")
     heartbeats = now.select("node_id", "ts", F.explode("statuses").alias("s")).select("node_id", "ts", S.wire_key(_text(s, "$[0]")).alias("validator"), _num(s, "$[1].since_last_success").alias("since_success_s"), json.presence(s, "$[1].last_ack_duration").alias("ack_presence"), _num(s, "$[1].last_ack_duration").alias("ack_s"))
@@ -317,16 +329,6 @@ def status_summary(tables: Tables, eligible: DataFrame) -> DataFrame:
     return a.join(b, "node_id", "full").na.fill(0)
 
 
-def without_alias_conflicts(good: DataFrame, rejects: DataFrame, stage: str, addresses: Column) -> tuple[DataFrame, DataFrame]:
-    """Records of which two spellings may be one address become rejects; ``good`` has ``node_id``, ``ts`` and ``line``."""
-    good = good.withColumn("_record", F.xxhash64("line"))
-    key = ["node_id", "ts", "_record"]
-    spelled = good.select(*key, F.explode(addresses).alias("address")).distinct()
-    bad = joins.alias_conflicts(spelled, key, "address").select(*key).distinct()
-    found = good.join(bad, key, "left_semi").select("node_id", F.lit(stage).alias("stage"), F.lit("alias_conflict").alias("reason"), "line")
-    return good.join(bad, key, "left_anti").drop("_record"), rejects.unionByName(found)
-
-
 def validator_status(lines: DataFrame) -> Tables:
     """Stake rows in two shapes, the jailed set and the home validator of the newest complete record; no address comes twice in a record, in any spelling."""
     p = F.col("p")

@@ -82,8 +82,10 @@ def test_heartbeats(spark):
 def test_status(spark):
     row = [TS.format(1), {"round": 5, "heartbeat_statuses": [[A, {"since_last_success": 1.0, "last_ack_duration": None}]], "disconnected_validators": [[A, [[B, 4]]]], "validators_missing_heartbeat": [B, C]}]
     dup = [TS.format(2), {"round": 6, "heartbeat_statuses": [[A, {}], ["0xaaaa..aaaa", {}]]}]
-    made = jobs.consensus_status(lines(spark, [row, dup, [TS.format(3), {"round": 7, "heartbeat_statuses": None}]]))
-    assert made["status_heartbeat"].first().ack_presence == "null" and reasons(made) == ["bad_list", "duplicate"]
+    made = jobs.consensus_status(lines(spark, [row, dup, [TS.format(3), {"round": 7, "heartbeat_statuses": None}], [TS.format(4), {"round": 8, "heartbeat_statuses": [[A, {}], [A, {}]]}]]))
+    assert made["status_heartbeat"].first().ack_presence == "null" and reasons(made) == ["alias_conflict", "bad_list", "duplicate"]
+    alike = jobs.consensus_status(lines(spark, [[TS.format(1), {"round": 5, "heartbeat_statuses": [["0x" + "ab" * 20, {}], ["0xab" + "cd" * 17 + "abab", {}]]}]]))
+    assert alike["status_heartbeat"].count() == 2 and reasons(alike) == []  # different full addresses do not conflict
     s = jobs.status_summary(made, spark.createDataFrame([("0xbbbb..bbbb",)], "validator string")).first()
     assert (s.missing, s.disconnected) == (1, 1)
     made = jobs.validator_status(lines(spark, [[TS.format(1), {"home_validator": A, "current_stakes": [[A, 5.0]], "current_jailed_validators": [B]}], [TS.format(2), {"home_validator": A, "current_stakes": [[A, B]]}], [TS.format(3), {"current_stakes": [[A, 1.0], [A, B]]}]]))
