@@ -33,6 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
 #: Writer's options for rows of megabytes: a reader takes a row group at once, and Parquet's limit by bytes looks at every hundredth row only.
 LARGE_ROWS = {"parquet.block.row.count.limit": "2"}
 
+#: What operators remember in a worker process, by operator.
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """The dictionary in which an operator keeps what it remembers between the tasks of a worker."""
+    return _caches.setdefault(name, {})
+
+
+def only_cache(name: str | None) -> None:
+    """A worker that begins with another operator's rows forgets what the operators before remembered."""
+    for other, cache in _caches.items():
+        if other != name:
+            cache.clear()
+
+
 #: Stashes of the open ``scratch`` blocks, innermost last.
 _scratch: list[list[DataFrame]] = []
 
@@ -125,10 +141,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 2
             yield batch.slice(start)
 
 
-def with_columns(df: DataFrame, text: str, schema: str, function: Callable[[list[bytes | None]], list[list]]) -> DataFrame:
+def with_columns(df: DataFrame, text: str, schema: str, function: Callable[[list[bytes | None]], list[list]], cache: str | None = None) -> DataFrame:
     """All columns of ``df`` and those of ``schema``, which ``function`` gives for a list of texts.
 
     ``schema`` is DDL; a name of it that ``df`` has too gets underscores in front.
+    ``cache``: the name of the ``worker_cache`` that ``function`` uses.
     """
     spark = df.sparkSession
     extra = spark.createDataFrame([], schema).schema
@@ -140,6 +157,7 @@ def with_columns(df: DataFrame, text: str, schema: str, function: Callable[[list
     position = df.columns.index(text)
 
     def run(batches):
+        only_cache(cache)
         for batch in batches:
             for part in slices([batch], batch.schema.names[position]):
                 made = function(utf8(part.column(position)))

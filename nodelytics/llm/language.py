@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, utf8, with_columns
+from .common import slices, table, utf8, with_columns, worker_cache
 
 ORDER = 3
 #: Documents a language that the fit reads, about (whole texts).
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, contexts: int = CONTEXTS) -> Model:
     return Model(langs, {lang: (x["gram"].to_numpy(np.int64), x["n"].to_numpy(np.int64)) for lang in langs for x in [made[made["lang"] == lang]]}, contexts)
 
 
-_WORKER: dict = {}
+_WORKER = worker_cache("language")
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -227,7 +227,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             score.append(float(1 / share.sum()))
         return [pred, score]
 
-    return with_columns(docs, text, "lang_pred string, score double", run)
+    return with_columns(docs, text, "lang_pred string, score double", run, "language")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SPECIAL, Vocabulary, vocabulary
-from .common import slices, stash, table, utf8, with_columns
+from .common import slices, stash, table, utf8, with_columns, worker_cache
 
 #: Words in the lexicon, and the bytes of the longest; together they bound what is broadcast (about 4 MB).
 LEXICON_WORDS, WORD_BYTES = 50_000, 48
@@ -221,7 +221,7 @@ def fit_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LEXI
     return compile_lexicon({w: v.merged(w) for w in (r["word"].encode() for r in top)})
 
 
-_WORKER: dict = {}
+_WORKER = worker_cache("lexicon")
 
 
 class Encoder:
@@ -277,7 +277,7 @@ def encode_decode(docs: DataFrame, path: str, image: bytes, text: str = "text")
         ids = encoder.encode(texts)
         return [ids, [encoder.decode(i) for i in ids]]
 
-    return with_columns(docs, text, "ids binary, decoded string", run)
+    return with_columns(docs, text, "ids binary, decoded string", run, "lexicon")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
