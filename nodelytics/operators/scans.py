@@ -8,7 +8,8 @@ So one key is spread over as many tasks as it has blocks.  Rows of one key and t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,13 +19,14 @@ from pyspark.sql.window import Window
 
 from ..sources.scratch import Scratch
 
-#: Rows of a block, about.
-BLOCK_ROWS = 100_000
+#: Rows of a block, about, and how many smaller ones there may be: Spark samples for each, and its ends are carried.
+BLOCK_ROWS, SMALL_BLOCKS = 100_000, 256
 
 
 def with_block(df: DataFrame, by: Sequence[str], us: str, rows: int = BLOCK_ROWS) -> DataFrame:
-    """``df``, written, and ``_block``: ascending along key and time."""
-    n = df.count() // rows + 1
+    """``df``, written, and ``_block``: ascending along key and time; blocks of fewer than ``BLOCK_ROWS`` only while they are few."""
+    count = df.count()
+    n = max(min(count // rows, SMALL_BLOCKS), count // BLOCK_ROWS) + 1
     if n == 1:
         return df.withColumn("_block", F.lit(0))
     return Scratch(df.sparkSession, "blocks").write(df.repartitionByRange(n, *by, us).withColumn("_block", F.spark_partition_id()), "rows")
@@ -81,64 +83,139 @@ def advancing(df: DataFrame, by: Sequence[str], us: str, order: Sequence[str], c
     return running(steps, by, us, order, {"_prev": ("last", F.col(us))}, before=True, rows=rows).withColumn("gap_us", F.col(us) - F.col("_prev")).drop("_prev")
 
 
+class Heads:
+    """The chains through the rows of a block, whatever accepted row came before it.
+
+    A row that some earlier row equals or exceeds in every column is never accepted.  Any other row is accepted by the chains whose last rows it exceeds:
+    from then on they are one.  The ends of the chains are kept in the order of the first column, along which the last column falls if there are two.
+    """
+
+    def __init__(self):
+        self.rows: list[tuple[float, ...]] = []  # accepted first by some chain
+        self.into: list[int | None] = []  # the row that follows
+        self.ends: list[tuple[tuple[float, ...], int]] = []  # (first column, - the second), row
+
+    def add(self, row: tuple[float, ...]) -> None:
+        n = len(self.rows)
+        if len(row) <= 2:
+            a, b = row[0], row[-1]
+            low = bisect.bisect_left(self.ends, ((a,),))
+            if low < len(self.ends) and self.rows[self.ends[low][1]][-1] >= b:
+                return
+            first = bisect.bisect_right(self.ends, -b, 0, low, key=lambda e: e[0][1])
+            for _, i in self.ends[first:low]:
+                self.into[i] = n
+            self.ends[first:low] = []
+            bisect.insort(self.ends, ((a, -b), n))
+        else:
+            kept = []
+            for e in self.ends:
+                end = self.rows[e[1]]
+                if all(x >= y for x, y in zip(end, row, strict=True)):
+                    return
+                if all(x < y for x, y in zip(end, row, strict=True)):
+                    kept.append(e[1])
+            for i in kept:
+                self.into[i] = n
+            self.ends = [e for e in self.ends if self.into[e[1]] is None] + [(row, n)]
+        self.rows.append(row)
+        self.into.append(None)
+
+    def told(self) -> list[tuple[int, int]]:
+        """``(row, end)``, in order: a chain from before goes to the end of the first of these rows that it accepts; those that change nothing are left out."""
+        end = list(range(len(self.rows)))
+        out: list[tuple[int, int]] = []
+        other = len(self.rows)  # the next row told that ends elsewhere than the last one told
+        for i in reversed(range(len(self.rows))):
+            to = self.into[i]
+            if to is not None:
+                end[i] = end[to]
+            if i and out and to is not None and end[i] == out[-1][1] and to < other:
+                continue
+            if out and end[i] != out[-1][1]:
+                other = out[-1][0]
+            out.append((i, end[i]))
+        return out[::-1]
+
+
 def monotone(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], rows: int = BLOCK_ROWS) -> DataFrame:
     """``folds.monotone_filter`` with the rows of a key in blocks: each accepted row exceeds the last accepted one in every column.
 
-    Which rows of a block are accepted depends on what is before it only through the last accepted row, and soon does not
-    depend on it at all, as chains from different starts meet.  So each block is folded from the end of the block before it as it
-    was in the last round, until no end changes: then every block began where the one before it ended.  Each round folds all
-    blocks at once; the rounds are as many as the blocks that a difference runs through, two or three as a rule.
+    Three passes, however far a row reaches: each block tells which of its rows may be accepted first and where the chain from each ends (``Heads``,
+    few rows as chains soon meet), a fold over these finds the row before each block, and each block is folded from it.
     """
     if not by:
         return monotone(df.withColumn("_all", F.lit(1)), ["_all"], order, columns, rows).drop("_all")
     keys, names = [*by, "_block"], [f"_e{i}" for i in range(len(columns))]
     cut = with_block(df, by, order[0], rows)
-    fields, kept = cut.schema.fields, cut.columns
-    scratch = Scratch(df.sparkSession, "ends")
-    ends_schema = T.StructType([*[f for f in fields if f.name in keys], *[T.StructField(n, T.DoubleType()) for n in names]])
-
-    def fold(with_rows: bool):
-        def run(parts):
-            mark, base = None, None
-
-            def end() -> pd.DataFrame:
-                return pd.DataFrame([(*mark, *(base or [None] * len(names)))], columns=ends_schema.names)
-
-            for pdf in parts:
-                good = []
-                marks = pdf[ends_schema.names[: len(keys)]].astype(object).itertuples(index=False, name=None)
-                for m, seed, values, start in zip(marks, pdf["_seed"], pdf[list(columns)].itertuples(index=False, name=None), pdf[names].itertuples(index=False, name=None), strict=True):
-                    if m != mark:
-                        if mark is not None and not with_rows:
-                            yield end()
-                        mark, base = m, None
-                    if seed:
-                        base = None if start[0] is None or start[0] != start[0] else list(start)
-                        good.append(False)
-                        continue
-                    fits = base is None or all(v > b for v, b in zip(values, base, strict=True))
-                    base = list(map(float, values)) if fits else base
-                    good.append(fits)
-                if with_rows:
-                    yield pdf.loc[good, kept]
-            if mark is not None and not with_rows:
-                yield end()
-
-        return run
-
-    def seeded(ends: DataFrame | None) -> DataFrame:
-        plain = cut.withColumns({"_seed": F.lit(False), **{n: F.lit(None).cast("double") for n in names}})
-        if ends is not None:
-            # a block without an accepted row ends where it began, so its end is never empty after the first round
-            before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-            entry = ends.select(*keys, *[F.last(n, ignorenulls=True).over(before).alias(n) for n in names]).withColumn("_seed", F.lit(True))
-            plain = plain.unionByName(entry, allowMissingColumns=True)
-        return plain.repartition(*keys).sortWithinPartitions(*keys, F.desc("_seed"), *order)
-
-    ends, n = None, 0
-    while True:
-        made = scratch.write(seeded(ends).mapInPandas(fold(False), ends_schema), f"round={n}", ends_schema)
-        if ends is not None and made.exceptAll(ends).isEmpty():
-            break
-        ends, n = made, n + 1
-    return seeded(ends).mapInPandas(fold(True), cut.schema).drop("_block")
+    kept = cut.columns
+    fields = [f for f in cut.schema.fields if f.name in keys]
+    values = [f"_v{i}" for i in range(len(columns))]
+    doubles = lambda ns: [T.StructField(n, T.DoubleType()) for n in ns]
+    told_schema = T.StructType([*fields, T.StructField("_place", T.LongType()), *doubles(values), *doubles(names)])
+    ends_schema = T.StructType([*fields, *doubles(names)])
+    marked = [f.name for f in fields]
+    numbers = cut.withColumns({v: F.col(c).cast("double") for v, c in zip(values, columns, strict=True)})
+
+    def marks(pdf: pd.DataFrame) -> Iterator[tuple]:
+        return pdf[marked].astype(object).where(pdf[marked].notna(), None).itertuples(index=False, name=None)
+
+    def tell(parts):
+        mark, heads, first = None, None, None
+
+        def told() -> pd.DataFrame:
+            made = [(*mark, p, *heads.rows[i], *heads.rows[e]) for p, (i, e) in enumerate(heads.told())]
+            if first is not None:  # no chain accepts it but one without a row before
+                made.insert(0, (*mark, -1, *first, *first))
+            return pd.DataFrame(made, columns=told_schema.names)
+
+        for pdf in parts:
+            for m, row in zip(marks(pdf), pdf[values].itertuples(index=False, name=None), strict=True):
+                odd = any(v != v for v in row)
+                if m != mark:
+                    if mark is not None:
+                        yield told()
+                    mark, heads, first = m, Heads(), row if odd else None
+                if not odd:
+                    heads.add(row)
+        if mark is not None:
+            yield told()
+
+    def carry(parts):
+        """The last accepted row before each block."""
+        mark, base, moved = None, None, False
+        for pdf in parts:
+            made = []
+            for m, row, end in zip(marks(pdf), pdf[values].itertuples(index=False, name=None), pdf[names].itertuples(index=False, name=None), strict=True):
+                if m != mark:
+                    if mark is None or [v for n, v in zip(marked, m, strict=True) if n != "_block"] != [v for n, v in zip(marked, mark, strict=True) if n != "_block"]:
+                        base = None
+                    elif base is not None:
+                        made.append((*m, *base))
+                    mark, moved = m, False
+                if not moved and (base is None or all(v > b for v, b in zip(row, base, strict=True))):
+                    base, moved = end, True
+            yield pd.DataFrame(made, columns=ends_schema.names)
+
+    def fold(parts):
+        mark, base, some = None, None, False
+        for pdf in parts:
+            good = []
+            for m, seed, row, start in zip(marks(pdf), pdf["_seed"], pdf[values].itertuples(index=False, name=None), pdf[names].itertuples(index=False, name=None), strict=True):
+                if m != mark:
+                    mark, base, some = m, None, False
+                if seed:
+                    base, some = start, True
+                    good.append(False)
+                    continue
+                fits = not some or all(v > b for v, b in zip(row, base, strict=True))
+                if fits:
+                    base, some = row, True
+                good.append(fits)
+            yield pdf.loc[good, kept]
+
+    told = numbers.select(*keys, *values, *order).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(tell, told_schema)
+    ends = told.repartition(*by).sortWithinPartitions(*keys, "_place").mapInPandas(carry, ends_schema)
+    plain = numbers.withColumns({"_seed": F.lit(False), **{n: F.lit(None).cast("double") for n in names}})
+    seeded = plain.unionByName(ends.withColumn("_seed", F.lit(True)), allowMissingColumns=True)
+    return seeded.repartition(*keys).sortWithinPartitions(*keys, F.desc("_seed"), *order).mapInPandas(fold, cut.schema).drop("_block")

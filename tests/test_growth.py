@@ -5,6 +5,7 @@ import json
 import random
 
 from nodelytics.functions import vocab
+from nodelytics.operators import scans
 from nodelytics.plans import telemetry_jobs
 
 
@@ -33,3 +34,50 @@ def test_rpc_stages_meet_in_two_shuffles(spark):
     plan = plan_of(made)
     assert want and sorted((x.session, x.duration_s) for x in made.collect()) == sorted((s, float(d)) for (s, _), d in want.items())
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_chains_of_a_block(spark):
+    """From any row before, the rows told end where a plain fold ends: random, rising, falling and tied rows of one to three columns."""
+    rng = random.Random(8)
+    for n, width, shape in itertools.product((1, 7, 60), (1, 2, 3), range(4)):
+        rows = [tuple(float(x) for x in ([rng.randrange(9), rng.randrange(9), rng.randrange(9)], [i, i + rng.random() * 5, i], [i, -i, i], [i // 9 + rng.randrange(3), rng.randrange(4) + i // 7, rng.randrange(5)])[shape][:width]) for i in range(n)]
+        heads = scans.Heads()
+        for r in rows:
+            heads.add(r)
+        told = heads.told()
+        for _ in range(60):
+            start = tuple(float(rng.randrange(-60, n + 9)) if shape else float(rng.randrange(-1, 10)) for _ in range(width))
+            base = start
+            for r in rows:
+                base = r if all(x > y for x, y in zip(r, base, strict=True)) else base
+            ends = [e for i, e in told if all(x > y for x, y in zip(heads.rows[i], start, strict=True))]
+            assert (heads.rows[ends[0]] if ends else start) == base
+    rising = scans.Heads()
+    for i in range(1000):
+        rising.add((float(i), float(i)))
+    assert len(rising.told()) <= 2
+
+
+def test_monotone_takes_one_table_however_far_a_row_reaches(spark, monkeypatch):
+    """The first row exceeds all others, so its mark runs through every block; odd values follow no row and are followed by none."""
+    written, write = [], scans.Scratch.write
+    monkeypatch.setattr(scans.Scratch, "write", lambda self, *a, **k: written.append(1) or write(self, *a, **k))
+    rng = random.Random(9)
+    made = [("a", i, 1e6 if not i else float(rng.randrange(i + 5)), 1e6 if not i else rng.random() * i) for i in range(600)]
+    made += [(None, i, float(i + rng.randrange(40)) if i % 11 else None, float(i + rng.randrange(40))) for i in range(1, 600)]
+    made += [("c", i, None if not i else 5.0, 5.0) for i in range(300)]
+    df = spark.createDataFrame(made, "k string, n long, v double, m double")
+    got = scans.monotone(df, ["k"], ["n"], ["v", "m"], rows=60)
+    want, base = [], {}
+    for k, n, v, m in made:
+        if k not in base or (None not in (v, m, *base[k]) and v > base[k][0] and m > base[k][1]):
+            base[k] = (v, m)
+            want.append((str(k), n))
+    assert sorted((str(r.k), r.n) for r in got.collect()) == sorted(want) and len(want) > 20 and sum(written) == 1
+
+
+def test_small_blocks_are_few(spark, monkeypatch):
+    """Blocks below the usual size do not grow in number with the table: Spark samples for each of them at the driver."""
+    monkeypatch.setattr(scans, "SMALL_BLOCKS", 7)
+    df = spark.range(3000).selectExpr("'a' AS k", "id AS us")
+    assert scans.with_block(df, ["k"], "us", 10).agg({"_block": "max"}).first()[0] == 7
