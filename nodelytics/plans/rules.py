@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators import joins, windows
 
+#: A node has many rows, so the rules see it in spans of time.
+SPAN_S = 10_800
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -28,7 +31,7 @@ def evaluate(df: DataFrame, rules: Sequence[Rule], by: Sequence[str] = (), ts: s
         fired = F.array_compact(F.array(*[F.when(r.condition, F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"))) for r in instant]))
         out = df.select("*", F.inline(fired))
     for r in held:
-        one = windows.hold_for(df, by, ts, ts, r.condition, r.hold_s, "_fires").filter("_fires").drop("_fires").withColumns({"rule": F.lit(r.name), "severity": F.lit(r.severity)})
+        one = windows.hold_for(df, by, ts, ts, r.condition, r.hold_s, "_fires", SPAN_S).filter("_fires").drop("_fires").withColumns({"rule": F.lit(r.name), "severity": F.lit(r.severity)})
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -41,15 +44,15 @@ def pivoted(metrics: DataFrame, names: Sequence[str], by: Sequence[str], ts: str
 def node_alerts(metrics: DataFrame, by: Sequence[str] = ("node_id",), ts: str = "ts") -> DataFrame:
     """The data rules over a node's metrics: height stalled or slow, mismatches, parse errors, failed sources, stale files, absent processes, stale fallback."""
     up = metrics.filter("metric = 'up' and value > 0").select(*by)
-    height = windows.deriv(metrics.filter("metric = 'block_height'"), by, ts, "value", 300)
+    height = windows.deriv(metrics.filter("metric = 'block_height'"), by, ts, "value", 300, spread_s=SPAN_S)
     height = joins.and_on(height, up, by)
     slope = F.col("slope")
     parts = [
         evaluate(height, [Rule("height_stalled", slope < 1, 300, "critical"), Rule("height_slow", (slope >= 1) & (slope < 5), 900)], by, ts),
     ]
-    mismatch = windows.increase(metrics.filter("metric = 'receipt_mismatches_total'"), by, ts, "value", 600)
+    mismatch = windows.increase(metrics.filter("metric = 'receipt_mismatches_total'"), by, ts, "value", 600, spread_s=SPAN_S)
     parts.append(evaluate(mismatch, [Rule("count_mismatch", F.col("increase") > 0)]))
-    errors = windows.increase(metrics.filter("metric = 'parse_errors_total'"), [*by, "labels_key"], ts, "value", 600)
+    errors = windows.increase(metrics.filter("metric = 'parse_errors_total'"), [*by, "labels_key"], ts, "value", 600, spread_s=SPAN_S)
     errors = errors.groupBy(*by, "labels_key", ts).agg(F.sum("increase").alias("increase"))
     parts.append(evaluate(errors, [Rule("parse_errors", F.col("increase") > 0)]))
     health = pivoted(metrics, ["source_enabled", "source_read_ok", "source_schema_ok"], [*by, "labels_key"], ts)

@@ -4,8 +4,11 @@ import itertools
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from nodelytics.functions import vocab
 from nodelytics.operators import scans
+from nodelytics.operators import windows as W
 from nodelytics.plans import telemetry_jobs
 
 
@@ -81,3 +84,19 @@ def test_small_blocks_are_few(spark, monkeypatch):
     monkeypatch.setattr(scans, "SMALL_BLOCKS", 7)
     df = spark.range(3000).selectExpr("'a' AS k", "id AS us")
     assert scans.with_block(df, ["k"], "us", 10).agg({"_block": "max"}).first()[0] == 7
+
+
+def test_windows_in_spans_of_time(spark):
+    """Long gaps, ties, nulls and a null key: the same values as without spans, and no window over a key alone."""
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "a", "a", None]), rng.choice([rng.randrange(400), rng.randrange(20_000)]) * 7, i, rng.choice([None, float(rng.randrange(90)), float(i)])) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, s long, n long, v double").withColumn("ts", F.timestamp_seconds("s"))
+    c = F.coalesce(F.col("v") % 5 > 0, F.lit(True))
+    for made in (
+        lambda s: W.increase(df, ["k"], "ts", "v", 600, "n", spread_s=s), lambda s: W.deriv(df, ["k"], "ts", "n", 300, spread_s=s),
+        lambda s: W.hold_for(df, ["k"], "ts", "n", c, 120, spread_s=s), lambda s: W.hold_for(df, ["k"], "ts", "n", F.col("n") > 40, 9000, spread_s=s),
+    ):
+        for span in (700, 10_800):
+            got = made(span)
+            assert got.columns == made(None).columns
+            assert sorted(map(str, got.collect())) == sorted(map(str, made(None).collect()))
