@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.scalars import fresh
 from ..operators import aggregates as A
 from ..operators import joins as J
-from ..operators import windows as W
 from .registry import query
 
 
@@ -60,8 +59,7 @@ def band(t):
     events = t("events").withColumn("g", F.lit(1))
     errors = events.filter("event_type = 'error'").select("g", F.col("event_id").alias("error_id"), F.col("ts").alias("e_ts"))
     purchases = events.filter("event_type = 'purchase'").select("g", F.col("event_id").alias("purchase_id"), F.col("ts").alias("p_ts"))
-    order = [F.greatest("e_ts", "p_ts").desc(), F.abs(W.micros("e_ts") - W.micros("p_ts")), F.col("purchase_id")]
-    return J.band_pair(errors, purchases, ["g"], "e_ts", "p_ts", 300, order, ["error_id"]).select("error_id", "purchase_id")
+    return J.latest_pair(errors, purchases, ["g"], "e_ts", "p_ts", 300, F.col("purchase_id")).select("error_id", "purchase_id")
 
 
 @query("generation_match", "SELECT a.o_orderkey AS a_key, b.o_orderkey AS b_key FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderstatus = 'F' AND b.o_orderstatus = 'O' AND abs(epoch_us(a.o_orderdate) - epoch_us(b.o_orderdate)) <= 2592000000000")

@@ -7,9 +7,10 @@ import random
 from pyspark.sql import functions as F
 
 from nodelytics.functions import vocab
-from nodelytics.operators import scans
+from nodelytics.operators import joins, scans
 from nodelytics.operators import windows as W
 from nodelytics.plans import telemetry_jobs
+from nodelytics.plans.all_queries import QUERIES
 
 
 def plan_of(df) -> str:
@@ -100,3 +101,20 @@ def test_windows_in_spans_of_time(spark):
             got = made(span)
             assert got.columns == made(None).columns
             assert sorted(map(str, got.collect())) == sorted(map(str, made(None).collect()))
+
+
+def test_latest_partner_without_all_pairs(spark):
+    """Ties in time, null times and two keys, as the best of all pairs; no rows are written out a second time for it."""
+    rng = random.Random(12)
+    made = lambda n, wide: spark.createDataFrame([(rng.choice("ab"), i, rng.choice([None, rng.randrange(wide), rng.randrange(wide)])) for i in range(n)], "k string, id long, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    left, right = made(300, 9000).toDF("k", "a", "a_ts"), made(300, 9000).toDF("k", "b", "b_ts")
+    order = [F.greatest("a_ts", "b_ts").desc(), F.abs(W.micros("a_ts") - W.micros("b_ts")), F.col("b")]
+    want = joins.band_pair(left, right, ["k"], "a_ts", "b_ts", 30, order, ["a"])
+    got = joins.latest_pair(left, right, ["k"], "a_ts", "b_ts", 30, F.col("b"))
+    key = lambda df: sorted((r.k, r.a, r.b, r.b_ts) for r in df.select("k", "a", "b", "b_ts").collect())
+    assert key(got) == key(want) and 50 < len(key(want)) < 300
+    assert "Generate" not in plan_of(got)
+
+
+def test_band_query_takes_the_latest_partner(spark):
+    assert "Generate" not in plan_of(QUERIES["band_pair"](spark, "/root/testdata/sf0.001"))
