@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.chains import CHAIN_ROWS, Chains, Recent, Replies
-from .state import in_order
+from .state import in_order, tuples_in_order
 
 
 class _Timed(StatefulProcessor):
@@ -125,52 +125,68 @@ def recent(stream: DataFrame, key: str, member: str, us: str, seq: str, capacity
     return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=RecentOfKey(capacity), outputStructType="key string, seq long, member string, fresh boolean", outputMode="Append", timeMode="None")
 
 
-class RepliesOfKey(_Timed):
+class RepliesOfKey(StatefulProcessor):
+    """All that is held of a key is one value, its timer's time too: a call of the key reads it once and writes it once, if it changed."""
+
     def __init__(self, horizon_s: int):
         self.horizon = horizon_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.sent = handle.getMapState("sent", "key string", "us long, answered boolean, told boolean")
-        self.acks = handle.getMapState("acks", "key string, source string", "n int")
-
-    def _held(self) -> tuple[Replies, dict, dict]:
-        held = Replies(self.horizon)
-        sent, acks = {k[0]: tuple(v) for k, v in self.sent.iterator()}, {tuple(k): True for k, _ in self.acks.iterator()}
-        held.sent, held.acks = {k: list(v) for k, v in sent.items()}, dict(acks)
-        return held, sent, acks
-
-    def _keep(self, held: Replies, sent: dict, acks: dict) -> None:
-        _write_changes(self.sent, sent, {k: tuple(v) for k, v in held.sent.items()}, lambda k: (k,))
-        _write_changes(self.acks, acks, held.acks, tuple, lambda v: (1,))
-        self._schedule(held.next_end())
+        self.handle = handle
+        self.state = handle.getValueState("replies", "sent array<struct<key string, us long, answered boolean, told boolean>>, acks array<struct<key string, source string>>, timer long")
+
+    def _held(self) -> tuple[Replies, tuple | None]:
+        held, before = Replies(self.horizon), self.state.get()
+        if before:
+            held.sent = {key: [us, answered, told] for key, us, answered, told in before[0]}
+            held.acks = {tuple(k): True for k in before[1]}
+        return held, before and ([tuple(x) for x in before[0]], [tuple(x) for x in before[1]], before[2])
+
+    def _keep(self, held: Replies, before: tuple | None, fired: bool = False) -> None:
+        end = held.next_end()
+        ms = None if end is None else end // 1000 + 1
+        timer = before[2] if before and not fired else None
+        if ms != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if ms is not None:
+                self.handle.registerTimer(ms)
+        now = ([(k, *v) for k, v in held.sent.items()], list(held.acks), ms)
+        if ms is None:  # nothing is held without a request
+            if before:
+                self.state.clear()
+        elif now != before:
+            self.state.update(now)
 
     @staticmethod
     def _rows(key, made: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(str(key[0]), *m) for m in made], columns=["loose", "exact", "us", "seq", "outcome"]).astype({"us": "Int64", "seq": "Int64"})
+        exact, us, seq, outcome = zip(*made, strict=True)
+        return pd.DataFrame({"loose": [str(key[0])] * len(made), "exact": exact, "us": us, "seq": pd.Series(seq, dtype=object), "outcome": outcome})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        held, *before = self._held()
-        for pdf in in_order(rows, ["us", "reply", "seq"]):
+        held, before = self._held()
+        for part in tuples_in_order(rows, ["us", "reply", "seq", "exact", "source"], ["us", "reply", "seq"]):
             made = []
-            for row in pdf[["us", "reply", "seq", "exact", "source"]].astype(object).itertuples(index=False):
-                made += [(k, t, None, "expired") for k, t in held.expire(row.us)]
-                if row.reply:
-                    made.append((row.exact, row.us, row.seq, held.reply(row.exact, row.source, row.us)))
+            for us, reply, seq, exact, source in part:
+                made += [(k, t, None, "expired") for k, t in held.expire(us)]
+                if reply:
+                    made.append((exact, us, seq, held.reply(exact, source, us)))
                 else:
-                    held.request(row.exact, row.us)
+                    held.request(exact, us)
             if made:
                 yield self._rows(key, made)
-        self._keep(held, *before)
+        self._keep(held, before)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held, *before = self._held()
-        self.timer.clear()
+        held, before = self._held()
         gone = [(k, t, None, "expired") for k, t in held.expire(timerValues.getCurrentWatermarkInMs() * 1000)]
-        self._keep(held, *before)
+        self._keep(held, before, fired=True)
         if gone:
             yield self._rows(key, gone)
 
+    def close(self) -> None:
+        pass
+
 
 def outcomes(rows: DataFrame, loose: Sequence[str], exact: Sequence[str], source: str, reply: str, ts: str, seq: str, horizon_s: int, delay: str) -> DataFrame:
     """``(loose, exact, us, seq, outcome)``: the outcome of each reply, and ``expired`` (no seq, the request's time) of each request without one.

@@ -30,17 +30,61 @@ OUT = "key string, us long, added boolean, expired long, dropped long, size long
 RUN_ROWS, PART_ROWS, FAN = 100_000, 5_000, 16
 
 
+def _place(row: tuple, at: Sequence[int]) -> tuple:
+    """Where a row stands by the columns at ``at``, missing values last."""
+    return tuple((True, 0) if (v := row[i]) is None or v != v else (False, v) for i in at)
+
+
 def in_order(rows: Iterator[pd.DataFrame], order: Sequence[str]) -> Iterator[pd.DataFrame]:
     """The rows of a key by ``order``, missing values last, in frames of bounded size; more than ``RUN_ROWS`` go through sorted runs on disk."""
-    names: list[str] = []
+    held, many = _first_run(rows)
+    if many:
+        names, parts = _by_runs(held, rows, order)
+        yield from (pd.DataFrame(part, columns=names) for part in parts)
+    elif held:
+        yield _sorted_run(held, order)
+
+
+def tuples_in_order(rows: Iterator[pd.DataFrame], columns: Sequence[str], order: Sequence[str]) -> Iterator[Sequence[tuple]]:
+    """``columns`` of the rows that ``in_order`` gives, as lists of tuples: a key of few rows costs no sorting of frames."""
+    held, many = _first_run(rows)
+    if many:
+        names, parts = _by_runs(held, rows, order)
+        at = [names.index(c) for c in columns]
+        yield from ([tuple(row[i] for i in at) for row in part] for part in parts)
+    elif held:
+        at = [list(columns).index(c) for c in order]
+        found = [row for pdf in held for row in zip(*[pdf[c].tolist() for c in columns], strict=True)]
+        yield sorted(found, key=lambda row: _place(row, at))
+
+
+def _first_run(rows: Iterator[pd.DataFrame]) -> tuple[list[pd.DataFrame], bool]:
+    """The frames up to a full run, and whether they filled it."""
+    held, n = [], 0
+    for pdf in rows:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= RUN_ROWS:
+            return held, True
+    return held, False
+
+
+def _sorted_run(held: list[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
+    return pd.concat(held, ignore_index=True).sort_values(list(order))
+
+
+def _by_runs(full: list[pd.DataFrame], rest: Iterator[pd.DataFrame], order: Sequence[str]) -> tuple[list[str], Iterator[tuple]]:
+    """The names of the columns, and parts of at most ``PART_ROWS`` rows: of a first run and of what comes after it."""
+    names = list(full[0].columns)
+    return names, _merged_parts(full, rest, order, [names.index(c) for c in order])
+
+
+def _merged_parts(held: list[pd.DataFrame], rest: Iterator[pd.DataFrame], order: Sequence[str], at: list[int]) -> Iterator[tuple]:
     levels: list[list[str]] = []
     with tempfile.TemporaryDirectory(prefix="runs-") as home:
 
-        def place(row: tuple) -> tuple:
-            return tuple((True, 0) if (v := row[names.index(c)]) is None or v != v else (False, v) for c in order)
-
         def merged(paths: list[str]) -> Iterator[tuple]:
-            return heapq.merge(*map(read, paths), key=place)
+            return heapq.merge(*map(read, paths), key=lambda row: _place(row, at))
 
         def read(path: str) -> Iterator[tuple]:
             with open(path, "rb") as f:
@@ -64,26 +108,10 @@ def in_order(rows: Iterator[pd.DataFrame], order: Sequence[str]) -> Iterator[pd.
                     os.unlink(p)
                 add(made, level + 1)
 
-        def sorted_run() -> pd.DataFrame:
-            return pd.concat(held, ignore_index=True).sort_values(list(order))
-
-        held, n = [], 0
-        for pdf in rows:
-            names = names or list(pdf.columns)
-            held.append(pdf)
-            n += len(pdf)
-            if n >= RUN_ROWS:
-                add(write(sorted_run().itertuples(index=False, name=None)))
-                held, n = [], 0
-        if not levels:
-            if held:
-                yield sorted_run()
-            return
-        if held:
-            add(write(sorted_run().itertuples(index=False, name=None)))
-            held = []
-        for part in batched(merged([p for level in levels for p in level]), PART_ROWS):
-            yield pd.DataFrame(part, columns=names)
+        while held:
+            add(write(_sorted_run(held, order).itertuples(index=False, name=None)))
+            held, _ = _first_run(rest)
+        yield from batched(merged([p for level in levels for p in level]), PART_ROWS)
 
 
 def dedupe(stream: DataFrame, key: Sequence[str], ts: str, within: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 
 from nodelytics.operators import folds
 from nodelytics.operators import windows as W
-from nodelytics.streaming import state
+from nodelytics.streaming import keyed, state
 
 
 def test_order_by_runs(monkeypatch):
@@ -66,3 +66,60 @@ def test_sticky_batches(spark, tmp_path):
     pick = lambda df: sorted((r.key, r.us, r.added, r.expired, r.dropped, r["size"]) for r in df.collect())
     want = folds.ttl_set(spark.createDataFrame(rows, schema), ["key"], ["us", "seq"], "member", "us", 0.00004, 3)
     assert pick(spark.read.parquet(f"{home}/made/*/state=false")) == pick(want) and want.filter("expired > 0").count() and want.filter("dropped > 0").count()
+
+
+class _Handle:
+    """Counts what a processor asks of the state store; values alone."""
+
+    def __init__(self):
+        self.calls, self.timers, self.value = [], [], None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+    def registerTimer(self, ms):
+        self.calls.append("register")
+        self.timers.append(ms)
+
+    def deleteTimer(self, ms):
+        self.calls.append("delete")
+        self.timers.remove(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_a_key_of_replies_costs_few_calls(monkeypatch):
+    """Four calls of the state store at most, however many requests a key has; nothing is left of a key without requests."""
+    rows = pd.DataFrame({"us": [i * 1000 for i in range(200)], "reply": [i % 3 == 1 for i in range(200)], "seq": range(200), "exact": [f"k{i - i % 3}" for i in range(200)], "source": "s"})
+    made = []
+    for run_rows in (20, 1000):
+        monkeypatch.setattr(state, "RUN_ROWS", run_rows)
+        processor, handle = keyed.RepliesOfKey(1), _Handle()
+        processor.init(handle)
+        out = []
+        for part in (rows[:120][::-1], rows[120:]):
+            handle.calls.clear()
+            out += list(processor.handleInputRows(("a",), iter([part[:50], part[50:]]), None))
+            assert len(handle.calls) <= 4 and handle.timers
+        for now in (1300, 3000):
+            handle.calls.clear()
+            handle.timers.clear()
+            handle.now = now
+            out += list(processor.handleExpiredTimer(("a",), handle, None))
+            assert len(handle.calls) <= 3
+        assert handle.value is None and not handle.timers
+        made.append(pd.concat(out, ignore_index=True))
+    assert made[0].equals(made[1]) and set(made[0]["outcome"]) == {"matched", "expired"} and made[0]["seq"].notna().sum() == 67
