@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import path_date
+from ..operators.joins import sent
 from . import scan
+from .scratch import Scratch
 
 #: Longest record that is read; longer ones are rejected.
 RECORD_CAP = 64 << 20
@@ -51,6 +53,11 @@ def split_long(lines: DataFrame, cap: int = RECORD_CAP) -> tuple[DataFrame, Data
     return lines.filter(~long), lines.filter(long).withColumns({"stage": F.lit("read"), "reason": F.lit("record_too_long")})
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A table of a row a file or split, made once; it goes to every task if a count proves it small, so that a long file's lines stay where they are read."""
+    return sent(Scratch(df.sparkSession, "files").write(df, "rows"))
+
+
 def committed(spark: SparkSession, path: str) -> DataFrame:
     """``(file_path, mtime, line_no, line, last, torn)``: a file whose lines and their newlines add up to more than its size ends without one.
 
@@ -65,7 +72,7 @@ def committed(spark: SparkSession, path: str) -> DataFrame:
     within = Window.partitionBy("file_path")
     before = F.sum("n").over(within.orderBy("block")) - F.col("n")
     places = blocks.select("file_path", "block", (before - F.col("first")).alias("shift"), F.sum("n").over(within).alias("lines"), (F.sum("bytes").over(within) > F.max("size").over(within)).alias("torn"))
-    numbered = lines.join(places, ["file_path", "block"]).withColumn("line_no", F.col("at") + F.col("shift"))
+    numbered = lines.join(_few(places), ["file_path", "block"]).withColumn("line_no", F.col("at") + F.col("shift"))
     return numbered.select("file_path", "mtime", "line_no", "line", (F.col("line_no") == F.col("lines") - 1).alias("last"), "torn")
 
 
@@ -156,7 +163,7 @@ def read_socket_table(spark: SparkSession, path: str, node: str = r"/([^/]+)/[^/
     shape = r"^\s*\d+: [0-9A-F]+:([0-9A-F]{4}) [0-9A-F]+:([0-9A-F]{4}) ([0-9A-F]{2})( |$)"
     lines = committed(spark, path).filter("line_no = 0 or line <> ''")
     wrong = F.when(F.col("line_no") == 0, ~F.trim("line").startswith("sl ")).otherwise(~F.col("line").rlike(shape))
-    files = lines.groupBy("file_path").agg(F.bool_or(wrong).alias("bad"))
+    files = _few(lines.groupBy("file_path").agg(F.bool_or(wrong).alias("bad")))
     port = lambda i: F.conv(F.regexp_extract("line", shape, i), 16, 10).cast("int")
     rows = lines.filter("line_no > 0").join(files, "file_path")
     return rows.select(F.regexp_extract("file_path", node, 1).alias("node_id"), "file_path", "bad", port(1).alias("local_port"), port(2).alias("remote_port"), F.coalesce(states[F.regexp_extract("line", shape, 3)], F.lit("UNKNOWN")).alias("state"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,34 +45,65 @@ def write_lines(df: DataFrame, column: str, path: str, mode: str = "error") -> N
     df.select(F.col(column).cast("string")).filter(F.col(column).isNotNull() & (F.col(column) != "")).write.mode(mode).text(path)
 
 
+#: Rows that one task puts in order for files of given names.
+PIECE_ROWS = 500_000
+
+
 def write_named_files(df: DataFrame, root: str, path: str = "path", line: str = "line", order: Sequence[str] = (), end: str | None = None) -> int:
     """Lines as files of given names below ``root``, as a node writes them; the number of files.
 
-    A task writes the lines of its files as they come, to a name of its own that is moved at the end, so no file is held in
-    memory and a repeated task leaves whole files.  ``end`` is the column of what follows a line (a newline without it).
+    Rows go to tasks by ranges of name and order, so a long file is put in order by many.  A task writes what it has of a file as a
+    piece, as the rows come, beside ``root``; a file's pieces are then moved or copied to its name one after the other.  No file is
+    held in memory, and a repeated task leaves whole files.  ``end`` is the column of what follows a line (a newline without it).
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, home = pyarrow.fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pyarrow.fs.LocalFileSystem(), root)
-        now, out, made, fresh = None, None, 0, ""
-
-        def close() -> None:
-            if out is not None:
-                out.close()
-                fs.move(fresh, f"{home}/{now}")
-
+    at = f"{root}-pieces-{uuid.uuid4().hex}"
+
+    def opened() -> tuple[pyarrow.fs.FileSystem, str, str]:
+        if "://" in root or root.startswith("file:"):
+            fs, home = pyarrow.fs.FileSystem.from_uri(root)
+            return fs, home, home + at.removeprefix(root)
+        return pyarrow.fs.LocalFileSystem(), root, at
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _, pieces = opened()
+        fs.create_dir(pieces, recursive=True)
+        now, out, part = None, None, TaskContext.get().partitionId()
         for batch in batches:
+            names, made = [], []
             for name, text, tail in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                if name != now:
-                    close()
-                    now, made = name, made + 1
-                    fs.create_dir(f"{home}/{name}".rpartition("/")[0], recursive=True)
-                    fresh = f"{home}/{name}.{uuid.uuid4().hex}"
-                    out = fs.open_output_stream(fresh)
+                if out is None or name != now:
+                    if out is not None:
+                        out.close()
+                    now, piece = name, uuid.uuid4().hex
+                    out = fs.open_output_stream(f"{pieces}/{piece}")
+                    names.append(name)
+                    made.append(piece)
                 out.write((text or "").encode() + (tail or "").encode())
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([part] * len(names), pa.int32()), pa.array(made, pa.string())], names=["path", "part", "piece"])
+        if out is not None:
+            out.close()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, home, pieces = opened()
+        for batch in batches:
+            for name, parts in zip(*[batch.column(i).to_pylist() for i in range(2)], strict=True):
+                fs.create_dir(f"{home}/{name}".rpartition("/")[0], recursive=True)
+                whole = f"{pieces}/{uuid.uuid4().hex}"
+                with fs.open_output_stream(whole) as out:
+                    for p in parts:
+                        with fs.open_input_stream(f"{pieces}/{p['piece']}") as f:
+                            while chunk := f.read(1 << 22):
+                                out.write(chunk)
+                fs.move(whole, f"{home}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     rows = df.select(F.col(path).alias("path"), F.col(line).alias("line"), (F.col(end) if end else F.lit("\n")).alias("end"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(order)])
-    dealt = rows.repartition("path").sortWithinPartitions("path", *[f"_{i}" for i in range(len(order))]).select("path", "line", "end")
-    return dealt.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    by = ["path", *[f"_{i}" for i in range(len(order))]]
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PIECE_ROWS))
+    dealt = rows.repartitionByRange(tasks, *by).sortWithinPartitions(*by).select("path", "line", "end")
+    files = dealt.mapInArrow(write, "path string, part int, piece string").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", "piece"))).alias("parts"))
+    n = files.mapInArrow(gather, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    fs, _, pieces = opened()
+    if fs.get_file_info(pieces).type == pyarrow.fs.FileType.Directory:
+        fs.delete_dir(pieces)
+    return n

@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from nodelytics.operators import joins, scans
 from nodelytics.operators import windows as W
 from nodelytics.plans import telemetry_jobs
 from nodelytics.plans.all_queries import QUERIES
+from nodelytics.sources import readers, sinks
 
 
 def plan_of(df) -> str:
@@ -136,3 +138,39 @@ def test_latest_unanswered_in_one_shuffle(spark):
 def test_expired_heartbeats_parse_once(spark):
     plan = plan_of(QUERIES["job_heartbeat_expired"](spark, "/root/testdata/sf0.001"))
     assert "Join" not in plan and plan.count("Scan parquet") == 1 and plan.count("REPARTITION_BY_NUM") == plan.count("Exchange")
+
+
+def test_a_long_file_is_put_in_order_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Names, ties, empty lines and ends of their own; nothing is left beside the files, and no task holds a file's rows."""
+    monkeypatch.setattr(sinks, "PIECE_ROWS", 100)
+    rng, root = random.Random(14), str(tmp_path / "files")
+    rows = [(rng.choice(["a/long", "a/long", "a/long", "b/c/d", f"s/{rng.randrange(20)}"]), rng.choice([None, *range(900)]), rng.choice([None, "", f"é{i}"]), rng.choice(["\n", "\n", ""])) for i in range(3000)]
+    rows = [(p, n, t if n is None else f"{n}", e if n is None else "\n") for p, n, t, e in rows if n is not None or p != "a/long"]
+    df = spark.createDataFrame(rows, "path string, n int, line string, end string").repartition(3)
+    dealt, run = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **k: (dealt.append(self), run(self, *a, **k))[1])
+    assert sinks.write_named_files(df, root, order=["n", "line", "end"], end="end") == len({r[0] for r in rows})
+    place = lambda r: (r[1] is not None, r[1], r[2] is not None, r[2] or "", r[3])
+    for name in {r[0] for r in rows}:
+        want = "".join((t or "") + e for _, _, t, e in sorted((r for r in rows if r[0] == name), key=lambda r: tuple(x if x is not None else 0 for x in place(r))))
+        assert (tmp_path / "files" / name).read_text() == want
+    assert os.listdir(tmp_path) == ["files"]
+    largest = dealt[0].groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest < 400 and sum(r[0] == "a/long" for r in rows) > 1500
+
+
+def test_no_rows_no_files(spark, tmp_path):
+    assert sinks.write_named_files(spark.createDataFrame([], "path string, line string"), str(tmp_path / "none")) == 0 and not os.listdir(tmp_path)
+
+
+def test_lines_stay_where_they_are_read(spark, tmp_path):
+    """The lines of a long socket table are not gathered by their file."""
+    (tmp_path / "n1").mkdir()
+    (tmp_path / "n1" / "tcp").write_text("  sl  local\n" + "".join(f"   {i}: 0100007F:0FA1 00000000:0008 01 0\n" for i in range(500)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = readers.read_socket_table(spark, str(tmp_path / "n1"))
+        assert made.filter("not bad and local_port = 4001").count() == 500
+        assert "Exchange hashpartitioning" not in plan_of(made)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
