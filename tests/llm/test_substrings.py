@@ -43,6 +43,27 @@ def test_order_and_prefixes(monkeypatch, base, piece, memory):
             assert prefix[n + 1] == k
 
 
+def test_a_shard_a_task(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 1000)
+    chunks = spark.range(400).select("id", F.xxhash64("id").alias("anchor"), F.col("id").cast("string").cast("binary").alias("cid"), F.lit(b"x" * 100).alias("chunk"), F.lit(1).cast("long").alias("m"))
+    dealt = substrings._dealt(chunks.drop("id"))
+    tasks = dealt.select("shard", "cid", F.spark_partition_id().alias("task")).collect()
+    shards = {r.shard for r in tasks}
+    assert len(tasks) == 400 and len(shards) == 41 == dealt.rdd.getNumPartitions()
+    assert len({r.task for r in tasks}) == len({(r.task, r.shard) for r in tasks}) == len(shards)
+
+
+def test_a_shard_of_twice_the_size_needs_no_second_recursion(monkeypatch):
+    deeper, order = [], induced.suffix_order
+    monkeypatch.setattr(induced, "suffix_order", lambda t, *rest: (deeper.append(len(t)), order(t, *rest))[1])
+    rng = np.random.default_rng(6)
+    words = ["".join(w) for w in rng.choice(list("aaabcdeeefghiiijklmnooopqrstuuuvw"), (5000, 7))]
+    prose = " ".join(words[i][: 2 + i % 6] for i in rng.integers(0, 5000, substrings.SHARD_BYTES // 2)).encode()[: 2 * substrings.SHARD_BYTES]
+    lengths = np.full(len(prose) // 600, 600)
+    substrings.marked_windows(np.frombuffer(prose, np.uint8)[: lengths.sum()], lengths, np.zeros(len(lengths), bool))
+    assert deeper and max(deeper) <= induced.BASE
+
+
 def test_queues_spill():
     q = induced.DiskQueues(memory=64)
     pairs = lambda i: np.column_stack((np.arange(i, i + 10), np.full(10, i))).astype(np.int32)
