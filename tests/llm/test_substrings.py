@@ -107,6 +107,29 @@ def test_removal(spark, docs, monkeypatch, hot):
         assert r.text is None or r.n_chars == len(r.text)
 
 
+def test_a_crowded_anchor_is_parted(spark, monkeypatch):
+    """A passage in many surroundings: no anchor keeps over 5 % of the chunks, and results are those of a plain count."""
+    monkeypatch.setattr(substrings, "HOT_CHUNKS", 40)
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [letters(150), letters(390), letters(700)]
+    texts = [letters(rng.randint(300, 600)) + passages[i % 3] + letters(rng.randint(300, 600)) for i in range(900)]
+    texts += [t[:-200] for t in texts[:60]] + texts[60:70] + [letters(500) + passages[1] + passages[0] + letters(300)]
+    most, dealt = [], substrings._dealt
+
+    def watched(chunks):
+        most.append(chunks.groupBy("anchor").count().agg(F.max("count")).first()[0] or 0)
+        return dealt(chunks)
+
+    monkeypatch.setattr(substrings, "_dealt", watched)
+    want = brute([t.encode() for t in texts])
+    got = substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "n long, text string")).select("n", "spans", F.sha2("kept", 256).alias("sha")).collect()
+    assert len(got) == len(texts) and sum(bool(r.spans) for r in got) > 400
+    for r in got:
+        assert (sum(s.b - s.a for s in r.spans), len(r.spans), r.sha) == want[r.n]
+    assert len(most) > 1 and max(most) <= 45
+
+
 def test_passages_of_fifty_words(spark):
     """Passages of 50 words leave every text they stand in, shorter repeats stay, and further columns do not clash."""
     rng = random.Random(4)
