@@ -124,26 +124,24 @@ def integers(spark, t, root):
 _HEAD_FILES = "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'absent' WHEN p_partkey % 10 = 1 THEN 'empty' WHEN p_partkey % 10 = 2 THEN 'unreadable' WHEN len(p_name) > 12 THEN 'truncated' ELSE 'readable' END AS state, CASE WHEN p_partkey % 10 > 2 THEN left(p_name, 12) ELSE '' END AS head, p_brand FROM part"
 
 
-def _heads(spark, t, root: str) -> tuple[DataFrame, DataFrame]:
+def _heads(t, root: str) -> DataFrame:
     """Names of parts as files: a tenth is missing, a tenth empty, and in place of a tenth stands a folder."""
     k = F.col("p_partkey") % 10
     p = t("part").select("p_partkey", "p_brand", F.concat(F.lit("f/"), F.col("p_partkey").cast("string")).alias("path"), F.when(k == 1, "").otherwise(F.col("p_name")).alias("line"), k.alias("k"), F.lit("").alias("end"))
-    sinks.write_named_files(p.filter("k <> 0").withColumn("path", F.when(F.col("k") == 2, F.concat("path", F.lit("/x"))).otherwise(F.col("path"))), root, end="end")
+    n = sinks.write_named_files(p.filter("k <> 0").withColumn("path", F.when(F.col("k") == 2, F.concat("path", F.lit("/x"))).otherwise(F.col("path"))), root, end="end")
     named = p.select("p_partkey", "p_brand", F.concat(F.lit(f"{root}/"), "path").alias("path"))
-    return named, scan.file_heads(named, 12, parts=8)
+    return scan.file_heads(named, 12, parts=max(8, n // 50_000), keep=["p_partkey", "p_brand"])
 
 
 @source_query("file_states", f"SELECT p_partkey, state, head FROM ({_HEAD_FILES})")
 def heads(spark, t, root):
-    named, states = _heads(spark, t, root)
-    return named.join(states, "path").select("p_partkey", "state", "head")
+    return _heads(t, root).select("p_partkey", "state", "head")
 
 
 @source_query("withdrawn_when_confirmed", f"WITH h AS ({_HEAD_FILES}), g AS (SELECT p_brand, p_partkey % 3 AS k FROM h GROUP BY 1, 2 HAVING bool_and(state IN ('absent', 'empty'))) SELECT p_partkey FROM part WHERE (p_brand, p_partkey % 3) NOT IN (SELECT p_brand, k FROM g)")
 def withdrawn(spark, t, root):
-    named, states = _heads(spark, t, root)
     key = F.col("p_partkey") % 3
-    return scan.retained(t("part").withColumn("k", key), named.withColumn("k", key).join(states, "path"), ["p_brand", "k"]).select("p_partkey")
+    return scan.retained(t("part").withColumn("k", key), _heads(t, root).withColumn("k", key), ["p_brand", "k"]).select("p_partkey")
 
 
 # --- text blocks, sockets, tails -------------------------------------------------------------

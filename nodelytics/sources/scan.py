@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .scratch import Scratch
 
@@ -82,8 +83,8 @@ def walk(roots: DataFrame, column: str = "path", parts: int = 64) -> DataFrame:
             return scratch.read("depth=*", ENTRY)
 
 
-def file_heads(paths: DataFrame, n: int = 4096, column: str = "path", parts: int = 64) -> DataFrame:
-    """``HEADS`` of each path that is not null."""
+def file_heads(paths: DataFrame, n: int = 4096, column: str = "path", parts: int = 64, keep: Sequence[str] = ()) -> DataFrame:
+    """``HEADS`` of each path that is not null, and the columns ``keep`` of its row, which so need no join by path."""
 
     def read(path: str) -> tuple:
         fs, at = _open(path)
@@ -104,9 +105,11 @@ def file_heads(paths: DataFrame, n: int = 4096, column: str = "path", parts: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield _table([read(p) for p in batch.column(0).to_pylist()], HEADS)
+                heads = _table([read(p) for p in batch.column(0).to_pylist()], HEADS)
+                yield pa.RecordBatch.from_arrays([*heads.columns, *batch.columns[1:]], names=[*heads.schema.names, *keep])
 
-    return paths.select(F.col(column).alias("path")).filter("path is not null").repartition(parts, "path").mapInArrow(run, HEADS)
+    rows = paths.select(F.col(column).alias("path"), *keep).filter("path is not null")
+    return rows.repartition(parts, "path").mapInArrow(run, StructType([*StructType.fromDDL(HEADS), *rows.schema[1:]]))
 
 
 def confirmed_gone(states: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -52,9 +52,11 @@ PIECE_ROWS = 500_000
 def write_named_files(df: DataFrame, root: str, path: str = "path", line: str = "line", order: Sequence[str] = (), end: str | None = None) -> int:
     """Lines as files of given names below ``root``, as a node writes them; the number of files.
 
-    Rows go to tasks by ranges of name and order, so a long file is put in order by many.  A task writes what it has of a file as a
-    piece, as the rows come, beside ``root``; a file's pieces are then moved or copied to its name one after the other.  No file is
-    held in memory, and a repeated task leaves whole files.  ``end`` is the column of what follows a line (a newline without it).
+    Rows go to tasks by ranges of name and order, so a long file is put in order by many.  A task writes a file as its rows come,
+    beside ``root``.  Names between its first and its last are whole and are moved into place at once; of those two other tasks may
+    have more, so their pieces are then moved or copied to their names one after the other, and at most two a task are left for the
+    driver to delete.  No file is held in memory, and a repeated task leaves whole files.  ``end`` is the column of what follows a
+    line (a newline without it).
     """
     at = f"{root}-pieces-{uuid.uuid4().hex}"
 
@@ -65,43 +67,55 @@ def write_named_files(df: DataFrame, root: str, path: str = "path", line: str =
         return pyarrow.fs.LocalFileSystem(), root, at
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _, pieces = opened()
+        fs, home, pieces = opened()
         fs.create_dir(pieces, recursive=True)
-        now, out, part = None, None, TaskContext.get().partitionId()
+        now, out, cut, whole, folder = None, None, [], 0, None
         for batch in batches:
-            names, made = [], []
             for name, text, tail in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 if out is None or name != now:
                     if out is not None:
                         out.close()
+                        if cut:
+                            folder = place(fs, f"{pieces}/{piece}", f"{home}/{now}", folder)
+                            whole += 1
+                        else:
+                            cut.append((now, piece))
                     now, piece = name, uuid.uuid4().hex
                     out = fs.open_output_stream(f"{pieces}/{piece}")
-                    names.append(name)
-                    made.append(piece)
                 out.write((text or "").encode() + (tail or "").encode())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([part] * len(names), pa.int32()), pa.array(made, pa.string())], names=["path", "part", "piece"])
         if out is not None:
             out.close()
+            cut.append((now, piece))
+            names, made = zip(*cut, strict=True)
+            part = [TaskContext.get().partitionId()] * len(cut)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(part, pa.int32()), pa.array(made, pa.string()), pa.array([0] * (len(cut) - 1) + [whole], pa.int64())], names=["path", "part", "piece", "whole"])
+
+    def place(fs: pyarrow.fs.FileSystem, piece: str, file: str, made: str | None) -> str:
+        """Moves a whole file to its name; its folder is made unless it is ``made``."""
+        if (folder := file.rpartition("/")[0]) != made:
+            fs.create_dir(folder, recursive=True)
+        fs.move(piece, file)
+        return folder
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, home, pieces = opened()
         for batch in batches:
             for name, parts in zip(*[batch.column(i).to_pylist() for i in range(2)], strict=True):
-                fs.create_dir(f"{home}/{name}".rpartition("/")[0], recursive=True)
                 whole = f"{pieces}/{uuid.uuid4().hex}"
                 with fs.open_output_stream(whole) as out:
                     for p in parts:
                         with fs.open_input_stream(f"{pieces}/{p['piece']}") as f:
                             while chunk := f.read(1 << 22):
                                 out.write(chunk)
-                fs.move(whole, f"{home}/{name}")
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+                place(fs, whole, f"{home}/{name}", None)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows + sum(batch.column(2).to_pylist())], pa.int64())], names=["n"])
 
     rows = df.select(F.col(path).alias("path"), F.col(line).alias("line"), (F.col(end) if end else F.lit("\n")).alias("end"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(order)])
     by = ["path", *[f"_{i}" for i in range(len(order))]]
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PIECE_ROWS))
     dealt = rows.repartitionByRange(tasks, *by).sortWithinPartitions(*by).select("path", "line", "end")
-    files = dealt.mapInArrow(write, "path string, part int, piece string").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", "piece"))).alias("parts"))
+    cut = dealt.mapInArrow(write, "path string, part int, piece string, whole long")
+    files = cut.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", "piece"))).alias("parts"), F.sum("whole").alias("whole"))
     n = files.mapInArrow(gather, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     fs, _, pieces = opened()
     if fs.get_file_info(pieces).type == pyarrow.fs.FileType.Directory:

@@ -159,10 +159,32 @@ def test_a_long_file_is_put_in_order_by_many_tasks(spark, tmp_path, monkeypatch)
     assert largest < 400 and sum(r[0] == "a/long" for r in rows) > 1500
 
 
+def test_many_small_files_leave_little_to_the_driver(spark, tmp_path, monkeypatch):
+    """A file that one task has whole is put in place by it; the driver deletes what is left of files at the ends of tasks."""
+    left, local = [], sinks.pyarrow.fs.LocalFileSystem
+
+    class Watched(local):
+        def delete_dir(self, path):
+            left.append(len(os.listdir(path)))
+            super().delete_dir(path)
+
+    monkeypatch.setattr(sinks.pyarrow.fs, "LocalFileSystem", Watched)
+    names = [f"{i % 3}/{i}" for i in range(900)]
+    df = spark.createDataFrame([(n, j, f"{n} {j}") for n in names for j in range(2)], "path string, j int, line string")
+    assert sinks.write_named_files(df, str(tmp_path / "files"), order=["j"]) == len(names)
+    assert left and left[0] <= 2 * spark.sparkContext.defaultParallelism and os.listdir(tmp_path) == ["files"]
+    assert all((tmp_path / "files" / n).read_text() == f"{n} 0\n{n} 1\n" for n in names)
+
+
 def test_no_rows_no_files(spark, tmp_path):
     assert sinks.write_named_files(spark.createDataFrame([], "path string, line string"), str(tmp_path / "none")) == 0 and not os.listdir(tmp_path)
 
 
+def test_withdrawn_values_meet_their_states_without_a_join_by_path(spark):
+    plan = plan_of(QUERIES["withdrawn_when_confirmed"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("Join") == 1 and "path" not in plan[plan.index("Join") :].split("\n")[0]  # that of the sources that are gone
+
+
 def test_lines_stay_where_they_are_read(spark, tmp_path):
     """The lines of a long socket table are not gathered by their file."""
     (tmp_path / "n1").mkdir()
