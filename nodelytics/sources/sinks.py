@@ -68,7 +68,8 @@ def write_named_files(df: DataFrame, root: str, path: str = "path", line: str =
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, home, pieces = opened()
-        fs.create_dir(pieces, recursive=True)
+        own = uuid.uuid4().hex  # tasks that make files in one folder wait for each other
+        fs.create_dir(f"{pieces}/{own}", recursive=True)
         now, out, cut, whole, folder = None, None, [], 0, None
         for batch in batches:
             for name, text, tail in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
@@ -80,7 +81,7 @@ def write_named_files(df: DataFrame, root: str, path: str = "path", line: str =
                             whole += 1
                         else:
                             cut.append((now, piece))
-                    now, piece = name, uuid.uuid4().hex
+                    now, piece = name, f"{own}/{uuid.uuid4().hex}"
                     out = fs.open_output_stream(f"{pieces}/{piece}")
                 out.write((text or "").encode() + (tail or "").encode())
         if out is not None:

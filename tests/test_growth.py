@@ -12,7 +12,7 @@ from nodelytics.operators import joins, scans
 from nodelytics.operators import windows as W
 from nodelytics.plans import telemetry_jobs
 from nodelytics.plans.all_queries import QUERIES
-from nodelytics.sources import readers, sinks
+from nodelytics.sources import readers, scan, sinks
 
 
 def plan_of(df) -> str:
@@ -165,7 +165,7 @@ def test_many_small_files_leave_little_to_the_driver(spark, tmp_path, monkeypatc
 
     class Watched(local):
         def delete_dir(self, path):
-            left.append(len(os.listdir(path)))
+            left.append(sum(len(files) for _, _, files in os.walk(path)))
             super().delete_dir(path)
 
     monkeypatch.setattr(sinks.pyarrow.fs, "LocalFileSystem", Watched)
@@ -180,6 +180,15 @@ def test_no_rows_no_files(spark, tmp_path):
     assert sinks.write_named_files(spark.createDataFrame([], "path string, line string"), str(tmp_path / "none")) == 0 and not os.listdir(tmp_path)
 
 
+def test_states_of_files_keep_their_row(spark, tmp_path):
+    """Columns go with the path, also where a path stands twice; no join."""
+    (tmp_path / "a").write_text("abc")
+    rows = [("x", str(tmp_path / "a"), 1), ("y", str(tmp_path / "a"), None), (None, str(tmp_path / "b"), 3), ("z", None, 4)]
+    got = scan.file_heads(spark.createDataFrame(rows, "k string, at string, n int"), 2, "at", 3, keep=["n", "k"])
+    assert {(r.k, r.n, r.state, r["head"]) for r in got.collect()} == {("x", 1, "truncated", "ab"), ("y", None, "truncated", "ab"), (None, 3, "absent", "")}
+    assert got.count() == 3 and "Join" not in plan_of(QUERIES["file_states"](spark, "/root/testdata/sf0.001"))
+
+
 def test_withdrawn_values_meet_their_states_without_a_join_by_path(spark):
     plan = plan_of(QUERIES["withdrawn_when_confirmed"](spark, "/root/testdata/sf0.001"))
     assert plan.count("Join") == 1 and "path" not in plan[plan.index("Join") :].split("\n")[0]  # that of the sources that are gone
